@@ -106,5 +106,5 @@ def embed_passages(chunks: DataFrame, embedder: Embedder, text: str = "chunk_tex
                     errors += [str(error)] * len(part)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], [*b.schema.names, "embedding", "embed_error"])
 
-    added = [F.expr("cast(array() as array<float>)").alias("embedding"), F.lit(None).cast("string").alias("embed_error")]
+    added = [F.expr("cast(null as array<float>)").alias("embedding"), F.lit(None).cast("string").alias("embed_error")]
     return chunks.mapInArrow(run, chunks.select("*", *added).schema)

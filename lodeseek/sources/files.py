@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,17 +29,49 @@ class Walk:
 GREP, BUILD, LISTING = Walk(), Walk(), Walk(hidden=False, supported_only=False)
 
 
+#: Bytes of files that Spark's readers pass over (names with "." or "_" in front); they go through the driver.
+PASSED_OVER_BYTES = 64 << 20
+
+
+def _passed_over(spark: SparkSession, root: str, wanted: Callable[[str, int], bool]) -> list[tuple[str, str, int, bytes]]:
+    """(path, relative, size, content) of files below root that Spark's readers never list, if wanted(relative, size)."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    found: dict[str, int] = {}
+    level = base
+    while len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "*"))):  # listed in the JVM, level by level
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "[._]*")):
+            below = fs.listFiles(status.getPath(), True)
+            while below.hasNext():
+                one = below.next()
+                found[one.getPath().toString()] = one.getLen()
+        level += "*/"
+    rows = [(path, path.removeprefix(base), size) for path, size in sorted(found.items()) if wanted(path.removeprefix(base), size)]
+    if sum(size for _, _, size in rows) > PASSED_OVER_BYTES:
+        raise ValueError(f"hidden files below {root} have more than {PASSED_OVER_BYTES} bytes")
+    out = []
+    for path, relative, size in rows:
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+        try:
+            out.append((path, relative, size, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+        finally:
+            stream.close()
+    return out
+
+
 def _read(spark: SparkSession, root: str) -> DataFrame:
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/") + "/"), "^(file|hdfs|viewfs):/*", "/")
-    bare = F.regexp_replace("path", "^(file|hdfs|viewfs):/*", "/")
-    return found.select("path", F.replace(bare, base, F.lit("")).alias("relative"), F.col("length").alias("size_bytes"), "content")
+    plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
+    base = plain(F.lit(root.rstrip("/") + "/"))
+    return found.select("path", F.replace(plain(F.col("path")), base, F.lit("")).alias("relative"), F.col("length").alias("size_bytes"), "content")
 
 
 def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool, bool]]:
     """Rules of all ignore files below root; those files are few and small."""
-    rows = _read(spark, root).where(F.regexp_extract("relative", "([^/]*)$", 1).isin(".gitignore", ".ignore") & (F.col("size_bytes") <= 1 << 20))
-    files = [(r.relative, r.content.decode("utf-8", "replace")) for r in rows.select("relative", "content").toLocalIterator()]
+    named = lambda relative, size: relative.rpartition("/")[2] in (".gitignore", ".ignore") and size <= 1 << 20
+    files = [(relative, content.decode("utf-8", "replace")) for _, relative, _, content in _passed_over(spark, root, named)]
     out = []
     for name, text in sorted(files, key=lambda f: (f[0].count("/"), f[0])):
         out += parse(text, name.rpartition("/")[0])
@@ -51,8 +84,9 @@ def scan(spark: SparkSession, root: str, walk: Walk = GREP, extensions: tuple[st
     Filters on path and size are below anything that reads contents.
     """
     files = _read(spark, root)
-    if not walk.hidden:
-        files = files.where(~F.regexp_like("relative", F.lit(r"(^|/)\.")))
+    shown = lambda relative, size: (walk.hidden or not any(p.startswith(".") for p in relative.split("/"))) and not 0 < walk.max_size < size
+    if more := _passed_over(spark, root, shown):
+        files = files.unionByName(spark.createDataFrame([(p, r, n, bytearray(c)) for p, r, n, c in more], "path string, relative string, size_bytes long, content binary"))
     if walk.ignore_files:
         files = files.where(~ignored(F.col("relative"), ignore_rules(spark, root)))
     if walk.max_size:
