@@ -31,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import without, write_shared
@@ -257,10 +257,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """docs with one row of each group: the one of the smallest doc_id. Of rows equal in doc_id and fingerprint, and of a group of null ids, one stays."""
+    """docs with one row of each group: the one of the smallest doc_id. Of rows equal in doc_id and fingerprint, and of a group of null ids, one stays: the first by hash of its text."""
     stored = write_shared(with_fingerprint(docs, text, "__fp"), "simhash-docs")
     found = groups(stored.select(F.col("__fp").alias("fp"), doc_id), doc_id, block)
     # The fingerprint under which a component's document is kept; for groups of null ids, the component's label.
     keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("__fp"), F.min("component_id").alias("__keep"))
     kept = stored.join(keep.select("__fp", "__keep"), "__fp").where(F.col(doc_id).eqNullSafe(F.col("__keep")))
-    return kept.dropDuplicates(["__fp"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    one = Window.partitionBy("__fp").orderBy(F.xxhash64(text), text)
+    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
