@@ -134,3 +134,31 @@ def test_unreadable_file_keeps_its_rows(spark, built):
     df = spark.createDataFrame([("/r/a.txt", True, True)], "path string, exists boolean, is_file boolean").withColumn("ts", F.current_timestamp())
     watch.apply_batch(spark, built, df, lambda p: documents(spark, {"/r/a.txt": None}), EMBEDDER, "/r")
     assert contents(spark, built) == before
+
+
+def test_progress(spark, tmp_path):
+    import time
+
+    from lodeseek.streaming.progress import Progress
+
+    seen = []
+    follower = Progress(on_rows=seen.append)
+    spark.streams.addListener(follower)
+    try:
+        spark.createDataFrame([("a", True, True)], "path string, exists boolean, is_file boolean").withColumn("ts", F.current_timestamp()).write.parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema.EVENTS).parquet(str(tmp_path / "in"))
+        query = stream.writeStream.foreachBatch(lambda df, n: df.count()).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination(60)
+        for _ in range(50):
+            if any(e["kind"] == "done" for e in follower.events):
+                break
+            time.sleep(0.2)
+        assert {"started", "progress", "done"} <= {e["kind"] for e in follower.events} and seen == [1]
+    finally:
+        spark.streams.removeListener(follower)
+
+
+def test_catch_up(spark):
+    old = spark.createDataFrame([("a", 1, 1), ("b", 1, 1), ("c", 1, 1)], "path string, size_bytes long, modified long")
+    new = spark.createDataFrame([("a", 1, 1), ("b", 2, 1), ("d", 1, 1)], "path string, size_bytes long, modified long")
+    assert sorted(map(tuple, watch.catch_up(old, new).collect())) == [("b", "changed"), ("c", "removed"), ("d", "changed")]
