@@ -155,7 +155,7 @@ def grep_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grep_empty_matches")
 def grep_empty_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.grep_lines(corpus(spark, sf_dir), SearchQuery(r"(?:q[a-z])*", is_regex=True), keep=["path"]).groupBy("path").agg(F.count("*").alias("n"))
+    return grep.grep_lines(corpus(spark, sf_dir), SearchQuery(r"(?:[a-z]{2})*$", is_regex=True), keep=["path"]).groupBy("path").agg(F.count("*").alias("n"))
 
 
 # files
@@ -505,7 +505,7 @@ def preview_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", shown.alias("h")).select("doc_id", "h.*")
 
 
-@query("size_format", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0) ELSE printf('%.1f MB', n / 1048576.0) END AS label FROM (SELECT doc_id, n_chars * (doc_id % 3 * 700 + 1) AS n FROM documents)")
+@query("size_format", "SELECT doc_id, CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KB', floor(n / 102.4 + 0.5) / 10) ELSE printf('%.1f MB', floor(n / 104857.6 + 0.5) / 10) END AS label FROM (SELECT doc_id, n_chars * (doc_id % 3 * 700 + 1) AS n FROM documents)")
 def size_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("n_chars") * (F.col("doc_id") % 3 * 700 + 1)
     return table(spark, sf_dir, "documents").select("doc_id", display.size_label(size).alias("label"))
