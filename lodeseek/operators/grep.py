@@ -86,6 +86,12 @@ def _result(keep: list[str], line: Column, column: Column, page: Column, box: Co
 _BOX = "struct<x:float,y:float,width:float,height:float>"
 
 
+def _each(may_have_none: bool) -> Column:
+    """Matches as rows. Where every row is known to have one, the outer form keeps the optimizer from adding a
+    filter on the array's size, which would search every line a second time."""
+    return F.explode("found") if may_have_none else F.explode_outer("found")
+
+
 def grep_lines(docs: DataFrame, query: SearchQuery, keep: list[str] | None = None) -> DataFrame:
     """Matches in documents of lines (column text). col is a byte offset in the line, contexts are the rest of the line."""
     java = patterns.compile_pattern(query.pattern, query.is_regex, query.case_sensitive)
@@ -105,7 +111,7 @@ def grep_lines(docs: DataFrame, query: SearchQuery, keep: list[str] | None = Non
         rows = _empty_matches(rows.withColumnsRenamed({"line": "__line"}), "__line", query)
     else:
         rows = rows.withColumn("found", _matches(F.col("line"), java))
-    flat = rows.withColumn("m", F.explode("found"))
+    flat = rows.withColumn("m", _each(empty))
     after = F.rtrim(F.col("m.after"), F.lit("\r\n"))
     nothing = F.lit(None)
     return flat.select(*_result(keep, F.col("number"), F.col("m.start"), nothing, nothing.cast(_BOX), F.col("m.before"), after, F.col("base"), paths.PLAIN_TEXT))
@@ -115,11 +121,12 @@ def grep_whole(docs: DataFrame, query: SearchQuery, keep: list[str] | None = Non
     """Matches in extracted documents, each searched as one text, with the page and box of their segments."""
     java = patterns.compile_pattern(query.pattern, query.is_regex, query.case_sensitive)
     keep = [c for c in docs.columns if c not in ("text", "file_type", "source_map")] if keep is None else keep
-    if patterns.may_be_empty(java):
+    empty = patterns.may_be_empty(java)
+    if empty:
         rows = _empty_matches(docs, "text", query)
     else:
         rows = docs.where(F.regexp_like("text", F.lit(java))).withColumn("found", _matches(F.col("text"), java))
-    flat = rows.withColumn("m", F.explode("found"))
+    flat = rows.withColumn("m", _each(empty))
     origin = source_map.resolve_range(F.col("source_map"), F.col("m.start"), F.col("m.end")) if "source_map" in docs.columns else None
     page = F.lit(1) if origin is None else F.coalesce(origin["page"], F.lit(1))
     box = F.lit(None).cast(_BOX) if origin is None else origin["bbox"]

@@ -11,11 +11,13 @@ COLLAPSED = 5
 def collapsed(matches: DataFrame, limit: int = COLLAPSED) -> DataFrame:
     """Rows (kind, path, match_index, start, total) of a result list: a file, its first matches, and a row to expand if there are more."""
     order = Window.partitionBy("path").orderBy("start", "end")
-    ranked = matches.select("path", "start", (F.row_number().over(order) - 1).alias("match_index"))
-    few = ranked.where(F.col("match_index") < limit).select(F.lit("match").alias("kind"), "path", "match_index", "start", F.lit(None).cast("long").alias("total"))
+    # So written, the first rows of each path are picked before anything is shuffled.
+    few = matches.select("path", "start", "end").withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+    few = few.select(F.lit("match").alias("kind"), "path", (F.col("n") - 1).alias("match_index"), "start", F.lit(None).cast("long").alias("total"))
     totals = matches.groupBy("path").agg(F.count("*").alias("total"))
-    row = lambda kind: [F.lit(kind).alias("kind"), "path", F.lit(None).cast("int").alias("match_index"), F.lit(None).cast("long").alias("start"), "total"]
-    return few.unionByName(totals.select(*row("file"))).unionByName(totals.where(F.col("total") > limit).select(*row("expand")))
+    kinds = F.when(F.col("total") > limit, F.array(F.lit("file"), F.lit("expand"))).otherwise(F.array(F.lit("file")))
+    heads = totals.select(F.explode(kinds).alias("kind"), "path", F.lit(None).cast("int").alias("match_index"), F.lit(None).cast("long").alias("start"), "total")
+    return few.unionByName(heads)
 
 
 def without_repeats(history: DataFrame, key: str, order: str, same: list[str]) -> DataFrame:
