@@ -93,8 +93,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size
             return pa.RecordBatch.from_arrays(arrays, _FIELDS)
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 encoded = encoder(tokenizer, spaced).encode(b.column(1).to_pylist())
                 for doc, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
                     ids += end

@@ -1,10 +1,14 @@
-"""Whole texts to token ids with a public tokenizer, each distinct piece encoded once per worker.
+"""Whole texts to token ids with a public tokenizer, each distinct piece encoded once in a while.
 
-A text is cut at single spaces, which no token of these tokenizers crosses: the word-level one
-drops white space, and the byte-level one puts a space at the front of the word behind it. So
-the ids of a text are those of its pieces, one after another. Pieces of natural text repeat, so
-a bounded cache answers most of them; the library encodes the rest. A space next to other
-white space is no place to cut for the byte-level tokenizer.
+A text is cut at white space that no token of these tokenizers crosses: the word-level one
+drops it, and the byte-level one puts a space at the front of the word behind it. So
+the ids of a text are those of its pieces, one after another. A space next to other white space is no
+place to cut for the byte-level tokenizer. Pieces of natural text repeat, so a bounded cache answers
+most of them, and the library encodes the rest.
+
+A new piece that is a word of plain letters and closing punctuation is two pieces to both tokenizers. New
+words are encoded many at once, as one text, whose ids fall apart again at the words' ends (word-level)
+or beginnings (byte-level), which only certain ids mark.
 """
 
 from __future__ import annotations
@@ -12,12 +16,42 @@ from __future__ import annotations
 import os
 import re
 import struct
+from collections.abc import Iterable
 from functools import lru_cache
 
-#: Pieces kept by one worker; a full cache is emptied.
-CACHE_PIECES = 400_000
-_LONG = 64
+import numpy as np
+
+#: A worker keeps the pieces of two generations, each of at most so many (but for one batch).
+GENERATION = 400_000
+_TOGETHER = 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+_CLOSING = ".,;:!?%*$&#|)"
+#: Letters below this sign are the same in every Unicode normal form that composes.
+_LATIN_END = "ɐ"
+
+
+class _Cache:
+    """Pieces to ids; what was not asked for during a whole generation is forgotten."""
+
+    def __init__(self) -> None:
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def missing(self, pieces: set[str]) -> set[str]:
+        """Of pieces, those that are not known; the others are in new from now on."""
+        left = pieces.difference(self.new)
+        known = self.old.keys() & left
+        self.new.update(zip(known, map(self.old.__getitem__, known), strict=True))
+        return left - known
+
+    def age(self) -> None:
+        if len(self.new) > GENERATION:
+            self.old, self.new = self.new, {}
+
+
+def _at_white_space(text: str) -> list[str]:
+    """Pieces between white space. Python counts four controls as such that Unicode does not; they stay."""
+    return text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
 class Encoder:
@@ -30,35 +64,76 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.spaced = spaced
-        self.inner: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.long: list[tuple[dict[str, bytes], str]] = []
-
-    def _fill(self, cache: dict[str, bytes], pieces: set[str], prefix: str) -> dict[str, bytes]:
-        """The cache with ids of all pieces, as little-endian unsigned 32-bit integers."""
-        missing = [p for p in pieces if p not in cache]
-        if len(cache) + len(missing) > CACHE_PIECES:
-            for p in list(cache.keys() - pieces):
-                del cache[p]
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            encoded = self.tokenizer.encode_batch_fast([prefix + p for p in part], add_special_tokens=False)
-            for p, e in zip(part, encoded, strict=True):
+        self.inner, self.first = _Cache(), _Cache()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.marks[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
+
+    def _batch(self, texts: list[str]) -> Iterable[bytes]:
+        for at in range(0, len(texts), 4096):
+            for e in self.tokenizer.encode_batch_fast(texts[at : at + 4096], add_special_tokens=False):
                 ids = e.ids
-                cache[p] = struct.pack(f"<{len(ids)}I", *ids)
-                if len(p) > _LONG:  # these hardly recur
-                    self.long.append((cache, p))
-        return cache
+                yield struct.pack(f"<{len(ids)}I", *ids)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words of plain letters, each with a space in front if spaces count."""
+        out: list[bytes] = []
+        for at in range(0, len(words), _TOGETHER):
+            part = words[at : at + _TOGETHER]
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            where = np.flatnonzero(self.marks[ids])
+            if len(where) != len(part):
+                out += self._batch([" " + w for w in part])
+                continue
+            cuts = [*(4 * where).tolist(), 4 * len(ids)] if self.spaced else [0, *(4 * where + 4).tolist()]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+        return out
+
+    def _fill(self, cache: _Cache, pieces: set[str], prefix: str) -> dict[str, bytes]:
+        """Ids of all pieces, as little-endian unsigned 32-bit integers."""
+        whole: list[str] = []
+        split: list[tuple[str, str, str]] = []
+        words: set[str] = set()
+        lines: list[tuple[str, list[str]]] = []
+        separable = bool(prefix) or not self.spaced
+        for p in cache.missing(pieces):
+            if "\n" in p and self.spaced and not any(x == "" or x[0].isspace() or x[-1].isspace() for x in p.split("\n")):
+                lines.append((p, p.split("\n")))  # a line end by itself is a token of its own
+                continue
+            word = p.rstrip(_CLOSING)
+            if separable and word.isalpha() and (word.isascii() or (low := word.lower()).isalpha() and max(low) < _LATIN_END):
+                tail = p[len(word) :]
+                if not self.spaced:
+                    word = word.lower()
+                words.add(word)
+                if word != p:
+                    split.append((p, word, tail))
+            else:
+                whole.append(p)
+        new = list(cache.missing(words))
+        cache.new.update(zip(new, self._words(new), strict=True))
+        cache.new.update(zip(whole, self._batch([prefix + p for p in whole]), strict=True))
+        tails = {t for _, _, t in split if t}
+        ends = self._fill(self.first if self.spaced else cache, tails, "") if tails else {}
+        for p, word, tail in split:
+            cache.new[p] = cache.new[word] + ends[tail] if tail else cache.new[word]
+        if lines:
+            heads = self._fill(cache, {x[0] for _, x in lines}, prefix)
+            others = self._fill(self.first, {"\n"}.union(*(x[1:] for _, x in lines)), "")
+            for p, x in lines:
+                cache.new[p] = heads[x[0]] + b"".join(others["\n"] + others[y] for y in x[1:])
+        return cache.new
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each whole text; none for null."""
         if not self.spaced:
-            cut = [(t or "").split(" ") for t in texts]
+            cut = [_at_white_space(t or "") for t in texts]
             ids = self._fill(self.inner, set().union(*cut), "")
             out = [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
         else:
             cut = [(t or "").split(" ") for t in texts]
-            odd = {p for p in set().union(*cut) if p not in self.inner and (not p or p[0].isspace() or p[-1].isspace())}
+            odd = {p for p in set().union(*cut) if not p or p[0].isspace() or p[-1].isspace()}
             if odd:
                 cut = [c if odd.isdisjoint(c) else _CUT.split(t or "") for c, t in zip(cut, texts, strict=True)]
             heads = self._fill(self.first, {c[0] for c in cut}, "")
@@ -67,12 +142,8 @@ class Encoder:
                 del c[0]
             ids = self._fill(self.inner, set().union(*cut), " ")
             out = [f + b"".join(map(ids.__getitem__, c)) for f, c in zip(firsts, cut, strict=True)]
-        for cache, p in self.long:
-            cache.pop(p, None)
-        self.long.clear()
-        for cache in (self.inner, self.first):
-            if len(cache) > CACHE_PIECES:
-                cache.clear()
+        self.inner.age()
+        self.first.age()
         return out
 
 
