@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +27,41 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Folders written while recorded() is open.
+_recorders: list[list[str]] = []
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """Within it, the folders that write_shared makes are listed."""
+    _recorders.append(made := [])
+    try:
+        yield made
+    finally:
+        _recorders.remove(made)
+
+
+def _reads(df: DataFrame) -> list[str]:
+    """Folders that df's plan reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    plans = [leaves.apply(k) for k in range(leaves.size())]
+    found = [p.relation().location().rootPaths() for p in plans if p.getClass().getSimpleName() == "LogicalRelation" and hasattr(p.relation(), "location")]
+    return [paths.apply(k).toString() for paths in found for k in range(paths.size())]
+
+
+def release(spark: SparkSession, folders: list[str], unless_read_by: DataFrame) -> list[str]:
+    """Deletes folders that a plan does not read; gives those that it does."""
+    used = [p.split(":", 1)[-1].lstrip("/") for p in _reads(unless_read_by)]
+    left = []
+    for folder in folders:
+        if any(p.startswith(folder.split(":", 1)[-1].lstrip("/")) for p in used):
+            left.append(folder)
+            continue
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    return left
+
+
 def write_shared(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage.
 
@@ -34,6 +70,8 @@ def write_shared(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for made in _recorders:
+        made.append(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)

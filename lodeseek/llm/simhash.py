@@ -262,6 +262,9 @@ def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc
     found = groups(stored.select(F.col("__fp").alias("fp"), doc_id), doc_id, block)
     # The fingerprint under which a component's document is kept; for groups of null ids, the component's label.
     keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("__fp"), F.min("component_id").alias("__keep"))
-    kept = stored.join(keep.select("__fp", "__keep"), "__fp").where(F.col(doc_id).eqNullSafe(F.col("__keep")))
-    one = Window.partitionBy("__fp").orderBy(F.xxhash64(text), text)
+    named = lambda c: {"__id": F.coalesce(F.col(c).cast("string"), F.lit("")), "__null": F.isnull(F.col(c))}
+    # Ids are keys too, so copies of one text are spread; the same keys serve the choice, without another shuffle.
+    keys = ["__fp", "__id", "__null"]
+    kept = stored.withColumns(named(doc_id)).join(keep.withColumns(named("__keep")).select(*keys), keys)
+    one = Window.partitionBy(*keys).orderBy(F.xxhash64(text), text)
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,15 +11,16 @@ from lodeseek.llm import chat, queries, url_filter
 SF = "/root/testdata/sf0.01"
 
 
-def test_pipeline_stages(spark):
+def test_pipeline_stages(spark, tmp_path):
     """Each stage against what its operator says of the stage's own input."""
     from lodeseek.llm import decontam, quality, secret_scan, simhash
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns = docs.columns
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        before = docs.cache()
-        after = stage(spark, before, SF).cache()
+        before = docs
+        stage(spark, before, SF).write.parquet(str(tmp_path / f"stage-{k}"))
+        after = spark.read.parquet(str(tmp_path / f"stage-{k}"))
         ids = {r[0] for r in after.select("doc_id").collect()}
         texts = {r.doc_id: r.text for r in before.collect()}
         assert ids <= set(texts) and ids
@@ -52,6 +53,14 @@ def test_pipeline_stages(spark):
         assert name
 
 
+def test_stages_called_lazily(spark):
+    """A stage whose input is not written yet still finds what the one before it has left."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, "/root/testdata/sf0.001")
+    assert docs.count() > 0
+
+
 def brute(url):
     host = path = ""
     if url and "://" in url:
