@@ -54,6 +54,10 @@ def _at_white_space(text: str) -> list[str]:
     return text.split(" ") if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
 
 
+def _edged(piece: str) -> bool:
+    return not piece or piece[0].isspace() or piece[-1].isspace()
+
+
 class Encoder:
     """spaced: whether a space belongs to the piece behind it (byte-level) or is dropped (word-level)."""
 
@@ -65,6 +69,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # such strings in a text are ordinary text
         self.spaced = spaced
         self.inner, self.first = _Cache(), _Cache()
+        self.edged: set[str] = set()  # pieces in inner that begin or end with white space: behind a space they are no pieces
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.marks = np.zeros(max(vocabulary.values()) + 1, bool)
         self.marks[[i for t, i in vocabulary.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
@@ -98,7 +103,7 @@ class Encoder:
         lines: list[tuple[str, list[str]]] = []
         separable = bool(prefix) or not self.spaced
         for p in cache.missing(pieces):
-            if "\n" in p and self.spaced and not any(x == "" or x[0].isspace() or x[-1].isspace() for x in p.split("\n")):
+            if "\n" in p and self.spaced and not any(map(_edged, p.split("\n"))):
                 lines.append((p, p.split("\n")))  # a line end by itself is a token of its own
                 continue
             word = p.rstrip(_CLOSING)
@@ -133,17 +138,18 @@ class Encoder:
             out = [b"".join(map(ids.__getitem__, pieces)) for pieces in cut]
         else:
             cut = [(t or "").split(" ") for t in texts]
-            odd = {p for p in set().union(*cut) if not p or p[0].isspace() or p[-1].isspace()}
+            pieces = set().union(*cut)
+            odd = {p for p in pieces.difference(self.inner.new) if _edged(p)} | (pieces & self.edged)
             if odd:
                 cut = [c if odd.isdisjoint(c) else _CUT.split(t or "") for c, t in zip(cut, texts, strict=True)]
+                pieces = set().union(*(c[1:] for c in cut))
+                self.edged.update(filter(_edged, pieces))
             heads = self._fill(self.first, {c[0] for c in cut}, "")
-            firsts = [heads[c[0]] for c in cut]
-            for c in cut:
-                del c[0]
-            ids = self._fill(self.inner, set().union(*cut), " ")
-            out = [f + b"".join(map(ids.__getitem__, c)) for f, c in zip(firsts, cut, strict=True)]
+            ids = self._fill(self.inner, pieces, " ")  # first pieces may be among them: a few too many
+            out = [heads[c[0]] + b"".join(map(ids.__getitem__, c[1:])) for c in cut]
         self.inner.age()
         self.first.age()
+        self.edged &= self.inner.new.keys()
         return out
 
 
