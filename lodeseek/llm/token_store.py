@@ -41,7 +41,8 @@ SHARD = 2_000_000
 LEAST, ROUNDS = 24, 6
 SYMBOLS = 1 << 16
 _HEAD = struct.Struct("<4s6I")
-_SLOTS = 20
+_SLOTS = 18
+_NO_PAIR, _END, _SYMBOL = np.uint32(0xFFFFFFFF), np.uint32(0x10000), np.uint32(0xFFFF)
 
 
 def compress(ids: np.ndarray, tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -49,66 +50,74 @@ def compress(ids: np.ndarray, tokens: np.ndarray, terminals: int) -> tuple[np.nd
 
     Symbols under terminals are ids. There are at most SYMBOLS symbols, so that they fit 16 bits.
     """
+    if terminals >= SYMBOLS:
+        raise ValueError(f"{SYMBOLS} ids or more")
     seq = ids.astype(np.uint32)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(tokens) - 1] = True
+    seq[np.cumsum(tokens) - 1] |= _END  # of a document
     left, right, length = (np.zeros(0, np.uint32) for _ in range(3))
     for _ in range(ROUNDS):
-        free = SYMBOLS - terminals - len(left)
+        free = SYMBOLS - 1 - terminals - len(left)  # the last pair of all stands for no pair
         if free <= 0 or len(seq) < 2:
             break
-        keys = (seq[:-1].astype(np.uint64) << np.uint64(32)) | seq[1:]
-        inside = ~last[:-1]
-        ordered = np.sort(keys[inside])
-        cuts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(cuts, len(ordered)))
-        often = counts >= LEAST
-        pairs, counts = ordered[cuts[often]], counts[often]
+        low = seq & _SYMBOL
+        keys = (low[:-1] << np.uint32(16)) | low[1:]
+        keys[seq[:-1] >= _END] = _NO_PAIR
+        ordered = np.sort(keys)
+        ordered = ordered[: np.searchsorted(ordered, _NO_PAIR)]
+        cuts = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)) if len(ordered) else np.zeros(0, np.int64)
+        counts = np.diff(cuts, prepend=0)
+        often = np.flatnonzero(counts >= LEAST)
+        pairs, counts = ordered[cuts[often] - 1], counts[often]
         # The most frequent first; so many in a round that later rounds still have symbols.
-        chosen = pairs[np.argsort(-counts, kind="stable")[: max(1, free // 2)]]
+        chosen = pairs[np.argsort(-counts, kind="stable")[: min(max(1, free // 2), 1 << 15)]]
         if not len(chosen):
             break
         # A table by hash; where two pairs share a slot, one waits for another round.
-        slot = lambda k: (k * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _SLOTS)
-        table = np.full(1 << _SLOTS, -1, np.int32)
-        table[slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int32)[::-1]
+        slot = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
+        table = np.full(1 << _SLOTS, -1, np.int16)
+        table[slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int16)[::-1]
         at = table[slot(keys)]
-        match = (at >= 0) & inside
-        match[match] = chosen[at[match]] == keys[match]
-        # Of overlapping matches every other one is replaced.
-        where = np.flatnonzero(match)
+        where = np.flatnonzero(at >= 0)
+        where = where[chosen[at[where]] == keys[where]]
         if not len(where):
             break
+        # Of overlapping matches every other one is replaced.
         new_run = np.concatenate([[True], np.diff(where) > 1])
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - run_start) % 2 == 0]
-        used, symbol = np.unique(at[where], return_inverse=True)
-        new = chosen[used]
-        base = terminals + len(left)
-        a, b = (new >> np.uint64(32)).astype(np.uint32), new.astype(np.uint32)
+        where = where[(np.arange(len(where)) - run_start) & 1 == 0]
+        found = at[where]
+        seen = np.bincount(found, minlength=len(chosen)) > 0
+        new = chosen[seen]
+        a, b = new >> np.uint32(16), new & np.uint32(0xFFFF)
         size = np.concatenate([np.ones(terminals, np.uint32), length])
+        seq[where] = (terminals + len(left) - 1 + np.cumsum(seen)).astype(np.uint32)[found] | (seq[where + 1] & _END)
         left, right, length = np.append(left, a), np.append(right, b), np.append(length, size[a] + size[b])
-        seq[where] = (base + symbol).astype(np.uint32)
-        last[where] = last[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq, last = seq[keep], last[keep]
-    return seq, np.diff(np.concatenate([[0], np.flatnonzero(last) + 1])), left, right, length
+        seq = seq[keep]
+    return seq & _SYMBOL, np.diff(np.flatnonzero(seq >= _END) + 1, prepend=0), left, right, length
 
 
-def expand(symbols: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray, terminals: int) -> np.ndarray:
-    """The ids of symbols. Expansion lengths give each symbol its place; rules unfold level by level."""
+def unfold(left: np.ndarray, right: np.ndarray, length: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each symbol, where its ids begin in a table and how many there are; and the table. Rules unfold level by level."""
     size = np.concatenate([np.ones(terminals, np.int64), length.astype(np.int64)])
-    spans = size[symbols]
-    out = np.zeros(int(spans.sum()), np.uint32)
-    place, current = np.cumsum(spans) - spans, symbols.astype(np.int64)
+    begin = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), np.uint32)
+    place, current = begin, np.arange(len(size))
     while len(current):
         leaf = current < terminals
         out[place[leaf]] = current[leaf]
         rule, at = current[~leaf] - terminals, place[~leaf]
         a, b = left[rule].astype(np.int64), right[rule].astype(np.int64)
         place, current = np.concatenate([at, at + size[a]]), np.concatenate([a, b])
-    return out
+    return begin, size, out
+
+
+def expand(symbols: np.ndarray, rules: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The ids of symbols: each takes as many places as its expansion is long and copies them from the table."""
+    begin, size, ids = rules
+    spans = size[symbols]
+    return ids[np.repeat(begin[symbols] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))]
 
 
 def to_blob(doc_ids: list[int | None], tokens: np.ndarray, ids: np.ndarray, terminals: int) -> bytes:
@@ -144,21 +153,21 @@ class Shard:
         self.left, self.right, self.length = (take("<u4", rules) for _ in range(3))
         self.symbols = take(f"<u{width}", count)
         self.ends = np.cumsum(per_doc, dtype=np.int64)
+        self.rules = unfold(self.left, self.right, self.length, self.terminals)
 
     def decode(self, k: int) -> np.ndarray:
-        return expand(self.symbols[(self.ends[k - 1] if k else 0) : self.ends[k]], self.left, self.right, self.length, self.terminals)
+        return expand(self.symbols[(self.ends[k - 1] if k else 0) : self.ends[k]], self.rules)
 
     def decode_all(self) -> np.ndarray:
-        return expand(self.symbols, self.left, self.right, self.length, self.terminals)
+        return expand(self.symbols, self.rules)
 
     def decode_range(self, k: int, start: int, stop: int) -> np.ndarray:
         """Ids start to stop of document k: only symbols whose expansion reaches into the range are unfolded."""
         symbols = self.symbols[(self.ends[k - 1] if k else 0) : self.ends[k]]
-        size = np.concatenate([np.ones(self.terminals, np.int64), self.length.astype(np.int64)])[symbols]
-        ends = np.cumsum(size)
+        ends = np.cumsum(self.rules[1][symbols])
         first, after = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
         begin = int(ends[first - 1]) if first else 0
-        return expand(symbols[first:after], self.left, self.right, self.length, self.terminals)[start - begin : max(start, stop) - begin]
+        return expand(symbols[first:after], self.rules)[start - begin : max(start, stop) - begin]
 
 
 def shards(docs: DataFrame, tokenizer: str, end_id: int, terminals: int, spaced: bool = False, shard: int = SHARD) -> DataFrame:
@@ -183,8 +192,8 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int, terminals: int, spaced:
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "shard", "n_docs", "n_tokens", "blob"])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
                 for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer, spaced).encode(b.column(1).to_pylist()), strict=True):
                     names.append(doc)
                     held.append(ids + end)
