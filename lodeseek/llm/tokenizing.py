@@ -22,7 +22,7 @@ from functools import lru_cache
 import numpy as np
 
 #: A worker keeps the pieces of two generations, each of at most so many (but for one batch).
-GENERATION = 400_000
+GENERATION = 300_000
 _TOGETHER = 2048
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _CLOSING = ".,;:!?%*$&#|)"
