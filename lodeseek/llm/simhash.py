@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import similar
 from .shared import without, write_shared
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
@@ -242,7 +243,11 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def groups(fingerprinted: DataFrame, doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
     """(fp, component_id, least) of every distinct fingerprint: the smallest doc_id of its component and of itself."""
     reps = write_shared(fingerprinted.groupBy("fp").agg(F.min(doc_id).alias("least")), "simhash-reps")
-    labels = components(links(reps, block))
+    return _with_ids(reps, components(links(reps, block)))
+
+
+def _with_ids(reps: DataFrame, labels: DataFrame) -> DataFrame:
+    """(fp, component_id, least, label) of reps (fp, least), given labels (node, label) of those that are linked."""
     joined = reps.join(labels, reps["fp"] == labels["node"], "left").select("fp", "least", "label")
     ids = joined.where("label is not null").groupBy("label").agg(F.min("least").alias("component_id"))
     linked = joined.join(ids, "label", "left")
@@ -256,15 +261,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return found.select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = BLOCK) -> DataFrame:
-    """docs with one row of each group: the one of the smallest doc_id. Of rows equal in doc_id and fingerprint, and of a group of null ids, one stays: the first by hash of its text."""
-    stored = write_shared(with_fingerprint(docs, text, "__fp"), "simhash-docs")
-    found = groups(stored.select(F.col("__fp").alias("fp"), doc_id), doc_id, block)
-    # The fingerprint under which a component's document is kept; for groups of null ids, the component's label.
-    keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("__fp"), F.min("component_id").alias("__keep"))
+def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = similar.BLOCK) -> DataFrame:
+    """docs with one row of each group that pairs of similarity 0.8 or more (see similar) connect: the one of the smallest doc_id. Of rows equal in doc_id and set of shingles, and of a group of null ids, one stays: the first by hash of its text."""
+    common, ranks, hot = similar.common(docs, text, block)
+    stored = write_shared(similar.with_set(docs, common, ranks, text), "similar-docs")
+    sets = [F.first(c).alias(c) for c in ("__size", "__parity", "__sketch", "__keys")]
+    reps = write_shared(stored.groupBy("__sid").agg(F.min(doc_id).alias("least"), *sets), "similar-reps")
+    labels = components(similar.links(stored, reps, hot, components, text))
+    found = _with_ids(reps.select(F.col("__sid").alias("fp"), "least"), labels)
+    # The set under which a component's document is kept; for groups of null ids, the component's label.
+    keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("__sid"), F.min("component_id").alias("__keep"))
     named = lambda c: {"__id": F.coalesce(F.col(c).cast("string"), F.lit("")), "__null": F.isnull(F.col(c))}
     # Ids are keys too, so copies of one text are spread; the same keys serve the choice, without another shuffle.
-    keys = ["__fp", "__id", "__null"]
-    kept = stored.withColumns(named(doc_id)).join(keep.withColumns(named("__keep")).select(*keys), keys)
+    keys = ["__sid", "__id", "__null"]
+    kept = stored.drop("__sketch", "__keys").withColumns(named(doc_id)).join(keep.withColumns(named("__keep")).select(*keys), keys)
     one = Window.partitionBy(*keys).orderBy(F.xxhash64(text), text)
     return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
