@@ -5,8 +5,10 @@ or more characters), access (AKIA and capitals or digits, 16 or more) and hex (3
 hex digits). The method adds kind markov: a run of 20 or more characters of keys and tokens, with a
 digit and a letter, whose characters are likelier under a first-order Markov model of random strings
 than under one of ordinary identifiers, by a log-likelihood ratio per character. Both models are
-counts of character pairs in labelled samples (below), smoothed. Runs that touch a base match are
-left to it.
+counts of character pairs in labelled samples (below), smoothed. What base matches leave of a run is
+scored piece by piece: a piece that is random as a whole is a span; of others, the segments of highest
+score, widened to the next / - _ = on both sides, are judged like pieces, so a key is found behind a path
+or a name. Stretches under 20 characters, or without a digit or a letter, are never spans of this kind.
 
 Defined results: null is an empty text; repeated rows get equal results; a column spans of the
 input is replaced, others stay; an empty table gives an empty result. Offsets are code points.
@@ -33,6 +35,8 @@ _KEYWORD = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+#: Characters of runs that join a key to ordinary words.
+_SEPARATORS = "/-_="
 #: Nats per character by which the random model must be likelier.
 THRESHOLD = 0.5
 
@@ -99,6 +103,52 @@ def ratio(text: str) -> float:
     return sum(table[text[k : k + 2]] for k in range(len(text) - 1)) / max(1, len(text) - 1)
 
 
+def _segments(scores: list[float]) -> list[tuple[int, int]]:
+    """All segments of highest sum (start, end), disjoint, in linear time (Ruzzo and Tompa)."""
+    done, open_, total = [], [], 0.0
+    for k, x in enumerate(scores):
+        if x > 0:
+            left, right, start = total, total + x, k
+            while open_:
+                j = len(open_) - 1
+                while j >= 0 and open_[j][0] >= left:
+                    j -= 1
+                if j < 0:  # the sum was never lower: nothing that follows joins what stands
+                    done += open_
+                    open_ = []
+                elif open_[j][1] >= right:
+                    break
+                else:
+                    left, start = open_[j][0], open_[j][2]
+                    del open_[j:]
+            open_.append((left, right, start, k + 1))
+        total += x
+    return [(start, end) for _, _, start, end in done + open_]
+
+
+def _is_random(text: str) -> bool:
+    return len(text) >= 20 and any(c.isdigit() for c in text) and any(c.isalpha() for c in text) and ratio(text) > THRESHOLD
+
+
+def _random_parts(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the random stretches of text: all of it, or segments widened to separators."""
+    if len(text) < 20 or not any(c.isdigit() for c in text):
+        return []
+    if _is_random(text):
+        return [(0, len(text))]
+    table, parts = _ratios(), []
+    for a, b in _segments([table[text[k : k + 2]] - THRESHOLD for k in range(len(text) - 1)]):
+        # Pair k is of characters k and k + 1; a separator at an end is left out.
+        first, last = a + (text[a] in _SEPARATORS), b + (text[b] not in _SEPARATORS)
+        start = max(text.rfind(c, 0, first) for c in _SEPARATORS) + 1
+        end = min((at for c in _SEPARATORS if (at := text.find(c, last)) >= 0), default=len(text))
+        if parts and start < parts[-1][1]:
+            continue
+        if _is_random(text[start:end]):
+            parts.append((start, end))
+    return parts
+
+
 def scan(text: str | None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans, by start, then kind."""
     if not text:
@@ -113,13 +163,24 @@ def scan(text: str | None) -> list[tuple[int, int, int]]:
     runs = list(_RUN.finditer(text))
     if runs:
         found += [(m.start(), 2, m.end()) for r in runs for m in _HEX.finditer(text, r.start(), r.end())]
+        base, k = sorted((a, b) for a, _, b in found), 0
         for m in runs:
-            run = m[0]
-            if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not any(a < m.end() and m.start() < b for a, _, b in found) and ratio(run) > THRESHOLD:
-                found.append((m.start(), 3, m.end()))
+            at = m.start()
+            while k < len(base) and base[k][1] <= at:
+                k += 1
+            for a, b in [*_touching(base, k, m.end()), (m.end(), m.end())]:
+                found += [(at + x, 3, at + y) for x, y in _random_parts(text[at : max(at, a)])]
+                at = max(at, b)
     return sorted(found)
 
 
+def _touching(base: list[tuple[int, int]], k: int, end: int) -> Iterator[tuple[int, int]]:
+    """base from k on, as far as it begins before end."""
+    while k < len(base) and base[k][0] < end:
+        yield base[k]
+        k += 1
+
+
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
