@@ -51,7 +51,13 @@ ORDINARY_WORDS = (
     "instance interface internal item join key label language last layout length level library limit line link list load "
     "local lock login main manager map master match max memory menu message method metric min mode model module name "
     "network next node normal number object offset open option order output owner package page panel parent parse path "
-    "pattern payment phone pixel point policy port position post prefix process product profile project property query"
+    "pattern payment phone pixel point policy port position post prefix process product profile project property query "
+    "queue random range rate raw read record reference region register release remote render report request reset resource response "
+    "result return role root route row rule run sample scale schema scope screen script search section select server service session "
+    "setting shape share size sort source stage start state status store stream string style subject submit switch system table tag "
+    "target task template test text theme thread time title token tool total track transfer tree type unit update upload user util "
+    "value variable vector version video view visible volume wait watch web week weight width window word work worker world wrap "
+    "write year yield young zero zone zoom"
 ).split()
 
 

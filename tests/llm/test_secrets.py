@@ -38,3 +38,12 @@ def test_segments_by_brute_force():
         for a, b in found:
             assert all(sum(scores[a:k]) > 0 and sum(scores[k:b]) > 0 for k in range(a + 1, b))
         assert {k for k, x in enumerate(scores) if x > 0} <= {k for a, b in found for k in range(a, b)}
+
+
+def test_ordinary_strings_of_other_words():
+    rng = random.Random(3)
+    words = "wikipedia veterans winter voyage thunder summer silver travel university village station sunrise river western visitor theatre science soldier"
+    assert not set(words.split()) & set(secret_scan.ORDINARY_WORDS)
+    assert {w[0] for w in secret_scan.ORDINARY_WORDS} >= set("rstuvwyz")
+    made = [rng.choice("/-_").join(rng.sample(words.split(), rng.randint(3, 6))) + rng.choice(("_2", "/2019", "-404", "64")) for _ in range(2000)]
+    assert sum(bool(secret_scan.scan(x)) for x in made) <= 10
