@@ -17,7 +17,6 @@ doc_id is kept as it is; other columns are ignored; an empty table gives an empt
 from __future__ import annotations
 
 import heapq
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import by_size
 from .tokenizing import encoder
 
 LENGTH = 1024
@@ -68,8 +68,6 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size
 
     ids are little-endian unsigned 32-bit integers. tokenizer: path of a tokenizers file, on each executor.
     """
-    end = struct.pack("<I", end_id)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The library is loaded at the first batch, as most of a small cluster's tasks may be empty.
         part, made, waiting, held = TaskContext.get().partitionId() << 40, 0, 0, []
@@ -92,25 +90,24 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size
             waiting = 0
             return pa.RecordBatch.from_arrays(arrays, _FIELDS)
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                encoded = encoder(tokenizer, spaced).encode(b.column(1).to_pylist())
-                for doc, ids in zip(b.column(0).to_pylist(), encoded, strict=True):
-                    ids += end
-                    total = len(ids) // 4
-                    full = total // size
-                    for k in range(full):
-                        rows.append((doc, k * size, size, total, part | made, 0, ids[4 * k * size : 4 * (k + 1) * size]))
-                        made += 1
-                    waiting += 4 * full * size
-                    if total > full * size:
-                        held.append((doc, full * size, total, ids[4 * full * size :]))
-                    if len(held) >= pool:
-                        waiting += sum(len(h[3]) for h in held)
-                        flush()
-                    if waiting > _OUT_BYTES:
-                        yield out()
+        for b in by_size(batches, 1):
+            ids, counts = encoder(tokenizer, spaced).encode(b.column(1), end_id)
+            raw = ids.astype("<u4", copy=False).tobytes()
+            ends = np.cumsum(counts)
+            for doc, begin, total in zip(b.column(0).to_pylist(), (ends - counts).tolist(), counts.tolist(), strict=True):
+                full = total // size
+                for k in range(full):
+                    at = 4 * (begin + k * size)
+                    rows.append((doc, k * size, size, total, part | made, 0, raw[at : at + 4 * size]))
+                    made += 1
+                waiting += 4 * full * size
+                if total > full * size:
+                    held.append((doc, full * size, total, raw[4 * (begin + full * size) : 4 * (begin + total)]))
+                if len(held) >= pool:
+                    waiting += sum(len(h[3]) for h in held)
+                    flush()
+                if waiting > _OUT_BYTES:
+                    yield out()
         flush()
         yield out()
 

@@ -40,7 +40,7 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    store = write_shared(token_store.shards(docs, tokenizer("word_bpe_49k.json"), end_id=1, terminals=49_408), "tokens")
+    store = write_shared(token_store.shards(docs, tokenizer("word_bpe_49k.json"), end_id=1), "tokens")
     read = token_store.read_documents(store).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     placed = read.join(token_store.shard_starts(store), ["part", "shard"])
     return placed.select("doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids_crc32")

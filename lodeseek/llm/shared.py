@@ -6,7 +6,11 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,27 +22,30 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    Only where the session has none (local tests), a temporary folder is made and set.
+    Only where the session has none and runs on this machine alone (tests), a temporary folder is made and set.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeseek-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Folders written while recorded() is open.
-_recorders: list[list[str]] = []
+#: Lists of the folders written while recorded() is open, in this thread (or task) only.
+_recorders: ContextVar[tuple[list[str], ...]] = ContextVar("recorders", default=())
 
 
 @contextmanager
 def recorded() -> Iterator[list[str]]:
     """Within it, the folders that write_shared makes are listed."""
-    _recorders.append(made := [])
+    made: list[str] = []
+    before = _recorders.set((*_recorders.get(), made))
     try:
         yield made
     finally:
-        _recorders.remove(made)
+        _recorders.reset(before)
 
 
 def _reads(df: DataFrame) -> list[str]:
@@ -62,6 +69,14 @@ def release(spark: SparkSession, folders: list[str], unless_read_by: DataFrame)
     return left
 
 
+def forget(written: DataFrame) -> None:
+    """Deletes the folder of what write_shared gave, once all that came from it is written."""
+    paths = _reads(written)
+    for made in _recorders.get():
+        made[:] = [m for m in made if not any(p.split(":", 1)[-1].lstrip("/") == m.split(":", 1)[-1].lstrip("/") for p in paths)]
+    release(written.sparkSession, [p for p in paths if p.split(":", 1)[-1].lstrip("/").startswith(shared_dir(written.sparkSession).split(":", 1)[-1].lstrip("/"))], written.sparkSession.range(0))
+
+
 def write_shared(df: DataFrame, tag: str) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage.
 
@@ -70,7 +85,7 @@ def write_shared(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for made in _recorders:
+    for made in _recorders.get():
         made.append(path)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -78,6 +93,18 @@ def write_shared(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_size(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """batches cut so that the texts of column at take `most` bytes or less (a longer text comes alone), in `rows` rows or fewer."""
+    for b in batches:
+        sizes = pc.binary_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, lo = np.cumsum(sizes), 0
+        while lo < b.num_rows:
+            before = int(ends[lo - 1]) if lo else 0
+            hi = min(max(lo + 1, int(np.searchsorted(ends, before + most, "right"))), lo + rows)
+            yield b.slice(lo, hi - lo)
+            lo = hi
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where value is evaluated once however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

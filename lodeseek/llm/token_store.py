@@ -2,20 +2,21 @@
 
 Documents are dealt by range of doc_id and sorted, and each task cuts its range into shards of
 about SHARD tokens (whole documents). In a shard, frequent pairs of neighbouring ids are replaced
-by new symbols, round after round (a round replaces many pairs at once, left to right where they
-overlap), never across documents. The shard stores each rule's two symbols and its expansion's
+by new symbols, round after round until no pair is frequent (a round replaces many pairs at once, left
+to right where they overlap), never across documents. The shard stores each rule's two symbols and its expansion's
 length, so any document, or any part of it, is decoded without the rest.
 
 File format. A store is a Parquet table of shards: part and shard (their order is that of doc_id),
 n_docs, n_tokens, and blob:
 
-    magic "LSRP", version, n_docs, n_rules, n_symbols, first nonterminal, bytes of a symbol   7 x u32
+    magic "LSRP", version, n_docs, n_rules, n_symbols, n_alphabet, bytes of a symbol   7 x u32
     doc_id i64 x n_docs, null u8 x n_docs (1: the id is null)
     tokens u32 x n_docs, symbols u32 x n_docs (of each document)
-    left, right, length u32 x n_rules
-    symbols u16 or u32 x n_symbols
+    alphabet u32 x n_alphabet (the ids that symbols 0, 1, ... stand for), length u32 x n_rules
+    left, right symbol x n_rules
+    symbol x n_symbols
 
-all little-endian. Spark commits whole Parquet files, so a lost executor leaves no half shard.
+all little-endian, a symbol in 2, 3 or 4 bytes as the shard's symbols need. Spark commits whole Parquet files, so a lost executor leaves no half shard.
 
 Defined results: a null or empty text is its end id alone; equal doc_ids are in order of their
 texts' hashes; null doc_ids come first; other columns are ignored; an empty table is an empty store.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,81 +34,83 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import by_size
 from .tokenizing import encoder
 
 MAGIC = b"LSRP"
 #: Tokens of a shard, about.
 SHARD = 2_000_000
-#: A pair is replaced from so many occurrences on; rounds end when there is none, or after ROUNDS.
-LEAST, ROUNDS = 24, 6
-SYMBOLS = 1 << 16
+#: A pair is replaced from so many occurrences on; a rule takes about as much room as it saves there.
+LEAST = 8
 _HEAD = struct.Struct("<4s6I")
-_SLOTS = 18
-_NO_PAIR, _END, _SYMBOL = np.uint32(0xFFFFFFFF), np.uint32(0x10000), np.uint32(0xFFFF)
 
 
-def compress(ids: np.ndarray, tokens: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair of the documents in ids (tokens of each): symbols, symbols of each document, left, right, lengths.
+class Grammar(NamedTuple):
+    """symbols of all documents, how many each document has, and the rules; symbols under len(alphabet) are ids of the alphabet."""
 
-    Symbols under terminals are ids. There are at most SYMBOLS symbols, so that they fit 16 bits.
+    symbols: np.ndarray
+    per_doc: np.ndarray
+    alphabet: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    length: np.ndarray
+
+
+def compress(ids: np.ndarray, tokens: np.ndarray, least: int = LEAST) -> Grammar:
+    """Re-Pair of the documents in ids (tokens of each, one at least): rounds go on until no pair occurs `least` times.
+
+    All pairs that are frequent enough are replaced in one round; where two overlap, the first of them. What a round leaves is less
+    frequent, so the next one looks at pairs with a new symbol only.
     """
-    if terminals >= SYMBOLS:
-        raise ValueError(f"{SYMBOLS} ids or more")
-    seq = ids.astype(np.uint32)
-    seq[np.cumsum(tokens) - 1] |= _END  # of a document
-    left, right, length = (np.zeros(0, np.uint32) for _ in range(3))
-    for _ in range(ROUNDS):
-        free = SYMBOLS - 1 - terminals - len(left)  # the last pair of all stands for no pair
-        if free <= 0 or len(seq) < 2:
-            break
-        low = seq & _SYMBOL
-        keys = (low[:-1] << np.uint32(16)) | low[1:]
-        keys[seq[:-1] >= _END] = _NO_PAIR
+    alphabet = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+    local = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint32)
+    local[alphabet] = np.arange(len(alphabet), dtype=np.uint32)
+    seq, last = local[ids], np.zeros(len(ids), bool)
+    last[np.cumsum(tokens) - 1] = True  # of a document
+    left, right, size = [], [], np.ones(len(alphabet), np.uint32)
+    where = np.flatnonzero(~last)
+    while len(where):
+        kind, shift = (np.uint32, np.uint32(16)) if len(size) <= 1 << 16 else (np.uint64, np.uint64(32))
+        keys = (seq[where].astype(kind) << shift) | seq[where + 1].astype(kind)
         ordered = np.sort(keys)
-        ordered = ordered[: np.searchsorted(ordered, _NO_PAIR)]
-        cuts = np.append(np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, len(ordered)) if len(ordered) else np.zeros(0, np.int64)
-        counts = np.diff(cuts, prepend=0)
-        often = np.flatnonzero(counts >= LEAST)
-        pairs, counts = ordered[cuts[often] - 1], counts[often]
-        # The most frequent first; so many in a round that later rounds still have symbols.
-        chosen = pairs[np.argsort(-counts, kind="stable")[: min(max(1, free // 2), 1 << 15)]]
-        if not len(chosen):
-            break
-        # A table by hash; where two pairs share a slot, one waits for another round.
-        slot = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(32 - _SLOTS)
-        table = np.full(1 << _SLOTS, -1, np.int16)
-        table[slot(chosen)[::-1]] = np.arange(len(chosen), dtype=np.int16)[::-1]
-        at = table[slot(keys)]
-        where = np.flatnonzero(at >= 0)
-        where = where[chosen[at[where]] == keys[where]]
-        if not len(where):
+        cuts = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
+        pairs = ordered[cuts[np.diff(cuts, prepend=-1) >= least]]
+        if not len(pairs):
             break
-        # Of overlapping matches every other one is replaced.
-        new_run = np.concatenate([[True], np.diff(where) > 1])
-        run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(where)), 0))
-        where = where[(np.arange(len(where)) - run_start) & 1 == 0]
-        found = at[where]
-        seen = np.bincount(found, minlength=len(chosen)) > 0
-        new = chosen[seen]
-        a, b = new >> np.uint32(16), new & np.uint32(0xFFFF)
-        size = np.concatenate([np.ones(terminals, np.uint32), length])
-        seq[where] = (terminals + len(left) - 1 + np.cumsum(seen)).astype(np.uint32)[found] | (seq[where + 1] & _END)
-        left, right, length = np.append(left, a), np.append(right, b), np.append(length, size[a] + size[b])
+        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
+        hit = pairs[at] == keys
+        where, at = where[hit], at[hit]
+        # Of a run of overlapping matches every other one is replaced.
+        begins = np.append(True, np.diff(where) > 1)
+        order = np.arange(len(where))
+        taken = (order - np.maximum.accumulate(np.where(begins, order, 0))) & 1 == 0
+        where, at = where[taken], at[taken]
+        used = np.bincount(at, minlength=len(pairs)) > 1
+        where, at = where[used[at]], at[used[at]]
+        a, b = (pairs[used] >> shift).astype(np.uint32), (pairs[used] & ((kind(1) << shift) - kind(1))).astype(np.uint32)
+        seq[where] = (len(size) - 1 + np.cumsum(used)).astype(np.uint32)[at]
+        left, right, size = [*left, a], [*right, b], np.append(size, size[a] + size[b])
+        last[where] = last[where + 1]
         keep = np.ones(len(seq), bool)
         keep[where + 1] = False
-        seq = seq[keep]
-    return seq & _SYMBOL, np.diff(np.flatnonzero(seq >= _END) + 1, prepend=0), left, right, length
+        seq, last = seq[keep], last[keep]
+        fresh, beside = where - np.arange(len(where)), np.zeros(len(seq) + 1, bool)
+        beside[fresh] = beside[fresh - 1] = True  # before the first symbol is the spare place at the end
+        where = np.flatnonzero(beside[:-1] & ~last)
+    join = lambda x: np.concatenate([np.zeros(0, np.uint32), *x])
+    return Grammar(seq, np.diff(np.flatnonzero(last) + 1, prepend=0), alphabet, join(left), join(right), size[len(alphabet) :])
 
 
-def unfold(left: np.ndarray, right: np.ndarray, length: np.ndarray, terminals: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def unfold(alphabet: np.ndarray, left: np.ndarray, right: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each symbol, where its ids begin in a table and how many there are; and the table. Rules unfold level by level."""
+    terminals = len(alphabet)
     size = np.concatenate([np.ones(terminals, np.int64), length.astype(np.int64)])
     begin = np.cumsum(size) - size
     out = np.zeros(int(size.sum()), np.uint32)
     place, current = begin, np.arange(len(size))
     while len(current):
         leaf = current < terminals
-        out[place[leaf]] = current[leaf]
+        out[place[leaf]] = alphabet[current[leaf]]
         rule, at = current[~leaf] - terminals, place[~leaf]
         a, b = left[rule].astype(np.int64), right[rule].astype(np.int64)
         place, current = np.concatenate([at, at + size[a]]), np.concatenate([a, b])
@@ -120,14 +124,25 @@ def expand(symbols: np.ndarray, rules: tuple[np.ndarray, np.ndarray, np.ndarray]
     return ids[np.repeat(begin[symbols] - (np.cumsum(spans) - spans), spans) + np.arange(int(spans.sum()))]
 
 
-def to_blob(doc_ids: list[int | None], tokens: np.ndarray, ids: np.ndarray, terminals: int) -> bytes:
-    symbols, per_doc, left, right, length = compress(ids, tokens, terminals)
-    width = 2 if terminals + len(left) <= 1 << 16 else 4
+def _packed(symbols: np.ndarray, width: int) -> bytes:
+    """The low bytes of symbols."""
+    return np.ascontiguousarray(symbols.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :width]).tobytes()
+
+
+def _unpacked(raw: np.ndarray, width: int) -> np.ndarray:
+    out = np.zeros((len(raw) // width, 4), np.uint8)
+    out[:, :width] = raw.reshape(-1, width)
+    return out.reshape(-1).view("<u4")
+
+
+def to_blob(doc_ids: list[int | None], tokens: np.ndarray, ids: np.ndarray) -> bytes:
+    g = compress(ids, tokens)
+    width = next(w for w in (2, 3, 4) if len(g.alphabet) + len(g.left) <= 1 << (8 * w))
     known = np.array([0 if d is None else d for d in doc_ids], "<i8")
     parts = [
-        _HEAD.pack(MAGIC, 1, len(doc_ids), len(left), len(symbols), terminals, width),
-        known, np.array([d is None for d in doc_ids], "u1"), tokens.astype("<u4"), per_doc.astype("<u4"),
-        left.astype("<u4"), right.astype("<u4"), length.astype("<u4"), symbols.astype(f"<u{width}"),
+        _HEAD.pack(MAGIC, 2, len(doc_ids), len(g.left), len(g.symbols), len(g.alphabet), width),
+        known, np.array([d is None for d in doc_ids], "u1"), tokens.astype("<u4"), g.per_doc.astype("<u4"), g.alphabet.astype("<u4"),
+        g.length.astype("<u4"), _packed(g.left, width), _packed(g.right, width), _packed(g.symbols, width),
     ]
     return b"".join(p if isinstance(p, bytes) else p.tobytes() for p in parts)
 
@@ -136,8 +151,8 @@ class Shard:
     """A blob, opened. decode(k) gives document k without decoding others."""
 
     def __init__(self, blob: bytes) -> None:
-        magic, version, docs, rules, count, self.terminals, width = _HEAD.unpack_from(blob)
-        if magic != MAGIC or version != 1:
+        magic, version, docs, rules, count, terminals, width = _HEAD.unpack_from(blob)
+        if magic != MAGIC or version != 2:
             raise ValueError("not a token shard")
         at = _HEAD.size
 
@@ -150,10 +165,10 @@ class Shard:
         ids, null = take("<i8", docs), take("u1", docs)
         self.doc_ids = [None if z else int(d) for d, z in zip(ids, null, strict=True)]
         self.tokens, per_doc = take("<u4", docs), take("<u4", docs)
-        self.left, self.right, self.length = (take("<u4", rules) for _ in range(3))
-        self.symbols = take(f"<u{width}", count)
+        self.alphabet, self.length = take("<u4", terminals), take("<u4", rules)
+        self.left, self.right, self.symbols = (_unpacked(take("u1", n * width), width) for n in (rules, rules, count))
         self.ends = np.cumsum(per_doc, dtype=np.int64)
-        self.rules = unfold(self.left, self.right, self.length, self.terminals)
+        self.rules = unfold(self.alphabet, self.left, self.right, self.length)
 
     def decode(self, k: int) -> np.ndarray:
         return expand(self.symbols[(self.ends[k - 1] if k else 0) : self.ends[k]], self.rules)
@@ -170,36 +185,40 @@ class Shard:
         return expand(symbols[first:after], self.rules)[start - begin : max(start, stop) - begin]
 
 
-def shards(docs: DataFrame, tokenizer: str, end_id: int, terminals: int, spaced: bool = False, shard: int = SHARD) -> DataFrame:
-    """The store's rows (part, shard, n_docs, n_tokens, blob) of docs (doc_id, text). terminals: ids of the tokenizer."""
-    end = struct.pack("<I", end_id)
+def shards(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, shard: int = SHARD) -> DataFrame:
+    """The store's rows (part, shard, n_docs, n_tokens, blob) of docs (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, number = TaskContext.get().partitionId(), 0
         names: list[int | None] = []
-        held: list[bytes] = []
-        size = 0
+        ids: list[np.ndarray] = []
+        tokens: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            nonlocal number, size
-            ids = np.frombuffer(b"".join(held), "<u4")
-            blob = to_blob(names, np.array([len(h) // 4 for h in held], np.int64), ids, terminals)
-            row = [[part], [number], [len(names)], [len(ids)], [blob]]
+            nonlocal number
+            sizes, joined = np.concatenate(tokens), np.concatenate(ids)
+            row = [[part], [number], [len(names)], [len(joined)], [to_blob(names, sizes, joined)]]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
             names.clear()
-            held.clear()
-            number, size = number + 1, 0
+            ids.clear()
+            tokens.clear()
+            number += 1
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "shard", "n_docs", "n_tokens", "blob"])
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                b = whole.slice(at, 1024)
-                for doc, ids in zip(b.column(0).to_pylist(), encoder(tokenizer, spaced).encode(b.column(1).to_pylist()), strict=True):
-                    names.append(doc)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
-                    if size >= shard:
-                        yield out()
+        size = 0
+        for b in by_size(batches, 1):
+            found, counts = encoder(tokenizer, spaced).encode(b.column(1), end_id)
+            ends, doc_ids, lo = np.cumsum(counts), b.column(0).to_pylist(), 0
+            while lo < len(counts):  # documents up to the one that fills the shard
+                begin = int(ends[lo - 1]) if lo else 0
+                hi = min(int(np.searchsorted(ends, begin + shard - size)) + 1, len(counts))
+                names += doc_ids[lo:hi]
+                ids.append(found[begin : ends[hi - 1]])
+                tokens.append(counts[lo:hi])
+                size, lo = size + int(ends[hi - 1]) - begin, hi
+                if size >= shard:
+                    yield out()
+                    size = 0
         if names:
             yield out()
 

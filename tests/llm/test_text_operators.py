@@ -8,14 +8,17 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from plain import WORD, base_counts, plain_assign, plain_em, plain_votes
+
 from lodeseek.llm import decontam, lang_id, licenses, packing, quality, queries, secret_scan, simhash, token_store
+from lodeseek.llm import tokenizing
 from lodeseek.llm.tokenizing import Encoder
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -56,15 +59,6 @@ def run_query(name, spark, sf_dir):
 # quality rules
 
 
-def base_counts(text):
-    text = text or ""
-    words = WORD.findall(text)
-    lines = [x for x in text.split("\n") if WORD.search(x)]
-    windows = collections.Counter(zip(words, words[1:], words[2:], strict=False))
-    covered = {k + d for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for d in range(3)}
-    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered)
-
-
 def test_quality_counts(spark, sf_dir, texts):
     rows = run_query("op2_quality_rules", spark, sf_dir)
     assert len(rows) == len(texts)
@@ -95,15 +89,28 @@ def test_quality_against_labels(spark, sf_dir):
     assert sum(bad) / len(bad) < 0.05
 
 
-def test_quality_fit_by_brute_force():
-    """The same EM over single documents instead of pattern counts."""
+def test_quality_by_plain_em(spark, sf_dir, docs, texts):
+    """Votes, posterior and kept of all rows, against EM over single documents."""
+    expected = plain_em(texts)
+    for r in quality.score_quality(docs).collect():
+        assert tuple(r[f"vote_{x}"] for x in quality.RULES) == plain_votes(texts[r.doc_id])
+        p, kept = expected[r.doc_id]
+        assert r.quality == pytest.approx(p, abs=1e-6) and r.kept == kept
+    assert {r.doc_id: r.kept for r in run_query("op2_quality_rules", spark, sf_dir)} == {d: kept for d, (_, kept) in expected.items()}
+
+
+def test_quality_fit():
     patterns = {(2, 2, 2, 2, 2, 2, 2): 80, (2, 2, 0, 2, 2, 2, 2): 9, (2, 1, 2, 0, 0, 0, 0): 8, (1, 2, 2, 1, 2, 2, 2): 5}
     a = quality.fit(patterns)
     assert sum(a.share) == pytest.approx(1)
     assert a.posteriors((2, 2, 2, 2, 2, 2, 2))[0] > 0.95
     assert a.posteriors((2, 2, 0, 2, 2, 2, 2))[0] < 0.5
-    assert all(0 < x <= 1 for x in a.accuracies().values())
     assert quality.fit({}).share[0] == pytest.approx(quality.PRIOR_SHARE)
+    # Accuracy of a rule: by all votes that classes would cast.
+    for j, rule in enumerate(quality.RULES):
+        right = sum(s * t[j][2 if c == 0 else 0] for c, (s, t) in enumerate(zip(a.share, a.table, strict=True)))
+        cast = sum(s * (t[j][0] + t[j][2]) for s, t in zip(a.share, a.table, strict=True))
+        assert a.accuracies()[rule] == pytest.approx(right / cast)
 
 
 def test_quality_odd_rows(spark, odd):
@@ -166,21 +173,28 @@ def test_license_odd_rows(spark, odd):
 # tokens
 
 
+@pytest.mark.parametrize("plain", [False, True])
 @pytest.mark.parametrize(("name", "spaced"), [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
-def test_pieces_encode_as_whole_texts(texts, name, spaced):
+def test_pieces_encode_as_whole_texts(texts, name, spaced, plain, monkeypatch):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(queries.tokenizer(name))
-    whole.encode_special_tokens = True
+    if plain:
+        whole.encode_special_tokens = True
     rng = random.Random(7)
-    alphabet = ["a", "b", "É", "é", "é", "́", " ", "  ", "\n", "\t", "\xa0", " ", "\x1c", "\x85", "1", "23", "'s", "'", "!", "İ", "Σ", "ﬁ", "\U0001f600", "<|endoftext|>", "中", "_"]
-    made = ["".join(rng.choices(alphabet, k=rng.randint(0, 30))) for _ in range(4000)] + list(texts.values()) + ["", " ", "  x", "x ", "x" * 500]
-    mine = Encoder(queries.tokenizer(name), spaced)
+    signs = ["a", "b", "É", "é", "e\u0301", "\u0301", " ", "  ", "\n", "\n\n", " \n", "\t", "\xa0", "\u2003", "\x1c", "\x85", "1", "23", "'s", "'", "!", "İ", "Σ", "ﬁ", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "中", "_", "\x01", "\x00"]
+    made = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(4000)] + list(texts.values()) + ["", " ", "  x", "x ", "x" * 500, "\n", "a\n", "\n\n\n", "a <|endoftext|> b"]
+    made += ["".join(rng.choices(["Word", "word", "Änderung", "x1"], k=1)) + rng.choice([".", ",", "!?", "", "\n", "\n\n\n", " "]) + "end" for _ in range(300)]
+    mine = Encoder(queries.tokenizer(name), spaced, plain)
+    monkeypatch.setattr(tokenizing, "PIECES", 3000)  # pieces are forgotten on the way
     for at in range(0, len(made), 700):
         part = made[at : at + 700]
-        expected = [np.array(e.ids, "<u4").tobytes() for e in whole.encode_batch(part, add_special_tokens=False)]
-        assert mine.encode(part) == expected
-    assert mine.encode([None]) == [b""]
+        expected = [e.ids for e in whole.encode_batch(part, add_special_tokens=False)]
+        ids, counts = mine.encode(part)
+        assert counts.tolist() == list(map(len, expected)) and ids.tolist() == [i for e in expected for i in e]
+        ids, counts = mine.encode(pa.array([*part, None]).slice(3), 7)
+        assert counts.tolist() == [*(len(e) + 1 for e in expected[3:]), 1] and ids.tolist() == [i for e in [*expected[3:], []] for i in (*e, 7)]
+    assert [x.tolist() for x in mine.encode([])] == [[], []]
 
 
 def expected_ids(texts, name, end):
@@ -209,7 +223,7 @@ def test_repair_round_trip():
         ids = rng.integers(0, vocabulary, n).astype(np.uint32)
         tokens = np.array([n], np.int64) if n < 100 else np.bincount(np.sort(rng.integers(0, 50, n)), minlength=50)
         tokens = tokens[tokens > 0]
-        blob = token_store.to_blob(list(range(len(tokens))), tokens, ids, 49_408)
+        blob = token_store.to_blob(list(range(len(tokens))), tokens, ids)
         shard = token_store.Shard(blob)
         assert (shard.decode_all() == ids).all()
         ends = np.cumsum(tokens)
@@ -224,14 +238,33 @@ def test_repair_round_trip():
             assert (shard.length >= 2).all()
 
 
+def test_repair_goes_on_to_the_end():
+    """A passage in many documents becomes one symbol, ids may be of any size, and there may be more than 2^16 symbols."""
+    rng = np.random.default_rng(3)
+    passage = rng.integers(0, 1 << 31, 500).astype(np.uint32)
+    ids = np.concatenate([np.append(rng.integers(0, 1 << 31, 3), passage) for _ in range(40)]).astype(np.uint32)
+    shard = token_store.Shard(token_store.to_blob(list(range(40)), np.full(40, 503), ids))
+    assert (shard.decode_all() == ids).all() and shard.length.max() > 64 and len(shard.symbols) < 40 * 20
+    alike = token_store.Shard(token_store.to_blob([0], np.array([4096]), np.full(4096, 9, np.uint32)))
+    assert (alike.decode(0) == 9).all() and len(alike.symbols) <= 16
+    many = np.repeat(np.arange(70_000, dtype=np.uint32).reshape(-1, 2), 9, axis=0).reshape(-1)
+    shard = token_store.Shard(token_store.to_blob([0], np.array([len(many)]), many))
+    assert (shard.decode_all() == many).all() and len(shard.alphabet) + len(shard.left) > 1 << 16 and len(shard.symbols) < len(many) / 2 + 2
+    pairs = collections.Counter()
+    a, b = shard.symbols[:-1], shard.symbols[1:]
+    for k in range(0, len(a)):
+        pairs[int(a[k]), int(b[k])] += 1
+    assert max(n for (x, y), n in pairs.items() if x != y) < token_store.LEAST
+
+
 def test_token_store_odd_rows(spark, odd):
-    store = token_store.shards(odd, queries.tokenizer("word_bpe_49k.json"), 1, 49_408, shard=500)
+    store = token_store.shards(odd, queries.tokenizer("word_bpe_49k.json"), 1, shard=500)
     rows = token_store.read_documents(store).join(token_store.shard_starts(store), ["part", "shard"]).collect()
     rows.sort(key=lambda r: r.before + r.start)
     assert [r.doc_id for r in rows] == [None, 1, 2, 3, 4, 4, 5, 6]
     assert [r.before + r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(8)]
     assert [r.n_tokens for r in rows[1:4]] == [1, 1, 1]
-    empty = token_store.shards(spark.createDataFrame([], SCHEMA), queries.tokenizer("word_bpe_49k.json"), 1, 49_408)
+    empty = token_store.shards(spark.createDataFrame([], SCHEMA), queries.tokenizer("word_bpe_49k.json"), 1)
     assert token_store.read_documents(empty).count() == 0
 
 
@@ -272,6 +305,31 @@ def test_assign_is_balanced():
     assert packing.assign([]) == ([], 0)
 
 
+def test_assign_by_definition():
+    rng = random.Random(5)
+    for n in (0, 1, 2, 7, 60, 150):
+        for top in (3, 200, 1023):
+            lengths = [rng.randint(1, top) for _ in range(n)]
+            assert packing.assign(lengths) == plain_assign(lengths)
+
+
+def test_packing_by_definition(spark, sf_dir, texts):
+    """The query's whole rows: in each partition full sequences come off in order, rests are assigned pool by pool."""
+    rows = run_query("op5_packing", spark, sf_dir)
+    ids = expected_ids(texts, "byte_bpe_50k.json", 0)
+    by_part = collections.defaultdict(list)
+    for r in rows:
+        by_part[r.sequence_id >> 40].append(r)
+    for part in by_part.values():
+        order = list(dict.fromkeys(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id").collect()))
+        mine = [d for d in order if any(r.doc_id == d for r in part)]
+        assert len(mine) < packing.POOL
+        rests = [(d, len(ids[d]) // 1024 * 1024, len(ids[d]) % 1024) for d in mine if len(ids[d]) % 1024]
+        expected = {(d, start, 1024, 0) for d in mine for start in range(0, len(ids[d]) // 1024 * 1024, 1024)}
+        expected |= {(rests[k][0], rests[k][1] + start, n, offset) for k, start, n, _, offset in plain_assign([n for _, _, n in rests])[0]}
+        assert {(r.doc_id, r.start, r.length, r.offset) for r in part} == expected
+
+
 def test_packing_odd_rows(spark, odd):
     rows = packing.pack(odd, queries.tokenizer("byte_bpe_50k.json"), 0).collect()
     total = {r.doc_id: r.doc_tokens for r in rows}
