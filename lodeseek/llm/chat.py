@@ -1,13 +1,18 @@
-"""Chat formatting: a finite-state machine over roles and a declarative template.
+"""Chat formatting: a finite-state machine over roles that emits segments, and a declarative template.
 
 A template names for each role the control strings before and after a turn's text and whether
-the text counts for the loss. Texts are escaped so that no control string occurs in them: a
+the text counts for the loss, and for each state which role may follow and where it leads. From these
+the machine's transitions are made, one for each state and role, with their output: control strings, loss
+flag and next state. A turn out of order has a transition too: it goes where its role leads elsewhere and marks the
+conversation as not valid. A fold over the turns runs the machine; segments and loss flags are the outputs of
+the transitions it takes. Texts are escaped so that no control string occurs in them: a
 control string (possibly with backslashes already behind its first character) gets one more
 backslash there, and reading takes one away, so any text survives, and others stay as they are.
 
 The result has one row per conversation: formatted, the segments (text, loss) whose texts
-make up formatted, n_turns, and valid: whether the state machine accepts the order of roles.
-All conversations are formatted, valid or not. Only built-in functions are used.
+make up formatted, n_turns, states (names of the states passed through, the start included), and valid: whether all
+turns were in order and the last state is one to end in. All conversations are formatted, valid or not. Only
+built-in functions are used.
 
 A conversation is one row of the result, and its digests run over all of it, so its turns
 meet in one task; groups of turns are as large as the longest conversation, not larger.
@@ -25,6 +30,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import let
+
 
 @dataclass(frozen=True)
 class Template:
@@ -53,6 +60,8 @@ class Template:
     ends: tuple[str, ...] = ("answered",)
 
     def __post_init__(self) -> None:
+        if len(self.states()) > 60 or len(self.roles) > 60:
+            raise ValueError("60 states and 60 roles at most, each has a sign of its own")
         controls = self.controls()
         if len(set(controls)) < len(controls) or any(len(c) < 2 or "\\" in c for c in controls):
             raise ValueError("control strings must differ, have two characters or more and no backslash")
@@ -64,6 +73,11 @@ class Template:
     def controls(self) -> list[str]:
         return [c for before, after, _ in self.roles.values() for c in (before, after)] + list(self.other)
 
+    def states(self) -> list[str]:
+        """All states, the start first."""
+        named = [self.start, *self.order, *(to for row in self.order.values() for to in row.values()), *self.ends]
+        return list(dict.fromkeys(named))
+
     def escaped(self, text: Column) -> Column:
         for first in sorted({c[0] for c in self.controls()}):
             rest = "|".join(_quoted(c[1:]) for c in self.controls() if c[0] == first)
@@ -81,33 +95,81 @@ def _quoted(text: str) -> str:
     return "".join(c if c.isalnum() else f"\\x{{{ord(c):x}}}" for c in text)
 
 
-def accepts(template: Template, roles: Column) -> Column:
-    """Whether the machine accepts an array of roles: a fold over the transition table."""
-    moves = [(f"{s}\x00{r}", t) for s, row in template.order.items() for r, t in row.items()]
-    table = F.create_map(*[F.lit(x) for m in moves for x in m])
-    step = lambda state, role: F.coalesce(F.try_element_at(table, F.concat(state, F.lit("\x00"), role)), F.lit(""))
-    return F.aggregate(roles, F.lit(template.start), step).isin(*template.ends)
+def transitions(template: Template) -> dict[str, tuple[str, str | None, str, bool, str, bool]]:
+    """Codes of state and role (one sign each) -> before, between (for other roles: the role comes first), after, loss, next state, in order.
+
+    A role out of order leads where it first leads in the template; one that leads nowhere leaves the state as it is.
+    """
+    states, roles = template.states(), [*template.roles, None]
+    leads = {r: to for row in reversed(list(template.order.values())) for r, to in row.items()}
+    made = {}
+    for s, state in enumerate(states):
+        for r, role in enumerate(roles):
+            allowed = template.order.get(state, {}).get(role)
+            target = states.index(allowed or leads.get(role, state))
+            before, after, loss = template.roles.get(role, (None, None, False))
+            if role is None:
+                before, between, after = template.other
+            else:
+                between = None
+            made[_sign(s) + _sign(r)] = (before, between, after, loss, _sign(target), allowed is not None)
+    return made
+
+
+def _sign(k: int) -> str:
+    return chr(ord("A") + k)
+
+
+def machine(template: Template, roles: Column) -> Column:
+    """Of an array of roles, the signs of the states passed through: the start, and one behind each turn."""
+    moves = F.create_map(*[F.lit(x) for code, t in transitions(template).items() for x in (code, t[4])])
+    step = lambda path, role: F.concat(path, F.element_at(moves, F.concat(F.right(path, F.lit(1)), role)))
+    return F.aggregate(_role_signs(template, roles), F.lit(_sign(template.states().index(template.start))), step)
+
+
+def _role_signs(template: Template, roles: Column) -> Column:
+    known = list(template.roles)
+
+    def sign(role: Column) -> Column:
+        out = F.lit(_sign(len(known)))
+        for k, name in enumerate(known):
+            out = F.when(role == name, _sign(k)).otherwise(out)
+        return out
+
+    return F.transform(roles, sign)
 
 
 def format_conversations(turns: DataFrame, template: Template | None = None) -> DataFrame:
-    """conv_id, n_turns, valid, formatted, segments of conversations (conv_id, turn, role, text)."""
+    """conv_id, n_turns, valid, states, formatted, segments of conversations (conv_id, turn, role, text)."""
     t = template or Template()
     row = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
-
-    def segments(x: Column) -> Column:
-        part = lambda text, loss: F.struct(text.alias("text"), F.lit(loss).alias("loss"))
-        made = F.array(part(F.concat(F.lit(t.other[0]), t.escaped(x["role"]), F.lit(t.other[1])), False), part(t.escaped(x["text"]), False), part(F.lit(t.other[2]), False))
-        for role, (before, after, loss) in t.roles.items():
-            made = F.when(x["role"] == role, F.array(part(F.lit(before), False), part(t.escaped(x["text"]), loss), part(F.lit(after), False))).otherwise(made)
-        return made
-
-    formed = grouped.select(
-        "conv_id", F.size("turns").cast("long").alias("n_turns"),
-        accepts(t, F.transform("turns", lambda x: x["role"])).alias("valid"),
-        F.flatten(F.transform("turns", segments)).alias("segments"),
-    )
-    return formed.select("conv_id", "n_turns", "valid", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
+    output = lambda x: F.struct(*[F.lit(v).cast(kind).alias(n) for n, v, kind in zip(("before", "between", "after", "loss", "to", "ordered"), x, ("string", "string", "string", "boolean", "string", "boolean"), strict=True)])
+    outputs = F.create_map(*[c for code, x in transitions(t).items() for c in (F.lit(code), output(x))])
+    roles = F.transform("turns", lambda x: x["role"])
+    # The states as an array, and the transition that each turn takes.
+    passed = let(F.split(machine(t, roles), ""), lambda path: F.slice(path, F.lit(1), F.size("turns") + 1))
+    taken = lambda run: F.zip_with(run["roles"], F.slice(run["path"], F.lit(1), F.size(run["roles"])), lambda role, state: F.element_at(outputs, F.concat(state, role)))
+
+    def formed(run: Column) -> Column:
+        def pieces(x: Column, move: Column) -> Column:
+            part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
+            head = F.when(move["between"].isNull(), move["before"]).otherwise(F.concat(move["before"], t.escaped(x["role"]), move["between"]))
+            return F.array(part(head, F.lit(False)), part(t.escaped(x["text"]), move["loss"]), part(move["after"], F.lit(False)))
+
+        def of(moves: Column) -> Column:
+            good = F.forall(moves, lambda m: m["ordered"]) & F.element_at(run["path"], -1).isin(*[_sign(t.states().index(s)) for s in t.ends])
+            names = F.create_map(*[F.lit(x) for k, s in enumerate(t.states()) for x in (_sign(k), s)])
+            return F.struct(
+                good.alias("valid"), F.transform(run["path"], lambda s: F.element_at(names, s)).alias("states"),
+                F.flatten(F.zip_with("turns", moves, pieces)).alias("segments"),
+            )
+
+        return let(taken(run), of)
+
+    ran = let(F.struct(_role_signs(t, roles).alias("roles"), passed.alias("path")), formed)
+    rows = grouped.select("conv_id", F.size("turns").cast("long").alias("n_turns"), ran.alias("ran")).select("conv_id", "n_turns", "ran.*")
+    return rows.select("conv_id", "n_turns", "valid", "states", F.array_join(F.transform("segments", lambda s: s["text"]), "").alias("formatted"), "segments")
 
 
 def read_formatted(formatted: DataFrame, template: Template | None = None) -> DataFrame:

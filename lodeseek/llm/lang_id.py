@@ -3,13 +3,13 @@
 For each language a raw-content zstandard dictionary is made of training texts, lower-cased. A text,
 lower-cased too, is cut into chunks, all of it, each chunk is compressed with every language's dictionary, and the language
 of the smallest sum wins; ties go to the language first in order. The score is the winner's lead, as a
-share of the runner-up's size beyond the least a frame takes, scaled into 0 to 1; where it is under MARGIN the
+share of the runner-up's size; where it is under MARGIN the
 answer is marked as rejected (it stays the best guess).
 
 Training looks at labelled rows only through a bounded sample: SAMPLE buckets of a hash of the text for
 each language, of each bucket the text with the smallest hash, and of each such text up to SNIPPET
-characters, so a dictionary has at most DICTIONARY bytes and the model as many for each of at most
-LANGUAGES languages. Which rows are sampled depends on texts alone.
+characters, so a dictionary has at most DICTIONARY bytes and the model as many for each of the
+LANGUAGES commonest languages (a parameter). Which rows are sampled depends on texts alone.
 
 Defined results: null texts and texts without a letter are "und" with score 0, rejected; with no
 labelled text at all every text is "und"; repeated rows get equal results; columns of the
@@ -18,32 +18,29 @@ input named lang_pred, score or rejected are replaced; an empty table gives an e
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import without
+from .shared import by_size, without, write_shared
 
 SAMPLE, SNIPPET, DICTIONARY, LANGUAGES = 128, 256, 32 << 10, 500
 CHUNK = 1024
 LEVEL = 6
 MARGIN = 0.02
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, bytes]:
-    """A dictionary for each language of labelled rows; null languages and texts without words are left out."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", languages: int = LANGUAGES) -> dict[str, bytes]:
+    """A dictionary for each language of labelled rows, the commonest `languages` of them; null languages and texts without letters are left out."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", F.pmod("h", F.lit(SAMPLE)))
     # Numbers only, so that partial sums are small: one row for each language and bucket.
-    least = keyed.groupBy("lang", "bucket").agg(F.min("h").alias("h"))
-    chosen = {(r["lang"], r["h"]) for r in least.limit(LANGUAGES * SAMPLE + 1).collect()}
-    if len({lang for lang, _ in chosen}) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    least = write_shared(keyed.groupBy("lang", "bucket").agg(F.min("h").alias("h"), F.count("*").alias("n")), "languages")
+    common = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    chosen = {(r["lang"], r["h"]) for r in least.join(common, "lang", "left_semi").collect()}
     if not chosen:
         return {}
     wanted = labelled.sparkSession.createDataFrame(sorted(chosen), "lang string, h long")
@@ -72,7 +69,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score, rejected."""
-        if not self.names or text is None or not _LETTER.search(text):
+        if not self.names or text is None or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0, True
         sizes = self.sizes(text)
         best = min(range(len(sizes)), key=lambda k: (sizes[k], self.names[k]))
@@ -89,7 +86,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = None
-        for b in batches:
+        for b in by_size(batches, at):
             made = made or Classifier(dictionaries)
             rows = [made.predict(t.as_py()) for t in b.column(at)]
             columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.float64(), pa.bool_()))]

@@ -60,7 +60,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length("formatted").cast("long").alias("formatted_chars"), "valid",
     )
 
 
@@ -77,7 +77,8 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secret_scan.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secret_scan.find_secrets(docs, keep=["doc_id"], model=secret_scan.fit(docs))
     base = F.filter("spans", lambda s: s["kind"] != "markov")
     kinds = F.transform("spans", lambda s: s["kind"])
     counts = [F.size(F.array_remove(F.array_remove(F.array_remove(kinds, a), b), "markov")).cast("long").alias(f"n_{k}") for k, a, b in (("assign", "access", "hex"), ("access", "assign", "hex"), ("hex", "assign", "access"))]
@@ -120,7 +121,8 @@ SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(length(escaped) + marks)::BIGINT AS formatted_chars
+       sum(length(escaped) + marks)::BIGINT AS formatted_chars,
+       regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, '' ORDER BY turn, role, text), 's?(ua)+') AS valid
 FROM e GROUP BY conv_id
 """
 

@@ -3,12 +3,17 @@
 Base kinds, leftmost and not overlapping within a kind: assign (a keyword, ":" or "=", a value of 8
 or more characters), access (AKIA and capitals or digits, 16 or more) and hex (32 or more lower-case
 hex digits). The method adds kind markov: a run of 20 or more characters of keys and tokens, with a
-digit and a letter, whose characters are likelier under a first-order Markov model of random strings
-than under one of ordinary identifiers, by a log-likelihood ratio per character. Both models are
-counts of character pairs in labelled samples (below), smoothed. What base matches leave of a run is
-scored piece by piece: a piece that is random as a whole is a span; of others, the segments of highest
-score, widened to the next / - _ = on both sides, are judged like pieces, so a key is found behind a path
-or a name. Stretches under 20 characters, or without a digit or a letter, are never spans of this kind.
+letter, whose characters are likelier under a first-order Markov model of random strings than under one of
+ordinary identifiers, by a log-likelihood ratio per character.
+
+Both models are learned from labelled strings. In the corpus itself, what base matches hold is labelled
+random and all else ordinary; fit() counts pairs of characters over all documents, which are at
+most 2 * 66 * 66 numbers however large the corpus. A prior sample of made strings (below) has half the weight,
+so kinds of keys and of names that a corpus lacks are known too; without a corpus it has all.
+
+What base matches leave of a run is scored piece by piece: a piece that is random as a whole is a span; of
+others, the segments of highest score, widened to the next / - _ = on both sides, are judged like pieces, so a
+key is found behind a path or a name. Stretches under 20 characters or without a letter are never spans of this kind.
 
 Defined results: null is an empty text; repeated rows get equal results; a column spans of the
 input is replaced, others stay; an empty table gives an empty result. Offsets are code points.
@@ -16,17 +21,17 @@ input is replaced, others stay; an empty table gives an empty result. Offsets ar
 
 from __future__ import annotations
 
-import math
 import random
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import without
+from .shared import by_size, without
 
 #: Kinds in their order.
 KINDS = ("assign", "access", "hex", "markov")
@@ -37,10 +42,10 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Characters of runs that join a key to ordinary words.
 _SEPARATORS = "/-_="
-#: Nats per character by which the random model must be likelier.
-THRESHOLD = 0.5
+#: Characters of a span of kind markov at least, and nats per character by which the random model must be likelier.
+LEAST, THRESHOLD = 20, 0.5
 
-#: Words of which ordinary identifiers, paths and names are made: the labelled sample of ordinary strings.
+#: Words of which ordinary identifiers, paths and names are made: the prior sample of ordinary strings.
 ORDINARY_WORDS = (
     "access account action active address agent alert align apply array asset async author backup balance base batch "
     "block body border branch bucket buffer build button cache call center change channel check child class client close "
@@ -77,36 +82,76 @@ def _random(rng: random.Random) -> str:
 
 
 def samples(n: int = 4000, seed: int = 20240) -> tuple[list[str], list[str]]:
-    """Labelled samples: random strings and ordinary identifiers, the same each time."""
+    """Prior samples: random strings and ordinary identifiers, the same each time."""
     rng = random.Random(seed)
     return [_random(rng) for _ in range(n)], [_ordinary(rng) for _ in range(n)]
 
 
-class Markov:
-    """First-order model of characters, with add-a-half smoothing over the alphabet of runs."""
+#: Characters of runs.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_SIZE = len(ALPHABET)
+_CODES = np.full(256, _SIZE, np.int64)  # of bytes; _SIZE for all that are no characters of runs
+_CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(_SIZE)
+
+
+def pair_counts(text: bytes) -> np.ndarray:
+    """How often each character of ALPHABET follows each, as a matrix."""
+    codes = _CODES[np.frombuffer(text, np.uint8)]
+    counts = np.bincount(codes[:-1] * (_SIZE + 1) + codes[1:], minlength=(_SIZE + 1) ** 2)
+    return counts.reshape(_SIZE + 1, _SIZE + 1)[:_SIZE, :_SIZE]
+
+
+def probabilities(counts: np.ndarray) -> np.ndarray:
+    """Of each next character, with add-a-half smoothing."""
+    smooth = counts + 0.5
+    return smooth / smooth.sum(axis=1, keepdims=True)
 
-    ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
-    def __init__(self, strings: list[str]) -> None:
-        size = len(self.ALPHABET)
-        counts = {a: dict.fromkeys(self.ALPHABET, 0.5) for a in self.ALPHABET}
-        for s in strings:
-            for a, b in zip(s, s[1:], strict=False):
-                counts[a][b] += 1
-        self.log = {a + b: math.log(x / sum(row.values())) for a, row in counts.items() for b, x in row.items()}
-        self.start = -math.log(size)
+class Model:
+    """Log-likelihood ratios of character pairs, random over ordinary; learned: pair counts (random, ordinary) of a corpus."""
+
+    def __init__(self, learned: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        both = [probabilities(pair_counts(" ".join(s).encode())) for s in samples()]
+        if learned is not None:
+            # A corpus without strings of a label says nothing about it.
+            both = [(p + probabilities(n)) / 2 if n.any() else p for p, n in zip(both, learned, strict=True)]
+        matrix = np.log(both[0] / both[1])
+        self.table = {a + b: float(matrix[i, j]) for i, a in enumerate(ALPHABET) for j, b in enumerate(ALPHABET)}
+
+    def ratio(self, text: str) -> float:
+        """Mean ratio per character pair; text: of the runs' alphabet."""
+        return sum(self.table[text[k : k + 2]] for k in range(len(text) - 1)) / max(1, len(text) - 1)
+
+    def is_random(self, text: str) -> bool:
+        return len(text) >= LEAST and any(c.isalpha() for c in text) and self.ratio(text) > THRESHOLD
+
+    def random_parts(self, text: str) -> list[tuple[int, int]]:
+        """(start, end) of the random stretches of text: all of it, or segments widened to separators."""
+        if len(text) < LEAST:
+            return []
+        if self.is_random(text):
+            return [(0, len(text))]
+        parts: list[tuple[int, int]] = []
+        for a, b in _segments([self.table[text[k : k + 2]] - THRESHOLD for k in range(len(text) - 1)]):
+            # Pair k is of characters k and k + 1; a separator at an end is left out.
+            first, last = a + (text[a] in _SEPARATORS), b + (text[b] not in _SEPARATORS)
+            start = max(text.rfind(c, 0, first) for c in _SEPARATORS) + 1
+            end = min((at for c in _SEPARATORS if (at := text.find(c, last)) >= 0), default=len(text))
+            if parts and start < parts[-1][1]:
+                continue
+            if self.is_random(text[start:end]):
+                parts.append((start, end))
+        return parts
 
 
 @lru_cache(maxsize=1)
-def _ratios() -> dict[str, float]:
-    noise, written = (Markov(s) for s in samples())
-    return {pair: x - written.log[pair] for pair, x in noise.log.items()}
+def prior() -> Model:
+    """The model without a corpus."""
+    return Model()
 
 
 def ratio(text: str) -> float:
-    """Mean log-likelihood ratio per character pair, random over ordinary; text: of the runs' alphabet."""
-    table = _ratios()
-    return sum(table[text[k : k + 2]] for k in range(len(text) - 1)) / max(1, len(text) - 1)
+    return prior().ratio(text)
 
 
 def _segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -132,51 +177,32 @@ def _segments(scores: list[float]) -> list[tuple[int, int]]:
     return [(start, end) for _, _, start, end in done + open_]
 
 
-def _is_random(text: str) -> bool:
-    return len(text) >= 20 and any(c.isdigit() for c in text) and any(c.isalpha() for c in text) and ratio(text) > THRESHOLD
-
-
-def _random_parts(text: str) -> list[tuple[int, int]]:
-    """(start, end) of the random stretches of text: all of it, or segments widened to separators."""
-    if len(text) < 20 or not any(c.isdigit() for c in text):
-        return []
-    if _is_random(text):
-        return [(0, len(text))]
-    table, parts = _ratios(), []
-    for a, b in _segments([table[text[k : k + 2]] - THRESHOLD for k in range(len(text) - 1)]):
-        # Pair k is of characters k and k + 1; a separator at an end is left out.
-        first, last = a + (text[a] in _SEPARATORS), b + (text[b] not in _SEPARATORS)
-        start = max(text.rfind(c, 0, first) for c in _SEPARATORS) + 1
-        end = min((at for c in _SEPARATORS if (at := text.find(c, last)) >= 0), default=len(text))
-        if parts and start < parts[-1][1]:
-            continue
-        if _is_random(text[start:end]):
-            parts.append((start, end))
-    return parts
-
-
-def scan(text: str | None) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of all spans, by start, then kind."""
-    if not text:
-        return []
+def base_matches(text: str) -> list[tuple[int, int, int, str]]:
+    """(start, kind, end, secret) of the plain patterns' matches."""
     found = []
     if ":" in text or "=" in text:
         lower = text.lower()  # for this test only: it may have other offsets
         if any(k in lower for k in _KEYWORD):
-            found += [(m.start(), 0, m.end()) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
+            found += [(m.start(), 0, m.end(), m[1]) for m in _ASSIGN.finditer(text) if len(m[1]) >= 8]
     if "AKIA" in text:
-        found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
-    runs = list(_RUN.finditer(text))
-    if runs:
-        found += [(m.start(), 2, m.end()) for r in runs for m in _HEX.finditer(text, r.start(), r.end())]
-        base, k = sorted((a, b) for a, _, b in found), 0
-        for m in runs:
-            at = m.start()
-            while k < len(base) and base[k][1] <= at:
-                k += 1
-            for a, b in [*_touching(base, k, m.end()), (m.end(), m.end())]:
-                found += [(at + x, 3, at + y) for x, y in _random_parts(text[at : max(at, a)])]
-                at = max(at, b)
+        found += [(m.start(), 1, m.end(), m[0]) for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
+    return found + [(m.start(), 2, m.end(), m[0]) for r in _RUN.finditer(text) for m in _HEX.finditer(text, r.start(), r.end())]
+
+
+def scan(text: str | None, model: Model | None = None) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of all spans, by start, then kind."""
+    if not text:
+        return []
+    model = model or prior()
+    found = [(a, kind, b) for a, kind, b, _ in base_matches(text)]
+    base, k = sorted((a, b) for a, _, b in found), 0
+    for m in _RUN.finditer(text):
+        at = m.start()
+        while k < len(base) and base[k][1] <= at:
+            k += 1
+        for a, b in [*_touching(base, k, m.end()), (m.end(), m.end())]:
+            found += [(at + x, 3, at + y) for x, y in model.random_parts(text[at : max(at, a)])]
+            at = max(at, b)
     return sorted(found)
 
 
@@ -190,15 +216,39 @@ def _touching(base: list[tuple[int, int]], k: int, end: int) -> Iterator[tuple[i
 _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """docs (columns keep, all by default) with spans: array of (kind, start, end) by start, then kind."""
+def fit(docs: DataFrame, text: str = "text") -> Model:
+    """The model of a corpus, from pair counts over all its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((2, _SIZE, _SIZE), np.int64)
+        for b in by_size(batches, 0):
+            ordinary, secret = [], []
+            for t in b.column(0).drop_null().to_pylist():
+                for start, _, end, value in sorted(base_matches(t), reverse=True):
+                    secret.append(value)
+                    t = t[:start] + " " * (end - start) + t[end:]
+                ordinary.append(t)
+            counts[0] += pair_counts(" ".join(secret).encode())
+            counts[1] += pair_counts(" ".join(ordinary).encode("utf-8", "surrogatepass"))
+        flat = counts.reshape(-1)
+        some = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["pair", "n"])
+
+    total = np.zeros(2 * _SIZE * _SIZE, np.int64)
+    for r in docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        total[r["pair"]] = r["n"]
+    return Model(tuple(total.reshape(2, _SIZE, _SIZE)))
+
+
+def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = None, model: Model | None = None) -> DataFrame:
+    """docs (columns keep, all by default) with spans: array of (kind, start, end) by start, then kind. model: of fit(); else the prior."""
     docs = without(docs, ["spans"])
     keep = docs.columns if keep is None else keep
     at, kept = docs.columns.index(text), [docs.columns.index(c) for c in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t.as_py())] for t in b.column(at)]
+        for b in by_size(batches, at):
+            spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t.as_py(), model)] for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(spans, _SPANS)], [*keep, "spans"])
 
     empty = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)").alias("spans")

@@ -1,8 +1,13 @@
 """The pipeline stage by stage, URL filters, chat formatting, and the contracts of all queries."""
 
+import collections
 import hashlib
+import random
+import re
+import string
 
 import pytest
+from plain import base_counts, plain_em
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -11,48 +16,120 @@ from lodeseek.llm import chat, queries, url_filter
 SF = "/root/testdata/sf0.01"
 
 
-def test_pipeline_stages(spark, tmp_path):
-    """Each stage against what its operator says of the stage's own input."""
-    from lodeseek.llm import decontam, quality, secret_scan, simhash
+def shingle_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    return {tuple(words[k : k + 5]) for k in range(len(words) - 4)} or {tuple(words)} - {()}
+
+
+def brute_near_dedup(texts):
+    """The smallest id of each group that Jaccard similarities of 0.8 or more over 5-word shingles connect."""
+    sets, label = {d: shingle_set(t) for d, t in texts.items()}, {d: d for d in texts}
+    with_shingle = collections.defaultdict(set)
+    for d, x in sets.items():
+        for g in x:
+            with_shingle[g].add(d)
+    near = {(a, b) for a, x in sets.items() for g in x for b in with_shingle[g] if a < b}
+    near = [(a, b) for a, b in near if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    while True:
+        before = dict(label)
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+        if label == before:
+            return {d for d, k in label.items() if d == k}
+
+
+def brute_leaks(text, items):
+    """item ids and removal spans, window by window."""
+    words = [(m[0].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)), *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")]
+    found, hit = set(), set()
+    for item, body in items:
+        x = [m.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)) for m in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", body or "")]
+        windows = {tuple(x[k : k + 8]) for k in range(max(1, len(x) - 7))} - {()}
+        for k in range(len(words)):
+            for n in {len(w) for w in windows}:
+                if tuple(w[0] for w in words[k : k + n]) in windows:
+                    found.add(item)
+                    hit.update(range(k, k + n))
+    spans = []
+    for k in sorted(hit):
+        if k - 1 in hit:
+            spans[-1][1] = words[k][2]
+        else:
+            spans.append([words[k][1], words[k][2]])
+    return found, spans
+
+
+def written(n, seed):
+    """Prose of n words that no rule minds."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(3, 8))) for _ in range(3000)]
+    return " ".join(rng.choice(words).capitalize() if k % 12 == 0 else rng.choice(words) + ("." if k % 12 == 11 else "") for k in range(n))
 
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    columns = docs.columns
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage against a plain version, on its own input: the documents and odd rows, with columns that clash."""
+    from lodeseek.llm import quality, secret_scan
+
+    sf = "/root/testdata/sf0.001"
+    odd = [(9_000_001, None), (9_000_002, ""), (9_000_003, " \n "), (9_000_006, written(60_000, 1))]
+    good = written(150, 2)
+    odd += [(9_000_004, good), (9_000_004, good), (9_000_005, good + " Zk9xQw3rTy7uIo1pAs5dFg8h and password = hunter2hunter2")]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").unionByName(spark.createDataFrame([(d, t, None, None, None) for d, t in odd], "doc_id long, text string, lang string, source string, n_chars long"))
+    clash = ("spans", "row", "new", "kept", "vote_length", "__sid", "__keys", "sid", "id", "n", "item_ids", "ids")
+    docs = docs.withColumns({c: F.lit(f"mine {c}") for c in clash})
+    columns, items = docs.columns, [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         before = docs
-        stage(spark, before, SF).write.parquet(str(tmp_path / f"stage-{k}"))
-        after = spark.read.parquet(str(tmp_path / f"stage-{k}"))
-        ids = {r[0] for r in after.select("doc_id").collect()}
         texts = {r.doc_id: r.text for r in before.collect()}
+        stage(spark, before, sf).write.parquet(str(tmp_path / f"stage-{k}"))
+        after = spark.read.parquet(str(tmp_path / f"stage-{k}"))
+        rows = after.collect()
+        ids = {r.doc_id for r in rows}
         assert ids <= set(texts) and ids
         if k < 4:
-            assert after.columns == columns
+            assert after.columns == columns and all(r[c] == f"mine {c}" for r in rows for c in clash)
         if k == 0:
-            assert ids == {r.doc_id for r in quality.score_quality(before).where("kept").collect()}
+            kept = plain_em({(n, d): t for n, (d, t) in enumerate((r.doc_id, r.text) for r in before.collect())})
+            assert sorted(r.doc_id for r in rows) == sorted(d for (_, d), (_, keep) in kept.items() if keep)
+            assert {9_000_004, 9_000_006} <= ids and not ids & {9_000_001, 9_000_002, 9_000_003} and after.where("doc_id = 9000004").count() == 2
+            assert base_counts(good)[0] >= 50 and quality.RULES
         elif k == 1:
-            rows = simhash.near_duplicates(before).collect()
-            assert ids == {r.component_id for r in rows} and after.count() == len(ids)
+            assert ids == brute_near_dedup(texts) and len(rows) == len(ids)
         elif k == 2:
-            bench = spark.read.parquet(f"{SF}/benchmark.parquet")
-            found = {r.doc_id: r for r in decontam.find_leaks(before, bench).collect()}
-            assert ids == {d for d, r in found.items() if len(r.item_ids) < 2}
-            for r in after.collect():
+            found = {d: brute_leaks(t, items) for d, t in texts.items() if d != 9_000_006}
+            assert ids - {9_000_006} == {d for d, (x, _) in found.items() if len(x) < 2}
+            for r in rows:
                 text, at, out = texts[r.doc_id], 0, ""
-                for s in found[r.doc_id].spans:
-                    out, at = out + text[at : s.start], s.end
-                assert r.text == out + text[at:] and r.n_chars == len(r.text)
+                for a, b in found.get(r.doc_id, ((), ()))[1]:
+                    out, at = out + text[at:a], b
+                assert r.text == out + text[at:] and (r.n_chars == len(r.text) or r.text == text)
         elif k == 3:
             assert ids == set(texts)
-            for r in after.collect():
-                assert ("[SECRET]" in r.text) == bool(secret_scan.scan(texts[r.doc_id])) or r.text == texts[r.doc_id]
-                assert [s for s in secret_scan.scan(r.text) if s[1] < 3] == []
+            model = secret_scan.fit(before)
+            for r in rows:
+                text, at, out = texts[r.doc_id], 0, ""
+                covered = {x for a, _, b in secret_scan.scan(text, model) for x in range(a, b)}
+                begins = {a for a, _, _ in secret_scan.scan(text, model)}
+                for a in sorted(x for x in covered if x - 1 not in covered or x in begins and not any(s < x < e for s, _, e in secret_scan.scan(text, model))):
+                    out, at = out + text[at:a] + "[SECRET]", next(x for x in range(a, len(text) + 2) if x not in covered or x > a and x in begins and not any(s < x < e for s, _, e in secret_scan.scan(text, model)))
+                assert r.text == out + text[at:]
+                assert [s for s in secret_scan.scan(r.text, model) if s[1] < 3] == []
+            assert 9_000_005 not in ids or "hunter2" not in next(r.text for r in rows if r.doc_id == 9_000_005)
         else:
             assert ids == set(texts)
-            lengths = {r.doc_id: r.n for r in after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n = t").collect()}
-            assert set(lengths) == set(texts)
+            assert {r.doc_id for r in after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n = t").collect()} == ids
         docs = after
         assert name
 
 
+def test_stages_of_no_rows(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 0")
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, "/root/testdata/sf0.001").write.parquet(str(tmp_path / f"empty-{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"empty-{k}"))
+        assert docs.count() == 0
+
+
 def test_stages_called_lazily(spark):
     """A stage whose input is not written yet still finds what the one before it has left."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -110,6 +187,37 @@ def test_chat_round_trip(spark):
         chat.Template(other=("<s>x", "b>", "c>"))
 
 
+def plain_machine(order, start, ends, roles):
+    """States, and whether all moves are in order and the end is one."""
+    states, good = [start], True
+    for r in roles:
+        if r in order.get(states[-1], {}):
+            states.append(order[states[-1]][r])
+        else:
+            good = False
+            states.append(next((row[r] for row in order.values() if r in row), states[-1]))
+    return states, good and states[-1] in ends
+
+
+def test_chat_machine(spark):
+    """States and segments of turns in any order, against a plain machine; the states are part of the query's plan."""
+    rng, t = random.Random(6), chat.Template()
+    lines = {c: [rng.choice(["system", "user", "assistant", "tool"]) for _ in range(rng.randint(1, 6))] for c in range(300)}
+    rows = [(c, k, role, f"text {k}") for c, roles in lines.items() for k, role in enumerate(roles)]
+    made = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    for r in made.collect():
+        states, good = plain_machine(t.order, t.start, t.ends, lines[r.conv_id])
+        assert (r.states, r.valid) == (states, good)
+        parts = []
+        for k, role in enumerate(lines[r.conv_id]):
+            before, after, loss = t.roles.get(role, (f"<role>{role}</role>", "</turn>", False))
+            parts += [(before, False), (f"text {k}", loss), (after, False)]
+        assert [tuple(s) for s in r.segments] == parts
+    assert {r.valid for r in made.collect()} == {True, False}
+    plan = queries.op6_chat_format(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and all(code in plan for code in chat.transitions(t))
+
+
 def test_chat_query(spark):
     rows = {r.conv_id: r for r in queries.op6_chat_format(spark, SF).collect()}
     text = "</s>[INST] ok [/INST]"
