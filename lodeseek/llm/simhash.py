@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import similar
-from .shared import without, write_shared
+from .shared import by_size, forget, without, write_shared
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 #: Segments of the ring, as (lowest bit, width).
@@ -73,7 +73,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
     at = kept.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_size(batches, at):
             fps = np.array([fingerprint(t.as_py()) for t in b.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, name])
 
@@ -215,14 +215,14 @@ def _exact_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).astype(np.int64))], ["key"])
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node in edges (a, b): label is the smallest node of its component.
 
     Alternates large-star and small-star until the edges are stars; each round is written.
     """
     edges = write_shared(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "components")
     state = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u"))
         low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
         # Large-star: larger neighbours of u go to the smallest of u and its neighbours.
@@ -230,13 +230,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # Small-star: u (the larger end) and its smaller neighbours go to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("low"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e"))
-        edges = write_shared(small.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        before, edges = edges, write_shared(small.select("e.u", "e.v").where("u <> v").distinct(), "components")
+        forget(before)
         seen = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("decimal(20,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == state:
             break
         state = seen
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).union(edges.select("v", "v").distinct())
 
 
@@ -263,17 +262,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = similar.BLOCK) -> DataFrame:
     """docs with one row of each group that pairs of similarity 0.8 or more (see similar) connect: the one of the smallest doc_id. Of rows equal in doc_id and set of shingles, and of a group of null ids, one stays: the first by hash of its text."""
+    clash = {c: f"{c}_of_input" for c in docs.columns if c.lower() in ("__sid", "__size", "__sketch", "__keys")}
+    if clash:
+        back = {new: old for old, new in clash.items()}
+        return drop_near_duplicates(docs.withColumnsRenamed(clash), text, doc_id, block).withColumnsRenamed(back)
     common, ranks, hot = similar.common(docs, text, block)
     stored = write_shared(similar.with_set(docs, common, ranks, text), "similar-docs")
-    sets = [F.first(c).alias(c) for c in ("__size", "__parity", "__sketch", "__keys")]
+    sets = [F.first(c).alias(c) for c in ("__size", "__sketch", "__keys")]
     reps = write_shared(stored.groupBy("__sid").agg(F.min(doc_id).alias("least"), *sets), "similar-reps")
     labels = components(similar.links(stored, reps, hot, components, text))
     found = _with_ids(reps.select(F.col("__sid").alias("fp"), "least"), labels)
     # The set under which a component's document is kept; for groups of null ids, the component's label.
-    keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("__sid"), F.min("component_id").alias("__keep"))
-    named = lambda c: {"__id": F.coalesce(F.col(c).cast("string"), F.lit("")), "__null": F.isnull(F.col(c))}
-    # Ids are keys too, so copies of one text are spread; the same keys serve the choice, without another shuffle.
-    keys = ["__sid", "__id", "__null"]
-    kept = stored.drop("__sketch", "__keys").withColumns(named(doc_id)).join(keep.withColumns(named("__keep")).select(*keys), keys)
-    one = Window.partitionBy(*keys).orderBy(F.xxhash64(text), text)
-    return kept.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("__sid"), F.min("component_id").alias("keep"))
+    # Columns of the input go in one struct, so that none can clash. Ids are keys too, so copies of one text are spread; the
+    # same keys serve the choice, without another shuffle.
+    named = lambda id_: [F.coalesce(id_.cast("string"), F.lit("")).alias("id"), F.isnull(id_).alias("no_id")]
+    rows = stored.select(F.col("__sid").alias("sid"), *named(F.col(f"`{doc_id}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    keys = ["sid", "id", "no_id"]
+    kept = rows.join(keep.select(F.col("__sid").alias("sid"), *named(F.col("keep"))), keys)
+    said = F.col("row")[text]
+    one = Window.partitionBy(*keys).orderBy(F.xxhash64(said), said)
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")

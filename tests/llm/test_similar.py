@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from lodeseek.llm import similar, simhash
@@ -48,9 +49,8 @@ def planted():
     return {k: " ".join(t) for k, t in enumerate(texts)}
 
 
-@pytest.mark.parametrize(("all_pairs", "block", "common"), [(16, 2048, 8), (2, 8, 1)])
-def test_near_copies_by_brute_force(spark, monkeypatch, all_pairs, block, common):
-    monkeypatch.setattr(similar, "ALL_PAIRS", all_pairs)
+@pytest.mark.parametrize(("block", "common"), [(2048, 8), (8, 1)])
+def test_near_copies_by_brute_force(spark, monkeypatch, block, common):
     monkeypatch.setattr(similar, "COMMON", common)
     texts = planted()
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
@@ -70,8 +70,26 @@ def test_near_copies_of_documents(spark):
 
 def test_crowded_key_keeps_what_its_forest_missed():
     """A forest of candidates may join two true groups by a pair that is none; the second look tests across."""
-    import numpy as np
-
-    sizes, parities = np.full(4, 90), np.array([0, 0, 0, 0], np.uint64)
-    assert len(similar._forest(sizes, parities)) == 3
-    assert sorted(similar._across(sizes, parities, np.array([1, 1, 2, 2]))) == [(2, 0), (2, 1), (3, 0), (3, 1)]
+    group = similar._Group(np.full(4, 90), [bytes(16)] * 4)
+    assert len(group.forest()) == 3
+    assert sorted(group.across(np.array([1, 1, 2, 2]))) == [(2, 0), (2, 1), (3, 0), (3, 1)]
+
+
+def test_sketches_lose_no_similar_pair():
+    """Sets of any size and width of sketch: all pairs of similarity 0.8 or more are candidates, most others are not."""
+    rng = random.Random(4)
+    universe = [rng.getrandbits(64) for _ in range(6000)]
+    sets = []
+    for _ in range(25):
+        base = rng.sample(universe, rng.choice((3, 40, 62, 66, 120, 130, 500, 1030)))
+        for _ in range(4):
+            gone = rng.randrange(0, 1 + len(base) // 6)
+            sets.append(np.unique(np.array(base[gone:] + rng.sample(universe, rng.randrange(0, 1 + len(base) // 8)), np.uint64)))
+    group = similar._Group(np.array([len(x) for x in sets]), [similar.sketch(x) for x in sets])
+    good = wrong = 0
+    for k, one in enumerate(sets):
+        found = set(group.near(k, np.arange(len(sets)) != k).tolist())
+        alike = {j for j, other in enumerate(sets) if j != k and similar.similar(one, other)}
+        assert alike <= found
+        good, wrong = good + len(alike), wrong + len(found - alike)
+    assert good > 50 and wrong < good
