@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,40 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def scan(items: Column, start: Column, step: Callable[[Column, Column], tuple[Column, Column]], empty: str) -> Column:
+    """Outputs of a fold: step(state, item) gives the next state and an output; empty is the type of the array of outputs.
+
+    Appending to an array copies it, so outputs gather in blocks of about the square root of their number first.
+    """
+    none = F.expr(f"cast(array() as {empty})")
+
+    def over(items: Column, state: Column, outputs: Column, each: Callable[[Column, Column], Column]) -> Column:
+        return F.aggregate(items, F.struct(state.alias("state"), outputs.alias("out")), each)
+
+    def one(a: Column, x: Column) -> Column:
+        return let(F.struct(a.alias("a"), x.alias("x")), lambda s: stepped(s["a"], s["x"]))
+
+    def stepped(a: Column, x: Column) -> Column:
+        state, out = step(a["state"], x)
+        return F.struct(state.alias("state"), F.concat(a["out"], F.array(out)).alias("out"))
+
+    def of(all_: Column) -> Column:
+        size = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(all_)))).cast("int")
+
+        def block(a: Column, at: Column) -> Column:
+            inner = over(F.slice(all_, at, size), a["state"], none, one)
+            return let(inner, lambda b: F.struct(b["state"].alias("state"), F.concat(a["out"], b["out"]).alias("out")))
+
+        return F.when(F.size(all_) > 0, over(F.sequence(F.lit(1), F.size(all_), size), start, none, block)["out"]).otherwise(none)
+
+    return let(items, of)
+
+
+def running_sums(values: Column) -> Column:
+    """Of each number (long), the sum of those before it."""
+    return scan(values, F.lit(0).cast("long"), lambda total, x: (total + x, total), "array<bigint>")
+
+
 def clean(text: Column) -> Column:
     """text without white space at either end."""
     return F.btrim(text, F.lit(SPACES))

@@ -16,14 +16,14 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, query: list[float]) -> Column:
-    """Cosine similarity with a literal vector."""
+    """Cosine similarity with a literal vector; null where either has no direction (all zeros)."""
     b = F.array(*[F.lit(float(x)) for x in query])
-    return dot(a, b) / (norm(a) * F.lit(sum(float(x) * float(x) for x in query) ** 0.5))
+    return F.try_divide(dot(a, b), norm(a) * F.lit(sum(float(x) * float(x) for x in query) ** 0.5))
 
 
 def normalized(a: Column) -> Column:
-    """a over its length; the length is taken once."""
-    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: x.cast("double") / n)), F.lit(0))
+    """a over its length, which is taken once; a vector of zeros stays as it is."""
+    return F.get(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))), F.lit(0))
 
 
 def _kept(tokens: Column, mask: Column) -> Column:

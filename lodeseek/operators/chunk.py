@@ -16,22 +16,40 @@ from pyspark.sql import functions as F
 
 from ..config import IndexingConfig
 from ..functions import source_map
+from ..functions import text
 from ..functions.text import clean
 
-_CHUNK = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text", pa.string())]))
-_EMPTY = "cast(array() as array<struct<start:bigint,end:bigint,text:string>>)"
+_CHUNK = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("text", pa.string())]))
+_EMPTY = "cast(array() as array<struct<start:bigint,end:bigint,line:int,text:string>>)"
 
 
 def fixed_windows(docs: DataFrame, config: IndexingConfig = IndexingConfig(), keep: list[str] | None = None) -> DataFrame:
-    """chunk_idx, byte_start, byte_end, chunk_text of windows of chunk_size characters, chunk_overlap shared by neighbours."""
+    """chunk_idx, byte_start, byte_end, line, chunk_text of windows of chunk_size characters, chunk_overlap shared by neighbours.
+
+    A text is cut once into steps of the characters that two starts are apart; bytes and lines before each are running sums.
+    """
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
-    step = config.chunk_size - config.chunk_overlap
-    starts = F.sequence(F.lit(1), F.greatest(F.length("text") - config.chunk_overlap, F.lit(1)), F.lit(step))
-    rows = docs.where(F.length("text") > 0).select(*keep, "text", F.posexplode(starts).alias("chunk_idx", "at"))
-    raw = F.substring(F.col("text"), F.col("at"), F.lit(config.chunk_size))
-    before = F.octet_length(F.left("text", F.col("at") - 1))
-    rows = rows.select(*keep, "chunk_idx", before.cast("long").alias("byte_start"), (before + F.octet_length(raw)).cast("long").alias("byte_end"), raw.alias("raw"))
-    return rows.select(*keep, "chunk_idx", "byte_start", "byte_end", clean(F.col("raw")).alias("chunk_text")).where("chunk_text <> ''")
+    size, overlap = config.chunk_size, config.chunk_overlap
+    step = size - overlap
+
+    def windows(parts: Column) -> Column:
+        sums = lambda of: text.running_sums(F.transform(parts, of))
+        places = F.struct(
+            sums(lambda p: F.octet_length(p).cast("long")).alias("bytes"), sums(lambda p: F.regexp_count(p, F.lit("\n")).cast("long")).alias("lines"),
+            # The last window is the first that reaches the end.
+            F.greatest(F.lit(1), F.size(parts) - F.when(F.length(F.element_at(parts, -1)) <= overlap % step, overlap // step + 1).otherwise(overlap // step)).alias("n"),
+        )
+
+        def window(p: Column, k: Column) -> Column:
+            raw = F.left(F.array_join(F.slice(parts, k + 1, F.lit(1 + -(-overlap // step))), ""), F.lit(size))
+            return F.struct(F.get(p["bytes"], k).alias("start"), F.octet_length(raw).cast("long").alias("size"), (F.get(p["lines"], k) + 1).cast("int").alias("line"), raw.alias("raw"))
+
+        return text.let(places, lambda p: F.transform(F.sequence(F.lit(0), p["n"] - 1), lambda k: window(p, k)))
+
+    cut = text.let(F.regexp_extract_all(F.col("text"), F.lit(f"(?s).{{1,{step}}}"), F.lit(0)), windows)
+    rows = docs.where(F.length("text") > 0).select(*[F.col(f"`{c}`") for c in keep], F.posexplode(cut).alias("chunk_idx", "c"))
+    rows = rows.select(*[F.col(f"`{c}`") for c in keep], "chunk_idx", F.col("c.start").alias("byte_start"), (F.col("c.start") + F.col("c.size")).alias("byte_end"), F.col("c.line").alias("line"), clean(F.col("c.raw")).alias("chunk_text"))
+    return rows.where("chunk_text <> ''")
 
 
 _BREAKS = re.compile(r"(?:\r\n|\n|\r)+")
@@ -77,17 +95,18 @@ def split_semantic(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
 
 
 def semantic_chunks(docs: DataFrame, config: IndexingConfig = IndexingConfig(), keep: list[str] | None = None) -> DataFrame:
-    """chunk_idx, byte_start, byte_end, chunk_text; blank chunks are left out, texts are trimmed, ranges are not."""
+    """chunk_idx, byte_start, byte_end, line, chunk_text; blank chunks are left out, texts are trimmed, ranges are not."""
     keep = [c for c in docs.columns if c != "text"] if keep is None else keep
     at = docs.columns.index("text")
 
     def of(text: str | None) -> list[dict]:
-        out, last, size = [], 0, 0
+        out, last, size, line = [], 0, 0, 1
         for a, b in split_semantic(text or "", config.chunk_size, config.chunk_overlap):
-            size += len(text[last:a].encode()) if a >= last else -len(text[a:last].encode())
+            between, sign = (text[last:a], 1) if a >= last else (text[a:last], -1)
+            size, line = size + sign * len(between.encode()), line + sign * between.count("\n")
             last, part = a, text[a:b]
             if part.strip():
-                out.append({"start": size, "end": size + len(part.encode()), "text": part.strip()})
+                out.append({"start": size, "end": size + len(part.encode()), "line": line, "text": part.strip()})
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +116,13 @@ def semantic_chunks(docs: DataFrame, config: IndexingConfig = IndexingConfig(),
 
     chunked = docs.mapInArrow(run, docs.select(*keep, F.expr(_EMPTY).alias("chunks")).schema)
     rows = chunked.select(*keep, F.posexplode("chunks").alias("chunk_idx", "c"))
-    return rows.select(*keep, "chunk_idx", F.col("c.start").alias("byte_start"), F.col("c.end").alias("byte_end"), F.col("c.text").alias("chunk_text"))
-
-
-def line_origin(text: Column, byte_start: Column) -> Column:
-    """The line on which a chunk of plain text begins."""
-    raw = F.substring(F.encode(text, "UTF-8"), F.lit(1), byte_start.cast("int"))
-    return F.regexp_count(F.decode(raw, "UTF-8"), F.lit("\n")) + 1
+    return rows.select(*keep, "chunk_idx", F.col("c.start").alias("byte_start"), F.col("c.end").alias("byte_end"), F.col("c.line").alias("line"), F.col("c.text").alias("chunk_text"))
 
 
-def chunk_origin(segments: Column, text: Column, start: Column, end: Column) -> Column:
+def chunk_origin(segments: Column, start: Column, end: Column, line: Column) -> Column:
     """Origin of a chunk: of its range; where it begins in a gap, of its first segment; else its line."""
-    line = F.struct(
-        F.lit("TextFile").alias("origin_type"), line_origin(text, start).cast("int").alias("line"), F.lit(0).alias("col"), F.lit(None).cast("int").alias("page"),
+    plain = F.struct(
+        F.lit("TextFile").alias("origin_type"), line.cast("int").alias("line"), F.lit(0).alias("col"), F.lit(None).cast("int").alias("page"),
         F.lit(None).cast("struct<x:float,y:float,width:float,height:float>").alias("bbox"),
     )
-    return F.coalesce(source_map.resolve_range(segments, start, end), line)
+    return F.coalesce(source_map.resolve_range(segments, start, end), plain)

@@ -35,10 +35,9 @@ class Opened:
 def chunk_documents(docs: DataFrame, config: IndexingConfig, root: str, semantic: bool = True) -> DataFrame:
     """Chunks of documents (path, file_type, text, source_map) in the index's columns, without vectors."""
     rows = docs.where(F.col("text").isNotNull() & (F.col("text") != ""))
-    keep = ["path", "file_type", "source_map", "body"]
-    rows = rows.withColumn("body", F.col("text"))
-    cut = (chunk.semantic_chunks if semantic else chunk.fixed_windows)(rows.select("path", "file_type", "source_map", "body", "text"), config, keep=keep)
-    cut = cut.withColumn("o", chunk.chunk_origin(F.col("source_map"), F.col("body"), F.col("byte_start"), F.col("byte_end")))
+    keep = ["path", "file_type", "source_map"]
+    cut = (chunk.semantic_chunks if semantic else chunk.fixed_windows)(rows.select(*keep, "text"), config, keep=keep)
+    cut = cut.withColumn("o", chunk.chunk_origin(F.col("source_map"), F.col("byte_start"), F.col("byte_end"), F.col("line")))
     box = lambda f: F.col(f"o.bbox.{f}").cast("double")
     return cut.select(
         paths.relative(F.col("path"), root).alias("file_path"), "chunk_idx", "byte_start", "byte_end", F.col("o.origin_type").alias("origin_type"), F.col("o.page").alias("page"),

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import SUPPORTED_EXTENSIONS
@@ -23,9 +27,10 @@ def scored(index: DataFrame, query: list[float], vector: str = "embedding") -> D
 def top_k(index: DataFrame, query: list[float], k: int, ties: list[str], vector: str = "embedding") -> DataFrame:
     """The k rows nearest to query (0: all), by score, then ties; rank from 0.
 
-    Each task keeps its own k; the query is a literal. Scores are ranked on keys alone, so texts are read for k rows.
+    Each task keeps its own k; the query is a literal. Scores are ranked on keys alone, so texts are read for k rows. Vectors of
+    zeros have no score and come last.
     """
-    ranked = scored(index.select(*ties, vector), query, vector).select(*ties, "score").orderBy(F.desc("score"), *ties)
+    ranked = scored(index.select(*ties, vector), query, vector).select(*ties, "score").orderBy(F.desc_nulls_last("score"), *ties)
     if k > 0:
         ranked = ranked.limit(k)
     return ranked
@@ -56,6 +61,45 @@ def decoded(hits: DataFrame, root: str) -> DataFrame:
     )
 
 
-def by_file(hits: DataFrame, key: str, score: str = "score", ties: Column | None = None) -> DataFrame:
-    """key, best_score, scores in rank order, n; order by best_score for the files' order."""
-    return hits.groupBy(key).agg(F.max(score).alias("best_score"), F.reverse(F.sort_array(F.collect_list(score))).alias("scores"), F.count("*").alias("n"))
+def by_file(hits: DataFrame, key: str, ties: list[str], score: str = "score") -> DataFrame:
+    """Hits grouped by file in rank order: rank (0: the file of the best hit), key, best_score, n, matches (all other columns, best first).
+
+    hits are a search's k rows, so one task can rank them.
+    """
+    order = Window.orderBy(F.desc_nulls_last(score), *ties)
+    ranked = hits.withColumn("rank", F.row_number().over(order) - 1)
+    others = [c for c in hits.columns if c != key]
+    grouped = ranked.groupBy(key).agg(F.min("rank").alias("first"), F.max(score).alias("best_score"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct("rank", *others))).alias("matches"))
+    return grouped.select((F.row_number().over(Window.orderBy("first")) - 1).alias("rank"), key, "best_score", "n", "matches").orderBy("rank")
+
+
+def top_k_each(index: DataFrame, questions: DataFrame, k: int, ties: list[str], vector: str = "embedding", block: int = 512) -> DataFrame:
+    """The k rows nearest to each of many questions (query_id, query): query_id, ties, score, rank.
+
+    Each Arrow batch of the index meets all questions as one matrix product and keeps k rows a question; then each question's rows
+    of all tasks are ranked. Questions are a stated set and go to the tasks in blocks, at most `block` of them in memory at once.
+    """
+    if k < 1:
+        raise ValueError("k must be 1 or more")
+    asked = sorted((r[0], [float(x) for x in r[1]]) for r in questions.select(F.col("query_id").cast("long"), "query").collect())
+    at, kept = len(ties), index.select(*ties, vector)
+    fields = kept.select(F.lit(0).cast("long").alias("query_id"), *ties, F.lit(0.0).alias("score")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            flat = b.column(at).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            rows = flat.reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
+            length = np.sqrt((rows * rows).sum(axis=1))
+            for lo in range(0, len(asked) if len(rows) else 0, block):
+                part = np.array([q for _, q in asked[lo : lo + block]])
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    scores = (part @ rows.T) / np.outer(np.sqrt((part * part).sum(axis=1)), length)
+                scores = np.where(np.isfinite(scores), scores, -2.0)
+                for (name, _), mine in zip(asked[lo : lo + block], scores, strict=True):
+                    # All that tie with the k-th are kept: the ranking decides among them.
+                    best = np.flatnonzero(mine >= np.partition(mine, -min(k, len(mine)))[-min(k, len(mine))])
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(best), pa.int64()), *[b.column(c).take(pa.array(best)) for c in range(at)], pa.array(mine[best])], ["query_id", *ties, "score"])
+
+    found = kept.mapInArrow(run, fields).withColumn("score", F.when(F.col("score") >= -1.5, F.col("score")))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), *ties)) - 1
+    return found.withColumn("rank", rank).where(F.col("rank") < k)

@@ -58,9 +58,12 @@ SELECT {columns} FROM matches"""
 _MATCH = ["path", "line", "col", "start", "end", "matched_text", "context_before", "context_after"]
 
 
+def _typed(spark: SparkSession, sf_dir: str, q: SearchQuery) -> DataFrame:
+    return corpus(spark, sf_dir).withColumn("file_type", paths.file_type(F.col("path"), q.supported_extensions)).where("file_type = 'PlainText'")
+
+
 def _grep(spark: SparkSession, sf_dir: str, q: SearchQuery) -> DataFrame:
-    docs = corpus(spark, sf_dir).withColumn("file_type", paths.file_type(F.col("path"), q.supported_extensions)).where("file_type = 'PlainText'")
-    return grep.grep_lines(docs, q, keep=["path"]).select(*_MATCH)
+    return grep.grep_lines(_typed(spark, sf_dir, q), q, keep=["path"]).select(*_MATCH)
 
 
 @query("grep_literal", _lines_sql("(?i)tion"))
@@ -108,8 +111,8 @@ _COUNTS = _lines_sql(r"(?i)[0-9]+", columns="path, count(*) AS n") + " GROUP BY
 
 @query("grep_soft_cap", f"SELECT path, n FROM (SELECT path, n, coalesce(sum(n) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ({_COUNTS})) WHERE before < {_CAP}")
 def grep_soft_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _grep(spark, sf_dir, SearchQuery("[0-9]+", is_regex=True))
-    return grep.soft_cap(found, _CAP).groupBy("path").agg(F.count("*").alias("n"))
+    q = SearchQuery("[0-9]+", is_regex=True)
+    return grep.cap_files(grep.count_lines(_typed(spark, sf_dir, q), q, keep=["path"]), _CAP).withColumnRenamed("n_matches", "n")
 
 
 @query("grep_file_matches", _lines_sql("(?i)licen[sc]e", columns="path, count(*) AS n_matches, min(start) AS first_start, string_agg(matched_text, '|' ORDER BY start) AS texts") + " GROUP BY path")
@@ -121,7 +124,8 @@ def grep_file_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grep_stats", f"SELECT s.*, (SELECT count(*) FROM documents) AS files_considered FROM ({_lines_sql('(?i)the', columns='count(DISTINCT path) AS files_scanned, count(*) AS total_matches')}) s")
 def grep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grep.stats(_grep(spark, sf_dir, SearchQuery("the")), corpus(spark, sf_dir))
+    q = SearchQuery("the")
+    return grep.stats(grep.count_lines(_typed(spark, sf_dir, q), q, keep=["path"]), corpus(spark, sf_dir))
 
 
 @query("grep_max_file_size", _lines_sql("(?i)is", where="ext_type = 'PlainText' AND size_bytes <= 800", columns="path, line, start"))
@@ -153,7 +157,10 @@ def grep_part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.grep_lines(docs, SearchQuery("e"), keep=["p_partkey", "p_name"]).select("p_partkey", "p_name").distinct()
 
 
-@query("grep_empty_matches")
+@query("grep_empty_matches", f"""WITH {_CORPUS}, typed AS (SELECT path, string_split(text, chr(10)) AS ls FROM corpus),
+lines AS (SELECT path, unnest(CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END) AS line FROM typed)
+-- The run of pairs that ends a line matches, and the empty place behind it does not; where there is none the end itself does.
+SELECT path, count(*) AS n FROM lines GROUP BY path""")
 def grep_empty_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grep.grep_lines(corpus(spark, sf_dir), SearchQuery(r"(?:[a-z]{2})*$", is_regex=True), keep=["path"]).groupBy("path").agg(F.count("*").alias("n"))
 
@@ -262,10 +269,19 @@ def knn_postfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.supported(hits.withColumns({"file_path": name, "origin_type": F.lit("TextFile")})).select("vec_id", "label")
 
 
-@query("knn_group_by_file", f"WITH {_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, label, vec_id LIMIT 100) SELECT label, round(max(s), 6) AS best_score, count(*) AS n FROM top GROUP BY label")
+@query("knn_group_by_file", f"WITH {_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, label, vec_id LIMIT 100) SELECT row_number() OVER (ORDER BY max(s) DESC, label) - 1 AS rank, label, round(max(s), 6) AS best_score, count(*) AS n, string_agg(vec_id, ',' ORDER BY s DESC, vec_id) AS matches FROM top GROUP BY label")
 def knn_group_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grouped = knn.by_file(knn.top_k(_vectors(spark, sf_dir), _query_vector(), 100, _TIES), "label")
-    return grouped.select("label", F.round("best_score", 6).alias("best_score"), "n")
+    grouped = knn.by_file(knn.top_k(_vectors(spark, sf_dir), _query_vector(), 100, _TIES), "label", ["label", "vec_id"])
+    matches = F.array_join(F.transform("matches", lambda m: m["vec_id"].cast("string")), ",")
+    return grouped.select(F.col("rank").cast("long").alias("rank"), "label", F.round("best_score", 6).alias("best_score"), "n", matches.alias("matches"))
+
+
+@query("knn_many_queries", "WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, vec_id, label, list_cosine_similarity(embedding::DOUBLE[], q) AS s FROM q, embeddings) SELECT query_id, vec_id, label, round(s, 6) AS score, k - 1 AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, label, vec_id) AS k FROM s) WHERE k <= 5")
+def knn_many_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    questions = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    hits = knn.top_k_each(rows, questions, 5, _TIES)
+    return hits.select("query_id", "vec_id", "label", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("knn_join_form", f"WITH {_SCORED}, top AS (SELECT vec_id, s FROM scored ORDER BY s DESC, label, vec_id LIMIT {_K}) SELECT t.vec_id, round(t.s, 6) AS score, e.label, e.embedding[1]::DOUBLE AS first FROM top t JOIN embeddings e USING (vec_id)")
@@ -326,19 +342,17 @@ _CHUNKS = """chunks AS (SELECT doc_id, k AS chunk_idx, strlen(left(text, (k * 47
 
 
 def _chunks(spark: SparkSession, sf_dir: str, keep: list[str]) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("body", F.col("text"))
-    return chunk.fixed_windows(docs.select(*keep, "text"), IndexingConfig(), keep=keep)
+    return chunk.fixed_windows(table(spark, sf_dir, "documents").select(*keep, "text"), IndexingConfig(), keep=keep)
 
 
 @query("chunk_fixed", f"WITH {_CHUNKS} SELECT doc_id, chunk_idx::INT AS chunk_idx, byte_start, byte_end, chunk_text FROM chunks")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _chunks(spark, sf_dir, ["doc_id"])
+    return _chunks(spark, sf_dir, ["doc_id"]).drop("line")
 
 
 @query("chunk_line_origin", f"WITH {_CHUNKS} SELECT doc_id, chunk_idx::INT AS chunk_idx, (len(string_split(left(text, (chunk_idx * 472)::INT), chr(10))))::INT AS line FROM chunks")
 def chunk_line_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _chunks(spark, sf_dir, ["doc_id", "body"])
-    return rows.select("doc_id", "chunk_idx", chunk.line_origin(F.col("body"), F.col("byte_start")).cast("int").alias("line"))
+    return _chunks(spark, sf_dir, ["doc_id"]).select("doc_id", "chunk_idx", "line")
 
 
 @query("index_status", f"WITH {_CHUNKS} SELECT count(DISTINCT doc_id) AS indexed_files, count(*) AS total_chunks FROM chunks")
