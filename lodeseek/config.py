@@ -44,8 +44,11 @@ class IndexingConfig:
 
 
 ENGINES = ("SBERT", "Candle", "Fastembed")
+#: Fixed value.
 DEFAULT_ENGINE = "Fastembed"
+#: Fixed value.
 DEFAULT_MODELS = {"SBERT": "intfloat/e5-small-v2", "Candle": "sentence-transformers/all-MiniLM-L6-v2", "Fastembed": "AllMiniLML6V2"}
+#: Fixed value.
 DEFAULT_DEVICES = {"SBERT": "auto", "Candle": "auto", "Fastembed": "cpu"}
 
 
@@ -113,6 +116,7 @@ def remember_directory(recent: list[str], directory: str, keep: int = 10) -> lis
     return recent if directory in recent else [*recent, directory][-keep:]
 
 
+#: Fixed value.
 GREP_CAPABILITIES = {
     "supports_regex": True, "supports_case_sensitivity": True, "is_indexed": False, "requires_index": False,
     "supported_file_types": ["txt", "md", "rs", "py", "js", "ts", "json", "toml", "yaml"],

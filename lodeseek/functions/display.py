@@ -30,8 +30,15 @@ def title_of(path: Column, title: Column) -> Column:
     return F.coalesce(F.nullif(clean(title), F.lit("")), name_of(path))
 
 
+#: Prefixes that a shown DOI goes without.
+_DOI_PREFIXES = (r"^(?i)https?://(?:dx\.)?doi\.org/", r"^(?i)doi:\s*")
+
+
 def bare_doi(doi: Column) -> Column:
-    return F.nullif(F.regexp_replace(F.regexp_replace(clean(doi), r"^(?i)https?://(?:dx\.)?doi\.org/", ""), r"^(?i)doi:\s*", ""), F.lit(""))
+    bare = clean(doi)
+    for prefix in _DOI_PREFIXES:
+        bare = F.regexp_replace(bare, prefix, "")
+    return F.nullif(bare, F.lit(""))
 
 
 def uri_component(text: Column) -> Column:

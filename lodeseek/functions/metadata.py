@@ -12,19 +12,11 @@ from .text import clean
 #: Fixed value: a DOI, after an optional prefix.
 DOI = r"(?i)\b(?:https?://(?:dx\.)?doi\.org/|doi:\s*)?(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
 _CLOSERS = r"""[.,;:"')\]}>]+$"""
-_PAIRS = (r"^\((.*)\)$", r"^\[(.*)\]$", r"^\{(.*)\}$", r"^<(.*)>$", r'^"(.*)"$', r"^'(.*)'$")
 
 
 def _unwrapped(value: Column) -> Column:
-    """Without closing punctuation at the end and without brackets or quotes around.
-
-    Closing punctuation goes first, so no pair is left to peel; a round more changes nothing.
-    """
-    for _ in range(2):
-        value = F.regexp_replace(clean(value), _CLOSERS, "")
-        for pair in _PAIRS:
-            value = F.regexp_replace(value, "(?s)" + pair, "$1")
-    return clean(value)
+    """Without closing punctuation at the end. That takes the second half of any brackets or quotes around too, so none stand in pairs."""
+    return clean(F.regexp_replace(clean(value), _CLOSERS, ""))
 
 
 def normalize_doi(value: Column) -> Column:
@@ -48,6 +40,19 @@ def first_doi(fields: Iterable[Column]) -> Column:
     return F.coalesce(*[find_doi(non_blank(f)) for f in fields])
 
 
+def of_document(kind: Column, title: Column, author: Column, fields: Iterable[Column], created: Column, text: Column) -> Column:
+    """title, author, doi and created_at of a document by its type.
+
+    One with pages has them in its fields (the DOI in the first of `fields` that holds one, then in its text); plain text is read
+    for a DOI; other types have nothing.
+    """
+    pages, plain = kind == "Pdf", kind == "PlainText"
+    return F.struct(
+        F.when(pages, non_blank(title)).alias("title"), F.when(pages, non_blank(author)).alias("author"),
+        F.when(pages, first_doi([*fields, text])).when(plain, find_doi(text)).alias("doi"), F.when(pages, pdf_month(created)).alias("created_at"),
+    )
+
+
 def pdf_month(value: Column) -> Column:
     """YYYY-MM of "D:YYYYMMDDHHMMSS+HH'MM'", in its own offset; null if it is not a real date and offset."""
     pattern = r"^D:(\d{4})(\d{2})(\d{2})(\d{2})(\d{2})(\d{2})([+-])(\d{2})'(\d{2})'$"

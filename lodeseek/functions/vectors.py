@@ -50,3 +50,8 @@ def pool_max(tokens: Column, mask: Column) -> Column:
     """The largest value of each dimension among vectors that the mask keeps."""
     first = F.transform(F.get(_kept(tokens, mask), F.lit(0)), lambda x: x.cast("double"))
     return F.aggregate(_kept(tokens, mask), first, lambda s, v: F.zip_with(s, v, lambda x, y: F.greatest(x, y.cast("double"))))
+
+
+def pooled(tokens: Column, mask: Column, how: str) -> Column:
+    """Token vectors as one, in the way that embed.pooling reads from a model's description."""
+    return {"cls": lambda: pool_cls(tokens), "max": lambda: pool_max(tokens, mask), "mean": lambda: pool_mean(tokens, mask)}[how]()

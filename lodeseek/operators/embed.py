@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -57,6 +57,36 @@ class HashingEmbedder:
         return out
 
 
+class Engines:
+    """Makers of embedders by engine; load() picks one for a selection (engine, model, dimension)."""
+
+    def __init__(self) -> None:
+        self.makers: dict[str, Callable[[str, int, str], Embedder]] = {}
+        self.register("Fastembed", lambda model, dimension, device: HashingEmbedder(dimension, model))
+
+    def register(self, engine: str, maker: Callable[[str, int, str], Embedder]) -> None:
+        """maker(model, dimension, device) gives an embedder; the last one registered for an engine counts."""
+        self.makers[engine] = maker
+
+    def load(self, selected: dict, device: str = "Auto") -> Embedder:
+        if selected["engine"] not in self.makers:
+            raise LookupError(f"no maker of embedders for engine {selected['engine']}; there are {sorted(self.makers)}")
+        made = self.makers[selected["engine"]](selected["model"], int(selected["dimension"]), device)
+        if made.dimension != int(selected["dimension"]):
+            raise ValueError(f"{selected['model']} has dimension {made.dimension}, not {selected['dimension']}")
+        return made
+
+
+def pooling(config_json: str | None) -> str:
+    """cls, max or mean, as a model's pooling description asks for; mean where it is missing, broken or asks for nothing."""
+    try:
+        asked = json.loads(config_json or "{}")
+    except ValueError:
+        return "mean"
+    asked = asked if isinstance(asked, dict) else {}
+    return "cls" if asked.get("pooling_mode_cls_token") is True else "max" if asked.get("pooling_mode_max_tokens") is True else "mean"
+
+
 def prefixes(config_json: str) -> dict[str, str]:
     """query_prefix and passage_prefix of a model's prompts; other prompts and broken files are skipped."""
     try:

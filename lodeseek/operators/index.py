@@ -1,7 +1,8 @@
 """The vector index: versions of a Parquet table beside a description, and a pointer to the current one.
 
-Building, replacing and removing write a new version and then move the pointer, so readers see the
-old rows or the new ones. A version is written from the one before it without reading what it overwrites.
+Rows are kept in buckets by hash of their file's path. A description names the folder of each bucket, so a change writes anew
+only the buckets of the files it touches and takes the others over. Building, replacing and removing write a new version and then
+move the pointer, so readers see the old rows or the new ones; folders go when none of the last versions names them.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
@@ -56,38 +57,73 @@ def good_rows(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prepared.join(failed, "file_path", "left_anti").drop("embed_error"), failed
 
 
-def _publish(folder: Folder, rows: DataFrame, meta: dict) -> str:
+#: Rows of a bucket, about: a build makes as many buckets as that takes.
+BUCKET_ROWS = 100_000
+_COLUMNS = [c.split()[0] for c in schema.INDEX.split(", ")]
+
+
+def _bucket(path: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+
+
+def _publish(folder: Folder, rows: DataFrame, meta: dict, carried: dict[str, str], began: float | None = None) -> dict:
+    """Writes rows as a new version beside the bucket folders carried over from the one before, and moves the pointer to it."""
     version = f"v{int(meta['number']):08d}"
-    columns = [c.split()[0] for c in schema.INDEX.split(", ")]
-    rows.select(*columns).sortWithinPartitions("file_path", "chunk_idx").write.mode("overwrite").parquet(f"{folder.path}/{version}")
+    dealt = rows.select(*_COLUMNS).withColumn("bucket", _bucket(F.col("file_path"), meta["buckets"]))
+    dealt.sortWithinPartitions("bucket", "file_path", "chunk_idx").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder.path}/{version}")
+    made = {n.partition("=")[2]: f"{version}/{n}" for n in folder.names(version) if n.startswith("bucket=")}
+    meta = meta | {"parts": carried | made}
+    if began is not None:
+        meta["build_duration_ms"] = int((time.time() - began) * 1000)
     folder.write(f"{version}.json", json.dumps(meta, indent=2))
     folder.write("CURRENT", version)
-    return version
+    return meta
+
 
+def _rows(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
+    if not parts:
+        return spark.createDataFrame([], schema.INDEX)
+    return spark.read.schema(schema.INDEX).parquet(*[f"{path.rstrip('/')}/{p}" for p in parts])
 
-def build(spark: SparkSession, path: str, docs: DataFrame, embedder: embed.Embedder, root: str, config: IndexingConfig = IndexingConfig(), semantic: bool = True) -> dict:
-    """A full build: prepares, writes a new version, moves the pointer, drops older versions."""
+
+def build(spark: SparkSession, path: str, docs: DataFrame, embedder: embed.Embedder, root: str, config: IndexingConfig = IndexingConfig(), semantic: bool = True, bucket_rows: int = BUCKET_ROWS) -> dict:
+    """A full build: prepares, writes a new version, moves the pointer. The version before it stays until the next build.
+
+    The result is the description, with failed_files, errors (of 1000 files at most, to show) and errors_path (a table of all, if any).
+    """
     began = time.time()
     folder = Folder(spark, path)
     old = folder.read("CURRENT") if folder.exists("CURRENT") else None
     number = int(old[1:]) + 1 if old else 1
-    staged = f"{folder.path}/staging"
-    prepare(docs, embedder, config, root, semantic).write.mode("overwrite").parquet(staged)
-    rows, failed = good_rows(spark.read.parquet(staged))
-    errors = {r["file_path"]: r["error"] for r in failed.limit(1000).collect()}
-    meta = {"schema_version": VERSION, "number": number, "engine": embedder.engine, "model_id": embedder.model_id, "dimension": embedder.dimension, "root_path": root, "built_at": int(began)}
-    meta["build_duration_ms"] = int((time.time() - began) * 1000)
-    _publish(folder, rows, meta)
-    folder.delete("staging")
-    vacuum(spark, path, keep=1)
-    return meta | {"errors": errors}
+    staged = f"{folder.path}/staging-{number}"
+    try:
+        prepare(docs, embedder, config, root, semantic).write.mode("overwrite").parquet(staged)
+        prepared = spark.read.parquet(staged)
+        rows, failed = good_rows(prepared)
+        report = f"{folder.path}/v{number:08d}-errors"
+        failed.write.mode("overwrite").parquet(report)
+        errors = spark.read.schema("file_path string, error string").parquet(report)
+        n_failed = errors.count()
+        meta = {"schema_version": VERSION, "number": number, "engine": embedder.engine, "model_id": embedder.model_id, "dimension": embedder.dimension, "root_path": root, "built_at": int(began)}
+        meta |= {"failed_files": n_failed, "buckets": max(1, -(-prepared.count() // bucket_rows))}
+        meta = _publish(folder, rows, meta, {}, began)
+    finally:
+        folder.delete(f"staging-{number}")
+    vacuum(spark, path, keep=2)
+    return meta | {"errors": {r["file_path"]: r["error"] for r in errors.limit(1000).collect()}, "errors_path": report if n_failed else None}
+
+
+def create(spark: SparkSession, path: str, rows: DataFrame, meta: dict, bucket_rows: int = BUCKET_ROWS) -> dict:
+    """An index of rows that are ready. meta: engine, model_id, dimension, root_path."""
+    return _publish(Folder(spark, path), rows, {"schema_version": VERSION, "number": 1, "built_at": int(time.time()), "buckets": max(1, -(-rows.count() // bucket_rows))} | meta, {}, time.time())
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
     folder = Folder(spark, path)
     if not folder.exists("CURRENT"):
         raise IndexError_(f"no index at {path}")
-    return json.loads(folder.read(folder.read("CURRENT") + ".json")) | {"version": folder.read("CURRENT")}
+    version = folder.read("CURRENT")
+    return json.loads(folder.read(f"{version}.json")) | {"version": version}
 
 
 def open_index(spark: SparkSession, path: str, model_id: str | None = None, dimension: int | None = None) -> Opened:
@@ -103,7 +139,7 @@ def open_index(spark: SparkSession, path: str, model_id: str | None = None, dime
         raise IndexError_(f"the index has model {meta['model_id']}, not {model_id}")
     if dimension is not None and int(meta["dimension"]) != dimension:
         raise IndexError_(f"the index has dimension {meta['dimension']}, not {dimension}")
-    return Opened(spark.read.schema(schema.INDEX).parquet(f"{path.rstrip('/')}/{meta['version']}"), meta)
+    return Opened(_rows(spark, path, list(meta["parts"].values())), meta)
 
 
 def replaced(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
@@ -112,16 +148,22 @@ def replaced(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def apply_changes(spark: SparkSession, path: str, new: DataFrame, removed: DataFrame, changed: DataFrame, batch: int | None = None) -> dict:
-    """A new version: rows of removed and changed files (file_path) go, those of new come. A batch number is applied once."""
+    """A new version: rows of removed and changed files (file_path) go, those of new come. A batch number is applied once.
+
+    Only buckets of these files are read and written. new is read more than once: give it written.
+    """
     opened = open_index(spark, path)
     if batch is not None and opened.meta.get("batch", -1) >= batch:
         return opened.meta
     wrong = new.where(F.size("embedding") != int(opened.meta["dimension"])).limit(1).collect()
     if wrong:
         raise IndexError_(f"dimension of {wrong[0]['file_path']} is not {opened.meta['dimension']}")
+    gone = removed.select("file_path").unionByName(changed.select("file_path"))
+    buckets, parts = int(opened.meta["buckets"]), opened.meta["parts"]
+    touched = {str(r[0]) for r in gone.unionByName(new.select("file_path")).select(_bucket(F.col("file_path"), buckets)).distinct().collect()}
     meta = {k: v for k, v in opened.meta.items() if k != "version"} | {"number": int(opened.meta["number"]) + 1} | ({} if batch is None else {"batch": batch})
-    rows = replaced(opened.chunks, new, removed.select("file_path").unionByName(changed.select("file_path")))
-    _publish(Folder(spark, path), rows, meta)
+    rows = replaced(_rows(spark, path, [p for b, p in parts.items() if b in touched]), new, gone)
+    meta = _publish(Folder(spark, path), rows.repartition("file_path"), meta, {b: p for b, p in parts.items() if b not in touched})
     vacuum(spark, path, keep=3)
     return meta
 
@@ -133,11 +175,19 @@ def remove_file(spark: SparkSession, path: str, file_path: str) -> dict:
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 3) -> None:
-    """Drops all but the last versions; a reader of an older one has that long."""
+    """Drops versions but the last ones, and the folders that only dropped versions name; a reader of an older one has that long."""
     folder = Folder(spark, path)
-    for version in sorted(n for n in folder.names() if n.startswith("v") and not n.endswith(".json"))[:-keep]:
-        folder.delete(version)
+    names = folder.names()
+    versions = sorted(n.removesuffix(".json") for n in names if n.startswith("v") and n.endswith(".json"))
+    last = versions[-keep:]
+    used = {part for v in last for part in json.loads(folder.read(f"{v}.json")).get("parts", {}).values()}
+    for version in (n for n in names if n.startswith("v") and not n.endswith((".json", "-errors"))):
+        mine = {f"{version}/{n}" for n in folder.names(version) if n.startswith("bucket=")}
+        for part in [version] if not mine & used and version not in last else sorted(mine - used):
+            folder.delete(part)
+    for version in versions[:-keep]:
         folder.delete(f"{version}.json")
+        folder.delete(f"{version}-errors")
 
 
 def drop(spark: SparkSession, path: str) -> None:
@@ -153,8 +203,9 @@ def counts(chunks: DataFrame) -> DataFrame:
 def status(spark: SparkSession, path: str) -> dict:
     """Counts, description and size; the model and dimension are not checked."""
     meta = read_meta(spark, path)
-    row = counts(spark.read.schema(schema.INDEX).parquet(f"{path.rstrip('/')}/{meta['version']}")).first()
-    return meta | row.asDict() | {"db_size_bytes": Folder(spark, path).size(meta["version"])}
+    row = counts(_rows(spark, path, list(meta["parts"].values()))).first()
+    folder = Folder(spark, path)
+    return meta | row.asDict() | {"db_size_bytes": sum(map(folder.size, meta["parts"].values()))}
 
 
 def usable(found: dict | None, directory: str) -> bool:

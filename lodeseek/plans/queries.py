@@ -11,10 +11,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import schema
 from ..config import IndexingConfig, SearchQuery
 from ..functions import display, metadata, paths, source_map, text, vectors
 from ..operators import chunk, embed, grep, index, knn, preview, results
-from ..sources import catalog, extract, files
+from ..sources import catalog, extract, files, work
 from ..sources.tables import EXTENSIONS, corpus, table
 from ..streaming import watch
 
@@ -130,13 +131,8 @@ def grep_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grep_max_file_size", _lines_sql("(?i)is", where="ext_type = 'PlainText' AND size_bytes <= 800", columns="path, line, start"))
 def grep_max_file_size(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grep_small(spark, sf_dir).select("path", "line", "start")
-
-
-def _grep_small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small = corpus(spark, sf_dir).where(F.col("size_bytes") <= 800)
-    docs = small.withColumn("file_type", paths.file_type(F.col("path"))).where("file_type = 'PlainText'")
-    return grep.grep_lines(docs, SearchQuery("is", max_file_size=800), keep=["path"])
+    docs = corpus(spark, sf_dir).where(~F.col("path").endswith(".pdf"))
+    return grep.grep(docs, SearchQuery("is", max_file_size=800)).select("path", "line", "start")
 
 
 @query("grep_pages", "SELECT page_id, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<p>')) FROM pages) GROUP BY page_id")
@@ -355,9 +351,26 @@ def chunk_line_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _chunks(spark, sf_dir, ["doc_id"]).select("doc_id", "chunk_idx", "line")
 
 
-@query("index_status", f"WITH {_CHUNKS} SELECT count(DISTINCT doc_id) AS indexed_files, count(*) AS total_chunks FROM chunks")
+def _index_rows(chunks: DataFrame) -> DataFrame:
+    """Index rows of chunks (file_path, chunk_idx, chunk_text), with small vectors."""
+    blank = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in schema.INDEX.split(", ")}
+    vector = F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: (F.length("chunk_text") % (k + 3)).cast("float"))
+    known = {"file_path": F.col("file_path"), "chunk_idx": F.col("chunk_idx"), "chunk_text": F.col("chunk_text"), "embedding": vector}
+    return chunks.select(*[known.get(c, null).alias(c) for c, null in blank.items()])
+
+
+def _new_index(spark: SparkSession, sf_dir: str) -> str:
+    """The path of an index of the documents' fixed windows, a file for each document, in several buckets."""
+    path = work.new_path(spark, "query-index")
+    rows = _index_rows(_chunks(spark, sf_dir, ["doc_id"]).withColumn("file_path", F.col("doc_id").cast("string")))
+    index.create(spark, path, rows, {"engine": "Fastembed", "model_id": "small", "dimension": 4, "root_path": "/"}, bucket_rows=1000)
+    return path
+
+
+@query("index_status", f"WITH {_CHUNKS} SELECT count(DISTINCT doc_id) AS indexed_files, count(*) AS total_chunks, 4 AS dimension FROM chunks")
 def index_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return index.counts(_chunks(spark, sf_dir, ["doc_id"]).withColumn("file_path", F.col("doc_id").cast("string")))
+    found = index.status(spark, _new_index(spark, sf_dir))
+    return spark.createDataFrame([(found["indexed_files"], found["total_chunks"], found["dimension"])], "indexed_files long, total_chunks long, dimension int")
 
 
 @query("delete_semi", "SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT doc_id FROM labels WHERE quality = 0)")
@@ -366,19 +379,23 @@ def delete_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vectors(spark, sf_dir).select("vec_id").join(bad, "vec_id", "left_semi")
 
 
-@query("remove_anti", "SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+@query("remove_anti", f"WITH {_CHUNKS} SELECT doc_id::VARCHAR AS file_path, chunk_idx::INT AS chunk_idx FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def remove_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gone = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
-    return table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(gone, "doc_id", "left_anti")
+    """An index after files were removed."""
+    path = _new_index(spark, sf_dir)
+    gone = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("file_path"))
+    index.apply_changes(spark, path, spark.createDataFrame([], schema.INDEX), gone, gone.limit(0))
+    return index.open_index(spark, path).chunks.select("file_path", "chunk_idx")
 
 
 @query("upsert_replace", f"WITH {_CHUNKS}, gone AS (SELECT doc_id FROM labels), fresh AS (SELECT doc_id, 0 AS chunk_idx, 'new' AS chunk_text FROM labels WHERE quality = 1) SELECT doc_id::VARCHAR AS file_path, chunk_idx::INT AS chunk_idx, chunk_text FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM gone) UNION ALL SELECT doc_id::VARCHAR, chunk_idx, chunk_text FROM fresh")
 def upsert_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with a label are replaced; those of bad quality have no chunks any more, so they go."""
-    old = _chunks(spark, sf_dir, ["doc_id"]).select(F.col("doc_id").cast("string").alias("file_path"), "chunk_idx", "chunk_text")
+    """An index after files with a label were replaced; those of bad quality have no chunks any more, so they go."""
+    path = _new_index(spark, sf_dir)
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("file_path"), "quality")
-    new = labels.where("quality = 1").select("file_path", F.lit(0).alias("chunk_idx"), F.lit("new").alias("chunk_text"))
-    return index.replaced(old, new, labels)
+    new = _index_rows(labels.where("quality = 1").select("file_path", F.lit(0).alias("chunk_idx"), F.lit("new").alias("chunk_text")))
+    index.apply_changes(spark, path, new, labels.select("file_path").limit(0), labels.select("file_path"))
+    return index.open_index(spark, path).chunks.select("file_path", "chunk_idx", "chunk_text")
 
 
 @query("chunk_semantic")
@@ -391,12 +408,28 @@ def embed_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.embed_passages(table(spark, sf_dir, "benchmark"), embed.HashingEmbedder(), text="text").select("item_id", "embedding", "embed_error")
 
 
+def _corpus_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir).withColumn("file_type", paths.file_type(F.col("path"))).where("file_type = 'PlainText'")
+    docs = docs.withColumn("source_map", F.lit(None).cast("array<struct<start:bigint,end:bigint,origin:struct<origin_type:string,line:int,col:int,page:int,bbox:struct<x:float,y:float,width:float,height:float>>>>"))
+    return docs.select("path", "file_type", "text", "source_map")
+
+
 @query("index_build")
 def index_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows an index of the corpus has, ready to be written."""
-    docs = corpus(spark, sf_dir).withColumn("file_type", paths.file_type(F.col("path"))).where("file_type = 'PlainText'")
-    docs = docs.withColumn("source_map", F.lit(None).cast("array<struct<start:bigint,end:bigint,origin:struct<origin_type:string,line:int,col:int,page:int,bbox:struct<x:float,y:float,width:float,height:float>>>>"))
-    return index.prepare(docs.select("path", "file_type", "text", "source_map"), embed.HashingEmbedder(64), IndexingConfig(), "/corpus").drop("embed_error")
+    return index.prepare(_corpus_documents(spark, sf_dir), embed.HashingEmbedder(64), IndexingConfig(), "/corpus").drop("embed_error")
+
+
+@query("index_build_fixed", f"""WITH {_CORPUS}, plain AS (SELECT doc_id, replace(path, '/corpus/', '') AS file_path, text FROM corpus WHERE path NOT LIKE '%.pdf' AND path NOT LIKE '%.rs' AND text <> ''),
+c AS (SELECT file_path, text, unnest(range(0, greatest(length(text) - 128 - 1, 0) // 472 + 1)) AS k FROM plain)
+SELECT file_path, k::INT AS chunk_idx, strlen(left(text, (k * 472)::INT))::BIGINT AS byte_start, len(string_split(left(text, (k * 472)::INT), chr(10)))::INT AS line, trim(substr(text, k * 472 + 1, 600), ' ' || chr(9) || chr(10) || chr(13)) AS chunk_text, 64 AS dimension
+FROM c WHERE trim(substr(text, k * 472 + 1, 600), ' ' || chr(9) || chr(10) || chr(13)) <> ''""")
+def index_build_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole build of the corpus in fixed windows, opened again."""
+    path = work.new_path(spark, "query-index")
+    index.build(spark, path, _corpus_documents(spark, sf_dir), embed.HashingEmbedder(64), "/corpus", semantic=False)
+    chunks = index.open_index(spark, path, "hashing", 64).chunks
+    return chunks.select("file_path", "chunk_idx", "byte_start", "line", "chunk_text", F.size("embedding").alias("dimension"))
 
 
 # source maps: a conversation is a document, its turns are segments on pages of two turns
@@ -469,13 +502,12 @@ def doi_find(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", metadata.find_doi(F.concat(F.col("text"), F.lit("\n"), F.col("note"))).alias("doi"))
 
 
-@query("doi_normalize", "SELECT doc_id, CASE WHEN doc_id % 4 < 3 THEN '10.1000/' || doc_id END AS doi FROM documents")
+@query("doi_normalize", "SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 4) THEN '10.1000/' || doc_id END AS doi FROM documents")
 def doi_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wrappers at the end go; an opening one in front stays, so such a value is none."""
     d = F.col("doc_id").cast("string")
-    forms = [F.concat(F.lit("  https://dx.doi.org/10.1000/"), d, F.lit(".)")), F.concat(F.lit('DoI: "10.1000/'), d), F.concat(F.lit("<10.1000/"), d, F.lit(">")), F.concat(F.lit("11.1000/"), d)]
-    raw = F.get(F.array(*forms), (F.col("doc_id") % 4).cast("int"))
-    fixed = F.regexp_replace(raw, '["<>]', "")
-    return table(spark, sf_dir, "documents").select("doc_id", metadata.normalize_doi(fixed).alias("doi"))
+    forms = [F.concat(F.lit("  https://dx.doi.org/10.1000/"), d, F.lit(".)")), F.concat(F.lit("DoI: 10.1000/"), d, F.lit("\"]}>',;")), F.concat(F.lit("<10.1000/"), d, F.lit(">")), F.concat(F.lit("11.1000/"), d), F.concat(F.lit("10.1000/"), d, F.lit("' "))]
+    return table(spark, sf_dir, "documents").select("doc_id", metadata.normalize_doi(F.get(F.array(*forms), (F.col("doc_id") % 5).cast("int"))).alias("doi"))
 
 
 @query("pdf_date", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN strftime(ts, '%Y-%m') END AS month FROM events")
@@ -485,15 +517,14 @@ def pdf_date(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", metadata.pdf_month(raw).alias("month"))
 
 
-@query("metadata_dispatch", f"WITH {_DOI_SQL} SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN nullif(trim(source), '') END AS title, CASE WHEN doc_id % 10 = 8 THEN NULL ELSE doi END AS doi FROM dois")
+@query("metadata_dispatch", f"WITH {_DOI_SQL} SELECT doc_id, CASE WHEN doc_id % 10 = 7 THEN nullif(trim(source), '') END AS title, NULL::VARCHAR AS author, CASE WHEN doc_id % 10 = 8 THEN NULL ELSE doi END AS doi, CASE WHEN doc_id % 10 = 7 THEN '2024-02' END AS created_at FROM dois")
 def metadata_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with pages have a title and DOIs in fields; others are read for a DOI; unsupported ones have nothing."""
     rows = _with_doi(spark, sf_dir)
     ext = F.get(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS)).cast("int"))
     kind = paths.file_type(F.concat(F.lit("/x."), ext))
-    title = F.when(kind == paths.PDF, metadata.non_blank(F.concat(F.lit(" "), "source", F.lit("\t"))))
-    doi = F.when(kind == paths.PDF, metadata.first_doi([F.lit(" "), F.col("lang"), F.col("note")])).when(kind == paths.PLAIN_TEXT, metadata.find_doi(F.col("note")))
-    return rows.select("doc_id", title.alias("title"), doi.alias("doi"))
+    found = metadata.of_document(kind, F.concat(F.lit(" "), "source", F.lit("\t")), F.lit(" "), [F.lit(" "), F.col("lang")], F.lit("D:20240229101112+01'00'"), F.col("note"))
+    return rows.select("doc_id", found.alias("m")).select("doc_id", "m.*")
 
 
 # preview and display
@@ -549,7 +580,17 @@ def header_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", display.title_of(F.col("path"), title).alias("title"))
 
 
-@query("model_catalog", "SELECT * FROM (VALUES " + ", ".join(f"('{e}', '{m}', '{m.split('/')[-1]}', {n}, {str((e, m) in (('SBERT', 'intfloat/e5-small-v2'), ('Candle', 'sentence-transformers/all-MiniLM-L6-v2'))).lower()})" for e, m, _, n, _ in catalog.MODELS) + ") AS v(engine, model_id, display_name, dimension, is_default)")
+#: What the catalogue must hold, stated here on its own.
+_CATALOG_SQL = """SELECT engine, model_id, regexp_extract(model_id, '[^/]*$') AS display_name, dimension, model_id = CASE engine WHEN 'SBERT' THEN 'intfloat/e5-small-v2' ELSE 'sentence-transformers/all-MiniLM-L6-v2' END AS is_default FROM (VALUES
+('SBERT', 'intfloat/e5-small-v2', 384), ('SBERT', 'nomic-ai/nomic-embed-text-v1', 384), ('SBERT', 'nomic-ai/nomic-embed-text-v1.5', 768), ('SBERT', 'sentence-transformers/all-MiniLM-L12-v2', 384),
+('SBERT', 'jinaai/jina-embeddings-v5-text-small', 1024), ('SBERT', 'jinaai/jina-embeddings-v5-text-nano', 768), ('SBERT', 'sentence-transformers/all-mpnet-base-v2', 768),
+('SBERT', 'minishlab/potion-multilingual-128M', 256), ('SBERT', 'thenlper/gte-small', 384),
+('Candle', 'sentence-transformers/all-MiniLM-L6-v2', 384), ('Candle', 'BAAI/bge-base-en-v1.5', 768), ('Candle', 'sentence-transformers/all-MiniLM-L12-v2', 384),
+('Candle', 'intfloat/multilingual-e5-large-instruct', 1024), ('Candle', 'mixedbread-ai/mxbai-embed-large-v1', 1024), ('Candle', 'snowflake/snowflake-arctic-embed-xs', 384),
+('Candle', 'snowflake/snowflake-arctic-embed-s', 384), ('Candle', 'Snowflake/snowflake-arctic-embed-m', 768), ('Candle', 'snowflake/snowflake-arctic-embed-l', 1024)) AS v(engine, model_id, dimension)"""
+
+
+@query("model_catalog", _CATALOG_SQL)
 def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = catalog.models(spark, "SBERT").unionByName(catalog.models(spark, "Candle"))
     return both.select("engine", "model_id", "display_name", "dimension", "is_default")
@@ -594,15 +635,59 @@ def event_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.classify(_file_events(spark, sf_dir))
 
 
-@query("event_apply_batch", f"WITH {_OPS}, o AS (SELECT regexp_extract(path, '[0-9]+')::BIGINT AS id, op FROM ops WHERE op IS NOT NULL) SELECT doc_id, 'old' AS state FROM documents WHERE doc_id NOT IN (SELECT id FROM o) UNION ALL SELECT id, 'new' FROM o WHERE op = 'changed'")
-def event_apply_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ops = watch.classify(_file_events(spark, sf_dir)).select(F.regexp_extract("path", "[0-9]+", 0).cast("long").alias("doc_id"), "op")
-    old = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_path"), F.lit("old").alias("state"))
-    new = ops.where("op = 'changed'").select(F.col("doc_id").alias("file_path"), F.lit("new").alias("state"))
-    return index.replaced(old, new, ops.withColumnRenamed("doc_id", "file_path")).withColumnRenamed("file_path", "doc_id")
+_AFTER = f"""WITH {_OPS}, o AS (SELECT regexp_extract(path, '[0-9]+')::BIGINT AS id, path, op FROM ops WHERE op IS NOT NULL)
+SELECT '/w/' || doc_id || '.' || ({list(EXTENSIONS)!r})[doc_id % 10 + 1] AS path, 'old' AS state FROM documents WHERE doc_id NOT IN (SELECT id FROM o) UNION ALL SELECT path, 'new text' FROM o WHERE op = 'changed'"""
+
+
+def _watched(spark: SparkSession, sf_dir: str) -> str:
+    """An index with a file for each document, as events name them."""
+    path = work.new_path(spark, "query-index")
+    ext = F.get(F.array(*[F.lit(e) for e in EXTENSIONS]), (F.col("doc_id") % len(EXTENSIONS)).cast("int"))
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("/w/"), F.col("doc_id").cast("string"), F.lit("."), ext).alias("file_path"), F.lit(0).alias("chunk_idx"), F.lit("old").alias("chunk_text"))
+    index.create(spark, path, _index_rows(rows), {"engine": "Fastembed", "model_id": "hashing", "dimension": 4, "root_path": "/"}, bucket_rows=1000)
+    return path
+
+
+def _reread(changed: DataFrame) -> DataFrame:
+    """Documents of changed paths, as a reader of files gives them."""
+    return changed.select("path", paths.file_type(F.col("path")).alias("file_type"), F.lit("new text").alias("text"), F.lit(None).cast(f"array<{schema.SEGMENT}>").alias("source_map"), F.lit(None).cast("string").alias("error"))
 
 
-@query("extract_words")
+def _states(spark: SparkSession, path: str) -> DataFrame:
+    return index.open_index(spark, path).chunks.select(F.col("file_path").alias("path"), F.col("chunk_text").alias("state"))
+
+
+@query("event_apply_batch", _AFTER)
+def event_apply_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index after one batch of events."""
+    path = _watched(spark, sf_dir)
+    watch.apply_batch(spark, path, _file_events(spark, sf_dir), _reread, embed.HashingEmbedder(4), "/none", batch=0)
+    return _states(spark, path)
+
+
+@query("stream_upsert", f"""WITH e AS (SELECT *, ts + to_microseconds(event_id) AS t FROM events), m AS (SELECT min(t) AS a, max(t) AS b FROM e),
+lasts AS (SELECT user_id, t > a + (b - a) / 2 AS late, arg_max(event_id, t) AS e FROM e, m GROUP BY ALL),
+ops AS (SELECT user_id AS id, late, CASE WHEN e % 5 = 0 THEN 'removed' WHEN e % 7 <> 0 AND user_id % 10 <> 8 THEN 'changed' END AS op FROM lasts),
+o AS (SELECT id, arg_max(op, late) AS op FROM ops WHERE op IS NOT NULL GROUP BY id), p AS (SELECT id, op, '/w/' || id || '.' || ({list(EXTENSIONS)!r})[id % 10 + 1] AS path FROM o)
+SELECT '/w/' || doc_id || '.' || ({list(EXTENSIONS)!r})[doc_id % 10 + 1] AS path, 'old' AS state FROM documents WHERE doc_id NOT IN (SELECT id FROM p) UNION ALL SELECT path, 'new text' FROM p WHERE op = 'changed'""")
+def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index after a stream of event files, those of the first and of the second half of the time."""
+    path, events = _watched(spark, sf_dir), work.new_path(spark, "query-events")
+    ordered = _file_events(spark, sf_dir).withColumn("ts", F.timestamp_micros(F.unix_micros(F.col("ts.ts").cast("timestamp")) + F.col("ts.event_id")))
+    ends = ordered.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    late = F.unix_micros("ts") * 2 > ends[0] + ends[1]
+    for part in (~late, late):
+        ordered.where(part).coalesce(1).write.mode("append").parquet(events)
+        watch.watch(spark, events, path, _reread, embed.HashingEmbedder(4), "/none", events + "-checkpoint", once=True).awaitTermination()
+    return _states(spark, path)
+
+
+@query("extract_words", f"""WITH {_CORPUS}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS n FROM corpus WHERE path LIKE '%.pdf' AND text IS NOT NULL),
+w AS (SELECT path, n, list_filter(regexp_split_to_array(line, '[ \\t\\r\\v\\f]+'), lambda x: x <> '') AS ws FROM l),
+t AS (SELECT path, string_agg(array_to_string(ws, ' ') || chr(10), '' ORDER BY n) AS body FROM w GROUP BY path),
+h AS (SELECT path, body, regexp_extract_all(body, '(?i)of\\s+the') AS hs, string_split_regex(body, '(?i)of\\s+the') AS ps FROM t),
+f AS (SELECT path, unnest(hs) AS m, unnest(list_transform(range(1, len(hs) + 1), lambda k: strlen(array_to_string(ps[1:k], '') || array_to_string(hs[1:k - 1], '')))) AS start FROM h)
+SELECT path, start::BIGINT AS start, (start + strlen(m))::BIGINT AS "end", 1 AS page FROM f""")
 def extract_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of words through the extractor path: each document's lines as lines of words with boxes."""
 
@@ -613,7 +698,7 @@ def extract_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     registry = extract.Registry(extract.Extractor("words", ("pdf",), run))
     docs = corpus(spark, sf_dir).where(F.col("path").endswith(".pdf"))
     read = extract.documents(docs.select("path", F.lit(paths.PDF).alias("file_type"), F.col("text").cast("binary").alias("content")), registry)
-    return grep.grep_whole(read, SearchQuery("of the"), keep=["path"]).select("path", "start", "end", "page", F.col("bbox.width").alias("width"))
+    return grep.grep_whole(read, SearchQuery("of the"), keep=["path"]).select("path", "start", "end", "page")
 
 
 @query("overlap_join", f"WITH {_SEGMENTS} SELECT p.conv_id, turn FROM probe p JOIN segs s USING (conv_id) WHERE s.s < b AND s.e > a")

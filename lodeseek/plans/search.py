@@ -10,10 +10,11 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import GREP, SearchQuery, Settings
+from .. import state
+from ..config import GREP, IndexingConfig, SearchQuery, Settings
 from ..functions import paths
 from ..operators import embed, grep, index, knn
-from ..sources import extract, files
+from ..sources import extract, files, work
 
 
 class SearchError(RuntimeError):
@@ -28,29 +29,62 @@ def resolved(query: SearchQuery, settings: Settings | None) -> SearchQuery:
 
 
 def search_folder(spark: SparkSession, query: SearchQuery, registry: extract.Registry | None = None, settings: Settings | None = None) -> tuple[DataFrame, DataFrame]:
-    """(matches, errors) of an exact search below query.root."""
+    """(matches, errors) of an exact search below query.root.
+
+    Files of lines are searched where they are read. Other files are extracted once, before the search, and their texts written to
+    the work folder. A cap on results is put on counts first; then only the files that it lets through are read for matches.
+    """
     query = resolved(query, settings)
     if not query.root or not query.root.strip():
         raise SearchError("no folder to search")
     walk = files.Walk(ignore_files=query.respect_gitignore, max_size=query.max_file_size)
     found = files.scan(spark, query.root, walk, query.supported_extensions)
-    docs = extract.documents(found.select("path", "file_type", "size_bytes", "content"), registry)
-    lines = grep.grep_lines(docs.where(F.col("file_type") == paths.PLAIN_TEXT).select("path", "file_type", "text"), query, keep=["path"])
-    whole = grep.grep_whole(docs.where((F.col("file_type") == paths.PDF) & F.col("error").isNull()), query, keep=["path"])
-    matches = lines.unionByName(whole)
-    errors = docs.where((F.col("file_type") == paths.PDF) & F.col("error").isNotNull()).select("path", "error")
-    return (grep.soft_cap(matches, query.max_results) if query.max_results > 0 else matches), errors
-
-
-def search_index(spark: SparkSession, query: SearchQuery, path: str, embedder: embed.Embedder, settings: Settings | None = None) -> DataFrame:
-    """Matches of a semantic search, with rank; the query's folder and flags have no effect."""
+    plain = extract.plain_documents(found.where(F.col("file_type") == paths.PLAIN_TEXT)).select("path", "file_type", "text")
+    other = work.written(extract.extracted_documents(found.where(F.col("file_type") != paths.PLAIN_TEXT), registry), "extracted")
+    pages = other.where("error is null")
+    errors = other.where("error is not null").select("path", "error")
+    if query.max_results > 0:
+        counts = grep.count_lines(plain, query, keep=["path"]).unionByName(grep.grep_whole(pages, query, keep=["path"]).groupBy("path").agg(F.count("*").alias("n_matches")))
+        kept = [r["path"] for r in grep.cap_files(counts, query.max_results).collect()]  # max_results at most
+        plain, pages = (df.where(F.col("path").isin(kept)) for df in (plain, pages))
+    return grep.grep_lines(plain, query, keep=["path"]).unionByName(grep.grep_whole(pages, query, keep=["path"])), errors
+
+
+def search_index(spark: SparkSession, query: SearchQuery, path: str, embedder: embed.Embedder | None, settings: Settings | None = None, building: bool = False) -> DataFrame:
+    """Matches of a semantic search, with rank; the query's folder and flags have no effect. Refused while an index is being built."""
     query = resolved(query, settings)
+    try:
+        meta = index.read_meta(spark, path)
+    except index.IndexError_:
+        meta = None
+    if building or embedder is None:
+        state.before_semantic_search(query.root, meta, building, embedder is not None)
     opened = index.open_index(spark, path, embedder.model_id, embedder.dimension)
+    state.before_semantic_search(query.root, opened.meta, building, True)
     vector = embed.embed_query(embedder, query.pattern)
     knn.check_dimension(int(opened.meta["dimension"]), vector)
     hits = knn.top_k(opened.chunks, vector, query.max_results, ["file_path", "chunk_idx"])
     full = knn.with_columns_of(hits, opened.chunks.drop("embedding"), ["file_path", "chunk_idx"])
-    return knn.decoded(knn.supported(full, query.supported_extensions), opened.meta["root_path"]).orderBy(F.desc("score"), "path", "chunk_idx")
+    return knn.decoded(knn.supported(full, query.supported_extensions), opened.meta["root_path"]).orderBy(F.desc_nulls_last("score"), "path", "chunk_idx")
+
+
+def by_file(hits: DataFrame) -> DataFrame:
+    """A semantic search's hits as one row a file, files and matches in rank order."""
+    return knn.by_file(hits, "path", ["path", "chunk_idx"])
+
+
+def build_index(spark: SparkSession, root: str | None, path: str, embedder: embed.Embedder, registry: extract.Registry | None = None, config: IndexingConfig = IndexingConfig(), semantic: bool = True) -> dict:
+    """An index of a folder: all files of searched types, ignore rules on, no limit of size. What cannot be read is among the errors.
+
+    Run it within cancellable() to be able to stop it.
+    """
+    there, folder = files.exists(spark, root) if root and root.strip() else (False, False)
+    validate_root(root, None, there, folder)
+    found = files.scan(spark, root, files.BUILD, config.supported_extensions)
+    validate_root(root, found.select("path"))
+    docs = extract.documents(found.select("path", "file_type", "size_bytes", "content"), registry, strict=True)
+    plain_path = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    return index.build(spark, path, docs.withColumn("path", plain_path(F.col("path"))), embedder, root, config, semantic)
 
 
 def stream_rows(df: DataFrame) -> Iterator[Row]:

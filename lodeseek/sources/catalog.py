@@ -30,6 +30,8 @@ MODELS = [
     ("Candle", "Snowflake/snowflake-arctic-embed-m", "Snowflake Arctic embed model, medium", 768, False),
     ("Candle", "snowflake/snowflake-arctic-embed-l", "Snowflake Arctic embed model, large", 1024, False),
 ]
+#: Models of a run-time list that are recommended.
+RECOMMENDED = ("BGEBaseENV15", "AllMiniLML6V2")
 BATCH = 32
 
 
@@ -40,14 +42,18 @@ def preferred_batch(model: Column, description: Column) -> Column:
     return F.when(~one, F.lit(BATCH))
 
 
-def models(spark: SparkSession, engine: str, cached: tuple[str, ...] = ()) -> DataFrame:
-    """Models of an engine: the default first, then cached ones, then by id."""
+def models(spark: SparkSession, engine: str, cached: tuple[str, ...] = (), listed: list[tuple[str, str, int]] | None = None) -> DataFrame:
+    """Models of an engine: the default first, then cached ones, then by id.
+
+    listed: (model, description, dimension) as an engine tells them at run time, for engines without rows here.
+    """
     rows = [(e, m, d, n, r) for e, m, d, n, r in MODELS if e == engine]
+    rows += [(engine, m, d, n, m in RECOMMENDED) for m, d, n in listed or []]
     df = spark.createDataFrame(rows, "engine string, model_id string, description string, dimension int, is_recommended boolean")
     full = df.select(
         "engine", "model_id", display_name(F.col("model_id")).alias("display_name"), "description", "dimension",
         F.col("model_id").isin(*cached).alias("is_cached") if cached else F.lit(False).alias("is_cached"), "is_recommended",
-        (F.col("model_id") == DEFAULT_MODELS[engine]).alias("is_default"), preferred_batch(F.col("model_id"), F.col("description")).alias("preferred_batch_size"),
+        (F.col("model_id") == DEFAULT_MODELS.get(engine, "")).alias("is_default"), preferred_batch(F.col("model_id"), F.col("description")).alias("preferred_batch_size"),
     )
     assert {x.split()[0] for x in schema.MODELS.split(", ")} <= set(full.columns)
     return full.orderBy(F.desc("is_default"), F.desc("is_cached"), "model_id")

@@ -73,19 +73,19 @@ def words_to_text(pages: list[list[list[tuple[str, float, float, float, float]]]
     return Extracted("".join(text), segments, None, len(pages))
 
 
-def documents(files: DataFrame, registry: Registry | None = None, strict: bool = False) -> DataFrame:
-    """path, file_type, text, source_map, title, page_count, error of files (path, file_type, content).
-
-    A file that cannot be read has a null text and an error; others go on. strict refuses invalid UTF-8.
-    """
-    registry = registry or Registry()
-    no_map = F.lit(None).cast(f"array<{schema.SEGMENT}>").alias("source_map")
+def plain_documents(files: DataFrame, strict: bool = False) -> DataFrame:
+    """Documents of plain text files, in built-in expressions. strict refuses invalid UTF-8."""
     text = strict_text(F.col("content")) if strict else lossy_text(F.col("content"))
-    plain = files.where(F.col("file_type") == paths.PLAIN_TEXT).select(
-        "path", "file_type", text.alias("text"), no_map, F.lit(None).cast("string").alias("title"), F.lit(None).cast("int").alias("page_count"),
-        F.when(text.isNull(), F.concat("path", F.lit(": invalid UTF-8"))).alias("error"),
+    return files.select(
+        "path", "file_type", text.alias("text"), F.lit(None).cast(f"array<{schema.SEGMENT}>").alias("source_map"), F.lit(None).cast("string").alias("title"),
+        F.lit(None).cast("int").alias("page_count"), F.when(text.isNull(), F.concat("path", F.lit(": invalid UTF-8"))).alias("error"),
     )
-    routed = files.where(F.col("file_type") != paths.PLAIN_TEXT).select("path", "file_type", registry.route(F.col("path")).alias("route"), "content")
+
+
+def extracted_documents(files: DataFrame, registry: Registry | None = None) -> DataFrame:
+    """Documents of other files, through the extractors of registry. A file that cannot be read has a null text and an error."""
+    registry = registry or Registry()
+    routed = files.select("path", "file_type", registry.route(F.col("path")).alias("route"), "content")
     extractors = registry.extractors
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -107,4 +107,13 @@ def documents(files: DataFrame, registry: Registry | None = None, strict: bool =
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["path", "file_type", "text", "source_map", "title", "page_count", "error"])
 
-    return plain.unionByName(routed.mapInPandas(run, schema.DOCUMENTS))
+    return routed.mapInPandas(run, schema.DOCUMENTS)
+
+
+def documents(files: DataFrame, registry: Registry | None = None, strict: bool = False) -> DataFrame:
+    """path, file_type, text, source_map, title, page_count, error of files (path, file_type, content).
+
+    A file that cannot be read has a null text and an error; others go on. strict refuses invalid UTF-8.
+    """
+    plain = plain_documents(files.where(F.col("file_type") == paths.PLAIN_TEXT), strict)
+    return plain.unionByName(extracted_documents(files.where(F.col("file_type") != paths.PLAIN_TEXT), registry))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import SUPPORTED_EXTENSIONS
 from ..functions import paths
 from .ignore import ignored, parse
+from .work import new_path
 
 HEAD_BYTES = 64 * 1024
 
@@ -29,70 +29,143 @@ class Walk:
 GREP, BUILD, LISTING = Walk(), Walk(), Walk(hidden=False, supported_only=False)
 
 
-#: Bytes of files that Spark's readers pass over (names with "." or "_" in front); they go through the driver.
-PASSED_OVER_BYTES = 64 << 20
+#: Bytes of hidden files that go through the driver at once.
+BATCH_BYTES = 32 << 20
+_HIDDEN = "[._]*"
+_ROWS = "path string, size_bytes long, content binary"
 
 
-def _passed_over(spark: SparkSession, root: str, wanted: Callable[[str, int], bool]) -> list[tuple[str, str, int, bytes]]:
-    """(path, relative, size, content) of files below root that Spark's readers never list, if wanted(relative, size)."""
+def _top(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
-    top = jvm.org.apache.hadoop.fs.Path(root.rstrip("/"))
+    top = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base = fs.makeQualified(top).toString().rstrip("/") + "/"
-    found: dict[str, int] = {}
-    level = base
+    return jvm, fs, fs.makeQualified(top).toString().rstrip("/") + "/"
+
+
+def _passed_over(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int]]]:
+    """Folders, and files with their sizes, that Spark's readers never list (names with "." or "_" in front); no contents."""
+    jvm, fs, base = _top(spark, root)
+    folders, files_, level = [], [], base
     while len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "*"))):  # listed in the JVM, level by level
-        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "[._]*")):
-            below = fs.listFiles(status.getPath(), True)
-            while below.hasNext():
-                one = below.next()
-                found[one.getPath().toString()] = one.getLen()
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + _HIDDEN)):
+            path = status.getPath().toString()
+            if status.isDirectory():
+                folders.append(path)
+            else:
+                files_.append((path, status.getLen()))
         level += "*/"
-    rows = [(path, path.removeprefix(base), size) for path, size in sorted(found.items()) if wanted(path.removeprefix(base), size)]
-    if sum(size for _, _, size in rows) > PASSED_OVER_BYTES:
-        raise ValueError(f"hidden files below {root} have more than {PASSED_OVER_BYTES} bytes")
-    out = []
-    for path, relative, size in rows:
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+    return folders, files_
+
+
+def _contents(spark: SparkSession, files_: list[tuple[str, int]]) -> DataFrame | None:
+    """Rows of files that only the driver can read, written to the work folder BATCH_BYTES at a time."""
+    if not files_:
+        return None
+    jvm, path, held, size = spark.sparkContext._jvm, None, [], 0
+
+    def flush() -> None:
+        nonlocal path, held, size
+        path = path or new_path(spark, "hidden-files")
+        spark.createDataFrame(held, _ROWS).write.mode("append").parquet(path)
+        held, size = [], 0
+
+    for name, length in files_:
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
         try:
-            out.append((path, relative, size, bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
+            held.append((name, length, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
         finally:
             stream.close()
-    return out
+        size += length
+        if size >= BATCH_BYTES:
+            flush()
+    if path is None:  # few: they travel with the plan
+        return spark.createDataFrame(held, _ROWS)
+    if held:
+        flush()
+    return spark.read.schema(_ROWS).parquet(path)
 
 
-def _read(spark: SparkSession, root: str) -> DataFrame:
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def _relative(path: Column, base: str) -> Column:
     plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
-    base = plain(F.lit(root.rstrip("/") + "/"))
-    return found.select("path", F.replace(plain(F.col("path")), base, F.lit("")).alias("relative"), F.col("length").alias("size_bytes"), "content")
+    return F.replace(plain(path), plain(F.lit(base)), F.lit(""))
 
 
-def ignore_rules(spark: SparkSession, root: str) -> list[tuple[str, bool, bool]]:
+def ignore_rules(spark: SparkSession, root: str, hidden: list[tuple[str, int]] | None = None) -> list[tuple[str, bool, bool]]:
     """Rules of all ignore files below root; those files are few and small."""
-    named = lambda relative, size: relative.rpartition("/")[2] in (".gitignore", ".ignore") and size <= 1 << 20
-    files = [(relative, content.decode("utf-8", "replace")) for _, relative, _, content in _passed_over(spark, root, named)]
+    jvm, fs, base = _top(spark, root)
+    named = [p for p, _ in (_passed_over(spark, root)[1] if hidden is None else hidden) if p.rpartition("/")[2] in (".gitignore", ".ignore")]
     out = []
-    for name, text in sorted(files, key=lambda f: (f[0].count("/"), f[0])):
-        out += parse(text, name.rpartition("/")[0])
+    for path in sorted(named, key=lambda p: (p.count("/"), p)):
+        stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
+        try:
+            text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
+        finally:
+            stream.close()
+        out += parse(text, path.removeprefix(base).rpartition("/")[0])
     return out
 
 
 def scan(spark: SparkSession, root: str, walk: Walk = GREP, extensions: tuple[str, ...] | list[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
     """path, relative, size_bytes, file_type, content of files below root that walk lets through.
 
-    Filters on path and size are below anything that reads contents.
+    Types, sizes and ignore rules are tested on names before any content is read: Spark prunes its list of files by its metadata
+    columns. Hidden folders are roots of their own; hidden files, which Spark's readers refuse, go through the driver in batches.
     """
-    files = _read(spark, root)
-    shown = lambda relative, size: (walk.hidden or not any(p.startswith(".") for p in relative.split("/"))) and not 0 < walk.max_size < size
-    if more := _passed_over(spark, root, shown):
-        files = files.unionByName(spark.createDataFrame([(p, r, n, bytearray(c)) for p, r, n, c in more], "path string, relative string, size_bytes long, content binary"))
-    if walk.ignore_files:
-        files = files.where(~ignored(F.col("relative"), ignore_rules(spark, root)))
-    if walk.max_size:
-        files = files.where(F.col("size_bytes") <= walk.max_size)
-    files = files.withColumn("file_type", paths.file_type(F.col("relative"), extensions))
-    return files.where("file_type is not null") if walk.supported_only else files
+    _, _, base = _top(spark, root)
+    folders, hidden = _passed_over(spark, root)
+    rules = ignore_rules(spark, root, hidden) if walk.ignore_files else []
+    starts_hidden = lambda path: any(part.startswith(".") for part in path.removeprefix(base).split("/"))
+
+    def wanted(path: Column, size: Column) -> Column:
+        out = F.lit(True)
+        if walk.supported_only:
+            out = out & paths.file_type(path, extensions).isNotNull()
+        if walk.max_size:
+            out = out & (size <= walk.max_size)
+        return out & ~ignored(_relative(path, base), rules)
+
+    roots = [base] + [f for f in folders if walk.hidden or not starts_hidden(f)]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
+    meta = F.col("_metadata")
+    found = found.where(wanted(meta["file_path"], meta["file_size"])).select("path", F.col("length").alias("size_bytes"), "content")
+    apart = [(p, n) for p, n in hidden if walk.hidden or not starts_hidden(p)]
+    if apart:
+        names = spark.createDataFrame(apart, "path string, size long")
+        chosen = {r["path"] for r in names.where(wanted(F.col("path"), F.col("size"))).collect()}
+        more = _contents(spark, [f for f in apart if f[0] in chosen])
+        found = found if more is None else found.unionByName(more)
+    return found.select("path", _relative(F.col("path"), base).alias("relative"), "size_bytes", paths.file_type(F.col("path"), extensions).alias("file_type"), "content")
+
+
+def exists(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether path exists, and whether it is a folder."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.exists(where), fs.exists(where) and fs.getFileStatus(where).isDirectory()
+
+
+def confined(spark: SparkSession, path: str, root: str) -> bool:
+    """Whether path is root or below it when links are followed; a path that does not exist is judged by its nearest folder that does."""
+    if not paths.is_under(path, root):
+        return False
+    jvm = spark.sparkContext._jvm
+
+    def real(name: str) -> str:
+        where = jvm.org.apache.hadoop.fs.Path(name)
+        fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        below = []
+        while not fs.exists(where) and where.getParent() is not None:
+            below.insert(0, where.getName())
+            where = where.getParent()
+        if fs.getUri().getScheme() == "file":
+            found = jvm.java.io.File(fs.makeQualified(where).toUri().getPath()).getCanonicalPath()
+        else:
+            found = fs.resolvePath(where).toUri().getPath()
+        return "/".join([found.rstrip("/"), *below])
+
+    return paths.is_under(real(path), real(root))
 
 
 def strict_text(content: Column) -> Column:

@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import logging
+import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from .. import schema
+from .. import schema, state
 from ..config import SUPPORTED_EXTENSIONS, IndexingConfig
 from ..functions import paths
 from ..operators import embed, index
+from ..operators.store import Folder
 
 log = logging.getLogger(__name__)
 DEBOUNCE = "500 milliseconds"
@@ -36,22 +39,32 @@ def apply_batch(spark: SparkSession, path: str, events: DataFrame, read: Callabl
 
     A file that cannot be read or embedded keeps its old rows; one without chunks loses them.
     """
-    ops = classify(events, config.supported_extensions).persist()
+    folder = Folder(spark, path)
+    aside = f"changes-{uuid.uuid4().hex}"
     try:
+        # Written, not cached: the batch is read several times, and what was read and embedded is not made twice.
+        classify(events, config.supported_extensions).write.parquet(f"{folder.path}/{aside}/ops")
+        ops = spark.read.schema("path string, op string").parquet(f"{folder.path}/{aside}/ops")
         if ops.isEmpty():
             return
         relative = paths.relative(F.col("path"), root).alias("file_path")
         docs = read(ops.where("op = 'changed'").select("path"))
-        broken = docs.where("text is null").select(relative)
-        rows, failed = index.good_rows(index.prepare(docs, embedder, config, root, semantic).persist())
-        changed = docs.select(relative).join(broken, "file_path", "left_anti").join(failed, "file_path", "left_anti")
+        docs.select(relative, F.isnull("text").alias("broken")).write.parquet(f"{folder.path}/{aside}/docs")
+        index.prepare(docs, embedder, config, root, semantic).write.parquet(f"{folder.path}/{aside}/rows")
+        rows, failed = index.good_rows(spark.read.parquet(f"{folder.path}/{aside}/rows"))
+        seen = spark.read.schema("file_path string, broken boolean").parquet(f"{folder.path}/{aside}/docs")
+        changed = seen.where("not broken").select("file_path").join(failed, "file_path", "left_anti")
         index.apply_changes(spark, path, rows, ops.where("op = 'removed'").select(relative), changed, batch)
     finally:
-        ops.unpersist()
+        folder.delete(aside)
 
 
-def watch(spark: SparkSession, events_dir: str, path: str, read: Callable[[DataFrame], DataFrame], embedder: embed.Embedder, root: str, checkpoint: str, config: IndexingConfig = IndexingConfig(), once: bool = False) -> StreamingQuery:
-    """A streaming query over event files; a batch that is run again after a failure is not applied twice."""
+def watch(spark: SparkSession, events_dir: str, path: str, read: Callable[[DataFrame], DataFrame], embedder: embed.Embedder, root: str, checkpoint: str, config: IndexingConfig = IndexingConfig(), once: bool = False, wait: Callable[[float], None] = time.sleep) -> StreamingQuery:
+    """A streaming query over event files; a batch that is run again after a failure is not applied twice.
+
+    An index that is not ready yet is waited for, with growing waits; then the last failure is raised.
+    """
+    state.retried(lambda: index.open_index(spark, path, embedder.model_id, embedder.dimension), sleep=wait)
     stream = spark.readStream.schema(schema.EVENTS).parquet(events_dir)
 
     def each(events: DataFrame, number: int) -> None:
