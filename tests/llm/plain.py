@@ -77,3 +77,43 @@ def plain_assign(lengths, size=1024):
         if take < n:
             todo.append((n - take, k, start + take))
     return out, count
+
+
+def plain_alignment(template, words):
+    """Unbanded alignment of a whole template with any stretch of words: (score, matched, begin, end), the best by score, matches, later start."""
+    row = [(0, 0, j) for j in range(len(words) + 1)]
+    for symbol in template:
+        new = [(row[0][0] - 1, row[0][1], row[0][2])]
+        for j, w in enumerate(words, 1):
+            s, m, b = row[j - 1]
+            options = [(s + (2 if w == symbol else -1), m + (w == symbol), b), (row[j][0] - 1, *row[j][1:]), (new[-1][0] - 1, *new[-1][1:])]
+            new.append(max(options))
+        row = new
+    end = max(range(len(row)), key=lambda j: (row[j], -j))
+    return (*row[end], end)
+
+
+def plain_licenses(text, templates, coverage=0.8, within=0.8):
+    """(license, matched, start, end): best alignments one after another, each on what the ones before it left."""
+    words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "", re.ASCII)]
+    lower = lambda w: w.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+    words = [(lower(text[a:b]), a, b) for _, a, b in words]
+    found = []
+    for name, body in templates.items():
+        t = [lower(w) for w in re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", body)]
+        if len(set(t) & {w for w, _, _ in words}) < coverage * len(set(t)) * 0.9:
+            continue  # too few of its words are there at all
+        left = [w for w, _, _ in words]
+        while True:
+            _, matched, begin, end = plain_alignment(t, left)
+            if matched < coverage * len(t):
+                break
+            found.append((name, matched, begin, end))
+            left[begin:end] = [None] * (end - begin)
+    size = lambda p: len(re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", templates[p[0]]))
+    inner = lambda p, q: q[0] != p[0] and (q[1] > p[1] or q[1] == p[1] and size(q) < size(p)) and min(q[3], p[3]) - max(q[2], p[2]) >= within * (p[3] - p[2])
+    kept = []
+    for p in sorted(found, key=lambda p: (-p[1], size(p), p[2], p[0])):
+        if not any(inner(p, q) for q in kept):
+            kept.append(p)
+    return {(n, m, words[a][1], words[b - 1][2]) for n, m, a, b in kept}

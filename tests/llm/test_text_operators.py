@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plain import WORD, base_counts, plain_assign, plain_em, plain_votes
+from plain import WORD, base_counts, plain_assign, plain_em, plain_licenses, plain_votes
 
 from lodeseek.llm import decontam, lang_id, licenses, packing, quality, queries, secret_scan, simhash, token_store
 from lodeseek.llm import tokenizing
@@ -134,30 +134,42 @@ def test_license_scan(spark, docs, texts):
             assert [(a, b) for n, a, b in got[d] if n == name and t[a:b] == words] == [m.span() for m in re.finditer(re.escape(words), t)]
 
 
-def test_license_alignment_by_full_search():
-    """Banded alignment finds what an unbanded one does, for edits within the band."""
-    rng = random.Random(5)
-    index = licenses.Index(licenses.TEMPLATES)
-    for name in ("mit", "apache-2.0-header", "gpl-3.0-header"):
+def test_license_scan_by_full_alignment(spark, sf_dir, docs, texts):
+    """All templates' places, coverage and matched words of the query's rows, against unbanded alignments without an index."""
+    got = collections.defaultdict(set)
+    for r in run_query("op3_license_scan", spark, sf_dir):
+        words = len(licenses._words(licenses.TEMPLATES[r.license]))
+        assert r.coverage == pytest.approx(r.n_matched / words, abs=1e-6)
+        got[r.doc_id].add((r.license, r.n_matched, r.start, r.end))
+    some = [d for d in texts if got[d]] + [d for d in texts if not got[d] and len(texts[d] or "") < 3000]
+    assert sum(map(len, got.values())) > 5
+    for d in some:
+        assert got[d] == plain_licenses(texts[d], licenses.TEMPLATES), d
+
+
+def test_license_places_of_edited_texts():
+    """Texts of all templates with edits within the band, one after another, against unbanded alignments; and with a stretch put in."""
+    rng, index = random.Random(5), licenses.Index(licenses.TEMPLATES)
+    for name, body in licenses.TEMPLATES.items():
+        words = body.split()
+        if len(words) > 90:
+            words, templates = words[:], {name: body}
+        else:
+            templates = licenses.TEMPLATES
+        edited = list(words)
+        for _ in range(min(4, len(words) // 12)):
+            at = rng.randrange(2, len(edited) - 2)
+            edited[at : at + 1] = rng.choice(([], ["foo"], [edited[at], "bar"]))
+        text = "before it all " + " ".join(edited) + " and after it"
+        found = licenses.scan(text, licenses.Index(templates))
+        assert {(n, m, a, b) for n, _, m, a, b in found} == plain_licenses(text, templates), name
+    for name in ("mit", "isc", "bsd-2-clause", "bsd-3-clause", "agpl-3.0-header", "lgpl-3.0-header"):
         words = licenses.TEMPLATES[name].split()
-        for _ in range(8):
-            edited = list(words)
-            for _ in range(4):
-                at = rng.randrange(1, len(edited) - 1)
-                edited[at : at + 1] = rng.choice(([], ["foo"], [edited[at], "bar"]))
-            text = "before it all " + " ".join(edited) + " and after"
-            template = index.texts[index.names.index(name)]
-            numbers = [index.vocabulary.get(w, 0) for w in licenses._words(text)]
-            full = np.zeros((len(template) + 1, len(numbers) + 1), int)
-            full[1:, 0] = -np.arange(1, len(template) + 1)
-            for i, a in enumerate(template, 1):
-                for j, b in enumerate(numbers, 1):
-                    full[i, j] = max(full[i - 1, j - 1] + (2 if a == b else -1), full[i - 1, j] - 1, full[i, j - 1] - 1)
-            found = [r for r in licenses.scan(text, index) if r[0] == name]
-            assert len(found) == 1
-            _, cover, matched, start, end = found[0]
-            assert cover > 0.9 and text[start:end].split()[0] == words[0]
-            assert 2 * matched - 2 * 4 * 2 <= full[-1].max() <= 2 * matched
+        for k in (len(words) // 3, len(words) // 2):
+            text = " ".join([*words[:k], *["inserted"] * 40, *words[k:]])
+            assert [(n, c > 0.9) for n, c, *_ in licenses.scan(text, index) if n == name] == [(name, True)]
+    assert licenses.scan("It is the use of the Software here. " * 5000, index) == []
+    assert len(licenses.scan("Released under the MIT License. " * 3000, index)) == 3000
 
 
 def test_license_odd_rows(spark, odd):
