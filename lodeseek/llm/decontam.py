@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import without
+from .shared import bounded, without
 
 WINDOW = 8
 #: Words of a shard, about; documents are whole.
@@ -231,7 +231,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], text: str, keep: list[s
 
     fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     added = docs.sparkSession.createDataFrame([], _TYPES).schema
-    return docs.mapInArrow(run, type(fields)(fields.fields + added.fields))
+    return bounded(docs).mapInArrow(run, type(fields)(fields.fields + added.fields))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:

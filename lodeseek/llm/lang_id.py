@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_size, without, write_shared
+from .shared import bounded, by_size, without, write_shared
 
 SAMPLE, SNIPPET, DICTIONARY, LANGUAGES = 128, 256, 32 << 10, 500
 CHUNK = 1024
@@ -93,4 +93,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text"
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], *columns], [*keep, "lang_pred", "score", "rejected"])
 
     added = [F.lit("").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(False).alias("rejected")]
-    return docs.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in keep], *added).schema)
+    return bounded(docs).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in keep], *added).schema)

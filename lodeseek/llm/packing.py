@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import by_size
+from .shared import bounded, by_size
 from .tokenizing import encoder
 
 LENGTH = 1024
@@ -111,4 +111,4 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size
         flush()
         yield out()
 
-    return docs.select(docs["doc_id"].cast("long"), "text").mapInArrow(run, _SCHEMA)
+    return bounded(docs.select(docs["doc_id"].cast("long"), "text")).mapInArrow(run, _SCHEMA)

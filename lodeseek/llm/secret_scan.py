@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import by_size, without
+from .shared import bounded, by_size, without
 
 #: Kinds in their order.
 KINDS = ("assign", "access", "hex", "markov")
@@ -235,7 +235,7 @@ def fit(docs: DataFrame, text: str = "text") -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], ["pair", "n"])
 
     total = np.zeros(2 * _SIZE * _SIZE, np.int64)
-    for r in docs.select(text).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in bounded(docs.select(text)).mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         total[r["pair"]] = r["n"]
     return Model(tuple(total.reshape(2, _SIZE, _SIZE)))
 
@@ -252,7 +252,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(spans, _SPANS)], [*keep, "spans"])
 
     empty = F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint>>)").alias("spans")
-    return docs.mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in keep], empty).schema)
+    return bounded(docs).mapInArrow(run, docs.select(*[F.col(f"`{c}`") for c in keep], empty).schema)
 
 
 def listed(spans: Column) -> Column:

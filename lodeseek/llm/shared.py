@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -93,6 +94,19 @@ def write_shared(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the Arrow batches that Python workers get, about; a longer row comes alone.
+BATCH_BYTES = 16 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have a bound in bytes (10,000 long texts are no longer one batch)."""
+    conf = df.sparkSession.conf
+    if int(re.sub(r"\D", "", str(conf.get(_BATCH_CONF, None) or "")) or 1 << 40) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
+
+
 def by_size(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """batches cut so that the texts of column at take `most` bytes or less (a longer text comes alone), in `rows` rows or fewer."""
     for b in batches:

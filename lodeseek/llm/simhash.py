@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import similar
-from .shared import by_size, forget, without, write_shared
+from .shared import bounded, by_size, forget, without, write_shared
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 #: Segments of the ring, as (lowest bit, width).
@@ -77,7 +77,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> D
             fps = np.array([fingerprint(t.as_py()) for t in b.column(at)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fps, pa.int64())], [*b.schema.names, name])
 
-    return kept.mapInArrow(run, kept.select("*", F.lit(0).cast("long").alias(name)).schema)
+    return bounded(kept).mapInArrow(run, kept.select("*", F.lit(0).cast("long").alias(name)).schema)
 
 
 def _segments(fp: np.ndarray) -> list[np.ndarray]:
@@ -193,7 +193,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         keyed = keyed.select("key", "side", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cell)).alias("cell"))
         cells = F.col("cell")
     dealt = keyed.select("key", cells.alias("cell"), "side", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return dealt.mapInArrow(_links, "a long, b long").distinct()
+    return bounded(dealt).mapInArrow(_links, "a long, b long").distinct()
 
 
 def _hot(exact: DataFrame, block: int) -> DataFrame:

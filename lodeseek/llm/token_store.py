@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import by_size
+from .shared import bounded, by_size
 from .tokenizing import encoder
 
 MAGIC = b"LSRP"
@@ -224,7 +224,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = False, s
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return dealt.mapInArrow(run, "part int, shard int, n_docs long, n_tokens long, blob binary")
+    return bounded(dealt).mapInArrow(run, "part int, shard int, n_docs long, n_tokens long, blob binary")
 
 
 def read_documents(store: DataFrame) -> DataFrame:
