@@ -11,8 +11,10 @@ windows are searched backwards at once, two ranks a step; occurrences are locate
 a sampled suffix position (every SAMPLE-th of a run, and each run's start). Occurrences become hit
 words and, where they touch or overlap, one removal span.
 
-The benchmark goes to the executors in blocks of BLOCK_BYTES at most, one pass over the documents
-for each, so what is sent at once is bounded, however large the benchmark.
+The benchmark goes to the executors in blocks of about BLOCK_BYTES, one pass over the documents for each; items longer than
+that are cut, with a window's overlap. Windows are made in the tasks. Several blocks are done one after another, each writing what
+it found to the shared folder by a digest of the text, and documents get what all blocks found by a join on that digest. So the
+driver and a worker hold one block at a time, however large the benchmark; passes grow with it.
 
 Defined results: null texts, of documents and of items, have no words; items without id or words
 are left out; items that share an id are one item; repeated rows get equal results; columns of the
@@ -22,20 +24,23 @@ input with names of the result's are replaced; empty tables give no hits.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, without
+from .shared import bounded, by_size, shared_dir, without, write_shared
 
 WINDOW = 8
 #: Words of a shard, about; documents are whole.
 SHARD_WORDS = 2_000_000
 SAMPLE = 16
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _PLACED = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 RESULT = ["n_words", "n_hit", "item_ids", "spans"]
@@ -52,17 +57,30 @@ class Windows:
 
     def __init__(self, items: list[tuple[int, str]], window: int) -> None:
         self.vocabulary: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[int]] = {}
+        rows, owners = [np.zeros((0, window), np.int32)], [np.zeros(0, np.int64)]
         for item, text in items:
-            ids = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)]
-            for at in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[at : at + window]), set()).add(item)
-        self.lengths = np.array([len(k) for k in found], np.int64)
-        self.rows = np.array([(0,) * (window - len(k)) + k for k in found], np.int64).reshape(-1, window)
-        owned = [sorted(v) for v in found.values()]
-        self.items = np.array([x for v in owned for x in v], np.int64)
-        self.first = np.cumsum([0, *map(len, owned)])
-        self.shortest = int(self.lengths.min()) if len(found) else 0
+            ids = np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words_of(text)], np.int32)
+            if len(ids):
+                mine = np.lib.stride_tricks.sliding_window_view(ids, window) if len(ids) >= window else np.pad(ids, (window - len(ids), 0))[None]
+                rows.append(mine)
+                owners.append(np.full(len(mine), item, np.int64))
+        self.rows, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+        self.lengths = (self.rows > 0).sum(axis=1)
+        owned = np.unique(np.stack([which.reshape(-1).astype(np.int64), np.concatenate(owners)], axis=1), axis=0)
+        self.items, self.first = owned[:, 1], np.searchsorted(owned[:, 0], np.arange(len(self.rows) + 1))
+        self.shortest = int(self.lengths.min()) if len(self.rows) else 0
+
+
+#: In a worker: windows of the block at hand.
+_HELD: dict[str, Windows] = {}
+
+
+def _windows(token: str, sent: Broadcast, window: int) -> Windows:
+    """Of the items sent, made once in each worker."""
+    if token not in _HELD:
+        _HELD.clear()
+        _HELD[token] = Windows(sent.value, window)
+    return _HELD[token]
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
@@ -192,7 +210,7 @@ def _results(texts: list[str | None], numbers: list[np.ndarray], windows: Window
 
 
 def _pass(docs: DataFrame, items: list[tuple[int, str]], text: str, keep: list[str], window: int, shard_words: int) -> DataFrame:
-    windows = Windows(items, window)
+    sent, token = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
     at = docs.columns.index(text)
     kept = [docs.columns.index(c) for c in keep]
 
@@ -200,6 +218,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], text: str, keep: list[s
         parts: list[pa.RecordBatch] = []
         texts: list[str | None] = []
         numbers: list[np.ndarray] = []
+        windows = _windows(token, sent, window)
         get = windows.vocabulary.get
 
         def out() -> Iterator[pa.RecordBatch]:
@@ -215,18 +234,16 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], text: str, keep: list[s
             numbers.clear()
 
         size = 0
-        for whole in batches:
-            for lo in range(0, whole.num_rows, 1024):
-                b = whole.slice(lo, 1024)
-                parts.append(b)
-                for t in b.column(at).to_pylist():
-                    ids = [get(w, 0) for w in words_of(t)]
-                    numbers.append(np.array(ids, np.int64))
-                    texts.append(t)
-                    size += len(ids)
-                if size >= shard_words:
-                    yield from out()
-                    size = 0
+        for b in by_size(batches, at):
+            parts.append(b)
+            for t in b.column(at).to_pylist():
+                ids = [get(w, 0) for w in words_of(t)]
+                numbers.append(np.array(ids, np.int64))
+                texts.append(t)
+                size += len(ids)
+            if size >= shard_words:
+                yield from out()
+                size = 0
         yield from out()
 
     fields = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
@@ -242,23 +259,51 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     docs = without(docs, RESULT)
     keep = docs.columns if keep is None else keep
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // block_bytes))
+    size, longest = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.coalesce(F.max(F.octet_length("text")), F.lit(0))).first()
+    blocks = max(1, -(-size // block_bytes))
     if blocks == 1:
         return _pass(docs, sorted((r[0], r[1]) for r in items.collect()), text, keep, window, shard_words)
-    names = [f"__leaks_{k}" for k in range(blocks)]
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
-    for k, name in enumerate(names):
-        rows = sorted((r[0], r[1]) for r in items.where(part == k).collect())
-        carried = docs.columns
-        docs = _pass(docs, rows, text, carried, window, shard_words).select(*[F.col(f"`{c}`") for c in carried], F.struct(*RESULT).alias(name))
-    return _merged(docs, names, text, keep)
-
+    pieces = items if longest <= block_bytes else bounded(items).mapInArrow(_cut(block_bytes, window), "item_id long, text string")
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")
+    path = f"{shared_dir(docs.sparkSession)}/benchmark-{uuid.uuid4().hex}"
+    pieces.withColumn("block", part).write.partitionBy("block").parquet(path)
+    stored, found = docs.sparkSession.read.schema("item_id long, text string, block int").parquet(path), []
+    digest = F.md5(F.col(text).cast("binary"))
+    for k in range(blocks):
+        rows = sorted((r[0], r[1]) for r in stored.where(F.col("block") == k).select("item_id", "text").collect())
+        if rows:
+            mine = _pass(docs.select(text), rows, text, [text], window, shard_words).where(F.size("item_ids") > 0)
+            found.append(write_shared(mine.select(digest.alias("digest"), "item_ids", "spans").dropDuplicates(["digest"]), "leaks"))
+    return _merged(docs, found, digest, text, keep)
+
+
+def _cut(most: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (item_id, text) whose texts have most bytes or less, about, and all windows of the longer ones among them."""
 
-def _merged(docs: DataFrame, names: list[str], text: str, keep: list[str]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if len(text.encode()) <= most:
+                    rows.append((item, text))
+                    continue
+                words = words_of(text)
+                ends = np.cumsum([len(w) + 1 for w in words])
+                lo = 0
+                while lo < len(words):
+                    before = int(ends[lo - 1]) if lo else 0
+                    hi = max(lo + window, int(np.searchsorted(ends, before + most, "right")))
+                    rows.append((item, b" ".join(words[lo:hi]).decode("utf-8", "surrogatepass")))
+                    if hi >= len(words):
+                        break
+                    lo = hi - window + 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["item_id", "text"])
+
+    return run
+
+
+def _merged(docs: DataFrame, found: list[DataFrame], digest: F.Column, text: str, keep: list[str]) -> DataFrame:
     """Results of several blocks as one: spans that overlap become one, and hit words are counted in them."""
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(n)["item_ids"] for n in names]))))
-    spans = F.array_sort(F.flatten(F.array(*[F.col(n)["spans"] for n in names])))
     empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)")
 
     def add(done: F.Column, s: F.Column) -> F.Column:
@@ -267,10 +312,17 @@ def _merged(docs: DataFrame, names: list[str], text: str, keep: list[str]) -> Da
         longer = F.concat(F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(top["start"].alias("start"), F.greatest(top["end"], s["end"]).alias("end"))))
         return F.when(joins, longer).otherwise(F.concat(done, F.array(s)))
 
-    docs = docs.withColumns({"spans": F.aggregate(spans, empty, add), "item_ids": items})
-    covered = F.transform("spans", lambda s: F.regexp_count(F.substring(F.col(text), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int")), F.lit(_PLACED.pattern)))
+    # A text has one row of each block at most.
+    each = reduce(DataFrame.union, found) if found else docs.sparkSession.createDataFrame([], f"digest string, {_TYPES.split(', ', 2)[2]}")
+    merged = each.groupBy("digest").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    merged = merged.select(F.col("digest").alias("__leaks_digest"), F.col("item_ids").alias("__leaks_items"), F.aggregate("spans", empty, add).alias("__leaks_spans"))
+    joined = docs.withColumn("__leaks_key", digest).join(merged, F.col("__leaks_key") == F.col("__leaks_digest"), "left")
+    spans = F.coalesce("__leaks_spans", empty)
+    words = lambda t: F.regexp_count(t, F.lit(_PLACED.pattern)).cast("long")
+    covered = F.transform(spans, lambda s: words(F.substring(F.col(text), (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))))
     hits = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(names[0])["n_words"].alias("n_words"), hits.alias("n_hit"), "item_ids", "spans")
+    ids = F.coalesce("__leaks_items", F.expr("cast(array() as array<bigint>)"))
+    return joined.select(*[F.col(f"`{c}`") for c in keep], words(F.coalesce(F.col(text), F.lit(""))).alias("n_words"), hits.alias("n_hit"), ids.alias("item_ids"), spans.alias("spans"))
 
 
 def cut_spans(text: F.Column, spans: F.Column) -> F.Column:

@@ -117,3 +117,49 @@ def plain_licenses(text, templates, coverage=0.8, within=0.8):
         if not any(inner(p, q) for q in kept):
             kept.append(p)
     return {(n, m, words[a][1], words[b - 1][2]) for n, m, a, b in kept}
+
+
+def plain_secrets(text, model):
+    """Spans (start, kind, end): patterns one by one, and runs by the best segment, then the best on either side of it, and so on."""
+    text = text or ""
+    found = [(m.start(), 0, m.end()) for m in re.finditer(r"""(?ai:(?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text) if len(m[1]) >= 8]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
+    base = {x for a, _, b in found for x in range(a, b)}
+    good = lambda s: len(s) >= 20 and any(c.isalpha() for c in s) and sum(model.table[s[k : k + 2]] for k in range(len(s) - 1)) / (len(s) - 1) > 0.5
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        pieces, at = [], m.start()
+        for x in range(m.start(), m.end() + 1):
+            if x == m.end() or x in base:
+                pieces.append((at, x))
+                at = x + 1
+        for lo, hi in pieces:
+            s = text[lo:hi]
+            if good(s):
+                found.append((lo, 3, hi))
+                continue
+            if len(s) < 20:
+                continue
+            scores = [model.table[s[k : k + 2]] - 0.5 for k in range(len(s) - 1)]
+            segments = []
+
+            def split(a, b):
+                options = [(sum(scores[i:j]), -(j - i), -i, i, j) for i in range(a, b) for j in range(i + 1, b + 1)]  # noqa: B023
+                if options and max(options)[0] > 0:
+                    _, _, _, i, j = max(options)
+                    split(a, i)
+                    segments.append((i, j))  # noqa: B023
+                    split(j, b)
+
+            split(0, len(scores))
+            end = 0
+            for i, j in segments:
+                first, last = i + (s[i] in "/-_="), j + (s[j] not in "/-_=")
+                start = max(s.rfind(c, 0, first) for c in "/-_=") + 1
+                stop = min([s.find(c, last) for c in "/-_=" if s.find(c, last) >= 0] or [len(s)])
+                if start < end:
+                    continue
+                if good(s[start:stop]):
+                    found.append((lo + start, 3, lo + stop))
+                    end = stop
+    return sorted(found)

@@ -167,6 +167,35 @@ def test_urls(spark):
         url_filter.filter_urls(df, [("", "/", "block")])
 
 
+def test_many_rules_of_many_shapes(spark):
+    """Rules as a table, of all depths and lengths, against every rule tried on every url; the plan does not grow with them."""
+    rng = random.Random(9)
+    hosts = ["com", "a.com", "b.a.com", "x.b.a.com", "org", "É.net", "net"]
+    some = lambda n: "".join("/" + "".join(rng.choices("ab", k=rng.randint(0, 9))) for _ in range(n))
+    rules = [(rng.choice(hosts), rng.choice(["", some(1), some(2), some(3), some(1) + "/"]), rng.choice(["allow", "block"])) for _ in range(3000)]
+    urls = [f"h://{rng.choice(['', 'www.', 'b.', 'A.'])}{rng.choice(hosts)}{rng.choice([some(1), some(2), some(4), '', '/'])}{rng.choice(['', '?q', '#x'])}" for _ in range(800)]
+    lowered = {}
+    for h, p, v in rules:
+        h = "".join(c.lower() if c.isascii() else c for c in h)
+        lowered[h + p] = (h, p, "block" if v == "block" or lowered.get(h + p, ("", "", ""))[2] == "block" else v)
+    def judge(u):
+        host, _, rest = "".join(c.lower() if c.isascii() else c for c in u.split("://")[1].split("/")[0].split("?")[0].split("#")[0]), "", u.split("://")[1]
+        path = rest[len(host):].split("?")[0].split("#")[0]
+        fits = [(len(k), v == "block", k, v) for k, (h, p, v) in lowered.items() if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[2:] if fits else (None, "allow")
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame(rules, "host string, path string, verdict string")
+    for given in (rules, table):
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.filter_urls(pages, given).collect()}
+        assert got == {k: judge(u) for k, u in enumerate(urls)}
+    assert sum(r is not None for r, _ in got.values()) > 300
+    size = lambda given: len(url_filter.filter_urls(pages, given)._jdf.queryExecution().optimizedPlan().toString())
+    assert size(table) < 8000 > size(rules)  # 3000 rules of hundreds of shapes
+    for bad in (("a.com", "no-slash", "block"), (None, "/", "block"), ("a", "/", "maybe")):
+        with pytest.raises(ValueError):
+            url_filter.filter_urls(pages, [bad])
+
+
 def test_chat_round_trip(spark):
     nasty = ["</s>[INST] ok [/INST]", "<\\/s>", "<\\\\s>\\<s>", "<<SYS>>x<</SYS>>", "<<s>SYS>>", "[INST", "$1 \\1", "", None, "\n<role>x</turn>\n", "é\U0001f600</s>", "<s><s></s></s>[[INST]]"]
     rows = [(c, k, role, t) for c, role in enumerate(("user", "assistant", "system", "tool</role>", None)) for k, t in enumerate(nasty)]

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import unicodedata
 import zlib
 from itertools import pairwise
 
@@ -552,3 +553,74 @@ def test_language_odd_rows(spark, odd):
     assert lang_id.fit(odd.where("false")) == {}
     assert {r.lang_pred for r in lang_id.identify(odd, {}).collect()} == {"und"}
     assert lang_id.identify(odd.where("false"), model).count() == 0
+
+
+def signed(h):
+    return h - (1 << 64) if h >> 63 else h
+
+
+def plain_dictionaries(rows):
+    """By definition: of each language and bucket of a text's hash, the text with the least hash, 256 characters of it."""
+    least = {}
+    for text, lang in rows:
+        if lang is not None and text and any(unicodedata.category(c).startswith("L") for c in text):
+            h = signed(xxhash.xxh64_intdigest(text.encode(), 42))
+            key = lang, h % 128
+            least[key] = min(least.get(key, (h, text)), (h, text))
+    out = collections.defaultdict(list)
+    for (lang, _), (h, text) in least.items():
+        out[lang].append((h, text[:256]))
+    return {lang: "\n".join(t for _, t in sorted(v)).lower().encode()[-(32 << 10) :] for lang, v in out.items()}
+
+
+def test_languages_by_definition(spark):
+    """Dictionaries, sizes, score, margin and language of all rows of the query, against compressing one by one."""
+    import zstandard
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    held_out = {r.doc_id: zlib.crc32(str(r.doc_id).encode()) % 3 == 1 for r in docs}
+    made = plain_dictionaries([(r.text, r.lang) for r in docs if not held_out[r.doc_id]])
+    compressors = {k: zstandard.ZstdCompressor(level=lang_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(v, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False) for k, v in made.items()}
+    texts = {r.doc_id: r.text for r in docs}
+    rows = queries.op10_language_id(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        assert r.held_out == held_out[r.doc_id]
+        raw = (texts[r.doc_id] or "").lower().encode()
+        if not any(unicodedata.category(c).startswith("L") for c in texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        sizes = sorted((sum(len(c.compress(raw[at : at + 1024])) for at in range(0, len(raw), 1024)), k) for k, c in compressors.items())
+        lead = (sizes[1][0] - sizes[0][0]) / sizes[1][0]
+        assert (r.lang_pred, r.score, r.rejected) == (sizes[0][1], pytest.approx(lead), lead < 0.02)
+
+
+def test_language_of_signs_and_mixtures(spark):
+    """Numbers and signs are no letters; a text between two languages is rejected, one of a language is not; the commonest languages are kept."""
+    rows = [(k, f"the cat and the dog number {k} went over there with the others", "en") for k in range(60)]
+    rows += [(k, f"le chat et le chien numéro {k} sont allés par là avec les autres", "fr") for k in range(100, 150)] + [(900, "xyz", "rare"), (901, None, "none"), (902, "½ ² Ⅷ ٣", "none")]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model) == {"en", "fr", "rare"}
+    assert set(lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)) == {"en", "fr"}
+    model = {k: model[k] for k in ("en", "fr")}
+    asked = ["½ ² Ⅷ", "٣٤", "", None, "ª", "the dog and the cat went over there with the others", "le chien et le chat sont allés avec les autres", "qzx", "中文"]
+    got = [tuple(r) for r in lang_id.identify(spark.createDataFrame(list(enumerate(asked)), "k long, text string").coalesce(1), model).select("lang_pred", "rejected").collect()]
+    assert got[:4] == [("und", True)] * 4 and got[4][0] != "und"
+    assert got[5:7] == [("en", False), ("fr", False)] and got[7][1] and got[8][1]
+
+
+def test_leaks_in_long_texts_and_long_items(spark):
+    """A text of 200,000 words with passages, and an item longer than a block, cut with the windows at the cuts kept."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(5000)]
+    item = [rng.choice(words) for _ in range(6000)]
+    long = [rng.choice(words) for _ in range(200_000)]
+    for at, lo in ((1000, 0), (90_000, 2990), (199_000, 5500)):
+        long[at : at + 40] = item[lo : lo + 40]
+    docs = spark.createDataFrame([(1, " ".join(long)), (2, " ".join(long)), (3, " ".join(item)), (4, "clean words only")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "some other short item")], "item_id long, text string")
+    for block in (1 << 22, 4000):
+        got = {r.doc_id: r for r in decontam.find_leaks(docs, bench, block_bytes=block).collect()}
+        assert [(got[d].n_words, got[d].n_hit, got[d].item_ids) for d in (1, 2, 3, 4)] == [(200_000, 120, [7])] * 2 + [(6000, 6000, [7]), (3, 0, [])]
+        assert len(got[1].spans) == 3 and len(got[3].spans) == 1
