@@ -7,6 +7,7 @@ made from an id by the same expression on both sides.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,8 +17,10 @@ from ..config import IndexingConfig, SearchQuery
 from ..functions import display, metadata, paths, source_map, text, vectors
 from ..operators import chunk, embed, grep, index, knn, preview, results
 from ..sources import catalog, extract, files, work
+from ..operators.store import Folder
 from ..sources.tables import EXTENSIONS, corpus, table
 from ..streaming import watch
+from . import search
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -711,6 +714,182 @@ def overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segs.join(probe, "conv_id").where("s < b and e > a").select("conv_id", "turn")
 
 
+# files as they are read
+
+_BAD = "doc_id % 3 = 1"
+
+
+@query("read_texts", f"""WITH d AS (SELECT doc_id, {_BAD} AS bad, coalesce(text, '') AS t FROM documents)
+SELECT doc_id, CASE WHEN NOT bad THEN length(t) END::INT AS strict_chars, (length(t) + CASE WHEN bad THEN 1 ELSE 0 END)::INT AS lossy_chars, (length(left(t, 3)) = 3 OR length(t) < 3) AS head_ok FROM d""")
+def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents of files, some with a byte that is no UTF-8: read strictly, with replacement, and from the head."""
+    content = F.concat(F.coalesce("text", F.lit("")).cast("binary"), F.when(F.expr(_BAD), F.unhex(F.lit("FF"))).otherwise(F.lit(b"")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", content.alias("c"), F.length("text").alias("n"))
+    head = files.head_text(F.col("c"), 12)
+    return rows.select("doc_id", F.length(files.strict_text(F.col("c"))).alias("strict_chars"), F.length(files.lossy_text(F.col("c"))).alias("lossy_chars"), ((F.length(head) >= 3) | (F.coalesce("n", F.lit(0)) < 3)).alias("head_ok"))
+
+
+def _folder(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with a text file for each document, some of them hidden and some ignored."""
+    root = work.new_path(spark, "query-folder")
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("text", "doc_id", F.when(F.col("doc_id") % 4 == 0, ".hidden").when(F.col("doc_id") % 4 == 1, "skipped").otherwise("shown").alias("kind"))
+    for kind in (".hidden", "skipped", "shown"):
+        docs.where(F.col("kind") == kind).drop("kind").repartition(8, "doc_id").write.partitionBy("doc_id").option("compression", "none").text(f"{root}/{kind}")
+    Folder(spark, root).write(".gitignore", "# made by a query\nskipped/\n_SUCCESS\n")
+    return root
+
+
+@query("folder_search", "SELECT doc_id, count(*) AS n, min(strlen(h)) AS shortest FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)[a-z]*tion')) AS h FROM documents WHERE doc_id % 4 <> 1) GROUP BY doc_id")
+def folder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search of a folder: hidden files count, ignored ones do not."""
+    matches, _ = search.search_folder(spark, SearchQuery("[a-z]*tion", is_regex=True, root=_folder(spark, sf_dir)))
+    return matches.groupBy(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id")).agg(F.count("*").alias("n"), F.min(F.octet_length("matched_text")).cast("long").alias("shortest"))
+
+
+@query("folder_listing", "SELECT doc_id, strlen(text) + 1 AS size_bytes FROM documents WHERE text <> '' AND doc_id % 4 > 1")
+def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A listing of the same folder leaves hidden files out too."""
+    found = files.listing(files.scan(spark, _folder(spark, sf_dir), files.LISTING).where("relative like '%.txt'"))
+    return found.where("omit_reason is null").select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "size_bytes")
+
+
+@query("extract_errors", f"WITH {_CORPUS} SELECT path, path || CASE WHEN doc_id % 20 = 7 THEN ': broken' ELSE ': no extractor registered' END AS error FROM corpus WHERE doc_id % 20 = 7 OR path LIKE '%.rs'")
+def extract_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What cannot be extracted is told with its path; the rest goes on."""
+
+    def run(content: bytes) -> extract.Extracted:
+        if content == b"broken":
+            raise ValueError("broken")
+        return extract.Extracted(content.decode())
+
+    docs = corpus(spark, sf_dir).where(F.col("path").endswith(".pdf") | F.col("path").endswith(".rs"))
+    content = F.when(F.col("doc_id") % 20 == 7, F.lit("broken")).otherwise(F.coalesce("text", F.lit(""))).cast("binary")
+    read = extract.documents(docs.select("path", F.lit(paths.PDF).alias("file_type"), content.alias("content")), extract.Registry(extract.Extractor("x", ("pdf",), run)))
+    return read.where("error is not null").select("path", "error")
+
+
+# embedding and semantic search with an embedder that SQL can follow
+
+
+@dataclass(frozen=True)
+class LetterEmbedder:
+    """How often each of eight letters occurs."""
+
+    dimension: int = 8
+    model_id: str = "letters"
+    engine: str = "Fastembed"
+    batch: int | None = 32
+    query_prefix: str = "ab: "
+    passage_prefix: str = "c: "
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(t.lower().count(c)) for c in "abcdefgh"] for t in texts]
+
+
+_LETTERS = lambda text: "[" + ", ".join(f"(length({text}) - length(replace(lower({text}), '{c}', '')))::DOUBLE" for c in "abcdefgh") + "]"
+
+
+@query("embed_passages", f"SELECT item_id, {_LETTERS(chr(39) + 'c: ' + chr(39) + ' || text')}::FLOAT[] AS embedding FROM benchmark WHERE text IS NOT NULL")
+def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = embed.embed_passages(table(spark, sf_dir, "benchmark").where("text is not null"), LetterEmbedder(), text="text")
+    return rows.where("embed_error is null").select("item_id", "embedding")
+
+
+_ASKED = "Badge of a cage"
+_TOP = f"""WITH {_CORPUS}, plain AS (SELECT path, text FROM corpus WHERE path NOT LIKE '%.pdf' AND path NOT LIKE '%.rs' AND text <> ''),
+c AS (SELECT path, text, unnest(range(0, greatest(length(text) - 128 - 1, 0) // 472 + 1)) AS k FROM plain),
+e AS (SELECT path, k::INT AS chunk_idx, strlen(left(text, (k * 472)::INT))::BIGINT AS start, len(string_split(left(text, (k * 472)::INT), chr(10)))::INT AS line, trim(substr(text, k * 472 + 1, 600), ' ' || chr(9) || chr(10) || chr(13)) AS t FROM c),
+s AS (SELECT *, list_cosine_similarity({_LETTERS("'c: ' || t")}, {_LETTERS(f"'ab: {_ASKED}'")}) AS s FROM e WHERE t <> ''),
+top AS (SELECT * FROM s WHERE s IS NOT NULL ORDER BY s DESC, replace(path, '/corpus/', ''), chunk_idx LIMIT 40)"""
+
+
+def _searched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = work.new_path(spark, "query-index")
+    index.build(spark, path, _corpus_documents(spark, sf_dir), LetterEmbedder(), "/corpus", semantic=False)
+    return search.search_index(spark, SearchQuery(_ASKED, mode="Semantic", root="/corpus", max_results=40, supported_extensions=("txt", "md", "json", "log")), path, LetterEmbedder())
+
+
+@query("semantic_search", _TOP + " SELECT path, chunk_idx, t AS matched_text, 'TextFile' AS origin_type, line, 0 AS col, start, round(s, 4) AS score FROM top WHERE regexp_matches(path, '[.](txt|md|json|log)$')")
+def semantic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From a build to matches: the filter on types is behind the limit."""
+    return _searched(spark, sf_dir).select("path", "chunk_idx", "matched_text", "origin_type", "line", "col", "start", F.round(F.col("score").cast("double"), 4).alias("score"))
+
+
+@query("semantic_by_file", _TOP + ", kept AS (SELECT *, row_number() OVER (ORDER BY s DESC, path, chunk_idx) AS r FROM top WHERE regexp_matches(path, '[.](txt|md|json|log)$')) SELECT row_number() OVER (ORDER BY min(r)) - 1 AS rank, path, count(*) AS n, string_agg(chunk_idx, ',' ORDER BY r) AS chunks FROM kept GROUP BY path")
+def semantic_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = search.by_file(_searched(spark, sf_dir))
+    return grouped.select(F.col("rank").cast("long").alias("rank"), "path", "n", F.array_join(F.transform("matches", lambda m: m["chunk_idx"].cast("string")), ",").alias("chunks"))
+
+
+@query("index_drop", "SELECT TRUE AS was_there, FALSE AS is_there")
+def index_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _new_index(spark, sf_dir)
+    before = Folder(spark, path).exists()
+    index.drop(spark, path)
+    return spark.createDataFrame([(before, Folder(spark, path).exists())], "was_there boolean, is_there boolean")
+
+
+@query("knn_unknown_origin", f"WITH {_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, label, vec_id LIMIT {_K}) SELECT vec_id FROM top WHERE vec_id % 3 <> 1")
+def knn_unknown_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = knn.top_k(_vectors(spark, sf_dir), _query_vector(), _K, _TIES)
+    kind = F.when(F.col("vec_id") % 3 == 0, "TextFile").when(F.col("vec_id") % 3 == 2, "PdfPage").otherwise("Other")
+    return knn.supported(hits.withColumns({"file_path": F.lit("a.txt"), "origin_type": kind})).select("vec_id")
+
+
+@query("chunk_semantic_promises", "SELECT doc_id, TRUE AS within_size, TRUE AS in_order, TRUE AS trimmed, strlen(text) AS covered FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''")
+def chunk_semantic_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What chunks by meaning promise: no chunk is too long or blank, each begins behind the last and not behind its end, and all reach the text's end."""
+    rows = chunk.semantic_chunks(table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.rtrim("text", F.lit(text.SPACES))).alias("end_of_words"), F.octet_length("text").cast("long").alias("size")), keep=["doc_id", "end_of_words", "size"])
+    w = Window.partitionBy("doc_id").orderBy("chunk_idx")
+    rows = rows.withColumns({"before": F.lag("byte_start").over(w), "end_before": F.lag("byte_end").over(w)})
+    good = (F.col("before").isNull()) | (F.col("byte_start") > F.col("before"))
+    ends = F.max("byte_end")
+    return rows.groupBy("doc_id").agg(
+        (F.max(F.length("chunk_text")) <= 600).alias("within_size"), F.bool_and(good).alias("in_order"), F.bool_and(text.clean(F.col("chunk_text")) == F.col("chunk_text")).alias("trimmed"),
+        F.when((ends >= F.max("end_of_words")) & (ends <= F.max("size")), F.max("size")).alias("covered"),
+    )
+
+
+# previews and names
+
+
+@query("preview_line_highlight", "WITH d AS (SELECT doc_id, doc_id % 4 AS line, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM documents WHERE NOT contains(text, chr(13))) SELECT doc_id, line::INT AS highlight_line, CASE WHEN line BETWEEN 1 AND len(ls) THEN strlen(array_to_string(ls[1:line - 1], chr(10))) + CASE WHEN line > 1 THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS start FROM d")
+def preview_line_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a range the line is highlighted; line 0 is none."""
+    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
+    none = F.lit(None).cast("long")
+    shown = preview.highlight(F.col("text"), none, none, (F.col("doc_id") % 4).cast("int"))
+    return docs.select("doc_id", shown.alias("h")).select("doc_id", "h.highlight_line", "h.start")
+
+
+@query("preview_opened", f"WITH {_CORPUS} SELECT path, CASE WHEN path LIKE '%.pdf' THEN 'Pdf' WHEN path NOT LIKE '%.rs' THEN 'Text' END AS kind, CASE WHEN path LIKE '%.pdf' THEN 1 END AS page, CASE WHEN path NOT LIKE '%.pdf' AND path NOT LIKE '%.rs' THEN text END AS content, CASE WHEN path LIKE '%.rs' THEN 'unsupported file type' END AS error FROM corpus")
+def preview_opened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = corpus(spark, sf_dir)
+    shown = preview.opened(paths.file_type(F.col("path")), F.col("text"), paths.language_hint(F.col("path")))
+    return docs.select("path", shown.alias("s")).select("path", "s.kind", "s.page", "s.content", "s.error")
+
+
+@query("preview_pages", "SELECT event_id, 'Pdf' AS kind, (event_id % 9)::INT AS page, (event_id % 5)::DOUBLE AS x FROM events")
+def preview_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = preview.of_pages(F.col("event_id") % 9, F.struct((F.col("event_id") % 5).cast("double").alias("x")))
+    return table(spark, sf_dir, "events").select("event_id", shown.alias("s")).select("event_id", "s.kind", "s.page", F.col("s.bbox.x").alias("x"))
+
+
+@query("engine_parse", "SELECT event_id, ['SBERT', 'SBERT', 'Fastembed', 'Candle', 'Candle'][event_id % 5 + 1] AS engine FROM events")
+def engine_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.get(F.array(*map(F.lit, ("SBERT", "Python", "fastEmbed", "candle", "other"))), (F.col("event_id") % 5).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", display.engine_name(name).alias("engine"))
+
+
+@query("catch_up", "SELECT p AS path, CASE WHEN b IS NULL THEN 'removed' ELSE 'changed' END AS op FROM (SELECT '/p/' || doc_id AS p, n_chars AS a FROM documents WHERE doc_id % 5 <> 0) FULL JOIN (SELECT '/p/' || doc_id AS p, CASE WHEN doc_id % 7 = 0 THEN n_chars + 1 ELSE n_chars END AS b FROM documents WHERE doc_id % 5 <> 1) USING (p) WHERE a IS DISTINCT FROM b")
+def catch_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What changed between two listings."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("/p/"), F.col("doc_id").cast("string")).alias("path"), "doc_id", F.col("n_chars").alias("size_bytes"), F.lit(1).alias("modified"))
+    old = docs.where("doc_id % 5 <> 0").drop("doc_id")
+    new = docs.where("doc_id % 5 <> 1").withColumn("size_bytes", F.expr("if(doc_id % 7 = 0, size_bytes + 1, size_bytes)")).drop("doc_id")
+    return watch.catch_up(old, new)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
