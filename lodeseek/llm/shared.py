@@ -95,7 +95,7 @@ def write_shared(df: DataFrame, tag: str) -> DataFrame:
 
 
 #: Bytes of the Arrow batches that Python workers get, about; a longer row comes alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 _BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -107,7 +107,7 @@ def bounded(df: DataFrame) -> DataFrame:
     return df
 
 
-def by_size(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def by_size(batches: Iterator[pa.RecordBatch], at: int, most: int = 3 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """batches cut so that the texts of column at take `most` bytes or less (a longer text comes alone), in `rows` rows or fewer."""
     for b in batches:
         sizes = pc.binary_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -119,6 +119,18 @@ def by_size(batches: Iterator[pa.RecordBatch], at: int, most: int = 8 << 20, row
             lo = hi
 
 
+#: Rows of one number that are broadcast at most (some 10 MB in an executor).
+BROADCAST_ROWS = 500_000
+
+
+def only(df: DataFrame, written: DataFrame, on: str) -> DataFrame:
+    """Rows of df whose column on is in written, a written table of numbers: broadcast if they are few, else joined by a shuffle.
+
+    They are counted first, so the texts of df are not shuffled for a table that turns out to be small.
+    """
+    return df.join(F.broadcast(written) if written.count() <= BROADCAST_ROWS else written, on, "left_semi")
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), where value is evaluated once however often body uses it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -31,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .shared import bounded, by_size, forget, without, write_shared
+from .shared import bounded, by_size, forget, only, without, write_shared
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 #: Segments of the ring, as (lowest bit, width).
@@ -262,24 +262,22 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = similar.BLOCK) -> DataFrame:
     """docs with one row of each group that pairs of similarity 0.8 or more (see similar) connect: the one of the smallest doc_id. Of rows equal in doc_id and set of shingles, and of a group of null ids, one stays: the first by hash of its text."""
-    clash = {c: f"{c}_of_input" for c in docs.columns if c.lower() in ("__sid", "__size", "__sketch", "__keys")}
+    clash = {c: f"{c}_of_input" for c in docs.columns if c.lower() in ("__sid", "__size", "__sketch", "__keys", "__row")}
     if clash:
         back = {new: old for old, new in clash.items()}
         return drop_near_duplicates(docs.withColumnsRenamed(clash), text, doc_id, block).withColumnsRenamed(back)
     common, ranks, hot = similar.common(docs, text, block)
-    stored = write_shared(similar.with_set(docs, common, ranks, text), "similar-docs")
+    # Rows have a number from here on, as written, so the choice among them is made without their texts.
+    stored = write_shared(similar.with_set(docs, common, ranks, text).withColumn("__row", F.monotonically_increasing_id()), "similar-docs")
     sets = [F.first(c).alias(c) for c in ("__size", "__sketch", "__keys")]
     reps = write_shared(stored.groupBy("__sid").agg(F.min(doc_id).alias("least"), *sets), "similar-reps")
     labels = components(similar.links(stored, reps, hot, components, text))
     found = _with_ids(reps.select(F.col("__sid").alias("fp"), "least"), labels)
     # The set under which a component's document is kept; for groups of null ids, the component's label.
-    keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("__sid"), F.min("component_id").alias("keep"))
-    # Columns of the input go in one struct, so that none can clash. Ids are keys too, so copies of one text are spread; the
-    # same keys serve the choice, without another shuffle.
+    keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("sid"), F.min("component_id").alias("keep"))
+    # Ids are keys too, so copies of one text are spread.
     named = lambda id_: [F.coalesce(id_.cast("string"), F.lit("")).alias("id"), F.isnull(id_).alias("no_id")]
-    rows = stored.select(F.col("__sid").alias("sid"), *named(F.col(f"`{doc_id}`")), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = stored.select(F.col("__sid").alias("sid"), *named(F.col(f"`{doc_id}`")), F.struct(F.xxhash64(text), "__row").alias("row"))
     keys = ["sid", "id", "no_id"]
-    kept = rows.join(keep.select(F.col("__sid").alias("sid"), *named(F.col("keep"))), keys)
-    said = F.col("row")[text]
-    one = Window.partitionBy(*keys).orderBy(F.xxhash64(said), said)
-    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
+    chosen = rows.join(keep.select("sid", *named(F.col("keep"))), keys).groupBy(*keys).agg(F.min("row").alias("row")).select(F.col("row.__row").alias("__row"))
+    return only(stored, write_shared(chosen, "similar-kept"), "__row").select(*[F.col(f"`{c}`") for c in docs.columns])
