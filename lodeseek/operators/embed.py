@@ -104,26 +104,31 @@ def prefixes(config_json: str) -> dict[str, str]:
 
 
 def embed_query(embedder: Embedder, pattern: str) -> list[float]:
-    found = embedder.embed([embedder.query_prefix + pattern])
+    own = getattr(embedder, "embed_queries", None)
+    found = own([pattern]) if own else embedder.embed([embedder.query_prefix + pattern])
     if not found:
         raise ValueError("the embedder returned no vector")
     return found[0]
 
 
 def embed_passages(chunks: DataFrame, embedder: Embedder, text: str = "chunk_text") -> DataFrame:
-    """chunks with embedding and error; batches of the embedder's size, one batch for models that need it."""
+    """chunks with embedding and error; batches of the embedder's size, one batch for models that need it.
+
+    An embedder may have its own embed_passages (and embed_queries); else passages get its prefix.
+    """
     at = chunks.columns.index(text)
+    own = getattr(embedder, "embed_passages", None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [embedder.passage_prefix + (t or "") for t in b.column(at).to_pylist()]
+            texts = [(t or "") if own else embedder.passage_prefix + (t or "") for t in b.column(at).to_pylist()]
             size = embedder.batch or max(1, len(texts))
             vectors: list[list[float] | None] = []
             errors: list[str | None] = []
             for lo in range(0, len(texts), size):
                 part = texts[lo : lo + size]
                 try:
-                    got = embedder.embed(part)
+                    got = own(part) if own else embedder.embed(part)
                     if len(got) != len(part):
                         raise ValueError(f"expected {len(part)} vectors, got {len(got)}")
                     wrong = [None if len(v) == embedder.dimension else f"dimension {len(v)} is not {embedder.dimension}" for v in got]

@@ -92,6 +92,11 @@ def stream_rows(df: DataFrame) -> Iterator[Row]:
     return df.toLocalIterator(prefetchPartitions=False)
 
 
+def stream_files(matches: DataFrame) -> Iterator[Row]:
+    """One row a file (path, file_type, n_matches, matches in order of place), in order of path, as stream_rows gives them."""
+    return stream_rows(grep.by_file(matches).orderBy("path"))
+
+
 @contextmanager
 def cancellable(spark: SparkSession) -> Iterator[threading.Event]:
     """Within it, jobs carry a tag; setting the event and leaving cancels them."""

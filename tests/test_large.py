@@ -225,3 +225,21 @@ def test_engines_and_pooling(spark):
 def test_pages_preview(spark):
     box = F.struct(F.lit(1.0).alias("x"))
     assert spark.range(1).select(preview.of_pages(F.lit(3), box).alias("p")).first().p == ("Pdf", 3, (1.0,))
+
+
+def test_stream_of_files(spark):
+    docs = spark.createDataFrame([("b.txt", "x y x"), ("a.txt", "x"), ("c.txt", "none")], "path string, text string")
+    got = list(search.stream_files(grep.grep_lines(docs, SearchQuery("x"), keep=["path"])))
+    assert [(r.path, r.n_matches, [m.start for m in r.matches]) for r in got] == [("a.txt", 1, [0]), ("b.txt", 2, [0, 4])]
+
+
+def test_embedders_with_their_own_calls(spark):
+    class Own(embed.HashingEmbedder):
+        def embed_passages(self, texts):
+            return [[float(len(t)), 0.0] for t in texts]
+
+        def embed_queries(self, texts):
+            return [[float(len(t)), 1.0] for t in texts]
+
+    rows = embed.embed_passages(spark.createDataFrame([("abc",)], "chunk_text string"), Own(2, passage_prefix="p: ")).collect()
+    assert [r.embedding for r in rows] == [[3.0, 0.0]] and embed.embed_query(Own(2, query_prefix="q: "), "four") == [4.0, 1.0]
