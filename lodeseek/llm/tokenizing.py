@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker keeps, for each kind, before it forgets those that were asked for in one batch only.
-PIECES = 300_000
+PIECES = 150_000
 _TOGETHER = 2048
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _CLOSING = ".,;:!?%*$&#|)"
