@@ -60,8 +60,12 @@ def fingerprint(text: str | None) -> int:
         ends = np.cumsum(np.fromiter((len(w) if w.isascii() else len(w.encode()) for w in words), np.int64, len(words)) + 1)
         starts = [0, *ends[: len(words) - SHINGLE].tolist()]
         hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, (ends[SHINGLE - 1 :] - 1).tolist(), strict=True)]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(every: np.ndarray) -> int:
+    """The bits that over half of the hashes have."""
     counts = np.zeros(BITS, np.int64)
-    every = np.array(hashes, "<u8")
     for at in range(0, len(every), 1 << 16):  # bounded memory for long texts
         counts += np.unpackbits(every[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(counts * 2 > len(every), bitorder="little").view("<u8")[0])
@@ -260,18 +264,29 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return found.select(doc_id, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _set_pairs(reps: DataFrame, block: int) -> DataFrame:
+    """Pairs (a, b) of sets (__sid, __fp) that connect all whose fingerprints are within DISTANCE: a forest of them."""
+    fps = write_shared(reps.groupBy(F.col("__fp").alias("fp")).agg(F.min("__sid").alias("first"), F.count("*").alias("n")), "similar-fps")
+    same = reps.join(fps.where("n > 1"), reps["__fp"] == fps["fp"]).where("__sid <> first").select(F.col("first").alias("a"), F.col("__sid").alias("b"))
+    end = lambda c: fps.select(F.col("fp").alias(c), F.col("first").alias(f"first_{c}"))
+    linked = links(fps.select("fp"), block).where("a <> b").join(end("a"), "a").join(end("b"), "b").select(F.col("first_a").alias("a"), F.col("first_b").alias("b"))
+    return write_shared(linked.union(same), "similar-pairs")
+
+
 def drop_near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", block: int = similar.BLOCK) -> DataFrame:
-    """docs with one row of each group that pairs of similarity 0.8 or more (see similar) connect: the one of the smallest doc_id. Of rows equal in doc_id and set of shingles, and of a group of null ids, one stays: the first by hash of its text."""
-    clash = {c: f"{c}_of_input" for c in docs.columns if c.lower() in ("__sid", "__size", "__sketch", "__keys", "__row")}
+    """docs with one row of each group that pairs of similarity 0.8 or more connect, found by SimHash and a prefix filter (see similar): the one of the smallest doc_id. Of rows equal in doc_id and set of shingles, and of a group of null ids, one stays: the first by hash of its text."""
+    clash = {c: f"{c}_of_input" for c in docs.columns if c.lower() in ("__sid", "__size", "__fp", "__sketch", "__keys", "__row")}
     if clash:
         back = {new: old for old, new in clash.items()}
         return drop_near_duplicates(docs.withColumnsRenamed(clash), text, doc_id, block).withColumnsRenamed(back)
     common, ranks, hot = similar.common(docs, text, block)
     # Rows have a number from here on, as written, so the choice among them is made without their texts.
-    stored = write_shared(similar.with_set(docs, common, ranks, text).withColumn("__row", F.monotonically_increasing_id()), "similar-docs")
-    sets = [F.first(c).alias(c) for c in ("__size", "__sketch", "__keys")]
-    reps = write_shared(stored.groupBy("__sid").agg(F.min(doc_id).alias("least"), *sets), "similar-reps")
-    labels = components(similar.links(stored, reps, hot, components, text))
+    stored = write_shared(similar.with_set(docs, common, ranks, majority, text).withColumn("__row", F.monotonically_increasing_id()), "similar-docs")
+    ids = write_shared(stored.groupBy("__sid").agg(F.min(doc_id).alias("least"), F.min("__row").alias("__row")), "similar-reps")
+    reps = only(stored.select("__row", "__sid", "__size", "__fp", "__sketch", "__keys"), ids.select("__row"), "__row")
+    near = similar.confirmed(_set_pairs(reps.select("__sid", "__fp"), block), stored, reps, text)
+    labels = components(near.union(similar.links(stored, reps, hot, components(near), text)))
+    reps = ids
     found = _with_ids(reps.select(F.col("__sid").alias("fp"), "least"), labels)
     # The set under which a component's document is kept; for groups of null ids, the component's label.
     keep = found.where(F.col("least").eqNullSafe(F.col("component_id"))).groupBy(F.coalesce("label", "fp").alias("label")).agg(F.min("fp").alias("sid"), F.min("component_id").alias("keep"))

@@ -5,13 +5,16 @@ has none. Two sets of similarity 0.8 share a shingle among the first n - ceil(0.
 all sets are sorted (prefix filter). Hashes give the order; shingles that a sample of one row in 8 shows to be common
 come last, the commonest at the end, so few sets meet under them. The sample decides on work, not on results.
 
-Sets are dealt by these keys, as key and id alone, since most keys have one set only. Those that meet another get their
-sketch: bit b of it is the parity of the number of hashes ending in b, in as many bits as a set has hashes. Sketches differ in
-at most |A xor B| <= (|A| + |B|) / 9 bits, which with the sizes prunes nearly all that is not similar. What is left
-under a key gives a spanning forest of candidates, in order of ids, so that several keys give the same ones. Of a
-set's candidates the one of least id is confirmed on whole sets first; what then still lies in different groups is confirmed next, and
-last each key gives all candidates between different groups, which are confirmed too. So a large group of copies does not give all its
-pairs, and what the forests got wrong is made good.
+SimHash comes first: fingerprints within a few bits, found as in simhash, are candidates, confirmed on whole sets. That
+joins most near copies and their groups get labels. But a similarity of 0.8 does not bound the bits, so the prefix filter
+finds the rest, for which only pairs of different labels count.
+
+Sets are dealt by their keys, as key, id and size alone, since most keys have one set only, or sets of sizes too far apart.
+Those left get their sketch: bit b of it is the parity of the number of hashes ending in b, in twice as many bits as a set has
+hashes or more. Sketches differ in at most |A xor B| <= (|A| + |B|) / 9 bits, which with the sizes prunes nearly all that is not
+similar. Under a key, sets that candidates connect and that have several labels make a cluster; of it those go on that are in
+candidates of different labels. Equal clusters of several keys are one. A cluster meets with its whole sets in one task, which
+gives a link for each label that it joins to another. So no table has more rows than sets under keys, however large a group is.
 """
 
 from __future__ import annotations
@@ -30,6 +33,8 @@ SHINGLE = 5
 SAMPLE, COMMON, MOST = 8, 3, 1 << 20
 #: Sets of one key that one task is to hold; a commoner key is dealt as pairs of blocks.
 BLOCK = 2048
+#: Hashes of a cluster that one task is to hold; a larger one is dealt as pairs of blocks.
+HELD = 1 << 20
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)]
 
 
@@ -75,8 +80,8 @@ def similar(one: np.ndarray, other: np.ndarray) -> bool:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the numbers of hashes that end in each value: as many bits as hashes, up to the next power of two, 64 at least."""
-    bits = max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    """Parities of the numbers of hashes that end in each value: twice as many bits as hashes, up to the next power of two, 64 at least."""
+    bits = max(64, 1 << max(0, 2 * len(hashes) - 1).bit_length())
     counts = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
     return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
 
@@ -118,31 +123,32 @@ def common(docs: DataFrame, text: str, block: int = BLOCK) -> tuple[np.ndarray,
     return keys.view(np.uint64)[order], (len(keys) - np.arange(len(keys)))[order], blocks
 
 
-def with_set(docs: DataFrame, last: np.ndarray, ranks: np.ndarray, text: str = "text") -> DataFrame:
-    """docs with __sid (hash of the set), __size, __sketch and __keys (its prefix)."""
+def with_set(docs: DataFrame, last: np.ndarray, ranks: np.ndarray, simhash: Callable[[np.ndarray], int], text: str = "text") -> DataFrame:
+    """docs with __sid (hash of the set), __size, __fp (simhash of its hashes), __sketch and __keys (its prefix)."""
     from xxhash import xxh64_intdigest
 
-    kept = without(docs, ["__sid", "__size", "__sketch", "__keys"])
+    kept = without(docs, ["__sid", "__size", "__fp", "__sketch", "__keys"])
     at = kept.columns.index(text)
     shared = docs.sparkSession.sparkContext.broadcast((last, ranks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late, rank = shared.value
         for b in by_size(batches, at):
-            sids, sizes, sketches, keys = [], [], [], []
+            sids, sizes, fps, sketches, keys = [], [], [], [], []
             for t in b.column(at):
                 hashes = shingles(t.as_py())
                 sids.append(xxh64_intdigest(hashes.tobytes(), SHINGLE))
                 sizes.append(len(hashes))
+                fps.append(simhash(hashes))
                 sketches.append(sketch(hashes))
                 keys.append(prefix(hashes, late, rank).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.array([], np.int64), *keys])))
-            sid = pa.array(np.array(sids, np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*b.columns, sid, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), lists], [*b.schema.names, "__sid", "__size", "__sketch", "__keys"])
+            sid, fp = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (sids, fps))
+            yield pa.RecordBatch.from_arrays([*b.columns, sid, pa.array(sizes, pa.int32()), fp, pa.array(sketches, pa.binary()), lists], [*b.schema.names, "__sid", "__size", "__fp", "__sketch", "__keys"])
         _forget()
 
-    empty = [F.lit(0).cast("long").alias("__sid"), F.lit(0).alias("__size"), F.lit(b"").alias("__sketch"), F.expr("cast(array() as array<bigint>)").alias("__keys")]
+    empty = [F.lit(0).cast("long").alias("__sid"), F.lit(0).alias("__size"), F.lit(0).cast("long").alias("__fp"), F.lit(b"").alias("__sketch"), F.expr("cast(array() as array<bigint>)").alias("__keys")]
     return bounded(kept).mapInArrow(run, kept.select("*", *empty).schema)
 
 
@@ -188,14 +194,39 @@ class _Group:
                 todo += found[::-1]
         return links
 
-    def across(self, labels: np.ndarray) -> list[tuple[int, int]]:
-        """Candidates with different labels. Sets of the commonest label are only looked up."""
+    def looked_up(self, labels: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Sets, each with candidates of other labels among those before it. Sets of the commonest label are only looked up.
+
+        labels may change on the way.
+        """
         names, counts = np.unique(labels, return_counts=True)
-        done, links = labels == names[np.argmax(counts)], []
+        done = labels == names[np.argmax(counts)]
         for k in np.flatnonzero(~done).tolist():
-            links += [(k, x) for x in self.near(k, done & (labels != labels[k])).tolist()]
+            found = self.near(k, done & (labels != labels[k]))
+            if len(found):
+                yield k, found
             done[k] = True
-        return links
+
+    def across(self, labels: np.ndarray) -> list[tuple[int, int]]:
+        """Candidates with different labels."""
+        return [(k, x) for k, found in self.looked_up(labels) for x in found.tolist()]
+
+    def clusters(self, labels: np.ndarray) -> list[np.ndarray]:
+        """Sets that are in candidates of different labels, apart where no candidates connect them."""
+        root = np.arange(len(self.sizes))
+        for k, x in self.forest():
+            root[x] = root[k]
+        found = []
+        order = np.argsort(root, kind="stable")
+        for which in np.split(order, np.flatnonzero(np.diff(root[order])) + 1):
+            if len(which) > 1 and (labels[which] != labels[which[0]]).any():
+                part = self if len(which) == len(root) else _Group(self.sizes[which], [self.sketches[k] for k in which.tolist()])
+                touched = np.zeros(len(which), bool)
+                for k, others in part.looked_up(labels[which]):
+                    touched[k] = touched[others] = True
+                if touched.any():
+                    found.append(which[touched])
+        return found
 
 
 def _walk(of: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -230,89 +261,115 @@ def _walk(of: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch]
 
 
 def _several(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Rows of groups of two sets or more."""
-    return rows.filter(pa.array(np.repeat(end - begin > 1, end - begin)))
+    """Rows that the next or the last of their group, in order of sizes, is similar to as to size."""
+    sizes = rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+    beside = 5 * sizes[:-1] >= 4 * sizes[1:]
+    beside[begin[1:] - 1] = False
+    return rows.filter(pa.array(np.append(beside, False) | np.append(False, beside)))
 
 
-def _pairs(sid: np.ndarray, found: list[np.ndarray]) -> pa.RecordBatch:
-    pairs = sid[np.concatenate([np.zeros((0, 2), np.int64), *found])]
-    ordered = np.unique(np.stack([pairs.min(axis=1), pairs.max(axis=1)]), axis=1)
-    return pa.RecordBatch.from_arrays([pa.array(ordered[0]), pa.array(ordered[1])], ["a", "b"])
+def _blocks(sizes: np.ndarray, most: int) -> list[np.ndarray]:
+    """All of a cluster, or pairs of blocks of it, each of about `most` hashes."""
+    ends = np.cumsum(sizes)
+    block = ends // max(1, most // 2)
+    blocks = [np.flatnonzero(block == k) for k in np.unique(block)]
+    if ends[-1] <= most or len(blocks) < 3:
+        return [np.arange(len(sizes))]
+    return [np.concatenate([x, y]) for k, x in enumerate(blocks) for y in blocks[k + 1 :]]
 
 
-def _first(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Candidates (a, b) of each group: a forest."""
-    sizes, sketches, found = rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64), rows.column(4).to_pylist(), []
-    for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-        if e - b > 1 and (links := _Group(sizes[b:e], sketches[b:e]).forest()):
-            found.append(np.array(links) + b)
-    return _pairs(rows.column(2).to_numpy(zero_copy_only=False), found)
+def _open(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Clusters of each group, as rows (cluster, part, sid, label)."""
+    from xxhash import xxh64_intdigest
+
+    sid, sizes, labels = (rows.column(k).to_numpy(zero_copy_only=False) for k in (2, 3, 5))
+    sizes, names, which = sizes.astype(np.int64), [], []
+    some = np.minimum.reduceat(labels, begin) < np.maximum.reduceat(labels, begin)
+    for b, e in zip(begin[some].tolist(), end[some].tolist(), strict=True):
+        for cluster in _Group(sizes[b:e], rows.column(4).slice(b, e - b).to_pylist()).clusters(labels[b:e]):
+            cluster = cluster[np.argsort(sid[b:e][cluster])] + b
+            for part in _blocks(sizes[cluster], HELD):
+                part = cluster[part]
+                names.append(np.full(len(part), xxh64_intdigest(np.sort(sid[part]).tobytes(), SHINGLE), np.uint64))
+                which.append(part)
+    at = np.concatenate([np.zeros(0, np.int64), *which])
+    name = np.concatenate([np.zeros(0, np.uint64), *names]).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(np.zeros(len(at), np.int32)), pa.array(sid[at]), pa.array(labels[at])], ["key", "cell", "sid", "label"])
+
+
+def joining(sets: list[np.ndarray], labels: np.ndarray) -> list[tuple[int, int]]:
+    """Similar pairs that connect all labels (changed on the way) that similar pairs of sets connect."""
+    group = _Group(np.array([len(x) for x in sets]), [sketch(x) for x in sets])
+    found = []
+    for k, others in group.looked_up(labels):
+        # Of each other label, the first set that is similar.
+        parts = [sets[x] for x in others.tolist()]
+        at = np.minimum(np.searchsorted(sets[k], every := np.concatenate(parts)), len(sets[k]) - 1)
+        ends = np.cumsum([len(x) for x in parts])
+        both = np.diff(np.append(0, np.cumsum(sets[k][at] == every))[ends], prepend=0)
+        good = others[5 * both >= 4 * (len(sets[k]) + np.diff(ends, prepend=0) - both)]
+        if len(good):
+            names, first = np.unique(labels[good], return_index=True)
+            found += [(k, x) for x in good[first].tolist()]
+            labels[np.isin(labels, names)] = labels[k]
+    return found
 
 
-def _second(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Candidates (a, b) of different labels. In groups of two the forest had all."""
-    sizes, sketches, found = rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64), rows.column(4).to_pylist(), []
-    labels = rows.column(5).to_numpy(zero_copy_only=False)
+def _joined(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
+    """Links (a, b) of each cluster."""
+    sid, labels, links = rows.column(2).to_numpy(zero_copy_only=False), rows.column(3).to_numpy(zero_copy_only=False), []
     for b, e in zip(begin.tolist(), end.tolist(), strict=True):
-        if e - b > 2 and (labels[b:e] != labels[b]).any() and (links := _Group(sizes[b:e], sketches[b:e]).across(labels[b:e])):
-            found.append(np.array(links) + b)
-    return _pairs(rows.column(2).to_numpy(zero_copy_only=False), found)
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column(4).slice(b, e - b)]
+        links += [(b + k, b + x) for k, x in joining(sets, labels[b:e].copy())]
+    pairs = sid[np.array(links, np.int64).reshape(-1, 2)]
+    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
 
 
-def _confirmed(pairs: DataFrame, stored: DataFrame, text: str) -> DataFrame:
-    """Pairs (a, b) of sets whose similarity is 0.8 or more."""
-    ids = write_shared(pairs.select(F.explode(F.array("a", "b")).alias("__sid")).distinct(), "similar-ids")
-    texts = only(stored.select("__sid", text), ids, "__sid").dropDuplicates(["__sid"])
+def _sets(ids: DataFrame, stored: DataFrame, reps: DataFrame, text: str) -> DataFrame:
+    """(sid, hashes) of the sets in ids (__sid), written."""
+    rows = write_shared(only(reps.select("__sid", "__row"), write_shared(ids.distinct(), "similar-ids"), "__sid").select("__row"), "similar-rows")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py()).tobytes() for t in b.column(1)], pa.binary())], ["sid", "hashes"])
         _forget()
 
+    texts = only(stored.select("__row", "__sid", text), rows, "__row").select("__sid", text)
+    return write_shared(bounded(texts).mapInArrow(hashed, "sid long, hashes binary"), "similar-sets")
+
+
+def confirmed(pairs: DataFrame, stored: DataFrame, reps: DataFrame, text: str = "text") -> DataFrame:
+    """Those of pairs (a, b) of sets whose similarity is 0.8 or more, written."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in two)) for two in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    sets = write_shared(bounded(texts).mapInArrow(hashed, "sid long, hashes binary"), "similar-sets")
+    sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("__sid")), stored, reps, text)
     one, other = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
     return write_shared(bounded(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")).mapInArrow(confirm, "a long, b long"), "similar-links")
 
 
-def links(stored: DataFrame, reps: DataFrame, hot: list[tuple[int, int]], components: Callable[[DataFrame], DataFrame], text: str = "text") -> DataFrame:
-    """Pairs (a, b) of set ids, all similar, that connect all sets that similar pairs connect.
+def links(stored: DataFrame, reps: DataFrame, hot: list[tuple[int, int]], labels: DataFrame, text: str = "text") -> DataFrame:
+    """Pairs (a, b) of set ids, all similar, that together with labels (node, label) connect all sets that similar pairs connect.
 
-    stored: rows with __sid and text; reps: (__sid, __size, __sketch, __keys) of the distinct sets.
+    stored: rows with __row, __sid and text; reps: (__row, __sid, __size, __sketch, __keys) of the distinct sets.
     """
     spark = stored.sparkSession
-    keyed = reps.select(F.explode("__keys").alias("key"), F.lit(0).alias("cell"), F.col("__sid").alias("sid"))
+    keyed = reps.select(F.explode("__keys").alias("key"), F.lit(0).alias("cell"), F.col("__sid").alias("sid"), F.col("__size").alias("size"))
     if hot:
         blocks = spark.createDataFrame(hot, "key long, blocks int")
         mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
         # Block x and block y >= x meet in cell (x, y).
         cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda y: F.least(y, mine) * F.col("blocks") + F.greatest(y, mine))
         keyed = keyed.join(F.broadcast(blocks), "key", "left")
-        keyed = keyed.select("key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"), "sid")
-    dealt = lambda rows: bounded(rows).repartition("key", "cell").sortWithinPartitions("key", "cell", "sid")
-    several = dealt(keyed).mapInArrow(_walk(_several), "key long, cell int, sid long")
-    sketches = reps.select(F.col("__sid").alias("sid"), F.col("__size").alias("size"), F.col("__sketch").alias("sketch"))
-    met = write_shared(several.join(sketches, "sid").select("key", "cell", "sid", "size", "sketch"), "similar-met")
-    pairs = write_shared(dealt(met).mapInArrow(_walk(_first), "a long, b long").distinct(), "similar-pairs")
-    # Each set with the least it may be similar to; then what is left between groups of these.
-    found = _confirmed(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), stored, text)
-    label = lambda rows, labels, c: rows.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}")), c, "left").withColumn(f"label_{c}", F.coalesce(f"label_{c}", c))
-    for k in range(2):
-        labels = components(found)
-        if k == 0:
-            least = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-            more = label(label(pairs, labels, "a"), labels, "b").where("label_a <> label_b").select("a", "b").join(least, ["a", "b"], "left_anti")
-        else:
-            # Groups under a key that are of several labels; the forest had all of a group of two.
-            named = label(met.select("key", "cell", "sid"), labels, "sid").groupBy("key", "cell").agg(F.count("*").alias("n"), F.min("label_sid").alias("low"), F.max("label_sid").alias("high"))
-            mixed = label(met.join(named.where("n > 2 and low <> high"), ["key", "cell"], "left_semi"), labels, "sid")
-            rows = dealt(mixed.select("key", "cell", "sid", "size", "sketch", F.col("label_sid").alias("label")))
-            more = rows.mapInArrow(_walk(_second), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-        more = write_shared(more, "similar-more")
-        if not more.isEmpty():
-            found = write_shared(found.union(_confirmed(more, stored, text)), "similar-links")
-    return found
+        keyed = keyed.select("key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"), "sid", "size")
+    dealt = lambda rows, *order: bounded(rows).repartition("key", "cell").sortWithinPartitions("key", "cell", *order, "sid")
+    several = dealt(keyed, "size").mapInArrow(_walk(_several), "key long, cell int, sid long, size int")
+    named = reps.select(F.col("__sid").alias("sid"), F.col("__sketch").alias("sketch")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    met = several.join(named, "sid").select("key", "cell", "sid", "size", "sketch", F.coalesce("label", "sid").alias("label"))
+    left = write_shared(dealt(met).mapInArrow(_walk(_open), "key long, cell int, sid long, label long").distinct(), "similar-open")
+    sets = _sets(left.select(F.col("sid").alias("__sid")), stored, reps, text)
+    whole = dealt(left.join(sets, "sid").select("key", "cell", "sid", "label", "hashes"))
+    return whole.mapInArrow(_walk(_joined), "a long, b long").distinct()

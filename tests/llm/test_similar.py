@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lodeseek.llm import similar, simhash
@@ -93,3 +94,62 @@ def test_sketches_lose_no_similar_pair():
         assert alike <= found
         good, wrong = good + len(alike), wrong + len(found - alike)
     assert good > 50 and wrong < good
+
+
+def met_under_one_key(sets, labels):
+    rows = [np.ones(len(sets), np.int64), np.zeros(len(sets), np.int32), np.arange(len(sets)), [len(x) for x in sets]]
+    arrays = [pa.array(x) for x in rows] + [pa.array([similar.sketch(x) for x in sets]), pa.array(labels)]
+    return pa.RecordBatch.from_arrays(arrays, ["key", "cell", "sid", "size", "sketch", "label"])
+
+
+def crowd(n, alike):
+    """A set, so many copies of it that are similar, and others at 0.75 or a little over 0.8 to it and little to each other."""
+    rng = random.Random(5)
+    universe = [rng.getrandbits(64) for _ in range(100_000)]
+    base, sets = universe[:400], []
+    for k in range(n):
+        gone = 5 if k < alike else rng.choice((40, 46, 57))
+        sets.append(np.unique(np.array(base[gone:] + rng.sample(universe[400:], gone), np.uint64)))
+    return [np.unique(np.array(base, np.uint64)), *sets]
+
+
+@pytest.mark.parametrize("held", [similar.HELD, 40_000])
+def test_crowded_key_gives_no_more_rows_than_sets(monkeypatch, held):
+    """Pairs that sizes and sketches can't tell grow with the square of a group; clusters and links of labels do not, and none is lost."""
+    monkeypatch.setattr(similar, "HELD", held)
+    sets = crowd(400, 150)
+    labels = np.array([0] * 151 + list(range(151, len(sets))))  # SimHash has joined the close copies
+    alike = {(a, b) for b in range(len(sets)) for a in range(b) if similar.similar(sets[a], sets[b])}
+    assert len(similar._Group(np.array([len(x) for x in sets]), [similar.sketch(x) for x in sets]).across(labels)) > 10 * len(sets)
+    rows = similar._open(met_under_one_key(sets, labels), np.array([0]), np.array([len(sets)]))
+    if held > 40_000:
+        assert rows.num_rows <= len(sets)
+    links = set()
+    for name in rows.column(0).unique().to_pylist():
+        which = rows.filter(pa.array([x == name for x in rows.column(0).to_pylist()]))
+        sids, named = which.column(2).to_pylist(), np.array(which.column(3).to_pylist())
+        assert sum(len(sets[k]) for k in sids) <= held + 1000
+        found = similar.joining([sets[k] for k in sids], named)
+        assert len(found) < len(sids)
+        links |= {tuple(sorted((sids[a], sids[b]))) for a, b in found}
+    assert links and links <= alike
+
+    def groups(pairs):
+        label = labels.copy()
+        for _ in range(20):
+            for a, b in pairs:
+                label[label == max(label[a], label[b])] = min(label[a], label[b])
+        return label.tolist()
+
+    assert groups(links) == groups(alike)
+
+
+def test_simhash_finds_near_copies_by_itself(spark, monkeypatch):
+    """Links come from fingerprints first: without the rest, close copies are found and nothing else goes."""
+    texts = planted()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    whole = kept_ids(texts)
+    monkeypatch.setattr(similar, "links", lambda *_: spark.createDataFrame([], "a long, b long"))
+    kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
+    copies = len(texts) - len({frozenset(shingle_set(t)) for t in texts.values()})
+    assert whole < kept and len(texts) - len(kept) > copies + 10
