@@ -88,10 +88,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _together(found, docs, secret_scan.redacted(F.col("text"), F.col("spans")))
 
 
+#: Pieces that a worker of packing keeps: few, as the stages before leave executors little memory.
+_PIECES = 150_000
+
+
 @_tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0)
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, pieces=_PIECES)
 
 
 STAGES = [

@@ -63,10 +63,10 @@ def assign(lengths: list[int], size: int = LENGTH) -> tuple[list[tuple[int, int,
     return pieces, count
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size: int = LENGTH, pool: int = POOL) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size: int = LENGTH, pool: int = POOL, pieces: int = 0) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of docs (doc_id, text).
 
-    ids are little-endian unsigned 32-bit integers. tokenizer: path of a tokenizers file, on each executor.
+    ids are little-endian unsigned 32-bit integers. tokenizer: path of a tokenizers file, on each executor. pieces: how many a worker keeps.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The library is loaded at the first batch, as most of a small cluster's tasks may be empty.
@@ -91,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size
             return pa.RecordBatch.from_arrays(arrays, _FIELDS)
 
         for b in by_size(batches, 1):
-            ids, counts = encoder(tokenizer, spaced).encode(b.column(1), end_id)
+            ids, counts = encoder(tokenizer, spaced, pieces=pieces).encode(b.column(1), end_id)
             raw = ids.astype("<u4", copy=False).tobytes()
             ends = np.cumsum(counts)
             for doc, begin, total in zip(b.column(0).to_pylist(), (ends - counts).tolist(), counts.tolist(), strict=True):

@@ -20,8 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker keeps, for each kind, before it forgets those that were asked for in one batch only.
-PIECES = 150_000
+#: Pieces that a worker keeps, for each kind, before it forgets those that were asked for least.
+PIECES = 600_000
 _TOGETHER = 2048
 _BEFORE_WORD = re.compile(r" (?=\S)")
 _CLOSING = ".,;:!?%*$&#|)"
@@ -74,15 +74,15 @@ class _Store:
 
 
 class Encoder:
-    """spaced: whether a space belongs to the piece behind it (byte-level) or is dropped (word-level)."""
+    """spaced: whether a space belongs to the piece behind it (byte-level) or is dropped (word-level); pieces: how many to keep, PIECES if 0."""
 
-    def __init__(self, file: str, spaced: bool, plain: bool = False) -> None:
+    def __init__(self, file: str, spaced: bool, plain: bool = False, pieces: int = 0) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
         self.tokenizer.encode_special_tokens = plain
-        self.spaced = spaced
+        self.spaced, self.pieces = spaced, pieces
         special = {} if plain else {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = special
         self.special_re = re.compile("|".join(f"({re.escape(s)})" for s in special)) if special else None
@@ -192,16 +192,16 @@ class Encoder:
         return slots
 
     def _forget(self) -> None:
-        """Keeps the pieces that were asked for in several batches, if there are few enough of them."""
+        """Keeps the pieces that were asked for in several batches; of too many of them those asked for most."""
         old, self.store = self.store, _Store()
         for known in (self.inner, self.first, self.runs):
             names, slots = list(known), np.fromiter(known.values(), np.int64, len(known))
-            often = old.asked[slots] > 1
-            if often.sum() > PIECES // 2:
-                often[:] = False
-            slots = slots[often]
-            names = [n for n, keep in zip(names, often.tolist(), strict=True) if keep]
+            often = np.flatnonzero(old.asked[slots] > 1)
+            if len(often) > (self.pieces or PIECES) // 2:
+                often = often[np.argsort(old.asked[slots[often]], kind="stable")[-((self.pieces or PIECES) // 2) :]]
+            slots, names = slots[often], [names[k] for k in often.tolist()]
             at = self.store.add(old.take(slots), old.size[slots])
+            self.store.asked[at : at + len(names)] = old.asked[slots] // 2
             known.clear()
             known.update(zip(names, range(at, at + len(names)), strict=True))
 
@@ -291,7 +291,7 @@ class Encoder:
             slots, counts = np.insert(slots, np.cumsum(counts), at), counts + 1
         ids = self.store.take(slots)
         ends = np.concatenate([[0], np.cumsum(self.store.size[slots])])[np.cumsum(counts)]
-        if max(len(self.inner), len(self.first)) > PIECES:
+        if max(len(self.inner), len(self.first)) > (self.pieces or PIECES):
             self._forget()
         return ids, np.diff(ends, prepend=0)
 
@@ -313,12 +313,12 @@ class Encoder:
         slots = np.insert(slots, np.cumsum(counts), [mapped[i] for i in closing])
         ids = self.store.take(slots)
         sizes = np.diff(np.concatenate([[0], np.cumsum(self.store.size[slots])])[np.cumsum(counts + 1)], prepend=0)
-        if max(len(self.inner), len(self.first)) > PIECES:
+        if max(len(self.inner), len(self.first)) > (self.pieces or PIECES):
             self._forget()
         return ids, np.bincount(np.array(owner), sizes, len(texts)).astype(np.int64)
 
 
 @lru_cache(maxsize=4)
-def encoder(file: str, spaced: bool, plain: bool = False) -> Encoder:
+def encoder(file: str, spaced: bool, plain: bool = False, pieces: int = 0) -> Encoder:
     """One for each worker process."""
-    return Encoder(file, spaced, plain)
+    return Encoder(file, spaced, plain, pieces)

@@ -624,3 +624,21 @@ def test_leaks_in_long_texts_and_long_items(spark):
         got = {r.doc_id: r for r in decontam.find_leaks(docs, bench, block_bytes=block).collect()}
         assert [(got[d].n_words, got[d].n_hit, got[d].item_ids) for d in (1, 2, 3, 4)] == [(200_000, 120, [7])] * 2 + [(6000, 6000, [7]), (3, 0, [])]
         assert len(got[1].spans) == 3 and len(got[3].spans) == 1
+
+
+def test_pieces_asked_for_most_are_kept(monkeypatch):
+    """A worker that knows too many common pieces keeps the commonest ones; ids stay right."""
+    import public_tokenizers
+
+    from lodeseek.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "PIECES", 40)
+    for file, spaced in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        coder = tokenizing.Encoder(public_tokenizers.path(file), spaced)
+        common = [f"common{k}" for k in range(10)]
+        often, rare = [f"often{k}" for k in range(30)], [f"rare{k}" for k in range(10)]
+        for words in (common, common, common + often, common + often, common + rare):
+            text = " ".join(["x", *words])
+            ids, _ = coder.encode([text])
+            assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+            assert len(coder.inner) <= 40 and set(common) <= set(coder.inner)
