@@ -17,23 +17,25 @@ from pyspark.sql import functions as F
 
 from lodeseek.llm import decontam, packing, quality, secret_scan, simhash
 from lodeseek.llm.queries import tokenizer
-from lodeseek.llm.shared import recorded, release, write_shared
+from lodeseek.llm.shared import bounded, recorded, release, write_shared
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Of this thread, for each table folder: working files of the last stage. The next one gets that stage's rows as written, so they
 #: are done with.
 _working = threading.local()
+#: Bytes of an Arrow batch. What the JVM takes for batches outside its heap stays with it, and one executor runs all stages.
+_BATCH = 2 << 20
 
 
 def _tidy(stage: Stage) -> Stage:
-    """stage, deleting what the stage before it has left in the shared folder, unless its input still reads it."""
+    """stage, on small Arrow batches, deleting what the stage before it has left in the shared folder, unless its input still reads it."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         held = _working.__dict__
         left = release(spark, held.pop(sf_dir, []), docs)
         with recorded() as made:
-            out = stage(spark, docs, sf_dir)
+            out = stage(spark, bounded(docs, _BATCH), sf_dir)
         held[sf_dir] = left + made
         return out
 
@@ -73,10 +75,14 @@ def _together(found: DataFrame, docs: DataFrame, text: F.Column) -> DataFrame:
     return found.select(*[put[c].alias(c) for c in docs.columns])
 
 
+#: Words that a worker of decontamination looks through at once, few for the same reason as _BATCH.
+_SHARD = 250_000
+
+
 @_tidy
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with windows of two benchmark items or more go; from others, what stems from the benchmark is cut."""
-    found = decontam.find_leaks(_apart(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["text", _ROW])
+    found = decontam.find_leaks(_apart(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["text", _ROW], shard_words=_SHARD)
     clean = found.where(F.size("item_ids") < 2)
     return _together(clean, docs, decontam.cut_spans(F.col("text"), F.col("spans")))
 
@@ -88,14 +94,14 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return _together(found, docs, secret_scan.redacted(F.col("text"), F.col("spans")))
 
 
-#: Pieces that a worker of packing keeps: few, as the stages before leave executors little memory.
-_PIECES = 150_000
+#: Pieces that a worker of packing keeps, and bytes of texts that it encodes at once: few, as the stages before leave executors little memory.
+_PIECES, _TOGETHER = 100_000, 1 << 19
 
 
 @_tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, pieces=_PIECES)
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, pieces=_PIECES, together=_TOGETHER)
 
 
 STAGES = [

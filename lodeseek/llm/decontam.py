@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, by_size, shared_dir, without, write_shared
+from .shared import bounded, by_size, shared_dir, trimmed, without, write_shared
 
 WINDOW = 8
 #: Words of a shard, about; documents are whole.
@@ -214,6 +214,7 @@ def _pass(docs: DataFrame, items: list[tuple[int, str]], text: str, keep: list[s
     at = docs.columns.index(text)
     kept = [docs.columns.index(c) for c in keep]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[pa.RecordBatch] = []
         texts: list[str | None] = []

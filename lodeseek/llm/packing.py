@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .shared import bounded, by_size
+from .shared import bounded, by_size, give_back, trimmed
 from .tokenizing import encoder
 
 LENGTH = 1024
@@ -63,11 +63,12 @@ def assign(lengths: list[int], size: int = LENGTH) -> tuple[list[tuple[int, int,
     return pieces, count
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size: int = LENGTH, pool: int = POOL, pieces: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size: int = LENGTH, pool: int = POOL, pieces: int = 0, together: int = 3 << 20) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of docs (doc_id, text).
 
-    ids are little-endian unsigned 32-bit integers. tokenizer: path of a tokenizers file, on each executor. pieces: how many a worker keeps.
+    ids are little-endian unsigned 32-bit integers. tokenizer: path of a tokenizers file, on each executor. pieces: how many a worker keeps; together: bytes of texts that it encodes at once, about.
     """
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The library is loaded at the first batch, as most of a small cluster's tasks may be empty.
         part, made, waiting, held = TaskContext.get().partitionId() << 40, 0, 0, []
@@ -90,7 +91,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size
             waiting = 0
             return pa.RecordBatch.from_arrays(arrays, _FIELDS)
 
-        for b in by_size(batches, 1):
+        for b in by_size(batches, 1, together):
             ids, counts = encoder(tokenizer, spaced, pieces=pieces).encode(b.column(1), end_id)
             raw = ids.astype("<u4", copy=False).tobytes()
             ends = np.cumsum(counts)
@@ -108,6 +109,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size
                     flush()
                 if waiting > _OUT_BYTES:
                     yield out()
+                    give_back()
         flush()
         yield out()
 

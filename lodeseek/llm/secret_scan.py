@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, by_size, without
+from .shared import bounded, by_size, trimmed, without
 
 #: Kinds in their order.
 KINDS = ("assign", "access", "hex", "markov")
@@ -219,6 +219,7 @@ _SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """The model of a corpus, from pair counts over all its texts."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, _SIZE, _SIZE), np.int64)
         for b in by_size(batches, 0):
@@ -246,6 +247,7 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     keep = docs.columns if keep is None else keep
     at, kept = docs.columns.index(text), [docs.columns.index(c) for c in keep]
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_size(batches, at):
             spans = [[{"kind": KINDS[k], "start": s, "end": e} for s, k, e in scan(t.as_py(), model)] for t in b.column(at)]

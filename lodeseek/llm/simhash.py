@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import similar
-from .shared import bounded, by_size, forget, only, without, write_shared
+from .shared import bounded, by_size, forget, only, trimmed, without, write_shared
 
 BITS, DISTANCE, SHINGLE, SEED = 64, 4, 4, 42
 #: Segments of the ring, as (lowest bit, width).
@@ -197,7 +197,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
         keyed = keyed.select("key", "side", "fp", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cell)).alias("cell"))
         cells = F.col("cell")
     dealt = keyed.select("key", cells.alias("cell"), "side", "fp").repartition("key", "cell").sortWithinPartitions("key", "cell")
-    return bounded(dealt).mapInArrow(_links, "a long, b long").distinct()
+    return bounded(dealt).mapInArrow(trimmed(_links), "a long, b long").distinct()
 
 
 def _hot(exact: DataFrame, block: int) -> DataFrame:

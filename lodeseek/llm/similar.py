@@ -10,10 +10,11 @@ joins most near copies and their groups get labels. But a similarity of 0.8 does
 finds the rest, for which only pairs of different labels count.
 
 Sets are dealt by their keys, as key, id and size alone, since most keys have one set only, or sets of sizes too far apart.
-Those left get their sketch: bit b of it is the parity of the number of hashes ending in b, in twice as many bits as a set has
+Sets under a key that sizes connect, from one to the next, have a name, by which equal ones of several keys become one, as near copies
+meet under most of their keys. Those left get their sketch: bit b of it is the parity of the number of hashes ending in b, in twice as many bits as a set has
 hashes or more. Sketches differ in at most |A xor B| <= (|A| + |B|) / 9 bits, which with the sizes prunes nearly all that is not
-similar. Under a key, sets that candidates connect and that have several labels make a cluster; of it those go on that are in
-candidates of different labels. Equal clusters of several keys are one. A cluster meets with its whole sets in one task, which
+similar. Under a name, sets that candidates connect and that have several labels make a cluster; of it those go on that are in
+candidates of different labels. Equal clusters are one, too. A cluster meets with its whole sets in one task, which
 gives a link for each label that it joins to another. So no table has more rows than sets under keys, however large a group is.
 """
 
@@ -26,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bounded, by_size, only, without, write_shared
+from .shared import bounded, by_size, forget, give_back, only, trimmed, without, write_shared
+from .tokenizing import encoder
 
 SHINGLE = 5
 #: One row in SAMPLE is looked at for common shingles: those in COMMON rows of the sample or more, MOST of them at most.
@@ -50,8 +52,10 @@ _words = _Hashes()
 
 
 def _forget() -> None:
-    """Frees the words of a worker, which may go on to other work."""
+    """Frees the words of a worker, which may go on to other work, and the tokens of work before."""
     _words.clear()
+    encoder.cache_clear()
+    give_back()
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -257,15 +261,21 @@ def _walk(of: Callable[[pa.RecordBatch, np.ndarray, np.ndarray], pa.RecordBatch]
         if held:
             yield close(held)
 
-    return run
+    return trimmed(run)
 
 
 def _several(rows: pa.RecordBatch, begin: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """Rows that the next or the last of their group, in order of sizes, is similar to as to size."""
-    sizes = rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
+    """Rows (key, sid) of sets that sizes let be similar to the next or the last of their group, in order of sizes; key: a hash of all such sets from one to the next."""
+    sid, sizes = rows.column(2).to_numpy(zero_copy_only=False), rows.column(3).to_numpy(zero_copy_only=False).astype(np.int64)
     beside = 5 * sizes[:-1] >= 4 * sizes[1:]
     beside[begin[1:] - 1] = False
-    return rows.filter(pa.array(np.append(beside, False) | np.append(False, beside)))
+    first = np.flatnonzero(np.append(True, ~beside))
+    mixed = sid.view(np.uint64) * _FACTORS[0]
+    mixed ^= mixed >> np.uint64(32)
+    name = np.add.reduceat(mixed * _FACTORS[1], first) * _FACTORS[2]
+    many = np.diff(first, append=len(sid))
+    name, some = np.repeat(name.view(np.int64), many), np.repeat(many > 1, many)
+    return pa.RecordBatch.from_arrays([pa.array(name[some]), pa.array(sid[some])], ["key", "sid"])
 
 
 def _blocks(sizes: np.ndarray, most: int) -> list[np.ndarray]:
@@ -341,6 +351,7 @@ def _sets(ids: DataFrame, stored: DataFrame, reps: DataFrame, text: str) -> Data
 def confirmed(pairs: DataFrame, stored: DataFrame, reps: DataFrame, text: str = "text") -> DataFrame:
     """Those of pairs (a, b) of sets whose similarity is 0.8 or more, written."""
 
+    @trimmed
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             good = [similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in two)) for two in zip(b.column(2), b.column(3), strict=True)]
@@ -348,7 +359,9 @@ def confirmed(pairs: DataFrame, stored: DataFrame, reps: DataFrame, text: str =
 
     sets = _sets(pairs.select(F.explode(F.array("a", "b")).alias("__sid")), stored, reps, text)
     one, other = sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), sets.select(F.col("sid").alias("b"), F.col("hashes").alias("y"))
-    return write_shared(bounded(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")).mapInArrow(confirm, "a long, b long"), "similar-links")
+    found = write_shared(bounded(pairs.join(one, "a").join(other, "b").select("a", "b", "x", "y")).mapInArrow(confirm, "a long, b long"), "similar-links")
+    forget(sets)
+    return found
 
 
 def links(stored: DataFrame, reps: DataFrame, hot: list[tuple[int, int]], labels: DataFrame, text: str = "text") -> DataFrame:
@@ -366,10 +379,14 @@ def links(stored: DataFrame, reps: DataFrame, hot: list[tuple[int, int]], labels
         keyed = keyed.join(F.broadcast(blocks), "key", "left")
         keyed = keyed.select("key", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(cells)).alias("cell"), "sid", "size")
     dealt = lambda rows, *order: bounded(rows).repartition("key", "cell").sortWithinPartitions("key", "cell", *order, "sid")
-    several = dealt(keyed, "size").mapInArrow(_walk(_several), "key long, cell int, sid long, size int")
-    named = reps.select(F.col("__sid").alias("sid"), F.col("__sketch").alias("sketch")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
-    met = several.join(named, "sid").select("key", "cell", "sid", "size", "sketch", F.coalesce("label", "sid").alias("label"))
+    # A set stands under few keys, so rows are even by sid, as the join wants them, too.
+    several = dealt(keyed, "size").mapInArrow(_walk(_several), "key long, sid long").repartition("sid").distinct()
+    named = reps.select(F.col("__sid").alias("sid"), F.col("__size").alias("size"), F.col("__sketch").alias("sketch")).join(labels.withColumnRenamed("node", "sid"), "sid", "left")
+    met = several.join(named, "sid").select("key", F.lit(0).alias("cell"), "sid", "size", "sketch", F.coalesce("label", "sid").alias("label"))
     left = write_shared(dealt(met).mapInArrow(_walk(_open), "key long, cell int, sid long, label long").distinct(), "similar-open")
     sets = _sets(left.select(F.col("sid").alias("__sid")), stored, reps, text)
     whole = dealt(left.join(sets, "sid").select("key", "cell", "sid", "label", "hashes"))
-    return whole.mapInArrow(_walk(_joined), "a long, b long").distinct()
+    found = write_shared(whole.mapInArrow(_walk(_joined), "a long, b long").distinct(), "similar-links")
+    forget(sets)
+    forget(left)
+    return found

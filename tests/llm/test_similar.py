@@ -1,12 +1,14 @@
 """Near-dedup of the pipeline against Jaccard similarities of all pairs."""
 
 import random
+import time
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from lodeseek.llm import similar, simhash
+from lodeseek.llm import shared, similar, simhash, tokenizing
 
 
 def shingle_set(text):
@@ -153,3 +155,42 @@ def test_simhash_finds_near_copies_by_itself(spark, monkeypatch):
     kept = {r.doc_id for r in simhash.drop_near_duplicates(docs).collect()}
     copies = len(texts) - len({frozenset(shingle_set(t)) for t in texts.values()})
     assert whole < kept and len(texts) - len(kept) > copies + 10
+
+
+def test_sets_that_meet_under_many_keys_are_named_once():
+    """Near copies share most of their keys; sets that sizes connect have one name under all of them, apart from others."""
+    meets = [[(7, 100), (8, 110), (9, 300)], [(7, 100), (8, 110)], [(5, 100)], [(8, 110), (7, 100), (9, 300), (6, 310)]]
+    rows = [(key, 0, sid, size) for key, met in enumerate(meets) for sid, size in sorted(met, key=lambda x: x[1])]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32()), strict=True)], ["key", "cell", "sid", "size"])
+    begin = np.array([k for k, r in enumerate(rows) if not k or rows[k - 1][0] != r[0]])
+    found = similar._several(batch, begin, np.append(begin[1:], len(rows)))
+    named = {}
+    for name, sid in zip(found.column(0).to_pylist(), found.column(1).to_pylist(), strict=True):
+        named.setdefault(name, set()).add(sid)
+    assert sorted(map(sorted, named.values())) == [[6, 9], [7, 8]]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    """Else they stay until the driver collects its garbage, and count as disk."""
+    kept = lambda: sum(b.isShuffle() for b in blocks())
+
+    def blocks():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return [found.apply(k) for k in range(found.size())]
+
+    before = kept()
+    written = shared.write_shared(spark.range(1000).repartition(3, "id"), "shuffled")
+    assert len(written.collect()) == 1000
+    for _ in range(50):
+        if kept() <= before:
+            break
+        time.sleep(0.1)
+    assert kept() <= before
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+
+
+def test_near_dedup_frees_tokens_of_work_before():
+    """A worker of a former packing would hold its tokens all through near-dedup."""
+    tokenizing.encoder(public_tokenizers.path("byte_bpe_50k.json"), True)
+    similar._forget()
+    assert tokenizing.encoder.cache_info().currsize == 0
