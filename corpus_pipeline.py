@@ -101,7 +101,7 @@ _PIECES, _TOGETHER = 100_000, 1 << 19
 @_tidy
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences: doc_id, start, length, doc_tokens, sequence_id, offset, ids."""
-    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, pieces=_PIECES, together=_TOGETHER)
+    return packing.pack(docs, tokenizer("byte_bpe_50k.json"), end_id=0, pieces=_PIECES, together=_TOGETHER, lean=True)
 
 
 STAGES = [

@@ -63,10 +63,10 @@ def assign(lengths: list[int], size: int = LENGTH) -> tuple[list[tuple[int, int,
     return pieces, count
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size: int = LENGTH, pool: int = POOL, pieces: int = 0, together: int = 3 << 20) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size: int = LENGTH, pool: int = POOL, pieces: int = 0, together: int = 3 << 20, lean: bool = False) -> DataFrame:
     """Pieces (doc_id, start, length, doc_tokens, sequence_id, offset, ids) of docs (doc_id, text).
 
-    ids are little-endian unsigned 32-bit integers. tokenizer: path of a tokenizers file, on each executor. pieces: how many a worker keeps; together: bytes of texts that it encodes at once, about.
+    ids are little-endian unsigned 32-bit integers. tokenizer: path of a tokenizers file, on each executor. pieces: how many a worker keeps; together: bytes of texts that it encodes at once, about; lean: give back what is free after each batch of pieces, for more time.
     """
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +109,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, spaced: bool = True, size
                     flush()
                 if waiting > _OUT_BYTES:
                     yield out()
-                    give_back()
+                    if lean:
+                        give_back()
         flush()
         yield out()
 
