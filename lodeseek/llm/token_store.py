@@ -56,6 +56,19 @@ class Grammar(NamedTuple):
     length: np.ndarray
 
 
+def _sorted(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """keys (64-bit numbers of so many bits) sorted, and where each was; those alike in any order."""
+    room = max(len(keys) - 1, 1).bit_length()
+    if bits + room > 64:
+        places = np.argsort(keys)
+        return keys[places], places
+    # Key and place fit into one number, and to sort numbers is some times faster than to sort places by keys.
+    both = keys << np.uint64(room)
+    both |= np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    return both >> np.uint64(room), (both & np.uint64((1 << room) - 1)).view(np.int64)
+
+
 def compress(ids: np.ndarray, tokens: np.ndarray, least: int = LEAST) -> Grammar:
     """Re-Pair of the documents in ids (tokens of each, one at least): rounds go on until no pair occurs `least` times.
 
@@ -70,15 +83,20 @@ def compress(ids: np.ndarray, tokens: np.ndarray, least: int = LEAST) -> Grammar
     left, right, size = [], [], np.ones(len(alphabet), np.uint32)
     where = np.flatnonzero(~last)
     while len(where):
-        kind, shift = (np.uint32, np.uint32(16)) if len(size) <= 1 << 16 else (np.uint64, np.uint64(32))
-        keys = (seq[where].astype(kind) << shift) | seq[where + 1].astype(kind)
-        ordered = np.sort(keys)
+        wide = max(len(size) - 1, 1).bit_length()
+        shift, low = np.uint64(wide), np.uint64((1 << wide) - 1)
+        keys = seq[where].astype(np.uint64)
+        keys <<= shift
+        keys |= seq[where + 1]
+        ordered, places = _sorted(keys, 2 * wide)
         cuts = np.flatnonzero(np.append(ordered[1:] != ordered[:-1], True))
-        pairs = ordered[cuts[np.diff(cuts, prepend=-1) >= least]]
+        often = np.diff(cuts, prepend=-1)
+        pairs = ordered[cuts[often >= least]]
         if not len(pairs):
             break
-        at = np.minimum(np.searchsorted(pairs, keys), len(pairs) - 1)
-        hit = pairs[at] == keys
+        at = np.full(len(keys), -1, np.int32)
+        at[places[np.repeat(often >= least, often)]] = np.repeat(np.arange(len(pairs), dtype=np.int32), often[often >= least])
+        hit = at >= 0
         where, at = where[hit], at[hit]
         # Of a run of overlapping matches every other one is replaced.
         begins = np.append(True, np.diff(where) > 1)
@@ -87,7 +105,7 @@ def compress(ids: np.ndarray, tokens: np.ndarray, least: int = LEAST) -> Grammar
         where, at = where[taken], at[taken]
         used = np.bincount(at, minlength=len(pairs)) > 1
         where, at = where[used[at]], at[used[at]]
-        a, b = (pairs[used] >> shift).astype(np.uint32), (pairs[used] & ((kind(1) << shift) - kind(1))).astype(np.uint32)
+        a, b = (pairs[used] >> shift).astype(np.uint32), (pairs[used] & low).astype(np.uint32)
         seq[where] = (len(size) - 1 + np.cumsum(used)).astype(np.uint32)[at]
         left, right, size = [*left, a], [*right, b], np.append(size, size[a] + size[b])
         last[where] = last[where + 1]

@@ -210,6 +210,34 @@ def test_pieces_encode_as_whole_texts(texts, name, spaced, plain, monkeypatch):
     assert [x.tolist() for x in mine.encode([])] == [[], []]
 
 
+def test_words_of_letters_pass_by_the_pattern():
+    """The word-level tokenizer's pattern, which takes most of its time, sees no word of letters; ids are the same for all letters."""
+    from tokenizers import Tokenizer, normalizers
+
+    class Recorded:
+        def __init__(self, inner):
+            self.inner, self.seen = inner, []
+
+        def encode_batch_fast(self, texts, **options):
+            self.seen += texts
+            return self.inner.encode_batch_fast(texts, **options)
+
+    whole = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+    mine = Encoder(queries.tokenizer("word_bpe_49k.json"), False)
+    mine.tokenizer = Recorded(mine.tokenizer)
+    letters = [chr(c) for c in range(0x41, 0x530) if re.fullmatch(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f\u0400-\u0481\u048a-\u052f]", chr(c))]
+    words = [*letters, *(f"a{c}b" for c in letters), *(f"{c}{c}." for c in letters), "wordsofletters", "Änderungen,", "и.", "don't", "x1"]
+    ids, counts = mine.encode([" ".join(words), "again wordsofletters!"])
+    expected = [e.ids for e in whole.encode_batch([" ".join(words), "again wordsofletters!"], add_special_tokens=False)]
+    assert ids.tolist() == [i for e in expected for i in e] and counts.tolist() == list(map(len, expected))
+    seen = {p for text in mine.tokenizer.seen for p in text.split()}
+    assert {"don't", "x1"} <= seen and not {p for p in seen if p.isalpha()}
+    for change in (lambda t: setattr(t, "normalizer", normalizers.NFKC()), lambda t: t.add_tokens(["word"]), lambda t: setattr(t, "pre_tokenizer", None)):
+        other = Tokenizer.from_file(queries.tokenizer("word_bpe_49k.json"))
+        change(other)
+        assert tokenizing._for_letters(other) is None
+
+
 def expected_ids(texts, name, end):
     from tokenizers import Tokenizer
 
@@ -270,6 +298,16 @@ def test_repair_goes_on_to_the_end():
     assert max(n for (x, y), n in pairs.items() if x != y) < token_store.LEAST
 
 
+def test_pairs_are_sorted_with_their_places():
+    """Pairs find their numbers by one sort, not by a search for each; also where pair and place do not fit into 64 bits."""
+    rng = np.random.default_rng(4)
+    for n, bits in ((1, 2), (2, 64), (5000, 4), (5000, 40), (5000, 64)):
+        keys = rng.integers(0, (1 << bits) - 1, n, np.uint64, endpoint=True)
+        keys = np.append(keys, keys)
+        ordered, places = token_store._sorted(keys, bits)
+        assert (ordered == np.sort(keys)).all() and (keys[places] == ordered).all() and (np.sort(places) == np.arange(2 * n)).all()
+
+
 def test_token_store_odd_rows(spark, odd):
     store = token_store.shards(odd, queries.tokenizer("word_bpe_49k.json"), 1, shard=500)
     rows = token_store.read_documents(store).join(token_store.shard_starts(store), ["part", "shard"]).collect()
