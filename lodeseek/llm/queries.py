@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, lang_id, licenses, neighbours, packing, quality, secret_scan, simhash, token_store, url_filter
+from . import chat, decontam, lang_id, licenses, neighbours, packing, quality, ranked, secret_scan, simhash, spelling, token_store, url_filter
 
 from .shared import write_shared
 
@@ -98,6 +98,14 @@ def op11_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20)
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), dropped=spelling.DROPPED)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -147,6 +155,39 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items,
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN items USING (rid)
 """
 
+_OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_WORDS} AS w FROM documents),
+s AS (SELECT count(*) AS n, sum(len(w))::BIGINT AS l FROM d WHERE len(w) > 0),
+i AS (SELECT iid, item_id, t, count(*) AS c FROM (SELECT row_number() OVER () AS iid, item_id, unnest({_WORDS}) AS t FROM benchmark) GROUP BY ALL),
+p AS (SELECT rid, doc_id, size, t, count(*) AS tf FROM (SELECT rid, doc_id, len(w) AS size, unnest(w) AS t FROM d) GROUP BY ALL),
+f AS (SELECT t, count(*) AS df FROM p GROUP BY t),
+v AS (SELECT rid, doc_id, t, floor(1000 * ln((2 * n + 2) / (2 * df + 1)))::BIGINT * ((1000000000 * tf) // (1000 * tf + 12 * (75 + ((25 * size * n) // l)))) AS x
+      FROM p JOIN f USING (t) CROSS JOIN s),
+r AS (SELECT iid, item_id, rid, doc_id, sum(c * x)::BIGINT AS score FROM i JOIN v USING (t) GROUP BY ALL)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM r WHERE score > 0) WHERE rank <= 20
+"""
+
+# The checksum has no function there: its table of 256 is made by eight shifts each, then bytes are folded in.
+_OP13_SQL = """
+WITH RECURSIVE tab AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+runs AS (SELECT doc_id, run, count(*) AS k
+         FROM (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{7,}')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents) GROUP BY ALL),
+coded AS (SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM runs),
+hashed AS (SELECT run, k, xor(list_reduce([4294967295] || list_transform(range(1, len(x), 2), lambda j: (instr('0123456789ABCDEF', x[j]) - 1) * 16 + instr('0123456789ABCDEF', x[j + 1]) - 1),
+                                          lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM coded CROSS JOIN tab),
+words AS (SELECT word, sum(k)::BIGINT AS n FROM (SELECT k, CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+gaps AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS gap FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+shorter AS (SELECT g.word AS a, w.word AS b FROM gaps g JOIN words w ON g.gap = w.word),
+pairs AS (SELECT a, b FROM shorter UNION SELECT b, a FROM shorter UNION SELECT g.word, o.word FROM gaps g JOIN gaps o ON g.gap = o.gap AND g.i = o.i AND g.word <> o.word),
+best AS (SELECT a, n, count(*) OVER (PARTITION BY a) AS n_near, b, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM pairs JOIN words ON b = word),
+formed AS (SELECT w.word, CASE WHEN b.n >= 10 * w.n THEN b.b END AS form, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN b.n >= 10 * w.n THEN b.n END AS form_n
+           FROM words w LEFT JOIN best b ON w.word = b.a AND r = 1),
+steps AS (SELECT word, word AS cur, 0 AS d FROM formed UNION ALL SELECT s.word, f.form, d + 1 FROM steps s JOIN formed f ON s.cur = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(cur, d) AS root FROM steps GROUP BY word) USING (word)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": _OP1_SQL, "op6_chat_format": _OP6_SQL, "op7_decontamination": _OP7_SQL}
+    return {"op1_url_filter": _OP1_SQL, "op6_chat_format": _OP6_SQL, "op7_decontamination": _OP7_SQL, "op12_ranked_search": _OP12_SQL, "op13_spelling_variants": _OP13_SQL}

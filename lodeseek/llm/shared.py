@@ -101,7 +101,7 @@ def _without_shuffles(spark: SparkSession) -> Iterator[None]:
                 spark.conf.unset(_CLEAN_CONF) if before is None else spark.conf.set(_CLEAN_CONF, before)
 
 
-def write_shared(df: DataFrame, tag: str) -> DataFrame:
+def write_shared(df: DataFrame, tag: str, **options: int) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it back, which cuts its lineage; its shuffle files go at once.
 
     The files survive the loss of any executor; they go when the driver's JVM ends.
@@ -109,7 +109,7 @@ def write_shared(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     with _without_shuffles(spark):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     for made in _recorders.get():
         made.append(path)
     jvm = spark.sparkContext._jvm
