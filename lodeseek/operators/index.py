@@ -1,26 +1,29 @@
 """The vector index: versions of a Parquet table beside a description, and a pointer to the current one.
 
-Rows are kept in buckets by hash of their file's path. A description names the folder of each bucket, so a change writes anew
-only the buckets of the files it touches and takes the others over. Building, replacing and removing write a new version and then
-move the pointer, so readers see the old rows or the new ones; folders go when none of the last versions names them.
+Building, replacing and removing write a new version and then move the pointer, so readers see the old rows or the new
+ones. A change writes its new rows and the paths whose older rows are gone, nothing else; see layout for buckets, tombstones and compaction.
 """
 
 from __future__ import annotations
 
-import json
 import time
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema
 from ..config import IndexingConfig
 from ..functions import paths
-from . import chunk, embed
+from . import chunk, embed, layout
+from .layout import BUCKET_ROWS
 from .store import Folder
 
 VERSION = 1
+#: Of the folders and descriptions; an index with another one has to be built anew.
+LAYOUT = 2
+#: Paths that a scan is asked for by name at most; with more it reads the buckets whole.
+NAMED_PATHS = 1000
 
 
 class IndexError_(RuntimeError):
@@ -29,8 +32,18 @@ class IndexError_(RuntimeError):
 
 @dataclass(frozen=True)
 class Opened:
+    """chunks: all live rows; rows_of reads those of some files only."""
+
     chunks: DataFrame
     meta: dict
+    path: str = ""
+
+    def rows_of(self, file_paths: list[str]) -> DataFrame:
+        """Rows of some files (a few, such as a search's hits), from their buckets alone."""
+        spark, paths_ = self.chunks.sparkSession, sorted(set(file_paths))
+        named = spark.createDataFrame([(p,) for p in paths_], "file_path string").select(layout.bucket_of(F.col("file_path"), int(self.meta["buckets"])).alias("b"))
+        entries = {str(r["b"]): self.meta["parts"].get(str(r["b"]), layout.entry()) for r in named.distinct().collect()}
+        return layout.live(spark, self.path, entries, F.col("file_path").isin(paths_)).select(*layout.COLUMNS)
 
 
 def chunk_documents(docs: DataFrame, config: IndexingConfig, root: str, semantic: bool = True) -> DataFrame:
@@ -57,33 +70,16 @@ def good_rows(prepared: DataFrame) -> tuple[DataFrame, DataFrame]:
     return prepared.join(failed, "file_path", "left_anti").drop("embed_error"), failed
 
 
-#: Rows of a bucket, about: a build makes as many buckets as that takes.
-BUCKET_ROWS = 100_000
-_COLUMNS = [c.split()[0] for c in schema.INDEX.split(", ")]
-
-
-def _bucket(path: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(path), F.lit(buckets)).cast("int")
+def _published(spark: SparkSession, path: str, rows: DataFrame, meta: dict, removed: list[str], began: float) -> dict:
+    """Writes rows as a version with parts of its own, and moves the pointer to it."""
+    made = layout.write_rows(spark, path, rows, meta["buckets"], meta["number"])
+    entries = {b: layout.entry() | {"parts": [p], "rows": p["rows"], "files": p["files"]} for b, p in made.items()}
+    meta = meta | {"layout": LAYOUT, "build_duration_ms": int((time.time() - began) * 1000)}
+    return layout.commit(Folder(spark, path), meta, entries, None, removed)
 
 
-def _publish(folder: Folder, rows: DataFrame, meta: dict, carried: dict[str, str], began: float | None = None) -> dict:
-    """Writes rows as a new version beside the bucket folders carried over from the one before, and moves the pointer to it."""
-    version = f"v{int(meta['number']):08d}"
-    dealt = rows.select(*_COLUMNS).withColumn("bucket", _bucket(F.col("file_path"), meta["buckets"]))
-    dealt.sortWithinPartitions("bucket", "file_path", "chunk_idx").write.mode("overwrite").partitionBy("bucket").parquet(f"{folder.path}/{version}")
-    made = {n.partition("=")[2]: f"{version}/{n}" for n in folder.names(version) if n.startswith("bucket=")}
-    meta = meta | {"parts": carried | made}
-    if began is not None:
-        meta["build_duration_ms"] = int((time.time() - began) * 1000)
-    folder.write(f"{version}.json", json.dumps(meta, indent=2))
-    folder.write("CURRENT", version)
-    return meta
-
-
-def _rows(spark: SparkSession, path: str, parts: list[str]) -> DataFrame:
-    if not parts:
-        return spark.createDataFrame([], schema.INDEX)
-    return spark.read.schema(schema.INDEX).parquet(*[f"{path.rstrip('/')}/{p}" for p in parts])
+def _places(meta: dict) -> list[str]:
+    return [p["path"] for e in meta["parts"].values() for p in [*e["parts"], *e["deleted"]]]
 
 
 def build(spark: SparkSession, path: str, docs: DataFrame, embedder: embed.Embedder, root: str, config: IndexingConfig = IndexingConfig(), semantic: bool = True, bucket_rows: int = BUCKET_ROWS) -> dict:
@@ -93,8 +89,9 @@ def build(spark: SparkSession, path: str, docs: DataFrame, embedder: embed.Embed
     """
     began = time.time()
     folder = Folder(spark, path)
-    old = folder.read("CURRENT") if folder.exists("CURRENT") else None
-    number = int(old[1:]) + 1 if old else 1
+    old = layout.description(folder) if folder.exists("CURRENT") else None
+    removed = _places(layout.with_entries(folder, old)) if old and old.get("layout") == LAYOUT else []
+    number = int(old["version"][1:]) + 1 if old else 1
     staged = f"{folder.path}/staging-{number}"
     try:
         prepare(docs, embedder, config, root, semantic).write.mode("overwrite").parquet(staged)
@@ -105,25 +102,26 @@ def build(spark: SparkSession, path: str, docs: DataFrame, embedder: embed.Embed
         errors = spark.read.schema("file_path string, error string").parquet(report)
         n_failed = errors.count()
         meta = {"schema_version": VERSION, "number": number, "engine": embedder.engine, "model_id": embedder.model_id, "dimension": embedder.dimension, "root_path": root, "built_at": int(began)}
-        meta |= {"failed_files": n_failed, "buckets": max(1, -(-prepared.count() // bucket_rows))}
-        meta = _publish(folder, rows, meta, {}, began)
+        meta |= {"failed_files": n_failed, "buckets": max(1, -(-prepared.count() // bucket_rows)), "bucket_rows": bucket_rows}
+        meta = _published(spark, path, rows, meta, removed, began)
     finally:
         folder.delete(f"staging-{number}")
-    vacuum(spark, path, keep=2)
+    layout.vacuum(folder, keep=2)
     return meta | {"errors": {r["file_path"]: r["error"] for r in errors.limit(1000).collect()}, "errors_path": report if n_failed else None}
 
 
 def create(spark: SparkSession, path: str, rows: DataFrame, meta: dict, bucket_rows: int = BUCKET_ROWS) -> dict:
     """An index of rows that are ready. meta: engine, model_id, dimension, root_path."""
-    return _publish(Folder(spark, path), rows, {"schema_version": VERSION, "number": 1, "built_at": int(time.time()), "buckets": max(1, -(-rows.count() // bucket_rows))} | meta, {}, time.time())
+    first = {"schema_version": VERSION, "number": 1, "built_at": int(time.time()), "buckets": max(1, -(-rows.count() // bucket_rows)), "bucket_rows": bucket_rows}
+    return _published(spark, path, rows, first | meta, [], time.time())
 
 
 def read_meta(spark: SparkSession, path: str) -> dict:
+    """The description of the current version, with its counts; it reads no rows."""
     folder = Folder(spark, path)
     if not folder.exists("CURRENT"):
         raise IndexError_(f"no index at {path}")
-    version = folder.read("CURRENT")
-    return json.loads(folder.read(f"{version}.json")) | {"version": version}
+    return layout.description(folder)
 
 
 def open_index(spark: SparkSession, path: str, model_id: str | None = None, dimension: int | None = None) -> Opened:
@@ -139,7 +137,10 @@ def open_index(spark: SparkSession, path: str, model_id: str | None = None, dime
         raise IndexError_(f"the index has model {meta['model_id']}, not {model_id}")
     if dimension is not None and int(meta["dimension"]) != dimension:
         raise IndexError_(f"the index has dimension {meta['dimension']}, not {dimension}")
-    return Opened(_rows(spark, path, list(meta["parts"].values())), meta)
+    if meta.get("layout") != LAYOUT:
+        raise IndexError_(f"layout {meta.get('layout')} is not {LAYOUT}: build the index anew")
+    meta = layout.with_entries(Folder(spark, path), meta)
+    return Opened(layout.live(spark, path, meta["parts"]).select(*layout.COLUMNS), meta, path)
 
 
 def replaced(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
@@ -150,46 +151,53 @@ def replaced(old: DataFrame, new: DataFrame, gone: DataFrame) -> DataFrame:
 def apply_changes(spark: SparkSession, path: str, new: DataFrame, removed: DataFrame, changed: DataFrame, batch: int | None = None) -> dict:
     """A new version: rows of removed and changed files (file_path) go, those of new come. A batch number is applied once.
 
-    Only buckets of these files are read and written. new is read more than once: give it written.
+    What is written is new and a tombstone for each file that had rows; of the index, only paths in the buckets of these files are
+    read. Buckets that are due for it are then compacted, as a version of its own. new is read more than once: give it written.
     """
-    opened = open_index(spark, path)
-    if batch is not None and opened.meta.get("batch", -1) >= batch:
-        return opened.meta
-    wrong = new.where(F.size("embedding") != int(opened.meta["dimension"])).limit(1).collect()
+    meta = open_index(spark, path).meta
+    if batch is not None and meta.get("batch", -1) >= batch:
+        return meta
+    wrong = new.where(F.size("embedding") != int(meta["dimension"])).limit(1).collect()
     if wrong:
-        raise IndexError_(f"dimension of {wrong[0]['file_path']} is not {opened.meta['dimension']}")
-    gone = removed.select("file_path").unionByName(changed.select("file_path"))
-    buckets, parts = int(opened.meta["buckets"]), opened.meta["parts"]
-    touched = {str(r[0]) for r in gone.unionByName(new.select("file_path")).select(_bucket(F.col("file_path"), buckets)).distinct().collect()}
-    meta = {k: v for k, v in opened.meta.items() if k != "version"} | {"number": int(opened.meta["number"]) + 1} | ({} if batch is None else {"batch": batch})
-    rows = replaced(_rows(spark, path, [p for b, p in parts.items() if b in touched]), new, gone)
-    meta = _publish(Folder(spark, path), rows.repartition("file_path"), meta, {b: p for b, p in parts.items() if b not in touched})
-    vacuum(spark, path, keep=3)
+        raise IndexError_(f"dimension of {wrong[0]['file_path']} is not {meta['dimension']}")
+    number, buckets, entries = int(meta["number"]) + 1, int(meta["buckets"]), dict(meta["parts"])
+    gone = removed.select("file_path").unionByName(changed.select("file_path")).distinct().withColumn("bucket", layout.bucket_of(F.col("file_path"), buckets))
+    touched = {str(r["bucket"]) for r in gone.select("bucket").distinct().collect()}
+    few = [r["file_path"] for r in gone.limit(NAMED_PATHS + 1).collect()]
+    here = layout.live(spark, path, {b: entries[b] for b in touched if b in entries}, F.col("file_path").isin(few) if len(few) <= NAMED_PATHS else None)
+    dead = here.select("file_path", "bucket").join(gone, ["file_path", "bucket"], "left_semi").groupBy("file_path", "bucket").agg(F.count("*").alias("n"))
+    tombs = layout.write_deleted(spark, path, dead, number)
+    made = layout.write_rows(spark, path, new, buckets, number)
+    # Files whose rows come without the old ones going (new is not among the changed) are counted once.
+    again = {str(r["bucket"]): r["n"] for r in _known(spark, path, entries, new, gone, buckets).groupBy("bucket").agg(F.count("*").alias("n")).collect()} if made else {}
+    for b, tomb in tombs.items():
+        e = entries[b]
+        entries[b] = e | {"deleted": [*e["deleted"], tomb], "rows": e["rows"] - tomb["rows"], "files": e["files"] - tomb["files"], "dead": e["dead"] + tomb["rows"]}
+    for b, part in made.items():
+        e = entries.get(b, layout.entry())
+        entries[b] = e | {"parts": [*e["parts"], part], "rows": e["rows"] + part["rows"], "files": e["files"] + part["files"] - again.get(b, 0)}
+    head = {k: v for k, v in meta.items() if k not in ("parts", "version", "removed", "changed")} | {"number": number} | ({} if batch is None else {"batch": batch})
+    folder = Folder(spark, path)
+    meta = layout.commit(folder, head, entries, set(tombs) | set(made), [])
+    meta = layout.compact(spark, path, meta, set(tombs) | set(made), int(meta.get("bucket_rows", BUCKET_ROWS)))
+    layout.vacuum(folder, keep=4)
     return meta
 
 
+def _known(spark: SparkSession, path: str, entries: dict, new: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
+    """file_path and bucket of files in new that have rows which stay."""
+    files = new.select("file_path").distinct().join(gone.select("file_path"), "file_path", "left_anti").withColumn("bucket", layout.bucket_of(F.col("file_path"), buckets))
+    touched = {str(r["bucket"]) for r in files.select("bucket").distinct().collect()}
+    here = layout.live(spark, path, {b: entries[b] for b in touched if b in entries}).select("file_path", "bucket").distinct()
+    return here.join(files, ["file_path", "bucket"], "left_semi")
+
+
 def remove_file(spark: SparkSession, path: str, file_path: str) -> dict:
     """Rows of exactly this path go; nothing below it does."""
     gone = spark.createDataFrame([(file_path,)], "file_path string")
     return apply_changes(spark, path, spark.createDataFrame([], schema.INDEX), gone, gone.limit(0))
 
 
-def vacuum(spark: SparkSession, path: str, keep: int = 3) -> None:
-    """Drops versions but the last ones, and the folders that only dropped versions name; a reader of an older one has that long."""
-    folder = Folder(spark, path)
-    names = folder.names()
-    versions = sorted(n.removesuffix(".json") for n in names if n.startswith("v") and n.endswith(".json"))
-    last = versions[-keep:]
-    used = {part for v in last for part in json.loads(folder.read(f"{v}.json")).get("parts", {}).values()}
-    for version in (n for n in names if n.startswith("v") and not n.endswith((".json", "-errors"))):
-        mine = {f"{version}/{n}" for n in folder.names(version) if n.startswith("bucket=")}
-        for part in [version] if not mine & used and version not in last else sorted(mine - used):
-            folder.delete(part)
-    for version in versions[:-keep]:
-        folder.delete(f"{version}.json")
-        folder.delete(f"{version}-errors")
-
-
 def drop(spark: SparkSession, path: str) -> None:
     folder = Folder(spark, path)
     if folder.exists():
@@ -201,11 +209,8 @@ def counts(chunks: DataFrame) -> DataFrame:
 
 
 def status(spark: SparkSession, path: str) -> dict:
-    """Counts, description and size; the model and dimension are not checked."""
-    meta = read_meta(spark, path)
-    row = counts(_rows(spark, path, list(meta["parts"].values()))).first()
-    folder = Folder(spark, path)
-    return meta | row.asDict() | {"db_size_bytes": sum(map(folder.size, meta["parts"].values()))}
+    """Counts, description and size, as the description has them; the model and dimension are not checked."""
+    return read_meta(spark, path)
 
 
 def usable(found: dict | None, directory: str) -> bool:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,7 +13,7 @@ def work_dir(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset and the session is local (tests), a temporary folder that is then set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):  # local-cluster has executors of its own
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lodeseek-")
         spark.conf.set("spark.checkpoint.dir", found)
@@ -32,3 +33,17 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes of the Arrow batches that Python workers get, about; a longer row comes alone.
+BATCH_BYTES = 16 << 20
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have a bound in bytes: the session's own where it has a lower one, else BATCH_BYTES."""
+    conf = df.sparkSession.conf
+    found = re.sub(r"\D", "", str(conf.get(_BATCH_CONF, None) or ""))
+    if not found or int(found) > BATCH_BYTES:
+        conf.set(_BATCH_CONF, str(BATCH_BYTES))
+    return df
