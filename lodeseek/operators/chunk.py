@@ -18,6 +18,7 @@ from ..config import IndexingConfig
 from ..functions import source_map
 from ..functions import text
 from ..functions.text import clean
+from ..sources.work import bounded
 
 _CHUNK = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("text", pa.string())]))
 _EMPTY = "cast(array() as array<struct<start:bigint,end:bigint,line:int,text:string>>)"
@@ -114,7 +115,7 @@ def semantic_chunks(docs: DataFrame, config: IndexingConfig = IndexingConfig(),
             kept = [b.column(b.schema.names.index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays([*kept, pa.array([of(t.as_py()) for t in b.column(at)], _CHUNK)], [*keep, "chunks"])
 
-    chunked = docs.mapInArrow(run, docs.select(*keep, F.expr(_EMPTY).alias("chunks")).schema)
+    chunked = bounded(docs).mapInArrow(run, docs.select(*keep, F.expr(_EMPTY).alias("chunks")).schema)
     rows = chunked.select(*keep, F.posexplode("chunks").alias("chunk_idx", "c"))
     return rows.select(*keep, "chunk_idx", F.col("c.start").alias("byte_start"), F.col("c.end").alias("byte_end"), F.col("c.line").alias("line"), F.col("c.text").alias("chunk_text"))
 

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.work import bounded
+
 BATCH = 32
 _WORD = re.compile(r"\w+")
 
@@ -142,4 +144,4 @@ def embed_passages(chunks: DataFrame, embedder: Embedder, text: str = "chunk_tex
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(vectors, pa.list_(pa.float32())), pa.array(errors, pa.string())], [*b.schema.names, "embedding", "embed_error"])
 
     added = [F.expr("cast(null as array<float>)").alias("embedding"), F.lit(None).cast("string").alias("embed_error")]
-    return chunks.mapInArrow(run, chunks.select("*", *added).schema)
+    return bounded(chunks).mapInArrow(run, chunks.select("*", *added).schema)

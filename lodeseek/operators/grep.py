@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..config import SearchQuery
 from ..functions import patterns, paths, source_map, text
+from ..sources.work import bounded
 
 _FOUND = "array<struct<start:bigint,end:bigint,matched_text:string,chars:int,before:string>>"
 _WITH_CONTEXT = "array<struct<start:bigint,end:bigint,matched_text:string,before:string,after:string>>"
@@ -87,7 +88,7 @@ def _empty_matches(docs: DataFrame, column: str, query: SearchQuery, near: int |
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([of(x.as_py()) for x in b.column(at)], kind)], [*b.schema.names, "found"])
 
-    return docs.mapInArrow(run, docs.select("*", F.expr(f"cast(array() as {_WITH_CONTEXT})").alias("found")).schema)
+    return bounded(docs).mapInArrow(run, docs.select("*", F.expr(f"cast(array() as {_WITH_CONTEXT})").alias("found")).schema)
 
 
 def _result(keep: list[str], line: Column, column: Column, page: Column, box: Column, before: Column, after: Column, base: Column, kind: str) -> list[Column]:

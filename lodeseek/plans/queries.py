@@ -749,7 +749,7 @@ def folder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("folder_listing", "SELECT doc_id, strlen(text) + 1 AS size_bytes FROM documents WHERE text <> '' AND doc_id % 4 > 1")
 def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of the same folder leaves hidden files out too."""
-    found = files.listing(files.scan(spark, _folder(spark, sf_dir), files.LISTING).where("relative like '%.txt'"))
+    found = files.listing(files.names(spark, _folder(spark, sf_dir), files.LISTING).where("relative like '%.txt'"))
     return found.where("omit_reason is null").select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "size_bytes")
 
 

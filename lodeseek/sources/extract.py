@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..functions import paths
 from .files import lossy_text, strict_text
+from .work import bounded
 
 
 @dataclass
@@ -107,7 +108,7 @@ def extracted_documents(files: DataFrame, registry: Registry | None = None) -> D
                 rows.append(row)
             yield pd.DataFrame(rows, columns=["path", "file_type", "text", "source_map", "title", "page_count", "error"])
 
-    return routed.mapInPandas(run, schema.DOCUMENTS)
+    return bounded(routed).mapInPandas(run, schema.DOCUMENTS)
 
 
 def documents(files: DataFrame, registry: Registry | None = None, strict: bool = False) -> DataFrame:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SUPPORTED_EXTENSIONS
 from ..functions import paths
-from .ignore import ignored, parse
-from .work import new_path
+from .walk import contents, listed, reachable
 
 HEAD_BYTES = 64 * 1024
 
@@ -29,12 +28,6 @@ class Walk:
 GREP, BUILD, LISTING = Walk(), Walk(), Walk(hidden=False, supported_only=False)
 
 
-#: Bytes of hidden files that go through the driver at once.
-BATCH_BYTES = 32 << 20
-_HIDDEN = "[._]*"
-_ROWS = "path string, size_bytes long, content binary"
-
-
 def _top(spark: SparkSession, root: str):
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root.rstrip("/") or "/")
@@ -42,100 +35,47 @@ def _top(spark: SparkSession, root: str):
     return jvm, fs, fs.makeQualified(top).toString().rstrip("/") + "/"
 
 
-def _passed_over(spark: SparkSession, root: str) -> tuple[list[str], list[tuple[str, int]]]:
-    """Folders, and files with their sizes, that Spark's readers never list (names with "." or "_" in front); no contents."""
-    jvm, fs, base = _top(spark, root)
-    folders, files_, level = [], [], base
-    while len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + "*"))):  # listed in the JVM, level by level
-        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(level + _HIDDEN)):
-            path = status.getPath().toString()
-            if status.isDirectory():
-                folders.append(path)
-            else:
-                files_.append((path, status.getLen()))
-        level += "*/"
-    return folders, files_
-
-
-def _contents(spark: SparkSession, files_: list[tuple[str, int]]) -> DataFrame | None:
-    """Rows of files that only the driver can read, written to the work folder BATCH_BYTES at a time."""
-    if not files_:
-        return None
-    jvm, path, held, size = spark.sparkContext._jvm, None, [], 0
-
-    def flush() -> None:
-        nonlocal path, held, size
-        path = path or new_path(spark, "hidden-files")
-        spark.createDataFrame(held, _ROWS).write.mode("append").parquet(path)
-        held, size = [], 0
-
-    for name, length in files_:
-        where = jvm.org.apache.hadoop.fs.Path(name)
-        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-        try:
-            held.append((name, length, bytearray(jvm.org.apache.commons.io.IOUtils.toByteArray(stream))))
-        finally:
-            stream.close()
-        size += length
-        if size >= BATCH_BYTES:
-            flush()
-    if path is None:  # few: they travel with the plan
-        return spark.createDataFrame(held, _ROWS)
-    if held:
-        flush()
-    return spark.read.schema(_ROWS).parquet(path)
-
-
 def _relative(path: Column, base: str) -> Column:
     plain = lambda c: F.regexp_replace(c, "^[a-z]+:/+", "/")
     return F.replace(plain(path), plain(F.lit(base)), F.lit(""))
 
 
-def ignore_rules(spark: SparkSession, root: str, hidden: list[tuple[str, int]] | None = None) -> list[tuple[str, bool, bool]]:
-    """Rules of all ignore files below root; those files are few and small."""
-    jvm, fs, base = _top(spark, root)
-    named = [p for p, _ in (_passed_over(spark, root)[1] if hidden is None else hidden) if p.rpartition("/")[2] in (".gitignore", ".ignore")]
-    out = []
-    for path in sorted(named, key=lambda p: (p.count("/"), p)):
-        stream = fs.open(jvm.org.apache.hadoop.fs.Path(path))
-        try:
-            text = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode("utf-8", "replace")
-        finally:
-            stream.close()
-        out += parse(text, path.removeprefix(base).rpartition("/")[0])
-    return out
+def names(spark: SparkSession, root: str, walk: Walk = GREP, extensions: tuple[str, ...] | list[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
+    """path, relative, size_bytes, file_type, modified of files below root that walk lets through, listed in tasks and written.
+
+    A root in a store that only Spark's own readers open is listed by them; hidden files and ignore rules are not seen there.
+    """
+    _, _, base = _top(spark, root)
+    if reachable(base):
+        found = listed(spark, base, walk.hidden, walk.ignore_files)
+    else:
+        meta = F.col("_metadata")
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select(_relative(F.col("path"), base).alias("relative"), meta["file_size"].alias("size_bytes"), meta["file_modification_time"].alias("modified"))
+    path = F.concat(F.lit(base), "relative")
+    kind = paths.file_type(path, extensions)
+    if walk.supported_only:
+        found = found.where(kind.isNotNull())
+    if walk.max_size:
+        found = found.where(F.col("size_bytes") <= walk.max_size)
+    return found.select(path.alias("path"), "relative", "size_bytes", kind.alias("file_type"), "modified")
+
+
+def with_content(found: DataFrame, root: str) -> DataFrame:
+    """Files of names() and their contents, read in tasks."""
+    spark = found.sparkSession
+    _, _, base = _top(spark, root)
+    if reachable(base):
+        return contents(found, base)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select(_relative(F.col("path"), base).alias("relative"), "content")
+    return found.join(read, "relative").select(*found.columns, "content")
 
 
 def scan(spark: SparkSession, root: str, walk: Walk = GREP, extensions: tuple[str, ...] | list[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
     """path, relative, size_bytes, file_type, content of files below root that walk lets through.
 
-    Types, sizes and ignore rules are tested on names before any content is read: Spark prunes its list of files by its metadata
-    columns. Hidden folders are roots of their own; hidden files, which Spark's readers refuse, go through the driver in batches.
+    Types, sizes and ignore rules are tested on names before any content is read.
     """
-    _, _, base = _top(spark, root)
-    folders, hidden = _passed_over(spark, root)
-    rules = ignore_rules(spark, root, hidden) if walk.ignore_files else []
-    starts_hidden = lambda path: any(part.startswith(".") for part in path.removeprefix(base).split("/"))
-
-    def wanted(path: Column, size: Column) -> Column:
-        out = F.lit(True)
-        if walk.supported_only:
-            out = out & paths.file_type(path, extensions).isNotNull()
-        if walk.max_size:
-            out = out & (size <= walk.max_size)
-        return out & ~ignored(_relative(path, base), rules)
-
-    roots = [base] + [f for f in folders if walk.hidden or not starts_hidden(f)]
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(roots)
-    meta = F.col("_metadata")
-    found = found.where(wanted(meta["file_path"], meta["file_size"])).select("path", F.col("length").alias("size_bytes"), "content")
-    apart = [(p, n) for p, n in hidden if walk.hidden or not starts_hidden(p)]
-    if apart:
-        names = spark.createDataFrame(apart, "path string, size long")
-        chosen = {r["path"] for r in names.where(wanted(F.col("path"), F.col("size"))).collect()}
-        more = _contents(spark, [f for f in apart if f[0] in chosen])
-        found = found if more is None else found.unionByName(more)
-    return found.select("path", _relative(F.col("path"), base).alias("relative"), "size_bytes", paths.file_type(F.col("path"), extensions).alias("file_type"), "content")
+    return with_content(names(spark, root, walk, extensions).drop("modified"), root)
 
 
 def exists(spark: SparkSession, path: str) -> tuple[bool, bool]:

@@ -12,6 +12,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: (expression over a whole relative path, negated, folders only).
+Rule = tuple[str, bool, bool]
+
+
 def _glob(pattern: str) -> str:
     out, at = "", 0
     while at < len(pattern):
@@ -36,8 +40,8 @@ def _glob(pattern: str) -> str:
     return out
 
 
-def parse(text: str, folder: str = "") -> list[tuple[str, bool, bool]]:
-    """(expression over a whole relative path, negated, folders only) of each rule of a file in folder."""
+def parse(text: str, folder: str = "") -> list[Rule]:
+    """The rules of an ignore file in folder."""
     rules = []
     base = re.escape(folder.strip("/") + "/") if folder.strip("/") else ""
     for raw in text.split("\n"):
@@ -58,8 +62,11 @@ def parse(text: str, folder: str = "") -> list[tuple[str, bool, bool]]:
     return rules
 
 
-def ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
-    """Whether a file's relative path, or a folder on its way, is ignored. rules: of higher folders first."""
+def ignored(path: Column, rules: list[Rule]) -> Column:
+    """Whether a file's relative path, or a folder on its way, is ignored. rules: of higher folders first.
+
+    Ways that no rule fits, which is most, are told by one expression of all rules.
+    """
     if not rules:
         return F.lit(False)
     parts = F.split(path, "/")
@@ -74,4 +81,5 @@ def ignored(path: Column, rules: list[tuple[str, bool, bool]]) -> Column:
             out = F.when(fits & way["folder"] if only_folders else fits, F.lit(not negated)).otherwise(out)
         return out
 
-    return F.exists(ways, verdict)
+    any_rule = F.lit("^(?:" + "|".join(f"(?:{e})" for e, _, _ in rules) + ")$")
+    return F.exists(F.filter(ways, lambda way: F.regexp_like(way["p"], any_rule)), verdict)

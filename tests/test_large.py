@@ -95,10 +95,12 @@ def test_checkout_with_large_hidden_files(spark, checkout):
 
 
 def test_contents_of_wanted_files_only(spark, checkout):
-    """Types and ignore rules prune the list of files of the scan, before contents."""
+    """Types and ignore rules prune the names, which are listed in tasks, before contents, which tasks read: nothing else reads files."""
     found = files.scan(spark, checkout)
     plan = found._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Scan binaryFile") == 1 and "MapInPandas" not in plan
+    assert plan.count("MapInArrow") == 1 and "binaryFile" not in plan and "MapInPandas" not in plan
+    named = {r.relative: r.size_bytes for r in files.names(spark, checkout).collect()}
+    assert set(named) == {"a.txt", ".git/notes.txt", ".github/workflows/.x/ci.md", "node/.cache/in.txt", "_skip.md", "b c%20é.txt"} and set(named.values()) == {5}
     assert files.scan(spark, checkout).agg(F.sum(F.length("content"))).first()[0] == 5 * found.count()
 
 
