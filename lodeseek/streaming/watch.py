@@ -16,6 +16,7 @@ from ..config import SUPPORTED_EXTENSIONS, IndexingConfig
 from ..functions import paths
 from ..operators import embed, index
 from ..operators.store import Folder
+from . import source
 
 log = logging.getLogger(__name__)
 DEBOUNCE = "500 milliseconds"
@@ -59,13 +60,16 @@ def apply_batch(spark: SparkSession, path: str, events: DataFrame, read: Callabl
         folder.delete(aside)
 
 
-def watch(spark: SparkSession, events_dir: str, path: str, read: Callable[[DataFrame], DataFrame], embedder: embed.Embedder, root: str, checkpoint: str, config: IndexingConfig = IndexingConfig(), once: bool = False, wait: Callable[[float], None] = time.sleep) -> StreamingQuery:
+def watch(spark: SparkSession, events_dir: str, path: str, read: Callable[[DataFrame], DataFrame], embedder: embed.Embedder, root: str, checkpoint: str, config: IndexingConfig = IndexingConfig(), once: bool = False, wait: Callable[[float], None] = time.sleep, settle: int = 0) -> StreamingQuery:
     """A streaming query over event files; a batch that is run again after a failure is not applied twice.
 
-    An index that is not ready yet is waited for, with growing waits; then the last failure is raised.
+    settle: milliseconds without an event of a path before its last one counts, so that bursts over several batches are one change
+    (0: the last of each batch; not for a query that runs once). An index that is not ready yet is waited for, with growing waits; then the last failure is raised.
     """
     state.retried(lambda: index.open_index(spark, path, embedder.model_id, embedder.dimension), sleep=wait)
     stream = spark.readStream.schema(schema.EVENTS).parquet(events_dir)
+    if settle and not once:
+        stream = source.debounced(stream, settle)
 
     def each(events: DataFrame, number: int) -> None:
         apply_batch(events.sparkSession, path, events, read, embedder, root, config, number)
@@ -74,8 +78,5 @@ def watch(spark: SparkSession, events_dir: str, path: str, read: Callable[[DataF
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=DEBOUNCE)).start()
 
 
-def catch_up(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Paths of two listings (path, size_bytes, modified) that differ, with op: what a restart has to apply."""
-    both = old.select("path", F.struct("size_bytes", "modified").alias("a")).join(new.select("path", F.struct("size_bytes", "modified").alias("b")), "path", "full")
-    op = F.when(F.col("b").isNull(), "removed").when(~F.col("a").eqNullSafe(F.col("b")), "changed")
-    return both.select("path", op.alias("op")).where("op is not null")
+#: What a restart has to apply.
+catch_up = source.differences
