@@ -248,7 +248,13 @@ class Encoder:
     def _pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Slots of the pieces of texts, and the number of pieces of each text."""
         if not self.spaced:
-            cut = pc.ascii_split_whitespace(_ascii_lower(texts))  # the tokenizer lower-cases, sign by sign
+            lower = _ascii_lower(texts)  # the tokenizer lower-cases, sign by sign
+            if self.special:
+                # Special tokens are cut out by now. A string that becomes one in lower case is none to the library, which looks at raw texts.
+                made = pc.match_substring_regex(lower, "|".join(map(re.escape, self.special)))
+                if pc.any(made).as_py():
+                    lower = pc.if_else(made, texts, lower)
+            cut = pc.ascii_split_whitespace(lower)
             coded = cut.flatten().dictionary_encode()
             slots = self._slots(coded.dictionary, self.inner, False)
             return slots[_ints(coded.indices)], np.diff(_ints(cut.offsets))

@@ -195,9 +195,10 @@ def test_pieces_encode_as_whole_texts(texts, name, spaced, plain, monkeypatch):
     if plain:
         whole.encode_special_tokens = True
     rng = random.Random(7)
-    signs = ["a", "b", "É", "é", "e\u0301", "\u0301", " ", "  ", "\n", "\n\n", " \n", "\t", "\xa0", "\u2003", "\x1c", "\x85", "1", "23", "'s", "'", "!", "İ", "Σ", "ﬁ", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "中", "_", "\x01", "\x00"]
+    signs = ["a", "b", "É", "é", "e\u0301", "\u0301", " ", "  ", "\n", "\n\n", " \n", "\t", "\xa0", "\u2003", "\x1c", "\x85", "1", "23", "'s", "'", "!", "İ", "Σ", "ﬁ", "\U0001f600", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|STARTOFTEXT|>x", "<|endof", "TEXT|>", "A", "Word", "中", "_", "\x01", "\x00"]
     made = ["".join(rng.choices(signs, k=rng.randint(0, 30))) for _ in range(4000)] + list(texts.values()) + ["", " ", "  x", "x ", "x" * 500, "\n", "a\n", "\n\n\n", "a <|endoftext|> b"]
     made += ["".join(rng.choices(["Word", "word", "Änderung", "x1"], k=1)) + rng.choice([".", ",", "!?", "", "\n", "\n\n\n", " "]) + "end" for _ in range(300)]
+    made += ["".join(rng.choice([c, c.upper()]) for c in rng.choice(["<|endoftext|>", "<|startoftext|>"])) + rng.choice(["", " Tail", "Tail."]) for _ in range(400)]
     mine = Encoder(queries.tokenizer(name), spaced, plain)
     monkeypatch.setattr(tokenizing, "PIECES", 3000)  # pieces are forgotten on the way
     for at in range(0, len(made), 700):
@@ -635,12 +636,13 @@ def test_languages_by_definition(spark):
 
 
 def test_language_of_signs_and_mixtures(spark):
-    """Numbers and signs are no letters; a text between two languages is rejected, one of a language is not; the commonest languages are kept."""
+    """Numbers and signs are no letters; a text between two languages is rejected, one of a language is not; all languages stay in a small model."""
     rows = [(k, f"the cat and the dog number {k} went over there with the others", "en") for k in range(60)]
     rows += [(k, f"le chat et le chien numéro {k} sont allés par là avec les autres", "fr") for k in range(100, 150)] + [(900, "xyz", "rare"), (901, None, "none"), (902, "½ ² Ⅷ ٣", "none")]
     model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert set(model) == {"en", "fr", "rare"}
-    assert set(lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)) == {"en", "fr"}
+    small = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model_bytes=300, texts=6)
+    assert set(small) == {"en", "fr", "rare"} and all(0 < len(v) <= 100 for v in small.values())
     model = {k: model[k] for k in ("en", "fr")}
     asked = ["½ ² Ⅷ", "٣٤", "", None, "ª", "the dog and the cat went over there with the others", "le chien et le chat sont allés avec les autres", "qzx", "中文"]
     got = [tuple(r) for r in lang_id.identify(spark.createDataFrame(list(enumerate(asked)), "k long, text string").coalesce(1), model).select("lang_pred", "rejected").collect()]
