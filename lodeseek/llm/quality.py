@@ -20,6 +20,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -153,33 +154,35 @@ PRIOR_OF_GOOD, PRIOR_OF_OWN, PRIOR_OF_OTHER = (0.01, 0.14, 0.85), (0.90, 0.08, 0
 PRIOR_SHARE = 0.85
 #: The belief weighs as much as this share of the documents.
 PRIOR_WEIGHT = 0.05
-
-
-def fit(patterns: dict[tuple[int, ...], int], rounds: int = 30) -> Model:
-    """EM over pattern counts; at most 3^len(RULES) of them. Sorted, so that sums are the same each time."""
-    k = len(RULES)
-    shares = (PRIOR_SHARE, *[(1 - PRIOR_SHARE) / k] * k)
-    prior = [[PRIOR_OF_GOOD] * k] + [[PRIOR_OF_OWN if i == j else PRIOR_OF_OTHER for i in range(k)] for j in range(k)]
-    model = Model(shares, tuple(map(tuple, prior)))
-    total = sum(patterns.values())
-    strength = max(1.0, PRIOR_WEIGHT * total)
-    for _ in range(rounds if total else 0):
-        weight = [strength * s for s in shares]
-        table = [[[strength * s * p for p in row] for row in rows] for s, rows in zip(shares, prior, strict=True)]
-        for pattern, n in sorted(patterns.items()):
-            for c, p in enumerate(model.posteriors(pattern)):
-                weight[c] += n * p
-                for j, v in enumerate(pattern):
-                    table[c][j][v] += n * p
-        model = Model(tuple(w / sum(weight) for w in weight), tuple(tuple(tuple(x / sum(row) for x in row) for row in rows) for rows in table))
-    return model
+#: EM ends when no probability moves by more.
+TOLERANCE = 1e-9
+
+
+def fit(patterns: dict[tuple[int, ...], int], tolerance: float = TOLERANCE) -> Model:
+    """EM over pattern counts, at most 3^len(RULES) of them, until no probability moves by more than tolerance. Sorted, so that sums are the same each time."""
+    k, total = len(RULES), sum(patterns.values())
+    first = np.array((PRIOR_SHARE, *[(1 - PRIOR_SHARE) / k] * k))
+    prior = np.array([[PRIOR_OF_GOOD] * k] + [[PRIOR_OF_OWN if i == j else PRIOR_OF_OTHER for i in range(k)] for j in range(k)])
+    share, table, strength = first, prior, max(1.0, PRIOR_WEIGHT * total)
+    votes_, n = np.array(sorted(patterns), np.int64).reshape(-1, k), np.array([patterns[p] for p in sorted(patterns)], float)
+    seen = (votes_[:, :, None] == np.arange(3)).astype(float)
+    moved = np.inf if total else 0.0
+    while moved > tolerance:
+        logs = np.log(share) + np.einsum("pjv,cjv->pc", seen, np.log(table))
+        each = np.exp(logs - logs.max(axis=1, keepdims=True))
+        each *= (n / each.sum(axis=1))[:, None]
+        weight = strength * first + each.sum(axis=0)
+        counts = strength * first[:, None, None] * prior + np.einsum("pc,pjv->cjv", each, seen)
+        before, share, table = (share, table), weight / weight.sum(), counts / counts.sum(axis=2, keepdims=True)
+        moved = max(np.abs(share - before[0]).max(), np.abs(table - before[1]).max())
+    return Model(tuple(share.tolist()), tuple(tuple(tuple(row) for row in rows) for rows in table.tolist()))
 
 
 def with_votes(features: DataFrame) -> DataFrame:
     return without(features, [f"vote_{r}" for r in RULES]).withColumns({f"vote_{r}": v for r, v in votes().items()})
 
 
-def score_quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None, rounds: int = 30) -> DataFrame:
+def score_quality(docs: DataFrame, text: str = "text", keep: list[str] | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """docs with FEATURES, vote_<rule>, base_failed, quality (posterior) and kept.
 
     The counts are computed once and written, with the columns of docs (or those in keep), to the shared folder.
@@ -191,6 +194,6 @@ def score_quality(docs: DataFrame, text: str = "text", keep: list[str] | None =
     cols = [f"vote_{r}" for r in RULES]
     # Bounded by 3^7 rows, whatever the number of documents.
     patterns = {tuple(r[c] for c in cols): r["n"] for r in voted.groupBy(*cols).agg(F.count("*").alias("n")).collect()}
-    model = fit(patterns, rounds)
+    model = fit(patterns, tolerance)
     scored = voted.withColumns({"base_failed": base_failed(), "quality": model.posterior()})
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))

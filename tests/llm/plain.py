@@ -46,14 +46,19 @@ def plain_em(texts):
         joint = [share[c] * np.prod([table[c][r][v[r]] for r in rules]) for c in range(k)]
         return np.array(joint) / sum(joint)
 
-    for _ in range(30):
-        each = {d: posteriors(v) for d, v in seen.items()}
+    alike = {}  # documents of the same votes move together
+    for v in seen.values():
+        alike[v] = alike.get(v, 0) + 1
+    for _ in range(3000):
+        each = {v: n * posteriors(v) for v, n in alike.items()}
         weight = strength * np.array(first) + sum(each.values())
         counts = strength * np.array(first)[:, None, None] * np.array(prior)
-        for d, v in seen.items():
+        for v, p in each.items():
             for r in rules:
-                counts[:, r, v[r]] += each[d]
-        share, table = weight / weight.sum(), counts / counts.sum(axis=2, keepdims=True)
+                counts[:, r, v[r]] += p
+        before, share, table = share, weight / weight.sum(), counts / counts.sum(axis=2, keepdims=True)
+        if np.abs(share - np.array(before)).max() < 1e-12:
+            break
     out = {}
     for d, t in texts.items():
         n, _, _, _, repeated = base_counts(t)
