@@ -8,8 +8,8 @@ answer is marked as rejected (it stays the best guess).
 
 Training looks at labelled rows only through a bounded sample: SAMPLE buckets of a hash of the text for
 each language, of each bucket the text with the smallest hash, and of each such text up to SNIPPET
-characters, so a dictionary has at most DICTIONARY bytes and the model as many for each of the
-LANGUAGES commonest languages (a parameter). Which rows are sampled depends on texts alone.
+characters, so a dictionary has at most DICTIONARY bytes. All languages have one: where they are so many that the model would be
+over MODEL_BYTES, or its texts over TEXTS, each language has fewer texts and a smaller dictionary. Which rows are sampled depends on texts alone.
 
 Defined results: null texts and texts without a letter are "und" with score 0, rejected; with no
 labelled text at all every text is "und"; repeated rows get equal results; columns of the
@@ -21,34 +21,39 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import bounded, by_size, without, write_shared
 
-SAMPLE, SNIPPET, DICTIONARY, LANGUAGES = 128, 256, 32 << 10, 500
+SAMPLE, SNIPPET, DICTIONARY = 128, 256, 32 << 10
+#: Bytes of all dictionaries, about, and sampled texts of all languages.
+MODEL_BYTES, TEXTS = 16 << 20, 64_000
 CHUNK = 1024
 LEVEL = 6
 MARGIN = 0.02
 UNKNOWN = "und"
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", languages: int = LANGUAGES) -> dict[str, bytes]:
-    """A dictionary for each language of labelled rows, the commonest `languages` of them; null languages and texts without letters are left out."""
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", model_bytes: int = MODEL_BYTES, texts: int = TEXTS) -> dict[str, bytes]:
+    """A dictionary for each language of labelled rows; null languages and texts without letters are left out."""
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
     keyed = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", F.pmod("h", F.lit(SAMPLE)))
     # Numbers only, so that partial sums are small: one row for each language and bucket.
-    least = write_shared(keyed.groupBy("lang", "bucket").agg(F.min("h").alias("h"), F.count("*").alias("n")), "languages")
-    common = least.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    chosen = {(r["lang"], r["h"]) for r in least.join(common, "lang", "left_semi").collect()}
-    if not chosen:
+    least = write_shared(keyed.groupBy("lang", "bucket").agg(F.min("h").alias("h")), "languages")
+    n_languages = least.select("lang").distinct().count()
+    if not n_languages:
         return {}
+    most = max(1, min(SAMPLE, texts // n_languages))
+    size = max(1, min(DICTIONARY, model_bytes // n_languages))
+    few = least.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("bucket"))).where(F.col("k") <= most)
+    chosen = {(r["lang"], r["h"]) for r in few.collect()}
     wanted = labelled.sparkSession.createDataFrame(sorted(chosen), "lang string, h long")
     snippets = keyed.join(F.broadcast(wanted), ["lang", "h"]).groupBy("lang", "h").agg(F.min(F.substring("text", 1, SNIPPET)).alias("text"))
-    texts: dict[str, list[tuple[int, str]]] = {}
+    found: dict[str, list[tuple[int, str]]] = {}
     for r in snippets.collect():
-        texts.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(v)).lower().encode("utf-8", "replace")[-DICTIONARY:] for k, v in sorted(texts.items())}
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return {k: "\n".join(t for _, t in sorted(v)).lower().encode("utf-8", "replace")[-size:] for k, v in sorted(found.items())}
 
 
 class Classifier:
