@@ -91,7 +91,7 @@ def line_range(text: Column, line: Column) -> Column:
     struct = lambda a, b: F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"))
 
     def of(lines: Column) -> Column:
-        bare = F.transform(lines, lambda x: F.regexp_replace(x, "\r$", ""))
+        bare = F.transform(lines, lambda x: F.regexp_replace(x, r"\r\z", ""))
         last_empty = F.element_at(lines, -1) == ""
         count = F.size(lines) - F.when(last_empty, 1).otherwise(0)
 

@@ -1,7 +1,7 @@
 """Chunks of texts, with byte ranges and origins.
 
 fixed_windows cuts by characters alone and is built-in expressions throughout. semantic_chunks cuts at the
-largest boundary that fits: line breaks (longer runs first), sentences, words, characters; it runs in an Arrow UDF.
+largest boundary that fits: line breaks (longer runs first), sentences, white space, words, characters as they are read; it runs in an Arrow UDF.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,22 +55,49 @@ def fixed_windows(docs: DataFrame, config: IndexingConfig = IndexingConfig(), ke
 
 
 _BREAKS = re.compile(r"(?:\r\n|\n|\r)+")
-_SENTENCES = re.compile(r"(?<=[.!?])[\"')\]]*\s+")
-_WORDS = re.compile(r"\s+")
-
-
-def _levels(text: str) -> list[list[int]]:
-    """Boundaries of each level, from the largest units to the smallest; the end of a break belongs to what precedes it."""
-    breaks: dict[int, list[int]] = {}
-    for m in _BREAKS.finditer(text):
-        breaks.setdefault(len(m[0].replace("\r\n", "\n")), []).append(m.end())
-    found = [sorted(p for n, ends in breaks.items() if n >= size for p in ends) for size in sorted(breaks, reverse=True)]
-    return [*found, [m.end() for m in _SENTENCES.finditer(text)], [m.end() for m in _WORDS.finditer(text)]]
+# Sentence ends by the rules of Unicode's text segmentation (UAX 29), over its property classes. Marks and format signs belong to what they follow.
+_E = r"[\p{SB=EX}\p{SB=FO}]*+"
+_PARAGRAPH = r"(?:\r\n|[\p{SB=SE}\p{SB=CR}\p{SB=LF}])"
+_BEHIND = rf"(?:\p{{SB=CL}}{_E})*+(?:\p{{SB=SP}}{_E})*+"
+_ENDS = r"(?![\p{SB=SC}\p{SB=AT}\p{SB=ST}])"
+# A full stop ends none in front of a digit, between letters and a capital, or where small letters go on.
+_STOP = rf"\p{{SB=AT}}{_E}(?!\p{{SB=NU}})(?:(?<![\p{{SB=UP}}\p{{SB=LO}}][\p{{SB=EX}}\p{{SB=FO}}]*\p{{SB=AT}}[\p{{SB=EX}}\p{{SB=FO}}]*)|(?!\p{{SB=UP}}))"
+_GOES_ON = r"(?![^\p{SB=LE}\p{SB=UP}\p{SB=LO}\p{SB=SE}\p{SB=CR}\p{SB=LF}\p{SB=AT}\p{SB=ST}]*+\p{SB=LO})"
+_SENTENCES = regex.compile(rf"{_PARAGRAPH}|\p{{SB=ST}}{_E}{_BEHIND}(?:{_PARAGRAPH}|{_ENDS})|{_STOP}{_BEHIND}(?:{_PARAGRAPH}|{_ENDS}{_GOES_ON})")
+# White space; words where none is; characters as they are read, with all marks and joiners. No boundary lies before a mark, but behind a control.
+_SPACES = re.compile(r"\s+")
+_WORD_BOUNDS = regex.compile(r"(?w)\b")
+_CLINGS = regex.compile(r"(?<![\p{GCB=CN}\r\n])[\p{GCB=EX}\p{GCB=ZWJ}\p{GCB=SM}]")
+_CLUSTERS = regex.compile(r"\X")
+
+
+class _Levels:
+    """Boundaries of each level of a text, from the largest units to the smallest, each found when it is first asked for."""
+
+    def __init__(self, text: str) -> None:
+        breaks: dict[int, list[int]] = {}  # the end of a break belongs to what precedes it
+        for m in _BREAKS.finditer(text):
+            breaks.setdefault(len(m[0].replace("\r\n", "\n")), []).append(m.end())
+        self.known: list[list[int]] = [sorted(p for n, ends in breaks.items() if n >= size for p in ends) for size in sorted(breaks, reverse=True)]
+        plain = text.isascii()  # no marks
+        ends = lambda pattern: lambda: [m.end() for m in pattern.finditer(text) if plain or not _CLINGS.match(text, m.end())]
+        self.later = [ends(p) for p in (_SENTENCES, _SPACES, _WORD_BOUNDS, _CLUSTERS)]
+
+    def __iter__(self) -> Iterator[list[int]]:
+        at = 0
+        while at < len(self.known) or self.later:
+            if at == len(self.known):
+                self.known.append(self.later.pop(0)())
+            yield self.known[at]
+            at += 1
 
 
 def split_semantic(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
-    """(start, end) in characters: at most size long, covering the text, neighbours sharing at most overlap."""
-    levels, out, start, total = _levels(text), [], 0, len(text)
+    """(start, end) in characters: at most size long, covering the text, neighbours sharing at most overlap.
+
+    None begins or ends within a character as it is read (a letter and its accents, signs that are joined), unless that is longer than size.
+    """
+    levels, out, start, total = _Levels(text), [], 0, len(text)
 
     def reach(at: int) -> int:
         """End of a chunk from at: the last boundary within size of the largest level that has one."""

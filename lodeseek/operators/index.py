@@ -162,14 +162,15 @@ def apply_changes(spark: SparkSession, path: str, new: DataFrame, removed: DataF
         raise IndexError_(f"dimension of {wrong[0]['file_path']} is not {meta['dimension']}")
     number, buckets, entries = int(meta["number"]) + 1, int(meta["buckets"]), dict(meta["parts"])
     gone = removed.select("file_path").unionByName(changed.select("file_path")).distinct().withColumn("bucket", layout.bucket_of(F.col("file_path"), buckets))
-    touched = {str(r["bucket"]) for r in gone.select("bucket").distinct().collect()}
-    few = [r["file_path"] for r in gone.limit(NAMED_PATHS + 1).collect()]
-    here = layout.live(spark, path, {b: entries[b] for b in touched if b in entries}, F.col("file_path").isin(few) if len(few) <= NAMED_PATHS else None)
+    few = gone.limit(NAMED_PATHS + 1).collect()
+    named = len(few) <= NAMED_PATHS
+    touched = {str(r["bucket"]) for r in (few if named else gone.select("bucket").distinct().collect())}
+    here = layout.live(spark, path, {b: entries[b] for b in touched if b in entries}, F.col("file_path").isin([r["file_path"] for r in few]) if named else None)
     dead = here.select("file_path", "bucket").join(gone, ["file_path", "bucket"], "left_semi").groupBy("file_path", "bucket").agg(F.count("*").alias("n"))
     tombs = layout.write_deleted(spark, path, dead, number)
     made = layout.write_rows(spark, path, new, buckets, number)
     # Files whose rows come without the old ones going (new is not among the changed) are counted once.
-    again = {str(r["bucket"]): r["n"] for r in _known(spark, path, entries, new, gone, buckets).groupBy("bucket").agg(F.count("*").alias("n")).collect()} if made else {}
+    again = _known(spark, path, entries, new, gone, buckets) if made else {}
     for b, tomb in tombs.items():
         e = entries[b]
         entries[b] = e | {"deleted": [*e["deleted"], tomb], "rows": e["rows"] - tomb["rows"], "files": e["files"] - tomb["files"], "dead": e["dead"] + tomb["rows"]}
@@ -184,12 +185,14 @@ def apply_changes(spark: SparkSession, path: str, new: DataFrame, removed: DataF
     return meta
 
 
-def _known(spark: SparkSession, path: str, entries: dict, new: DataFrame, gone: DataFrame, buckets: int) -> DataFrame:
-    """file_path and bucket of files in new that have rows which stay."""
+def _known(spark: SparkSession, path: str, entries: dict, new: DataFrame, gone: DataFrame, buckets: int) -> dict[str, int]:
+    """For each bucket, how many files of new have rows which stay."""
     files = new.select("file_path").distinct().join(gone.select("file_path"), "file_path", "left_anti").withColumn("bucket", layout.bucket_of(F.col("file_path"), buckets))
-    touched = {str(r["bucket"]) for r in files.select("bucket").distinct().collect()}
-    here = layout.live(spark, path, {b: entries[b] for b in touched if b in entries}).select("file_path", "bucket").distinct()
-    return here.join(files, ["file_path", "bucket"], "left_semi")
+    touched = {str(r["bucket"]) for r in files.select("bucket").distinct().collect()} & entries.keys()
+    if not touched:
+        return {}
+    here = layout.live(spark, path, {b: entries[b] for b in touched}).select("file_path", "bucket").distinct()
+    return {str(r["bucket"]): r["n"] for r in here.join(files, ["file_path", "bucket"], "left_semi").groupBy("bucket").agg(F.count("*").alias("n")).collect()}
 
 
 def remove_file(spark: SparkSession, path: str, file_path: str) -> dict:

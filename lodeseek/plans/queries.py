@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..config import IndexingConfig, SearchQuery
 from ..functions import display, metadata, paths, source_map, text, vectors
-from ..operators import chunk, embed, grep, index, knn, preview, results
+from ..operators import chunk, embed, grep, index, knn, preview, results, words
 from ..sources import catalog, extract, files, work
 from ..operators.store import Folder
 from ..sources.tables import EXTENSIONS, corpus, table
@@ -593,10 +594,15 @@ _CATALOG_SQL = """SELECT engine, model_id, regexp_extract(model_id, '[^/]*$') AS
 ('Candle', 'snowflake/snowflake-arctic-embed-s', 384), ('Candle', 'Snowflake/snowflake-arctic-embed-m', 768), ('Candle', 'snowflake/snowflake-arctic-embed-l', 1024)) AS v(engine, model_id, dimension)"""
 
 
-@query("model_catalog", _CATALOG_SQL)
+@query("model_catalog", f"""WITH models AS (SELECT *, row_number() OVER (ORDER BY engine, model_id) - 1 AS k FROM ({_CATALOG_SQL}))
+SELECT engine, model_id, display_name, dimension, is_default, count(user_id) AS n_events, count(DISTINCT user_id) AS n_users FROM models LEFT JOIN events ON user_id % 18 = k GROUP BY ALL""")
 def model_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models that users have chosen (by their id), and what their events and they add up to."""
     both = catalog.models(spark, "SBERT").unionByName(catalog.models(spark, "Candle"))
-    return both.select("engine", "model_id", "display_name", "dimension", "is_default")
+    numbered = both.withColumn("k", F.row_number().over(Window.orderBy("engine", "model_id")) - 1)  # of a catalogue, some rows
+    chosen = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 18).alias("k")).agg(F.count("user_id").alias("n_events"), F.countDistinct("user_id").alias("n_users"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return numbered.join(chosen, "k", "left").select("engine", "model_id", "display_name", "dimension", "is_default", zero("n_events"), zero("n_users"))
 
 
 _COLLAPSE = _lines_sql("(?i)and", columns="path, start, row_number() OVER (PARTITION BY path ORDER BY start) - 1 AS i, count(*) OVER (PARTITION BY path) AS n")
@@ -680,7 +686,7 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = ordered.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
     late = F.unix_micros("ts") * 2 > ends[0] + ends[1]
     for part in (~late, late):
-        ordered.where(part).coalesce(1).write.mode("append").parquet(events)
+        ordered.where(part).write.mode("append").parquet(events)
         watch.watch(spark, events, path, _reread, embed.HashingEmbedder(4), "/none", events + "-checkpoint", once=True).awaitTermination()
     return _states(spark, path)
 
@@ -732,7 +738,7 @@ def read_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _folder(spark: SparkSession, sf_dir: str) -> str:
     """A folder with a text file for each document, some of them hidden and some ignored."""
     root = work.new_path(spark, "query-folder")
-    docs = table(spark, sf_dir, "documents").where("text <> ''").select("text", "doc_id", F.when(F.col("doc_id") % 4 == 0, ".hidden").when(F.col("doc_id") % 4 == 1, "skipped").otherwise("shown").alias("kind"))
+    docs = table(spark, sf_dir, "documents").select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", F.when(F.col("doc_id") % 4 == 0, ".hidden").when(F.col("doc_id") % 4 == 1, "skipped").otherwise("shown").alias("kind"))
     for kind in (".hidden", "skipped", "shown"):
         docs.where(F.col("kind") == kind).drop("kind").repartition(8, "doc_id").write.partitionBy("doc_id").option("compression", "none").text(f"{root}/{kind}")
     Folder(spark, root).write(".gitignore", "# made by a query\nskipped/\n_SUCCESS\n")
@@ -746,7 +752,7 @@ def folder_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches.groupBy(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id")).agg(F.count("*").alias("n"), F.min(F.octet_length("matched_text")).cast("long").alias("shortest"))
 
 
-@query("folder_listing", "SELECT doc_id, strlen(text) + 1 AS size_bytes FROM documents WHERE text <> '' AND doc_id % 4 > 1")
+@query("folder_listing", "SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size_bytes FROM documents WHERE doc_id % 4 > 1")
 def folder_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A listing of the same folder leaves hidden files out too."""
     found = files.listing(files.names(spark, _folder(spark, sf_dir), files.LISTING).where("relative like '%.txt'"))
@@ -789,9 +795,9 @@ class LetterEmbedder:
 _LETTERS = lambda text: "[" + ", ".join(f"(length({text}) - length(replace(lower({text}), '{c}', '')))::DOUBLE" for c in "abcdefgh") + "]"
 
 
-@query("embed_passages", f"SELECT item_id, {_LETTERS(chr(39) + 'c: ' + chr(39) + ' || text')}::FLOAT[] AS embedding FROM benchmark WHERE text IS NOT NULL")
+@query("embed_passages", f"SELECT item_id, {_LETTERS(chr(39) + 'c: ' + chr(39) + ' || coalesce(text, ' + chr(39) * 2 + ')')}::FLOAT[] AS embedding FROM benchmark")
 def embed_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = embed.embed_passages(table(spark, sf_dir, "benchmark").where("text is not null"), LetterEmbedder(), text="text")
+    rows = embed.embed_passages(table(spark, sf_dir, "benchmark"), LetterEmbedder(), text="text")
     return rows.where("embed_error is null").select("item_id", "embedding")
 
 
@@ -821,12 +827,13 @@ def semantic_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped.select(F.col("rank").cast("long").alias("rank"), "path", "n", F.array_join(F.transform("matches", lambda m: m["chunk_idx"].cast("string")), ",").alias("chunks"))
 
 
-@query("index_drop", "SELECT TRUE AS was_there, FALSE AS is_there")
+@query("index_drop", f"WITH {_CHUNKS} SELECT 'kept' AS name, doc_id::VARCHAR AS file_path, chunk_idx::INT AS chunk_idx FROM chunks")
 def index_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _new_index(spark, sf_dir)
-    before = Folder(spark, path).exists()
-    index.drop(spark, path)
-    return spark.createDataFrame([(before, Folder(spark, path).exists())], "was_there boolean, is_there boolean")
+    """Of two indexes one is dropped: the rows that can still be read."""
+    made = {name: _new_index(spark, sf_dir) for name in ("kept", "dropped")}
+    index.drop(spark, made["dropped"])
+    left = [index.open_index(spark, path).chunks.select(F.lit(name).alias("name"), "file_path", "chunk_idx") for name, path in made.items() if Folder(spark, path).exists("CURRENT")]
+    return reduce(DataFrame.unionByName, left)
 
 
 @query("knn_unknown_origin", f"WITH {_SCORED}, top AS (SELECT * FROM scored ORDER BY s DESC, label, vec_id LIMIT {_K}) SELECT vec_id FROM top WHERE vec_id % 3 <> 1")
@@ -836,27 +843,52 @@ def knn_unknown_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.supported(hits.withColumns({"file_path": F.lit("a.txt"), "origin_type": kind})).select("vec_id")
 
 
-@query("chunk_semantic_promises", "SELECT doc_id, TRUE AS within_size, TRUE AS in_order, TRUE AS trimmed, strlen(text) AS covered FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''")
+@query("chunk_semantic_promises", "SELECT doc_id, TRUE AS within_size, TRUE AS in_order, TRUE AS without_gap, TRUE AS within_overlap, TRUE AS trimmed, strlen(text) AS covered FROM documents WHERE trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''")
 def chunk_semantic_promises(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What chunks by meaning promise: no chunk is too long or blank, each begins behind the last and not behind its end, and all reach the text's end."""
-    rows = chunk.semantic_chunks(table(spark, sf_dir, "documents").select("doc_id", "text", F.octet_length(F.rtrim("text", F.lit(text.SPACES))).alias("end_of_words"), F.octet_length("text").cast("long").alias("size")), keep=["doc_id", "end_of_words", "size"])
+    """What chunks by meaning promise: none is too long or blank, each begins behind the last one's begin, nothing but white space is left out
+    before, between and behind them, and neighbours share 128 characters at most."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = chunk.semantic_chunks(docs, keep=["doc_id"])
     w = Window.partitionBy("doc_id").orderBy("chunk_idx")
-    rows = rows.withColumns({"before": F.lag("byte_start").over(w), "end_before": F.lag("byte_end").over(w)})
-    good = (F.col("before").isNull()) | (F.col("byte_start") > F.col("before"))
-    ends = F.max("byte_end")
+    rows = rows.withColumns({"before": F.lag("byte_start").over(w), "end_before": F.coalesce(F.lag("byte_end").over(w), F.lit(0))}).join(docs, "doc_id")
+    between = text.byte_slice(F.col("text"), F.least("end_before", "byte_start"), F.greatest("end_before", "byte_start"))
+    gap = F.when(F.col("byte_start") > F.col("end_before"), text.clean(between) != "").otherwise(False)
+    shared = F.when(F.col("byte_start") < F.col("end_before"), F.length(between)).otherwise(0)
+    behind = text.byte_slice(F.col("text"), F.col("byte_end"), F.octet_length("text"))
+    last = F.max(F.struct("byte_end", F.octet_length("text").cast("long").alias("size"), (text.clean(behind) == "").alias("blank")))
     return rows.groupBy("doc_id").agg(
-        (F.max(F.length("chunk_text")) <= 600).alias("within_size"), F.bool_and(good).alias("in_order"), F.bool_and(text.clean(F.col("chunk_text")) == F.col("chunk_text")).alias("trimmed"),
-        F.when((ends >= F.max("end_of_words")) & (ends <= F.max("size")), F.max("size")).alias("covered"),
-    )
+        (F.max(F.length("chunk_text")) <= 600).alias("within_size"), F.bool_and(F.coalesce(F.col("byte_start") > F.col("before"), F.lit(True))).alias("in_order"),
+        (~F.bool_or(gap)).alias("without_gap"), (F.max(shared) <= 128).alias("within_overlap"), F.bool_and(text.clean(F.col("chunk_text")) == F.col("chunk_text")).alias("trimmed"), last.alias("last"),
+    ).select("doc_id", "within_size", "in_order", "without_gap", "within_overlap", "trimmed", F.when(F.col("last.blank"), F.col("last.size")).alias("covered"))
+
+
+@query("words_of_characters", """
+WITH l AS (SELECT conv_id, turn, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS n FROM conversations WHERE text <> ''),
+c AS (SELECT conv_id, turn, n, k, substr(line, k + 1, 1) AS ch FROM (SELECT *, unnest(range(greatest(length(line), 1))) AS k FROM l)),
+b AS (SELECT *, ch IN (' ', chr(9), chr(11), chr(12), chr(13), chr(160), chr(8195), chr(12288)) AS sp, strlen(ch) AS size FROM c),
+p AS (SELECT *, sum(size) OVER w - size AS a, sum(sp::INT) OVER w AS g FROM b WINDOW w AS (PARTITION BY conv_id, turn, n ORDER BY k)),
+base AS (SELECT conv_id, turn, n, sum(bytes) OVER (PARTITION BY conv_id ORDER BY turn, n) - bytes AS base FROM (SELECT conv_id, turn, n, sum(size) + 1 AS bytes FROM b GROUP BY ALL)),
+w AS (SELECT conv_id, turn, n, g, min(a) AS s, max(a + size) AS e, min(k) FILTER (ch <> 'i') AS x, max(k + 1) FILTER (ch <> 'i') AS r, string_agg(ch, '' ORDER BY k) AS word FROM p WHERE NOT sp AND ch <> '' GROUP BY ALL)
+SELECT conv_id, turn::INT AS page, (base + s)::BIGINT AS start, (base + e)::BIGINT AS "end", x::FLOAT AS x, (r - x)::FLOAT AS width, word FROM w JOIN base USING (conv_id, turn, n)
+""")
+def words_of_characters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as documents with a page for each turn, given character by character (an "i" without width): their words, places and boxes."""
+    lines = table(spark, sf_dir, "conversations").where("text <> ''").select("conv_id", F.col("turn").alias("page"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    each = F.transform(F.sequence(F.lit(0), F.greatest(F.length("body") - 1, F.lit(0))), lambda k: F.substring(F.col("body"), k + 1, F.lit(1)))
+    chars = lines.select("conv_id", "page", "line", F.posexplode(each).alias("at", "char"))
+    chars = chars.select("*", F.col("at").alias("x1"), (F.col("at") + F.when(F.col("char") == "i", 0).otherwise(1)).alias("x2"), F.col("line").alias("y1"), (F.col("line") + 1).alias("y2"))
+    read = words.documents_of_characters(chars, ["conv_id"])
+    rows = read.select("conv_id", "text", F.explode("source_map").alias("s"))
+    return rows.select("conv_id", F.col("s.origin.page").alias("page"), "s.start", "s.end", F.col("s.origin.bbox.x").alias("x"), F.col("s.origin.bbox.width").alias("width"), text.byte_slice(F.col("text"), F.col("s.start"), F.col("s.end")).alias("word"))
 
 
 # previews and names
 
 
-@query("preview_line_highlight", "WITH d AS (SELECT doc_id, doc_id % 4 AS line, CASE WHEN ends_with(text, chr(10)) OR text = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END AS ls FROM documents WHERE NOT contains(text, chr(13))) SELECT doc_id, line::INT AS highlight_line, CASE WHEN line BETWEEN 1 AND len(ls) THEN strlen(array_to_string(ls[1:line - 1], chr(10))) + CASE WHEN line > 1 THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS start FROM d")
+@query("preview_line_highlight", "WITH d AS (SELECT doc_id, doc_id % 4 AS line, list_transform(CASE WHEN ends_with(text, chr(10)) OR text = '' THEN string_split(text, chr(10))[:-2] ELSE string_split(text, chr(10)) END, lambda x: regexp_replace(x, chr(13) || '$', '')) AS ls FROM documents) SELECT doc_id, line::INT AS highlight_line, CASE WHEN line BETWEEN 1 AND len(ls) THEN strlen(array_to_string(ls[1:line - 1], chr(10))) + CASE WHEN line > 1 THEN 1 ELSE 0 END ELSE 0 END::BIGINT AS start FROM d")
 def preview_line_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Without a range the line is highlighted; line 0 is none."""
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("\r")))
+    docs = table(spark, sf_dir, "documents")
     none = F.lit(None).cast("long")
     shown = preview.highlight(F.col("text"), none, none, (F.col("doc_id") % 4).cast("int"))
     return docs.select("doc_id", shown.alias("h")).select("doc_id", "h.highlight_line", "h.start")
