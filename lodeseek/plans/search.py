@@ -29,9 +29,26 @@ def resolved(query: SearchQuery, settings: Settings | None) -> SearchQuery:
     return query if settings is None else replace(query, supported_extensions=tuple(settings.supported_extensions))
 
 
+def _lines(found: DataFrame, root: str) -> DataFrame:
+    """path, text, byte_base, line_base of files of lines; large ones are several rows."""
+    read = files.with_lines(found.where(F.col("file_type") == paths.PLAIN_TEXT), root, files.SPLIT_BYTES)
+    return read.select("path", "file_type", files.lossy_text(F.col("content")).alias("text"), "byte_base", "line_base")
+
+
+def _line_matches(plain: DataFrame, query: SearchQuery) -> DataFrame:
+    """Matches in rows of _lines, with lines and bytes counted from the file's begin."""
+    found = grep.grep_lines(plain, query, keep=["path", "byte_base", "line_base"])
+    moved = found.withColumns({"line": (F.col("line") + F.col("line_base")).cast("int"), "start": F.col("start") + F.col("byte_base"), "end": F.col("end") + F.col("byte_base")})
+    return moved.drop("byte_base", "line_base")
+
+
+def _line_counts(plain: DataFrame, query: SearchQuery) -> DataFrame:
+    return grep.count_lines(plain, query, keep=["path"]).groupBy("path").agg(F.sum("n_matches").alias("n_matches"))
+
+
 def _documents(found: DataFrame, root: str, registry: extract.Registry | None) -> tuple[DataFrame, DataFrame]:
     """(documents of lines, read where they are searched; other documents, extracted once and written) of listed files."""
-    plain = extract.plain_documents(files.with_content(found.where(F.col("file_type") == paths.PLAIN_TEXT), root)).select("path", "file_type", "text")
+    plain = _lines(found, root)
     other = files.with_content(found.where(F.col("file_type") != paths.PLAIN_TEXT), root)
     return plain, work.written(extract.extracted_documents(other, registry), "extracted")
 
@@ -51,7 +68,7 @@ def _capped(found: DataFrame, root: str, query: SearchQuery, registry: extract.R
     while lo < total and n_matches < query.max_results:
         plain, other = _documents(numbered.where((F.col("number") >= lo) & (F.col("number") < lo + size)).drop("number"), root, registry)
         seen.append(other)
-        counts = grep.count_lines(plain, query, keep=["path"]).unionByName(grep.grep_whole(other.where("error is null"), query, keep=["path"]).groupBy("path").agg(F.count("*").alias("n_matches")))
+        counts = _line_counts(plain, query).unionByName(grep.grep_whole(other.where("error is null"), query, keep=["path"]).groupBy("path").agg(F.count("*").alias("n_matches")))
         for row in sorted(grep.cap_files(counts, query.max_results - n_matches).collect()):  # max_results at most
             kept.append(row["path"])
             n_matches += row["n_matches"]
@@ -78,13 +95,13 @@ def search_folder(spark: SparkSession, query: SearchQuery, registry: extract.Reg
     found = files.names(spark, query.root, walk, query.supported_extensions)
     if query.max_results > 0:
         kept, other, _ = _capped(found, query.root, query, registry)
-        plain = extract.plain_documents(files.with_content(found.where(F.col("path").isin(kept) & (F.col("file_type") == paths.PLAIN_TEXT)), query.root)).select("path", "file_type", "text")
+        plain = _lines(found.where(F.col("path").isin(kept)), query.root)
         pages = other.where("error is null").where(F.col("path").isin(kept))
     else:
         plain, other = _documents(found, query.root, registry)
         pages = other.where("error is null")
     errors = other.where("error is not null").select("path", "error")
-    return grep.grep_lines(plain, query, keep=["path"]).unionByName(grep.grep_whole(pages, query, keep=["path"])), errors
+    return _line_matches(plain, query).unionByName(grep.grep_whole(pages, query, keep=["path"])), errors
 
 
 class Rebuilds:

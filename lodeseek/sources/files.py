@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SUPPORTED_EXTENSIONS
 from ..functions import paths
-from .walk import contents, listed, reachable
+from .walk import SPLIT_BYTES, contents, line_parts, listed, reachable
 
 HEAD_BYTES = 64 * 1024
 
@@ -70,6 +70,22 @@ def with_content(found: DataFrame, root: str) -> DataFrame:
     return found.join(read, "relative").select(*found.columns, "content")
 
 
+def with_lines(found: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Files of lines of names(), with content, byte_base and line_base: whole (0, 0), or those over split_bytes in parts of whole lines.
+
+    So no file is too large to be read, and tasks share the largest ones.
+    """
+    _, _, base = _top(found.sparkSession, root)
+    none = F.lit(0).cast("long")
+    whole = with_content(found.where(F.col("size_bytes") <= split_bytes) if reachable(base) else found, root).withColumns({"byte_base": none, "line_base": none})
+    if not reachable(base):
+        return whole
+    large = found.where(F.col("size_bytes") > split_bytes)
+    if large.isEmpty():
+        return whole
+    return whole.unionByName(line_parts(large, base, split_bytes))
+
+
 def scan(spark: SparkSession, root: str, walk: Walk = GREP, extensions: tuple[str, ...] | list[str] = SUPPORTED_EXTENSIONS) -> DataFrame:
     """path, relative, size_bytes, file_type, content of files below root that walk lets through.
 

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -207,6 +207,76 @@ def contents(files: DataFrame, root: str) -> DataFrame:
     return files.repartition(int(n)).mapInArrow(run, files.select("*", F.lit(b"").alias("content")).schema)
 
 
+#: Bytes of a part of a large file of lines, about, and of the reads that look for line ends.
+SPLIT_BYTES, BLOCK = 32 << 20, 1 << 20
+
+
+def _starts(f: pa.NativeFile, size: int, at: int) -> int:
+    """The first byte at `at` or behind it that begins a line (size: none does)."""
+    if at == 0 or at >= size:
+        return min(at, size)
+    at -= 1
+    f.seek(at)
+    while block := f.read(BLOCK):
+        k = block.find(b"\n")
+        if k >= 0:
+            return at + k + 1
+        at += len(block)
+    return size
+
+
+def line_parts(files: DataFrame, root: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """files (with relative and size_bytes) in parts of whole lines: and byte_base, line_base, content.
+
+    A part has the lines that begin within its range of split_bytes. A first pass over the ranges counts their lines, running sums
+    over a file's ranges number them, and a second pass reads the parts, each by itself. A line longer than a range is in one part.
+    """
+    ranges = files.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size_bytes") - 1, F.lit(0)).cast("long"), F.lit(split_bytes).cast("long"))))
+    at, size_at, part_at = (ranges.columns.index(c) for c in ("relative", "size_bytes", "part"))
+    n = max(1, ranges.count())
+    tasks = max(-(-n * split_bytes // TASK_BYTES), min(n, files.sparkSession.sparkContext.defaultParallelism))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = opened(root)
+        for b in batches:
+            found = []
+            for relative, size, part in zip(b.column(at).to_pylist(), b.column(size_at).to_pylist(), b.column(part_at).to_pylist(), strict=True):
+                with fs.open_input_file(f"{top.rstrip('/')}/{relative}") as f:
+                    size = min(size, f.size())
+                    start, lines = _starts(f, size, part), 0
+                    # A part that owns no line ends where it begins.
+                    end = _starts(f, size, part + split_bytes) if start < part + split_bytes else start
+                    f.seek(start)
+                    left = end - start
+                    while left > 0 and (block := f.read(min(BLOCK, left))):
+                        lines += block.count(b"\n")
+                        left -= len(block)
+                    found.append((start, end, lines))
+            columns = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], [*b.schema.names, "byte_base", "byte_end", "lines"])
+
+    zero = F.lit(0).cast("long")
+    spread = ranges.repartition(int(tasks))
+    placed = work.written(spread.mapInArrow(counted, ranges.select("*", zero.alias("byte_base"), zero.alias("byte_end"), zero.alias("lines")).schema), "line-parts")
+    before = Window.partitionBy("relative").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    based = placed.withColumn("line_base", F.coalesce(F.sum("lines").over(before), zero)).where(F.col("byte_end") > F.col("byte_base"))
+    based = work.written(based.drop("part", "lines"), "line-bases")
+    from_at, to_at = based.columns.index("byte_base"), based.columns.index("byte_end")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, top = opened(root)
+        for b in batches:
+            for k in range(b.num_rows):  # one part a batch
+                row = b.slice(k, 1)
+                with fs.open_input_file(f"{top.rstrip('/')}/{row.column(at)[0].as_py()}") as f:
+                    start, end = row.column(from_at)[0].as_py(), row.column(to_at)[0].as_py()
+                    f.seek(start)
+                    content = f.read(end - start)
+                yield pa.RecordBatch.from_arrays([*row.columns, pa.array([content], pa.binary())], [*row.schema.names, "content"])
+
+    return based.repartition(int(tasks)).mapInArrow(read, based.select("*", F.lit(b"").alias("content")).schema).drop("byte_end")
+
+
 class _Folder(InputPartition):
     def __init__(self, todo: list[tuple[str, list[Rule]]]) -> None:
         super().__init__(todo)
