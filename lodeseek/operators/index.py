@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..config import IndexingConfig
 from ..functions import paths
+from ..sources import work
 from . import chunk, embed, layout
 from .layout import BUCKET_ROWS
 from .store import Folder
@@ -112,6 +113,7 @@ def build(spark: SparkSession, path: str, docs: DataFrame, embedder: embed.Embed
 
 def create(spark: SparkSession, path: str, rows: DataFrame, meta: dict, bucket_rows: int = BUCKET_ROWS) -> dict:
     """An index of rows that are ready. meta: engine, model_id, dimension, root_path."""
+    rows = work.written(rows.select(*layout.COLUMNS), "index-rows")  # they are counted, then dealt
     first = {"schema_version": VERSION, "number": 1, "built_at": int(time.time()), "buckets": max(1, -(-rows.count() // bucket_rows)), "bucket_rows": bucket_rows}
     return _published(spark, path, rows, first | meta, [], time.time())
 
