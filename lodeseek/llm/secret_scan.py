@@ -4,13 +4,17 @@ Base kinds, leftmost and not overlapping within a kind: assign (a keyword, ":" o
 or more characters), access (AKIA and capitals or digits, 16 or more) and hex (32 or more lower-case
 hex digits). The method adds kind markov: a run of 20 or more characters of keys and tokens, with a
 letter, whose characters are likelier under a first-order Markov model of random strings than under one of
-ordinary identifiers, by a log-likelihood ratio per character.
+ordinary identifiers, by a log-likelihood ratio per character over a threshold. The threshold is learned too: the least at which hardly any
+labelled ordinary string of words that training has not seen is taken for random.
 
 Both models are learned from labelled strings. In the corpus itself, what base matches hold is labelled
 random and all else ordinary; fit() counts pairs of characters over all documents, which are at
 most 2 * 66 * 66 numbers however large the corpus. A prior sample of made strings (below) has half the weight,
 so kinds of keys and of names that a corpus lacks are known too; without a corpus it has all.
 
+Pairs of characters cannot tell all kinds of ordinary strings. UUIDs and the contents of data URIs are taken out of runs as base matches are, without being spans, and
+a string that is mostly made of a few characters (DNA, bits, patterns) is not random.
+
 What base matches leave of a run is scored piece by piece: a piece that is random as a whole is a span; of
 others, the segments of highest score, widened to the next / - _ = on both sides, are judged like pieces, so a
 key is found behind a path or a name. Stretches under 20 characters or without a letter are never spans of this kind.
@@ -23,6 +27,7 @@ from __future__ import annotations
 
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -42,8 +47,13 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: Characters of runs that join a key to ordinary words.
 _SEPARATORS = "/-_="
-#: Characters of a span of kind markov at least, and nats per character by which the random model must be likelier.
-LEAST, THRESHOLD = 20, 0.5
+#: Characters of a span of kind markov at least; the FEW commonest of them make up MOSTLY of it at most.
+LEAST, FEW, MOSTLY = 20, 5, 0.75
+#: Share of labelled ordinary strings that may pass for random, and the least threshold (nats per character) in any case.
+PASS, FLOOR = 0.001, 0.05
+#: Ordinary strings that look random: UUIDs, and what follows the mark of a data URI.
+_UUID = re.compile(r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![0-9A-Za-z])")
+_DATA = re.compile(r";base64,[A-Za-z0-9+/_=-]+")
 
 #: Words of which ordinary identifiers, paths and names are made: the prior sample of ordinary strings.
 ORDINARY_WORDS = (
@@ -66,8 +76,28 @@ ORDINARY_WORDS = (
 ).split()
 
 
-def _ordinary(rng: random.Random) -> str:
-    words = rng.sample(ORDINARY_WORDS, rng.randint(2, 5))
+#: Words and parts of names of other languages (Welsh, German, Finnish, Dutch, Polish, Spanish, French, Japanese, North America's).
+OTHER_WORDS = (
+    "blodyn llanfair pwll gwyn gyll goger wern drob ysgol mynydd cymru eglwys afon nant bryn maes capel felin heol ffordd "
+    "schule strasse bruecke rathaus bahnhof zeitung kirche schloss wasser garten hauptstadt gesellschaft verwaltung geschwindigkeit freundschaft "
+    "kirjasto yliopisto kaupunki jarvi saari talvi syksy ystava kauppa asema hallitus ministeri yhteiskunta "
+    "gemeente koninklijk ziekenhuis vliegveld straatweg universiteit maatschappij wydawnictwo uniwersytet szkola miasto rzeka krakow warszawa "
+    "biblioteca ayuntamiento carretera desarrollo gobierno provincia municipio ciudad bibliotheque gouvernement entreprise quartier chateau montagne "
+    "kotoba shinbun toshokan daigaku machi yama kawa sakura hashi densha mississippi massachusetts chattahoochee okeechobee"
+).split()
+#: Words of the labelled strings that the threshold is learned from; no model is trained on them.
+HELD_OUT_WORDS = (
+    "abbey anchor autumn bakery bishop bridge castle cattle charity cinema colony concert cottage county desert dragon eagle engine estate farmer "
+    "ferry fishing forest fortress galaxy glacier gospel harvest highway hotel island jungle kingdom knight lantern lecture lizard magazine marble meadow "
+    "mineral monastery mountain musical nature ocean orchard painter parish pilgrim planet prairie prison rainbow republic saddle sailor "
+    "savings shadow shelter sheriff signal soccer spirit statue surgeon temple tennis tunnel valley violin walnut warrior whisper willow wizard "
+    "caernarfon pontypridd heidelberg oberbayern rovaniemi jyvaskyla groningen scheveningen bydgoszcz zaragoza guadalajara montpellier yokohama nagasaki saskatchewan"
+).split()
+
+
+def _ordinary(rng: random.Random, held_out: bool = False) -> str:
+    from_ = HELD_OUT_WORDS if held_out else OTHER_WORDS if rng.random() < 0.25 else ORDINARY_WORDS
+    words = rng.sample(from_, rng.randint(2, 5))
     style = rng.randrange(6)
     text = ("_", "-", "/", "", "", "")[style].join(w.capitalize() if style == 3 or style == 4 and k else w for k, w in enumerate(words))
     if style == 5:
@@ -77,7 +107,7 @@ def _ordinary(rng: random.Random) -> str:
 
 def _random(rng: random.Random) -> str:
     lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
-    alphabet = rng.choice((lower + digits, lower + lower.upper() + digits, lower + lower.upper() + digits + "+/", "0123456789abcdef", lower.upper() + digits))
+    alphabet = rng.choice((lower + digits, lower + lower.upper() + digits, lower + lower.upper() + digits + "+/", "0123456789abcdef", lower.upper() + digits, lower, lower + lower.upper()))
     return "".join(rng.choices(alphabet, k=rng.randint(20, 64)))
 
 
@@ -87,6 +117,16 @@ def samples(n: int = 4000, seed: int = 20240) -> tuple[list[str], list[str]]:
     return [_random(rng) for _ in range(n)], [_ordinary(rng) for _ in range(n)]
 
 
+def held_out(n: int = 4000, seed: int = 7321) -> list[str]:
+    """Labelled ordinary strings, long enough to be spans, of words that no model is trained on."""
+    rng, out = random.Random(seed), []
+    while len(out) < n:
+        made = _ordinary(rng, held_out=True)
+        if len(made) >= LEAST:
+            out.append(made)
+    return out
+
+
 #: Characters of runs.
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _SIZE = len(ALPHABET)
@@ -107,6 +147,11 @@ def probabilities(counts: np.ndarray) -> np.ndarray:
     return smooth / smooth.sum(axis=1, keepdims=True)
 
 
+def varied(text: str) -> bool:
+    """Whether text is made of more than a few characters."""
+    return sum(n for _, n in Counter(text).most_common(FEW)) <= MOSTLY * len(text)
+
+
 class Model:
     """Log-likelihood ratios of character pairs, random over ordinary; learned: pair counts (random, ordinary) of a corpus."""
 
@@ -117,13 +162,15 @@ class Model:
             both = [(p + probabilities(n)) / 2 if n.any() else p for p, n in zip(both, learned, strict=True)]
         matrix = np.log(both[0] / both[1])
         self.table = {a + b: float(matrix[i, j]) for i, a in enumerate(ALPHABET) for j, b in enumerate(ALPHABET)}
+        ratios = sorted(map(self.ratio, held_out()))
+        self.threshold = max(FLOOR, ratios[int(len(ratios) * (1 - PASS))])
 
     def ratio(self, text: str) -> float:
         """Mean ratio per character pair; text: of the runs' alphabet."""
         return sum(self.table[text[k : k + 2]] for k in range(len(text) - 1)) / max(1, len(text) - 1)
 
     def is_random(self, text: str) -> bool:
-        return len(text) >= LEAST and any(c.isalpha() for c in text) and self.ratio(text) > THRESHOLD
+        return len(text) >= LEAST and any(c.isalpha() for c in text) and varied(text) and self.ratio(text) > self.threshold
 
     def random_parts(self, text: str) -> list[tuple[int, int]]:
         """(start, end) of the random stretches of text: all of it, or segments widened to separators."""
@@ -132,7 +179,7 @@ class Model:
         if self.is_random(text):
             return [(0, len(text))]
         parts: list[tuple[int, int]] = []
-        for a, b in _segments([self.table[text[k : k + 2]] - THRESHOLD for k in range(len(text) - 1)]):
+        for a, b in _segments([self.table[text[k : k + 2]] - self.threshold for k in range(len(text) - 1)]):
             # Pair k is of characters k and k + 1; a separator at an end is left out.
             first, last = a + (text[a] in _SEPARATORS), b + (text[b] not in _SEPARATORS)
             start = max(text.rfind(c, 0, first) for c in _SEPARATORS) + 1
@@ -195,7 +242,12 @@ def scan(text: str | None, model: Model | None = None) -> list[tuple[int, int, i
         return []
     model = model or prior()
     found = [(a, kind, b) for a, kind, b, _ in base_matches(text)]
-    base, k = sorted((a, b) for a, _, b in found), 0
+    taken = [(a, b) for a, _, b in found]
+    if "-" in text:
+        taken += [m.span() for m in _UUID.finditer(text)]
+    if ";base64," in text:
+        taken += [m.span() for m in _DATA.finditer(text)]
+    base, k = sorted(taken), 0
     for m in _RUN.finditer(text):
         at = m.start()
         while k < len(base) and base[k][1] <= at:

@@ -131,7 +131,9 @@ def plain_secrets(text, model):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     base = {x for a, _, b in found for x in range(a, b)}
-    good = lambda s: len(s) >= 20 and any(c.isalpha() for c in s) and sum(model.table[s[k : k + 2]] for k in range(len(s) - 1)) / (len(s) - 1) > 0.5
+    for ordinary in (r"(?<![0-9A-Za-z])[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}(?![0-9A-Za-z])", r";base64,[A-Za-z0-9+/_=-]+"):
+        base |= {x for m in re.finditer(ordinary, text) for x in range(*m.span())}
+    good = lambda s: len(s) >= 20 and any(c.isalpha() for c in s) and sum(sorted(s.count(c) for c in set(s))[-5:]) <= 0.75 * len(s) and sum(model.table[s[k : k + 2]] for k in range(len(s) - 1)) / (len(s) - 1) > model.threshold
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
         pieces, at = [], m.start()
         for x in range(m.start(), m.end() + 1):
@@ -145,7 +147,7 @@ def plain_secrets(text, model):
                 continue
             if len(s) < 20:
                 continue
-            scores = [model.table[s[k : k + 2]] - 0.5 for k in range(len(s) - 1)]
+            scores = [model.table[s[k : k + 2]] - model.threshold for k in range(len(s) - 1)]
             segments = []
 
             def split(a, b):
