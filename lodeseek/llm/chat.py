@@ -20,7 +20,7 @@ meet in one task; groups of turns are as large as the longest conversation, not
 Defined results: a null text is empty; a null role is the role ""; turns are in ascending
 order with null first, and equal turns by role, then text, so repeated rows are kept; a null
 conversation id is a conversation of its own; other columns are ignored; an empty table gives
-an empty result.
+an empty result. A template of over 60 states or 60 roles is refused, as each has a sign of its own in the machine.
 """
 
 from __future__ import annotations

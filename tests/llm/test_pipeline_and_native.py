@@ -6,9 +6,11 @@ import random
 import re
 import string
 
+import numpy as np
 import pytest
-from plain import base_counts, plain_em
+from plain import base_counts, plain_em, plain_secrets
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from lodeseek.llm import chat, queries, url_filter
@@ -108,16 +110,27 @@ def test_pipeline_stages(spark, tmp_path):
             model = secret_scan.fit(before)
             for r in rows:
                 text, at, out = texts[r.doc_id], 0, ""
-                covered = {x for a, _, b in secret_scan.scan(text, model) for x in range(a, b)}
-                begins = {a for a, _, _ in secret_scan.scan(text, model)}
-                for a in sorted(x for x in covered if x - 1 not in covered or x in begins and not any(s < x < e for s, _, e in secret_scan.scan(text, model))):
-                    out, at = out + text[at:a] + "[SECRET]", next(x for x in range(a, len(text) + 2) if x not in covered or x > a and x in begins and not any(s < x < e for s, _, e in secret_scan.scan(text, model)))
+                covered = {x for a, _, b in plain_secrets(text, model) for x in range(a, b)}
+                begins = {a for a, _, _ in plain_secrets(text, model)}
+                for a in sorted(x for x in covered if x - 1 not in covered or x in begins and not any(s < x < e for s, _, e in plain_secrets(text, model))):
+                    out, at = out + text[at:a] + "[SECRET]", next(x for x in range(a, len(text) + 2) if x not in covered or x > a and x in begins and not any(s < x < e for s, _, e in plain_secrets(text, model)))
                 assert r.text == out + text[at:]
                 assert [s for s in secret_scan.scan(r.text, model) if s[1] < 3] == []
             assert 9_000_005 not in ids or "hunter2" not in next(r.text for r in rows if r.doc_id == 9_000_005)
         else:
             assert ids == set(texts)
-            assert {r.doc_id for r in after.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n = t").collect()} == ids
+            whole = Tokenizer.from_file(queries.tokenizer("byte_bpe_50k.json"))
+            pieces, room = {}, {}
+            for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):
+                got = pieces.setdefault(r.doc_id, [])
+                assert r.start == len(got) and r.length == len(r.ids) // 4
+                got += np.frombuffer(r.ids, "<u4").tolist()
+                room.setdefault(r.sequence_id, []).append((r.offset, r.length))
+            for d, text in texts.items():
+                assert pieces[d] == [*whole.encode(text, add_special_tokens=False).ids, 0]
+            for places in room.values():  # gapless from 0, 1024 at most
+                ends = [0, *(a + n for a, n in sorted(places))]
+                assert [a for a, _ in sorted(places)] == ends[:-1] and ends[-1] <= 1024
         docs = after
         assert name
 
