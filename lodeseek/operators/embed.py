@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from ..sources.work import bounded
 
 BATCH = 32
+#: Tokens of a text that an embedder looks at.
+MAX_TOKENS = 512
 _WORD = re.compile(r"\w+")
 
 
@@ -44,6 +46,10 @@ class HashingEmbedder:
     batch: int | None = BATCH
     query_prefix: str = ""
     passage_prefix: str = ""
+    max_tokens: int = MAX_TOKENS
+
+    def tokens(self, text: str) -> list[str]:
+        return _WORD.findall(text.lower())
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         from xxhash import xxh64_intdigest
@@ -51,7 +57,7 @@ class HashingEmbedder:
         out = []
         for text in texts:
             v = np.zeros(self.dimension, np.float64)
-            for w in _WORD.findall(text.lower()):
+            for w in self.tokens(text)[: self.max_tokens]:
                 h = xxh64_intdigest(w.encode(), 7)
                 v[h % self.dimension] += 1 if h >> 63 else -1
             length = float(np.sqrt((v * v).sum()))
@@ -59,12 +65,28 @@ class HashingEmbedder:
         return out
 
 
+@dataclass(frozen=True)
+class PieceEmbedder(HashingEmbedder):
+    """As HashingEmbedder over three-character pieces of words, so that forms of a word are near each other."""
+
+    model_id: str = "pieces"
+    engine: str = "Candle"
+
+    def tokens(self, text: str) -> list[str]:
+        marked = (f"<{w}>" for w in _WORD.findall(text.lower()))
+        return [w[k : k + 3] for w in marked for k in range(max(1, len(w) - 2))]
+
+
 class Engines:
-    """Makers of embedders by engine; load() picks one for a selection (engine, model, dimension)."""
+    """Makers of embedders by engine; load() picks one for a selection (engine, model, dimension).
+
+    Engines whose models are not installed here have stand-ins that need none; register() puts a real one in their place.
+    """
 
     def __init__(self) -> None:
         self.makers: dict[str, Callable[[str, int, str], Embedder]] = {}
         self.register("Fastembed", lambda model, dimension, device: HashingEmbedder(dimension, model))
+        self.register("Candle", lambda model, dimension, device: PieceEmbedder(dimension, model))
 
     def register(self, engine: str, maker: Callable[[str, int, str], Embedder]) -> None:
         """maker(model, dimension, device) gives an embedder; the last one registered for an engine counts."""
