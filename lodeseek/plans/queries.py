@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import schema
 from ..config import IndexingConfig, SearchQuery
 from ..functions import display, metadata, paths, source_map, text, vectors
-from ..operators import chunk, embed, grep, index, knn, preview, results, words
+from ..operators import cells, chunk, embed, grep, index, knn, preview, results, words
 from ..sources import catalog, extract, files, work
 from ..operators.store import Folder
 from ..sources.tables import EXTENSIONS, corpus, table
@@ -256,6 +256,18 @@ def knn_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.select("vec_id", "label", F.round("score", 6).alias("score"))
 
 
+@query("knn_cells", f"WITH {_SCORED} SELECT vec_id, round(s, 6) AS score, row_number() OVER (ORDER BY s DESC, label::VARCHAR, vec_id) - 1 AS rank FROM scored ORDER BY s DESC, label::VARCHAR, vec_id LIMIT {_K}")
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index with cells: those that the bounds rule out are not read."""
+    path = work.new_path(spark, "query-index")
+    named = {"file_path": F.col("label").cast("string"), "chunk_idx": F.col("vec_id").cast("int"), "embedding": F.col("embedding")}
+    rows = _vectors(spark, sf_dir).select(*[named.get(c.split()[0], F.lit(None).cast(c.split(" ", 1)[1])).alias(c.split()[0]) for c in schema.INDEX.split(", ")])
+    index.create(spark, path, rows, {"engine": "Fastembed", "model_id": "given", "dimension": _DIMENSION, "root_path": "/"})
+    found, _ = cells.top_k(spark, path, cells.make(spark, path, cell_rows=64), _query_vector(), _K)
+    ranked = [(r["chunk_idx"], round(r["score"], 6), k) for k, r in enumerate(found)]
+    return spark.createDataFrame(ranked, "vec_id long, score double, rank long")
+
+
 @query("knn_all", f"WITH {_SCORED} SELECT vec_id, round(s, 6) AS score FROM scored")
 def knn_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.scored(_vectors(spark, sf_dir), _query_vector()).select("vec_id", F.round("score", 6).alias("score"))

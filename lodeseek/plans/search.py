@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import state
 from ..config import GREP, IndexingConfig, SearchQuery, Settings
 from ..functions import paths
-from ..operators import embed, grep, index, knn
+from ..operators import cells, embed, grep, index, knn
 from ..sources import extract, files, work
 
 
@@ -158,6 +158,7 @@ def search_index(
 ) -> DataFrame:
     """Matches of a semantic search, with rank; the query's folder and flags have no effect. Refused while a first index is being built.
 
+    Where the index's version has cells (cells.make), those that can hold a hit are read, else all vectors.
     If the index is of another folder than the query's, rebuild (such as a call of build_index) begins behind the search, which answers from the
     old index; once the new one is published, searches find that.
     """
@@ -176,7 +177,8 @@ def search_index(
     keys = ["file_path", "chunk_idx"]
     hits, rows = knn.top_k(opened.chunks, vector, query.max_results, keys), opened.chunks
     if query.max_results > 0:
-        found = hits.collect()  # max_results at most
+        described = cells.of_version(spark, path, int(opened.meta["number"]))
+        found = cells.top_k(spark, path, described, vector, query.max_results)[0] if described else hits.collect()  # max_results at most
         hits, rows = spark.createDataFrame(found, hits.schema), opened.rows_of([r["file_path"] for r in found])
     full = knn.with_columns_of(hits, rows.drop("embedding"), keys)
     return knn.decoded(knn.supported(full, query.supported_extensions), opened.meta["root_path"]).orderBy(F.desc_nulls_last("score"), "path", "chunk_idx")
