@@ -550,8 +550,8 @@ def test_secret_base(spark, sf_dir, texts):
 
 def test_markov_on_held_out_samples():
     noise, written = secret_scan.samples(1500, seed=99)
-    assert sum(secret_scan.ratio(s) > secret_scan.THRESHOLD for s in noise) / 1500 > 0.97
-    assert sum(secret_scan.ratio(s) > secret_scan.THRESHOLD for s in written) / 1500 < 0.01
+    assert sum(secret_scan.ratio(s) > secret_scan.prior().threshold for s in noise) / 1500 > 0.97
+    assert sum(secret_scan.ratio(s) > secret_scan.prior().threshold for s in written) / 1500 < 0.01
     assert [s[1] for s in secret_scan.scan("see Zk9xQw3rTy7uIo1pAs5dFg8h now")] == [3]
     assert secret_scan.scan("the_customer_account_history_2024 and thationerheswhthandreou") == []
 
