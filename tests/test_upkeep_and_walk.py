@@ -11,7 +11,7 @@ from lodeseek import schema
 from lodeseek.config import SEMANTIC, SearchQuery
 from lodeseek.operators import embed, index, knn, layout
 from lodeseek.operators.store import Folder
-from lodeseek.plans import search
+from lodeseek.plans import queries, search
 from lodeseek.sources import files, walk
 
 EMBEDDER = embed.HashingEmbedder(4)
@@ -211,6 +211,18 @@ def test_contents_are_read_in_tasks(spark, tree):
     assert kinds == {k for k in KEPT if k.endswith((".txt", ".log"))}
 
 
+def test_files_are_written_in_tasks(spark, tmp_path):
+    """A file for each row and nothing else, made by the tasks; a folder of documents keeps both of two with one id."""
+    rows = spark.createDataFrame([(f"d{k % 3}/f{k}.txt", f"é {k}\n".encode()) for k in range(50)] + [("empty.txt", b"")], "relative string, content binary").repartition(4)
+    assert walk.write_files(rows, f"file://{tmp_path}/out") == walk.write_files(rows, f"file://{tmp_path}/out") == 51
+    found = {os.path.relpath(os.path.join(d, f), tmp_path / "out"): open(os.path.join(d, f), "rb").read() for d, _, names_ in os.walk(tmp_path / "out") for f in names_}
+    assert found == {r.relative: bytes(r.content) for r in rows.collect()}
+    spark.createDataFrame([(2, "a station"), (2, "b"), (1003, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/sf/documents.parquet")
+    root = queries._folder(spark, f"{tmp_path}/sf").removeprefix("file://")
+    assert sorted(f for _, _, names_ in os.walk(root) for f in names_ if f.endswith((".txt", ".crc", "_SUCCESS")) and "gitignore" not in f) == ["part-1.txt", "part-1.txt", "part-2.txt"]
+    assert sorted(tuple(r) for r in queries.folder_listing(spark, f"{tmp_path}/sf").collect()) == [(2, 2), (2, 10), (1003, 1)]
+
+
 def test_a_capped_search_reads_few_files(spark, tmp_path, monkeypatch):
     for k in range(60):
         (tmp_path / f"f{k:02d}.txt").write_text("hit\n" * (k % 3))
