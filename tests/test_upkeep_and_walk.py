@@ -196,6 +196,10 @@ def test_ignored_folders_are_never_listed(tree, monkeypatch):
     assert any(p.endswith("/a/1/") for p in listed) and not any("/big" in p for p in listed)
 
 
+def test_many_folders_are_dealt_to_few_tasks():
+    assert [walk.tasks_of(n, 12) for n in (1, 40, 100, 190_000, 650_000)] == [1, 40, 48, 48, 159]
+
+
 def test_folder_source(spark, tree):
     spark.dataSource.register(walk.FolderSource)
     for partitions in (1, 3, 64):
