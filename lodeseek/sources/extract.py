@@ -1,6 +1,6 @@
 """Files to documents: plain text natively, other formats through registered extractors.
 
-An extractor takes a file's bytes and gives text, segments and metadata; it runs in mapInPandas, so a
+An extractor takes a file's bytes and gives text, segments and metadata; it runs in mapInArrow, so a
 parser that only has a Python library plugs in. The first registered extractor that handles a path wins.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,26 +89,74 @@ def extracted_documents(files: DataFrame, registry: Registry | None = None) -> D
     routed = files.select("path", "file_type", registry.route(F.col("path")).alias("route"), "content")
     extractors = registry.extractors
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _Made()
         for batch in batches:
-            rows = []
-            for path, kind, route, content in batch.itertuples(index=False):
-                row = {"path": path, "file_type": kind, "text": None, "source_map": None, "title": None, "page_count": None, "error": None}
+            for path, kind, route, content in zip(*batch.columns, strict=True):
+                row: dict = {"path": path.as_py(), "file_type": kind.as_py()}
                 try:
-                    if pd.isna(route):
+                    if not route.is_valid:
                         raise LookupError("no extractor registered")
-                    got = extractors[int(route)].run(content)
+                    got = extractors[route.as_py()].run(content.as_py())
                     row |= {"text": got.text, "title": got.title, "page_count": got.page_count}
-                    row["source_map"] = [
-                        {"start": a, "end": b, "origin": {"origin_type": "PdfPage", "line": None, "col": None, "page": page, "bbox": dict(zip(("x", "y", "width", "height"), box, strict=True)) if box else None}}
-                        for a, b, page, box in got.segments
-                    ]
+                    row["source_map"] = _segments(got.segments)
                 except Exception as error:  # a broken file must not end the scan; it is reported
-                    row["error"] = f"{path}: {error}"
-                rows.append(row)
-            yield pd.DataFrame(rows, columns=["path", "file_type", "text", "source_map", "title", "page_count", "error"])
-
-    return bounded(routed).mapInPandas(run, schema.DOCUMENTS)
+                    row["error"] = f"{row['path']}: {error}"
+                made.add(row)
+                if made.full():
+                    yield made.batch()
+        if made.rows:
+            yield made.batch()
+
+    return bounded(routed).mapInArrow(run, schema.DOCUMENTS)
+
+
+#: Segments and bytes of texts after which a batch of documents goes out: they take far more room here than the contents they come from.
+MADE_SEGMENTS, MADE_BYTES = 1 << 16, 1 << 20
+_BOX = pa.struct([(f, pa.float32()) for f in ("x", "y", "width", "height")])
+_ORIGIN = pa.struct([("origin_type", pa.string()), ("line", pa.int32()), ("col", pa.int32()), ("page", pa.int32()), ("bbox", _BOX)])
+_SEGMENT = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("origin", _ORIGIN)])
+_MADE = pa.schema([("path", pa.string()), ("file_type", pa.string()), ("text", pa.string()), ("source_map", pa.list_(_SEGMENT)), ("title", pa.string()), ("page_count", pa.int32()), ("error", pa.string())])
+
+
+def _segments(found: list[tuple[int, int, int, tuple[float, float, float, float] | None]]) -> pa.StructArray:
+    """The segments of a document as a column, without an object for each."""
+    n = len(found)
+    starts, ends, pages, boxes = zip(*found, strict=True) if found else ((), (), (), ())
+    sides = zip(*(box or (None,) * 4 for box in boxes), strict=True) if found else ((),) * 4
+    box = pa.StructArray.from_arrays([pa.array(side, pa.float32()) for side in sides], fields=list(_BOX), mask=pa.array([not b for b in boxes], pa.bool_()))
+    nothing = pa.nulls(n, pa.int32())
+    origin = pa.StructArray.from_arrays([pa.array(["PdfPage"] * n, pa.string()), nothing, nothing, pa.array(pages, pa.int32()), box], fields=list(_ORIGIN))
+    return pa.StructArray.from_arrays([pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), origin], fields=list(_SEGMENT))
+
+
+class _Made:
+    """Documents that wait to go out as a batch."""
+
+    def __init__(self) -> None:
+        self.rows: list[dict] = []
+        self.segments = self.bytes = 0
+
+    def add(self, row: dict) -> None:
+        self.rows.append(row)
+        self.segments += len(row.get("source_map") or ())
+        self.bytes += len(row.get("text") or "")
+
+    def full(self) -> bool:
+        return self.segments >= MADE_SEGMENTS or self.bytes >= MADE_BYTES
+
+    def batch(self) -> pa.RecordBatch:
+        maps = [row.get("source_map") for row in self.rows]
+        offsets, at = [], 0
+        for m in maps:
+            offsets.append(None if m is None else at)
+            at += 0 if m is None else len(m)
+        parts = [m for m in maps if m is not None]
+        flat = pa.concat_arrays(parts) if parts else pa.array([], _SEGMENT)
+        columns = {f.name: pa.array([row.get(f.name) for row in self.rows], f.type) for f in _MADE if f.name != "source_map"}
+        columns["source_map"] = pa.ListArray.from_arrays(pa.array([*offsets, at], pa.int32()), flat)
+        self.rows, self.segments, self.bytes = [], 0, 0
+        return pa.RecordBatch.from_arrays([columns[f.name] for f in _MADE], schema=pa.schema([pa.field(f.name, columns[f.name].type) for f in _MADE]))
 
 
 def documents(files: DataFrame, registry: Registry | None = None, strict: bool = False) -> DataFrame:

@@ -122,6 +122,24 @@ def test_extraction_once(spark, tmp_path):
     assert len(list(calls.iterdir())) == 3
 
 
+def test_words_of_many_documents_in_one_batch(spark):
+    """Segments go out as they are made: a batch of 60 documents with 5000 words each held them all, over 300 MB."""
+
+    def titled(content):
+        words = content.decode().split()
+        got = extract.words_to_text([[[(w, 1.0, 2.0, 3.0, 4.0) for w in words]]])
+        got.title = open("/proc/self/statm").read().split()[1]  # resident pages of this worker
+        return got
+
+    docs = spark.range(60, numPartitions=1).select(F.concat(F.lit("d"), "id", F.lit(".pdf")).alias("path"), F.lit("Pdf").alias("file_type"), F.repeat(F.lit("word "), 5000).cast("binary").alias("content"))
+    docs = docs.withColumn("content", F.when(F.col("path") != "d7.pdf", F.col("content")))
+    found = extract.extracted_documents(docs, extract.Registry(extract.Extractor("x", ("pdf",), titled))).select("path", "title", "error", F.size("source_map").alias("n"), F.col("source_map")[4999].alias("last"), "page_count").collect()
+    assert len(found) == 60 and [r.path for r in found if r.error] == ["d7.pdf"]
+    good = [r for r in found if not r.error]
+    assert {(r.n, r.last.start, r.last.end, r.last.origin.page, r.last.origin.bbox.height, r.last.origin.line, r.page_count) for r in good} == {(5000, 24995, 24999, 1, 4.0, None, 1)}
+    assert (max(int(r.title) for r in good) - min(int(r.title) for r in good)) * 4096 < 150e6
+
+
 def test_zero_vectors(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
