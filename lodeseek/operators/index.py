@@ -159,18 +159,19 @@ def apply_changes(spark: SparkSession, path: str, new: DataFrame, removed: DataF
     meta = open_index(spark, path).meta
     if batch is not None and meta.get("batch", -1) >= batch:
         return meta
-    wrong = new.where(F.size("embedding") != int(meta["dimension"])).limit(1).collect()
-    if wrong:
-        raise IndexError_(f"dimension of {wrong[0]['file_path']} is not {meta['dimension']}")
     number, buckets, entries = int(meta["number"]) + 1, int(meta["buckets"]), dict(meta["parts"])
+    wrong = F.min(F.when(F.size("embedding") != int(meta["dimension"]), F.col("file_path")))
+    filled = new.groupBy(layout.bucket_of(F.col("file_path"), buckets).alias("bucket")).agg(wrong.alias("wrong")).collect()
+    if found := [r["wrong"] for r in filled if r["wrong"] is not None]:
+        raise IndexError_(f"dimension of {min(found)} is not {meta['dimension']}")
     gone = removed.select("file_path").unionByName(changed.select("file_path")).distinct().withColumn("bucket", layout.bucket_of(F.col("file_path"), buckets))
     few = gone.limit(NAMED_PATHS + 1).collect()
     named = len(few) <= NAMED_PATHS
     touched = {str(r["bucket"]) for r in (few if named else gone.select("bucket").distinct().collect())}
     here = layout.live(spark, path, {b: entries[b] for b in touched if b in entries}, F.col("file_path").isin([r["file_path"] for r in few]) if named else None)
     dead = here.select("file_path", "bucket").join(gone, ["file_path", "bucket"], "left_semi").groupBy("file_path", "bucket").agg(F.count("*").alias("n"))
-    tombs = layout.write_deleted(spark, path, dead, number)
-    made = layout.write_rows(spark, path, new, buckets, number)
+    tombs = layout.write_deleted(spark, path, dead, number, len(touched))
+    made = layout.write_rows(spark, path, new, buckets, number, len(filled))
     # Files whose rows come without the old ones going (new is not among the changed) are counted once.
     again = _known(spark, path, entries, new, gone, buckets) if made else {}
     for b, tomb in tombs.items():

@@ -25,6 +25,8 @@ BUCKET_ROWS = 100_000
 #: A bucket is written anew when so large a share of its rows is dead, and its small parts merged when it has more than so many.
 DEAD_SHARE, MOST_PARTS = 0.3, 8
 FULL_EVERY = 16
+#: Buckets that a task writes, about, where many are written.
+TASK_BUCKETS = 16
 #: Paths with tombstones that are broadcast at most.
 BROADCAST_PATHS = 200_000
 COLUMNS = [c.split()[0] for c in schema.INDEX.split(", ")]
@@ -52,6 +54,10 @@ def entry() -> dict:
 def _read(spark: SparkSession, path: str, kind: str, places: list[str], of: str) -> DataFrame:
     if not places:
         return spark.createDataFrame([], of)
+    # Spark lists folders in a task each, up to this many; there are as many folders as buckets.
+    conf, most = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4 * spark.sparkContext.defaultParallelism
+    if int(spark.conf.get(conf)) > most:
+        spark.conf.set(conf, str(most))
     return spark.read.schema(of).option("basePath", f"{path.rstrip('/')}/{kind}").parquet(*[f"{path.rstrip('/')}/{p}" for p in places])
 
 
@@ -75,28 +81,40 @@ def live(spark: SparkSession, path: str, entries: dict[str, dict], only: Column
     return rows.unionByName(older.join(t, same, "left_anti"))
 
 
-def write_rows(spark: SparkSession, path: str, rows: DataFrame, buckets: int, number: int) -> dict[str, dict]:
-    """Writes rows as parts: {bucket: {path, number, rows, files, bytes}}. A bucket is one file, or one for each BUCKET_ROWS of its rows."""
+def _dealt(rows: DataFrame, filled: int, *keys: Column | str) -> DataFrame:
+    """rows by keys, in enough tasks for the files of `filled` buckets: small rows in many files would all be left to one task else."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    if filled <= cores:
+        return rows.repartition(*keys)
+    return rows.repartition(min(filled, max(4 * cores, -(-filled // TASK_BUCKETS))), *keys)
+
+
+def write_rows(spark: SparkSession, path: str, rows: DataFrame, buckets: int, number: int, filled: int | None = None) -> dict[str, dict]:
+    """Writes rows as parts: {bucket: {path, number, rows, files, bytes}}. A bucket is one file, or one for each BUCKET_ROWS of its rows.
+
+    filled: how many buckets rows lie in, about (all, if not given).
+    """
     folder, place = Folder(spark, path), f"rows/number={number}"
     dealt = rows.select(*COLUMNS).withColumn("bucket", bucket_of(F.col("file_path"), buckets))
     # Chunks of one huge file are spread too.
-    dealt = dealt.repartition("bucket", F.floor(F.col("chunk_idx") / BUCKET_ROWS)).sortWithinPartitions("bucket", "file_path", "chunk_idx")
+    dealt = _dealt(dealt, buckets if filled is None else filled, "bucket", F.floor(F.col("chunk_idx") / BUCKET_ROWS)).sortWithinPartitions("bucket", "file_path", "chunk_idx")
     dealt.write.mode("overwrite").option("maxRecordsPerFile", BUCKET_ROWS).partitionBy("bucket").parquet(f"{folder.path}/{place}")
     return _counted(spark, path, "rows", place, _PART, F.count("*"), number)
 
 
-def write_deleted(spark: SparkSession, path: str, gone: DataFrame, number: int) -> dict[str, dict]:
-    """Writes tombstones (file_path, n: their rows, bucket): {bucket: {path, number, rows, files, bytes}}."""
+def write_deleted(spark: SparkSession, path: str, gone: DataFrame, number: int, filled: int = 1) -> dict[str, dict]:
+    """Writes tombstones (file_path, n: their rows, bucket): {bucket: {path, number, rows, files, bytes}}. filled: how many buckets they lie in, about."""
     place = f"deleted/number={number}"
-    gone.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path.rstrip('/')}/{place}")
+    _dealt(gone, filled, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path.rstrip('/')}/{place}")
     return _counted(spark, path, "deleted", place, _TOMBS, F.sum("n"), number)
 
 
 def _counted(spark: SparkSession, path: str, kind: str, place: str, of: str, n_rows: Column, number: int) -> dict[str, dict]:
-    folder = Folder(spark, path)
-    names = [n for n in folder.names(place) if n.startswith("bucket=")]
-    found = _read(spark, path, kind, [f"{place}/{n}" for n in names], of).groupBy("bucket").agg(n_rows.alias("rows"), F.countDistinct("file_path").alias("files")).collect()
-    return {str(r["bucket"]): {"path": f"{place}/bucket={r['bucket']}", "number": number, "rows": r["rows"], "files": r["files"], "bytes": folder.size(f"{place}/bucket={r['bucket']}")} for r in found}
+    """What a version wrote at a place, by bucket, from one read of it."""
+    stored = F.collect_set(F.struct("_metadata.file_path", "_metadata.file_size"))
+    size = F.aggregate(stored, F.lit(0).cast("long"), lambda total, file: total + file["file_size"])
+    found = _read(spark, path, kind, [place], of).groupBy("bucket").agg(n_rows.alias("rows"), F.countDistinct("file_path").alias("files"), size.alias("bytes")).collect()
+    return {str(r["bucket"]): {"path": f"{place}/bucket={r['bucket']}", "number": number, "rows": r["rows"], "files": r["files"], "bytes": r["bytes"]} for r in found}
 
 
 # the log
@@ -182,7 +200,7 @@ def compact(spark: SparkSession, path: str, meta: dict, touched: set[str], bucke
         return meta
     number = meta["number"] + 1
     sources = {b: entries[b] for b in whole} | {b: entries[b] | {"parts": parts} for b, parts in merged.items()}
-    made = write_rows(spark, path, live(spark, path, sources), wanted, number)
+    made = write_rows(spark, path, live(spark, path, sources), wanted, number, len(sources) + wanted - buckets)
     removed = [p["path"] for e in sources.values() for p in e["parts"]] + [d["path"] for b in whole for d in entries[b]["deleted"]]
     for b in whole:
         del entries[b]

@@ -75,6 +75,22 @@ def test_a_change_writes_what_changed(spark, tmp_path):
     assert (status["indexed_files"], status["total_chunks"]) == (299, 597)
 
 
+def test_many_buckets_are_written_and_listed_by_the_cores(spark, tmp_path):
+    """A change of small rows in many buckets is not left to one task, and folders are not listed in a task each."""
+    path = f"{tmp_path}/index"
+    few, many = (layout._dealt(spark.range(1000).select(F.col("id").alias("bucket")), n, "bucket") for n in (1, 200))
+    assert (few.rdd.getNumPartitions(), many.rdd.getNumPartitions()) == (1, 16)
+    index.create(spark, path, rows(spark, {f"{k}.txt": ["a", "b"] for k in range(400)}), META, bucket_rows=20)
+    index.apply_changes(spark, path, rows(spark, {f"{k}.txt": ["c"] for k in range(100)}), names(spark, []), names(spark, [f"{k}.txt" for k in range(100)]))
+    meta = index.open_index(spark, path).meta
+    assert contents(spark, path) == expected({f"{k}.txt": ["c"] if k < 100 else ["a", "b"] for k in range(400)}) and meta["total_chunks"] == 700
+    folder = Folder(spark, path)
+    assert all(p["bytes"] == folder.size(p["path"]) for e in meta["parts"].values() for p in [*e["parts"], *e["deleted"]])
+    assert int(spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")) <= 16
+    with pytest.raises(index.IndexError_, match="dimension of x.txt is not 4"):
+        index.apply_changes(spark, path, rows(spark, {"x.txt": ["c"]}).withColumn("embedding", F.slice("embedding", 1, 3)), names(spark, []), names(spark, ["x.txt"]))
+
+
 def test_an_index_grows_and_stays_right(spark, tmp_path):
     path, rng = f"{tmp_path}/index", random.Random(3)
     texts = {f"{k}.txt": [f"first {k}"] for k in range(12)}
