@@ -19,7 +19,7 @@ from ..config import IndexingConfig
 from ..functions import source_map
 from ..functions import text
 from ..functions.text import clean
-from ..sources.work import bounded
+from ..sources.work import bounded, slices
 
 _CHUNK = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("line", pa.int32()), ("text", pa.string())]))
 _EMPTY = "cast(array() as array<struct<start:bigint,end:bigint,line:int,text:string>>)"
@@ -140,8 +140,9 @@ def semantic_chunks(docs: DataFrame, config: IndexingConfig = IndexingConfig(),
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept = [b.column(b.schema.names.index(c)) for c in keep]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([of(t.as_py()) for t in b.column(at)], _CHUNK)], [*keep, "chunks"])
+            for part in slices(b, at):
+                kept = [part.column(part.schema.names.index(c)) for c in keep]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([of(t.as_py()) for t in part.column(at)], _CHUNK)], [*keep, "chunks"])
 
     chunked = bounded(docs).mapInArrow(run, docs.select(*keep, F.expr(_EMPTY).alias("chunks")).schema)
     rows = chunked.select(*keep, F.posexplode("chunks").alias("chunk_idx", "c"))

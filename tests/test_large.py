@@ -140,6 +140,21 @@ def test_words_of_many_documents_in_one_batch(spark):
     assert (max(int(r.title) for r in good) - min(int(r.title) for r in good)) * 4096 < 150e6
 
 
+def test_chunks_of_a_batch_go_out_as_they_are_made(spark, monkeypatch):
+    """What a worker holds as objects is in proportion to a slice, not to its batch: 40 texts of 100 kB came out as one batch of chunks."""
+    import pyarrow as pa
+
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    taken, real = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a, **b: taken.append(run) or real(self, run, *a, **b))
+    chunk.semantic_chunks(docs, keep=["doc_id"])
+    texts = ["some words é " * 7700, None, "", *["some words é " * 7700] * 39, "y" * 3_000_000]
+    out = list(taken[0](iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts, pa.string())], ["doc_id", "text"])])))
+    assert [k for b in out for k in b.column(0).to_pylist()] == list(range(len(texts)))
+    assert len(out) == 6 and all(b.num_rows == 1 or b.column(1).nbytes < 2 << 20 for b in out)
+    assert [[c["text"] for c in x or []] for b in out for x in b.column(1).to_pylist()][:3] == [[texts[0][a:z].strip() for a, z in chunk.split_semantic(texts[0], 600, 128)], [], []]
+
+
 def test_zero_vectors(spark):
     rows = [(1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
     df = spark.createDataFrame(rows, "id long, embedding array<float>")
